@@ -125,6 +125,35 @@ def fixed(x, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", _c(x).cast("double"))
 
 
+def py_fixed(x, digits: int) -> Column:
+    """SF17 with Python's rounding: ``f"{x:.Nf}"`` rounds the exact binary value.
+
+    Java's ``%.Nf`` rounds the shortest decimal form half-up (0.2485 -> 0.249),
+    Python rounds the true binary value (0.2485 is 0.24849999.. -> 0.248).  The
+    scaled value ``p = x * 10^N`` is formed in double; when ``p`` lands exactly
+    on a half, the sign of its exact rounding error (Dekker's two-product,
+    plain double arithmetic) decides the side; true ties go to even.
+    """
+    v = _c(x).cast("double")
+    a = F.abs(v)
+    scale = float(10 ** digits)
+    p = a * F.lit(scale)
+    c = a * F.lit(134217729.0)
+    hi = c - (c - a)
+    lo = a - hi
+    err = (hi * F.lit(scale) - p) + lo * F.lit(scale)
+    fl = F.floor(p)
+    half = (p - fl) == F.lit(0.5)
+    units = F.when(half & (err > 0), fl + 1).when(half & (err < 0), fl).otherwise(F.rint(p)).cast("long")
+    sign = F.when((v < 0) & (units > 0), F.lit("-")).otherwise(F.lit(""))
+    if digits == 0:
+        body = units.cast("string")
+    else:
+        body = F.format_string(f"%d.%0{digits}d", (units / F.lit(10 ** digits)).cast("long"),
+                               (units % F.lit(10 ** digits)).cast("long"))
+    return F.concat(sign, body)
+
+
 def bool_text(x) -> Column:
     """SF17: lower-case boolean text."""
     return F.when(_c(x), F.lit("true")).otherwise(F.lit("false"))

@@ -5,21 +5,26 @@ task; if one session, run or customer holds a third of the table, that task
 does a third of the work alone.  ``ordered_scan`` splits each key into
 contiguous *chunks* instead:
 
-1. ``repartitionByRange(n, key, order)`` - range bounds come from a sample, so
-   a hot key is spread over many partitions while each partition still holds
-   one contiguous, ordered slice of it (``_chunk`` = partition id);
-2. a local window over ``(_chunk, key)`` computes running values inside a slice;
-3. a small per-(chunk, key) summary (at most keys + n rows) gets an exclusive
-   prefix over chunks per key;
-4. joining the prefix back (on ``(_chunk, key)``, the partitioning the local
-   window already has, so only the small side moves) and combining gives the
+1. ``_chunk`` is a deterministic bucket of the leading order column (hour of a
+   timestamp, day of a date, ``floor(x / width)`` of a number) - so it never
+   decreases along the order inside a key, and a hot key spans many chunks;
+2. a local window over ``(key, _chunk)`` computes running values inside a
+   chunk (the shuffle is hashed on the pair, so a hot key's chunks spread
+   over all tasks);
+3. a small per-(key, chunk) summary (partial aggregation, one row per pair)
+   gets an exclusive prefix over chunks per key;
+4. joining the prefix back on ``(key, _chunk)`` - the partitioning the local
+   window already has, so only the small side moves - and combining gives the
    exact running value.
 
+The chunk is a pure function of the row, so the two consumers of the input
+(local window and summary) agree on it even when a stage is recomputed after
+a lost executor; no sampling-based range partitioning is involved.
+
 Supported kinds: ``count`` (ordinal), ``sum``, ``max``, ``min``, ``last``
 (last non-null so far) and ``lag`` (previous row's value).  Frames are
 "unbounded preceding .. current row" (``lag``: previous row).  Keys must be
-non-null; the order must be total (add a unique tiebreak column) so reruns
-after a lost executor give identical results.
+non-null; the order must be total (add a unique tiebreak column).
 
 ``chunked=False`` gives the plain single-window plan, for bounded groups.
 """
@@ -71,18 +76,33 @@ def _plain(df: DataFrame, keys: list[str], order: list[str], specs: Sequence[Spe
     return out
 
 
+def default_chunk(df: DataFrame, col: str, width: int = 1 << 16) -> Column:
+    """Order-monotone bucket of ``col``: hour for timestamps, day for dates, ``floor(x / width)`` else."""
+    dt = df.schema[col].dataType
+    name = dt.typeName()
+    if name in ("timestamp", "timestamp_ntz"):
+        return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / F.lit(3_600_000_000))
+    if name == "date":
+        return F.unix_date(F.col(col)).cast("long")
+    if name == "string":
+        return F.substring(F.col(col), 1, 2)
+    return F.floor(F.col(col).cast("double") / F.lit(float(width)))
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: Sequence[Spec],
-                 chunked: bool = True, chunks: int | None = None) -> DataFrame:
-    """Add running columns per ``keys`` in ``order`` (see module docstring)."""
+                 chunked: bool = True, chunk: Column | None = None) -> DataFrame:
+    """Add running columns per ``keys`` in ``order`` (see module docstring).
+
+    ``chunk`` overrides the bucket; it must never decrease along ``order``
+    within a key.
+    """
     keys, order = list(keys), _order_names(order)
     if not chunked:
         return _plain(df, keys, order, specs)
 
-    spark = df.sparkSession
-    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartitionByRange(n, *keys, *order).withColumn("_chunk", F.spark_partition_id())
+    d = df.withColumn("_chunk", chunk if chunk is not None else default_chunk(df, order[0]))
 
-    w = Window.partitionBy("_chunk", *keys).orderBy(*order)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = d.withColumn("_lrn", F.row_number().over(w))
     summ_aggs, pre_cols = [], []
@@ -110,7 +130,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs
             raise ValueError(kind)
         pre_cols.append((name, kind))
 
-    summary = d.groupBy("_chunk", *keys).agg(*summ_aggs)
+    summary = d.groupBy(*keys, "_chunk").agg(*summ_aggs)
     pw = Window.partitionBy(*keys).orderBy("_chunk")
     pwr = pw.rowsBetween(Window.unboundedPreceding, -1)
     prefix = summary
@@ -127,9 +147,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs
         else:  # lag: last row of the nearest earlier chunk holding this key
             e = F.lag(s, 1).over(pw)
         prefix = prefix.withColumn(f"_p_{name}", e)
-    prefix = prefix.select("_chunk", *keys, *[f"_p_{n_}" for n_, _ in pre_cols])
+    prefix = prefix.select(*keys, "_chunk", *[f"_p_{n_}" for n_, _ in pre_cols])
 
-    joined = local.join(prefix, on=["_chunk", *keys], how="left")
+    joined = local.join(prefix, on=[*keys, "_chunk"], how="left")
     for name, kind in pre_cols:
         lc, pc = F.col(f"_l_{name}"), F.col(f"_p_{name}")
         if kind == "count":
