@@ -154,6 +154,27 @@ def py_fixed(x, digits: int) -> Column:
     return F.concat(sign, body)
 
 
+def py_round(x, digits: int) -> Column:
+    """Python's ``round(x, N)`` on floats (exact binary value, ties to even), as double."""
+    v = _c(x).cast("double")
+    a = F.abs(v)
+    scale = float(10 ** digits)
+    p = a * F.lit(scale)
+    c = a * F.lit(134217729.0)
+    hi = c - (c - a)
+    lo = a - hi
+    err = (hi * F.lit(scale) - p) + lo * F.lit(scale)
+    fl = F.floor(p)
+    half = (p - fl) == F.lit(0.5)
+    units = F.when(half & (err > 0), fl + 1).when(half & (err < 0), fl).otherwise(F.rint(p))
+    return F.when(v.isNull(), F.lit(None).cast("double")).otherwise(F.signum(v) * (units / F.lit(scale)))
+
+
+def py_clamp_round(x, lo: float = MIN_SCORE, hi: float = MAX_SCORE, digits: int = TASK_SCORE_DIGITS) -> Column:
+    """SF9 with Python rounding: ``round(min(hi, max(lo, x)), digits)``."""
+    return py_round(F.least(F.lit(hi), F.greatest(F.lit(lo), _c(x))), digits)
+
+
 def bool_text(x) -> Column:
     """SF17: lower-case boolean text."""
     return F.when(_c(x), F.lit("true")).otherwise(F.lit("false"))
