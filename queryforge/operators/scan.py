@@ -77,7 +77,8 @@ def _plain(df: DataFrame, keys: list[str], order: list[str], specs: Sequence[Spe
 
 
 def default_chunk(df: DataFrame, col: str, width: int = 1 << 16) -> Column:
-    """Order-monotone bucket of ``col``: hour for timestamps, day for dates, ``floor(x / width)`` else."""
+    """Order-monotone bucket of ``col``: hour of a timestamp, day of a date, a two-character
+    prefix of a string, ``floor(x)`` of a fractional number, ``floor(x / width)`` of an integer."""
     dt = df.schema[col].dataType
     name = dt.typeName()
     if name in ("timestamp", "timestamp_ntz"):
@@ -86,6 +87,8 @@ def default_chunk(df: DataFrame, col: str, width: int = 1 << 16) -> Column:
         return F.unix_date(F.col(col)).cast("long")
     if name == "string":
         return F.substring(F.col(col), 1, 2)
+    if name in ("double", "float") or name.startswith("decimal"):
+        return F.floor(F.col(col))
     return F.floor(F.col(col).cast("double") / F.lit(float(width)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from queryforge.plans import q_episodes, q_grading, q_relational  # noqa: F401
+from queryforge.plans import q_episodes, q_grading, q_relational, q_runs, q_text  # noqa: F401
 from queryforge.plans.registry import COVERS, ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE", "COVERS"]
