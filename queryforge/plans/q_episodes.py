@@ -309,3 +309,12 @@ def run_log_lines(spark, sf_dir):
                         F.array_join(F.transform("r", lambda x: F.round(x["reward"], 4).cast("string")), ", "))
         .alias("line"))
     return start.unionByName(step).unionByName(end)
+
+
+@register("stream_episode_fold", ("EP2",), sql=f"""
+{_FOLD}
+SELECT {", ".join(REWARD_COLS)} FROM f""")
+def stream_episode_fold(spark, sf_dir):
+    """EP2: the same fold as a Structured Streaming job (keyed state, availableNow); equals step_rewards."""
+    from queryforge.streaming.episodes import run_stream_fold
+    return run_stream_fold(spark, sf_dir).select(*REWARD_COLS)

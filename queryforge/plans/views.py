@@ -58,7 +58,12 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     click -> inspect_sample, error -> inspect_error, signup -> reset_query.
     A submit with value < 2 fails on an unknown table, < 5 on an unknown column.
     """
-    ev = T(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return steps_from_events(spark, T(spark, sf_dir, "events"))
+
+
+def steps_from_events(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The ``steps`` rule over any events frame (batch or streaming)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "value")
     tasks = F.broadcast(tasks_keyed(spark).select("task_no", "task_id", "tables"))
     m = F.create_map(*[x for k, v in ACTION_OF_EVENT.items() for x in (F.lit(k), F.lit(v))])
     e = ev.withColumn("task_no", F.col("user_id") % 4).join(tasks, "task_no")
