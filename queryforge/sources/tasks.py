@@ -139,8 +139,14 @@ def task_rows() -> list[tuple]:
 
 
 def task_catalog(spark: SparkSession) -> DataFrame:
-    """SRC4: the task dimension (four rows), meant to be broadcast."""
-    return spark.createDataFrame(task_rows(), CATALOG_SCHEMA)
+    """SRC4: the task dimension (four rows), meant to be broadcast.
+
+    Built from literals (``inline`` of an array of structs), so the optimizer
+    turns it into a local relation: no Python worker and no RDD behind it.
+    """
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, CATALOG_SCHEMA.fields)])
+               for row in task_rows()]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def tasks_for_keys(spark: SparkSession) -> DataFrame:
