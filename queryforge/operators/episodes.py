@@ -100,17 +100,31 @@ def episodes_by_marker(steps: DataFrame, session: str, order: Sequence[str], mar
     return ordered_scan(d, [session], list(order), [(name, "sum", "_mark")], chunked=chunked).drop("_mark")
 
 
-def idle_sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
-    """EP7 (batch): activity sessions closed by ``gap`` of inactivity.
-
-    ``session_window`` aggregation merges sessions inside each input partition
-    before the shuffle, so a very active key ships one partial row per session
-    per partition, not its events.
+def idle_sessions(events: DataFrame, key: str, ts: str, gap: str, tiebreak: str | None = None,
+                  method: str = "scan") -> DataFrame:
+    """EP7 (batch): activity sessions closed by ``gap`` of inactivity (a new session starts
+    when the time since the previous event is >= gap); session_end = last event + gap.
+
+    ``method="scan"`` (default) is gaps-and-islands on the skew-safe ordered
+    scan: previous timestamp (lag), then a running count of session starts, then
+    one grouped aggregate - a user with a third of all events is still spread
+    over many tasks.  ``method="session_window"`` uses Spark's built-in session
+    window, whose merge step sees every event of a key in one task.
     """
-    return (events.groupBy(key, F.session_window(ts, gap).alias("sw"))
-            .agg(F.count(F.lit(1)).alias("n_events"))
-            .select(key, F.col("sw.start").alias("session_start"), F.col("sw.end").alias("session_end"),
-                    "n_events"))
+    if method == "session_window":
+        return (events.groupBy(key, F.session_window(ts, gap).alias("sw"))
+                .agg(F.count(F.lit(1)).alias("n_events"))
+                .select(key, F.col("sw.start").alias("session_start"), F.col("sw.end").alias("session_end"),
+                        "n_events"))
+    gap_us = F.expr(f"INTERVAL {gap}")
+    order = [ts] + ([tiebreak] if tiebreak else [])
+    e = ordered_scan(events, [key], order, [("_prev", "lag", ts)])
+    new = F.col("_prev").isNull() | (F.col(ts) >= F.col("_prev") + gap_us)
+    e = ordered_scan(e.withColumn("_new", F.when(new, F.lit(1)).otherwise(F.lit(0))), [key], order,
+                     [("_sno", "sum", "_new")])
+    return (e.groupBy(key, "_sno").agg(F.min(ts).alias("session_start"), F.max(ts).alias("_last"),
+                                       F.count(F.lit(1)).alias("n_events"))
+            .select(key, "session_start", (F.col("_last") + gap_us).alias("session_end"), "n_events"))
 
 
 def active_sessions(events: DataFrame, key: str, ts: str, every: str = "1 hour") -> DataFrame:

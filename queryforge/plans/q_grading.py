@@ -57,11 +57,13 @@ def nation_result_sets(spark, sf_dir):
     c = V.T(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     o = V.T(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
     in97 = S.year_range("o_orderdate", 1997)
-    st = (c.join(o, c["c_custkey"] == o["o_custkey"], "left")
-          .groupBy("c_nationkey", "c_custkey", "c_name")
-          .agg(F.count_if(in97).alias("n97"),
-               F.round(F.avg(F.when(in97, S.money("o_totalprice"))), 2).cast("double").alias("avg97"),
-               F.round(F.avg(S.money("o_totalprice")), 2).cast("double").alias("avg_all")))
+    # child aggregated per customer first, then one left join row per customer
+    per = o.groupBy("o_custkey").agg(
+        F.count_if(in97).alias("n97"),
+        F.round(F.avg(F.when(in97, S.money("o_totalprice"))), 2).cast("double").alias("avg97"),
+        F.round(F.avg(S.money("o_totalprice")), 2).cast("double").alias("avg_all"))
+    st = c.join(per, c["c_custkey"] == per["o_custkey"], "left").select(
+        "c_nationkey", "c_custkey", "c_name", F.coalesce("n97", F.lit(0)).alias("n97"), "avg97", "avg_all")
     base = st.select(F.col("c_nationkey").cast("long").alias("task_key"), F.col("c_custkey").alias("pos"),
                      F.col("c_name").alias("customer_name"), F.col("n97").alias("headcount"),
                      F.col("avg97").alias("avg_price"), "avg_all")
