@@ -318,3 +318,29 @@ def stream_episode_fold(spark, sf_dir):
     """EP2: the same fold as a Structured Streaming job (keyed state, availableNow); equals step_rewards."""
     from queryforge.streaming.episodes import run_stream_fold
     return run_stream_fold(spark, sf_dir).select(*REWARD_COLS)
+
+
+@register("first_actions_json", ("SF18", "SF25", "WN10"), sql=f"""
+{_FOLD}
+SELECT session_id,
+       to_json(list_slice(list({{'step': step, 'action_type': action_type}} ORDER BY step), 1, 3)) AS first_actions
+FROM f GROUP BY session_id""")
+def first_actions_json(spark, sf_dir):
+    """JSON text of each episode's first three actions (ordered list, sliced, serialised)."""
+    f = folded(spark, sf_dir)
+    acts = F.sort_array(F.collect_list(F.struct(F.col("step").cast("long").alias("step"), "action_type")))
+    return f.groupBy("session_id").agg(F.to_json(F.slice(acts, 1, 3)).alias("first_actions"))
+
+
+@register("task_catalog_usage", ("SRC4", "JN12", "UD2"), sql=f"""
+WITH {V.DUCK_STEPS}
+SELECT t.task_id, t.difficulty, t.max_steps, t.grader, COUNT(DISTINCT s.session_id) AS sessions, COUNT(*) AS events
+FROM steps s JOIN tasks t ON t.task_id = s.task_id
+GROUP BY t.task_id, t.difficulty, t.max_steps, t.grader""")
+def task_catalog_usage(spark, sf_dir):
+    """The task catalog (broadcast dimension) joined to the sessions that use each task."""
+    from queryforge.operators.grading import with_task
+    st = V.steps(spark, sf_dir).select("task_id", "session_id")
+    j = with_task(st, task_catalog(spark), cols=["difficulty", "max_steps", "grader"])
+    return j.groupBy("task_id", "difficulty", "max_steps", "grader").agg(
+        F.count_distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("events"))

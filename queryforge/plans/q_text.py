@@ -188,3 +188,12 @@ def step_prompts(spark, sf_dir):
         F.col("step") + 1, "description", "broken_query", "current_query", "query_success", "error_message",
         "error_details", "hint_shown", "current_score", "steps_remaining", "expected_output_description"
     ).alias("prompt"))
+
+
+@register("jittered_rewards", ("SF19", "SF20", "RW12"))
+def jittered_rewards(spark, sf_dir):
+    """Keyword reward with seeded +-0.01 jitter and a fresh session id per completion (random: rows only)."""
+    from queryforge.functions import scalar as S
+    t = V.sql_text(spark, sf_dir)
+    return t.select("text_id", keyword_reward("text", jitter_seed=42).alias("reward"),
+                    S.session_uuid().alias("session_id"))
