@@ -78,7 +78,7 @@ def table_ref_count(sql, tables) -> Column:
     """
     arr = F.array(*[F.lit(t) for t in tables]) if isinstance(tables, (list, tuple)) else _c(tables)
     u = F.upper(_c(sql))
-    return F.size(F.filter(arr, lambda t: u.contains(F.upper(t)))).cast("int")
+    return F.size(F.filter(arr, lambda t: u.contains(F.upper(t)))).cast("long")
 
 
 def table_ref_fraction(sql, tables) -> Column:

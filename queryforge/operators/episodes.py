@@ -44,6 +44,7 @@ def fold_episodes(steps: DataFrame, tasks: DataFrame, keys: Sequence[str] = ("se
     t = F.broadcast(tasks.select(*TASK_COLS))
     s = steps.withColumnRenamed("success", "query_success").join(t, "task_id")
     s = first_k(s, keys, list(order), LONGEST_EPISODE, name="step").where(F.col("step") <= F.col("max_steps"))
+    s = s.withColumn("step", F.col("step").cast("long"))
 
     w = Window.partitionBy(*keys).orderBy("step")
     before = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -323,7 +323,7 @@ def stream_episode_fold(spark, sf_dir):
 @register("first_actions_json", ("SF18", "SF25", "WN10"), sql=f"""
 {_FOLD}
 SELECT session_id,
-       to_json(list_slice(list({{'step': step, 'action_type': action_type}} ORDER BY step), 1, 3)) AS first_actions
+       CAST(to_json(list_slice(list({{'step': step, 'action_type': action_type}} ORDER BY step), 1, 3)) AS VARCHAR) AS first_actions
 FROM f GROUP BY session_id""")
 def first_actions_json(spark, sf_dir):
     """JSON text of each episode's first three actions (ordered list, sliced, serialised)."""

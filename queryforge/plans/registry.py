@@ -14,6 +14,28 @@ ORACLE: dict[str, str] = {}
 COVERS: dict[str, tuple[str, ...]] = {}
 
 
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's COUNT_IF is HUGEINT; wrap each call as BIGINT so both engines report bigint."""
+    out, i, key = [], 0, "COUNT_IF("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j])
+        out.append("CAST(" + sql[j:k + 1] + " AS BIGINT)")
+        i = k + 1
+
+
 def register(name: str, covers: tuple[str, ...] = (), sql: str | None = None):
     """Decorator: add a query (and its oracle SQL, when given) under ``name``."""
     def deco(fn: QueryFn) -> QueryFn:
@@ -22,6 +44,6 @@ def register(name: str, covers: tuple[str, ...] = (), sql: str | None = None):
         QUERIES[name] = fn
         COVERS[name] = tuple(covers)
         if sql is not None:
-            ORACLE[name] = sql.strip()
+            ORACLE[name] = _bigint_count_if(sql.strip())
         return fn
     return deco

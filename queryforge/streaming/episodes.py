@@ -52,7 +52,7 @@ OUT_SCHEMA = T.StructType([
     T.StructField("error_message", T.StringType()),
     T.StructField("tables", T.ArrayType(T.StringType())),
     T.StructField("max_steps", T.IntegerType()),
-    T.StructField("step", T.IntegerType()),
+    T.StructField("step", T.LongType()),
     T.StructField("prev_best", T.DoubleType()),
     T.StructField("grade_used", T.DoubleType()),
     T.StructField("current_score", T.DoubleType()),
@@ -61,7 +61,7 @@ OUT_SCHEMA = T.StructType([
     T.StructField("error_details", T.StringType()),
     T.StructField("current_query", T.StringType()),
     T.StructField("hint_shown", T.StringType()),
-    T.StructField("steps_remaining", T.IntegerType()),
+    T.StructField("steps_remaining", T.LongType()),
 ])
 
 _IN_COLS = ["session_id", "ts", "event_id", "task_id", "action_type", "query", "success", "error_message", "grade",
