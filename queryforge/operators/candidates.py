@@ -22,6 +22,7 @@ from queryforge.functions import text as X
 from queryforge.operators.grading import grade_positional
 from queryforge.operators.reward import with_step_reward
 from queryforge.operators.scan import ordinal
+from queryforge.session import checkpoint_dir
 
 MAX_CANDIDATES = 10_000
 RUN_SCHEMA = T.StructType([
@@ -51,6 +52,7 @@ def run_candidates(spark: SparkSession, candidates: DataFrame, value_cols: Seque
     order) and ``value_cols`` matched by normalised name; a result whose name
     set differs contributes no rows to grade (it can only score the empty case).
     """
+    checkpoint_dir(spark)
     n = candidates.count()
     if n > MAX_CANDIDATES:
         raise ValueError(f"{n} candidates: execute them in batches of at most {MAX_CANDIDATES}")
@@ -68,15 +70,17 @@ def run_candidates(spark: SparkSession, candidates: DataFrame, value_cols: Seque
             names = [c.strip().lower() for c in df.columns]
             if len(set(names)) != len(names):
                 raise ValueError("DUPLICATE_OUTPUT_NAMES: result has repeated column names")
-            cnt = df.count()
+            # run the query once: its rows, tagged with ids that follow the query's
+            # own order, are checkpointed to the shared folder (reliable, lineage cut)
+            done_df = df.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+            cnt = done_df.count()
             ms = round((time.perf_counter() - t0) * 1000, 2)
             outcomes.append((cid, True, cnt, None, ms))
             if sorted(names) == sorted(want):
                 by = {c.strip().lower(): c for c in df.columns}
-                keyed = df.select(*[F.col(f"`{by[w]}`").alias(v) for w, v in zip(want, value_cols)])
-                # monotonically increasing ids follow the query's row order; the
-                # skew-safe ordinal turns them into dense positions
-                keyed = keyed.withColumn("_mid", F.monotonically_increasing_id()).withColumn(id_col, F.lit(cid))
+                keyed = done_df.select(*[F.col(f"`{by[w]}`").alias(v) for w, v in zip(want, value_cols)],
+                                       "_mid").withColumn(id_col, F.lit(cid))
+                # the skew-safe ordinal turns the ids into dense 1-based positions
                 frames.append(ordinal(keyed, [id_col], ["_mid"], "pos").drop("_mid"))
         except Exception as e:  # noqa: BLE001 - every failure becomes an outcome row
             ms = round((time.perf_counter() - t0) * 1000, 2)

@@ -105,70 +105,74 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs
 
     d = df.withColumn("_chunk", chunk if chunk is not None else default_chunk(df, order[0]))
 
+    # Local running values: one shuffle on (key, chunk) and one ordered window pass.
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = d.withColumn("_lrn", F.row_number().over(w))
-    summ_aggs, pre_cols = [], []
+    cols = {"_lrn": F.row_number().over(w)}
+    aggs = []
     ordkey = F.struct(*order)
     for name, kind, col in specs:
         c = F.lit(1) if col is None else F.col(col)
-        tmp = f"_l_{name}"
         if kind == "count":
-            local = local.withColumn(tmp, F.count(c).over(wr))
-            summ_aggs.append(F.count(c).alias(f"_s_{name}"))
+            cols[f"_l_{name}"] = F.count(c).over(wr)
+            aggs.append(F.count(c).alias(f"_t_{name}"))
         elif kind == "sum":
-            local = local.withColumn(tmp, F.sum(c).over(wr))
-            summ_aggs.append(F.sum(c).alias(f"_s_{name}"))
+            cols[f"_l_{name}"] = F.sum(c).over(wr)
+            aggs.append(F.sum(c).alias(f"_t_{name}"))
         elif kind in ("max", "min"):
             fn = F.max if kind == "max" else F.min
-            local = local.withColumn(tmp, fn(c).over(wr))
-            summ_aggs.append(fn(c).alias(f"_s_{name}"))
+            cols[f"_l_{name}"] = fn(c).over(wr)
+            aggs.append(fn(c).alias(f"_t_{name}"))
         elif kind == "last":
-            local = local.withColumn(tmp, F.last(c, ignorenulls=True).over(wr))
-            summ_aggs.append(F.max_by(c, F.when(c.isNotNull(), ordkey)).alias(f"_s_{name}"))
+            cols[f"_l_{name}"] = F.last(c, ignorenulls=True).over(wr)
+            aggs.append(F.max_by(c, F.when(c.isNotNull(), ordkey)).alias(f"_t_{name}"))
         elif kind == "lag":
-            local = local.withColumn(tmp, F.lag(c, 1).over(w))
-            summ_aggs.append(F.max_by(c, ordkey).alias(f"_s_{name}"))
+            cols[f"_l_{name}"] = F.lag(c, 1).over(w)
+            aggs.append(F.max_by(c, ordkey).alias(f"_t_{name}"))
         else:
             raise ValueError(kind)
-        pre_cols.append((name, kind))
+    local = d.withColumns(cols)
+    kinds = [(name, kind) for name, kind, _ in specs]
 
-    summary = d.groupBy(*keys, "_chunk").agg(*summ_aggs)
+    # Chunk totals: a partial (map-side) aggregate per (key, chunk), so only one
+    # small row per chunk and map task is shuffled; then an exclusive prefix over
+    # the chunks of each key (at most keys + chunks rows).
+    summary = d.groupBy(*keys, "_chunk").agg(*aggs)
     pw = Window.partitionBy(*keys).orderBy("_chunk")
     pwr = pw.rowsBetween(Window.unboundedPreceding, -1)
-    prefix = summary
-    for name, kind in pre_cols:
-        s = F.col(f"_s_{name}")
+    pcols = {}
+    for name, kind in kinds:
+        t = F.col(f"_t_{name}")
         if kind in ("count", "sum"):
-            e = F.sum(s).over(pwr)
+            pcols[f"_p_{name}"] = F.sum(t).over(pwr)
         elif kind == "max":
-            e = F.max(s).over(pwr)
+            pcols[f"_p_{name}"] = F.max(t).over(pwr)
         elif kind == "min":
-            e = F.min(s).over(pwr)
+            pcols[f"_p_{name}"] = F.min(t).over(pwr)
         elif kind == "last":
-            e = F.last(s, ignorenulls=True).over(pwr)
+            pcols[f"_p_{name}"] = F.last(t, ignorenulls=True).over(pwr)
         else:  # lag: last row of the nearest earlier chunk holding this key
-            e = F.lag(s, 1).over(pw)
-        prefix = prefix.withColumn(f"_p_{name}", e)
-    prefix = prefix.select(*keys, "_chunk", *[f"_p_{n_}" for n_, _ in pre_cols])
+            pcols[f"_p_{name}"] = F.lag(t, 1).over(pw)
+    prefix = summary.withColumns(pcols).select(*keys, "_chunk", *pcols)
 
     joined = local.join(prefix, on=[*keys, "_chunk"], how="left")
-    for name, kind in pre_cols:
+    out = {}
+    for name, kind in kinds:
         lc, pc = F.col(f"_l_{name}"), F.col(f"_p_{name}")
         if kind == "count":
-            e = lc + F.coalesce(pc, F.lit(0))
+            out[name] = lc + F.coalesce(pc, F.lit(0))
         elif kind == "sum":
-            e = F.when(lc.isNull(), pc).when(pc.isNull(), lc).otherwise(lc + pc)
+            out[name] = F.when(lc.isNull(), pc).when(pc.isNull(), lc).otherwise(lc + pc)
         elif kind == "max":
-            e = F.greatest(lc, pc)
+            out[name] = F.greatest(lc, pc)
         elif kind == "min":
-            e = F.least(lc, pc)
+            out[name] = F.least(lc, pc)
         elif kind == "last":
-            e = F.coalesce(lc, pc)
+            out[name] = F.coalesce(lc, pc)
         else:
-            e = F.when(F.col("_lrn") == 1, pc).otherwise(lc)
-        joined = joined.withColumn(name, e)
-    drop = ["_chunk", "_lrn"] + [f"_l_{n_}" for n_, _ in pre_cols] + [f"_p_{n_}" for n_, _ in pre_cols]
+            out[name] = F.when(F.col("_lrn") == 1, pc).otherwise(lc)
+    joined = joined.withColumns(out)
+    drop = ["_chunk", "_lrn"] + [f"_{x}_{n_}" for n_, _ in kinds for x in ("l", "t", "p")]
     return joined.drop(*drop)
 
 
