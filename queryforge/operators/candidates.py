@@ -23,6 +23,7 @@ from queryforge.operators.grading import grade_positional
 from queryforge.operators.reward import with_step_reward
 from queryforge.operators.scan import ordinal
 from queryforge.session import checkpoint_dir
+from queryforge.sources.tables import local_frame
 
 MAX_CANDIDATES = 10_000
 RUN_SCHEMA = T.StructType([
@@ -85,7 +86,7 @@ def run_candidates(spark: SparkSession, candidates: DataFrame, value_cols: Seque
         except Exception as e:  # noqa: BLE001 - every failure becomes an outcome row
             ms = round((time.perf_counter() - t0) * 1000, 2)
             outcomes.append((cid, False, None, _error_text(e), ms))
-    out = spark.createDataFrame([(int(a), bool(b), c, d, float(e)) for a, b, c, d, e in outcomes], RUN_SCHEMA)
+    out = local_frame(spark, [(int(a), bool(b), c, d, float(e)) for a, b, c, d, e in outcomes], RUN_SCHEMA)
     rows = None
     for f in frames:
         rows = f if rows is None else rows.unionByName(f, allowMissingColumns=True)
@@ -108,7 +109,7 @@ def batch_reward(spark: SparkSession, completions: DataFrame, expected: DataFram
     outcomes, rows = run_candidates(spark, runnable, value_cols)
     exp = expected.withColumn("task_key", F.lit(0))
     if rows is None:
-        rows = spark.createDataFrame([], exp.drop("task_key").schema).withColumn("candidate_id", F.lit(0).cast("long"))
+        rows = local_frame(spark, [], exp.drop("task_key").schema).withColumn("candidate_id", F.lit(0).cast("long"))
     act = rows.withColumn("task_key", F.lit(0))
     idx = outcomes.where("success").select("candidate_id", F.lit(0).alias("task_key"))
     g = grade_positional(act, exp, "task_key", ["candidate_id"], list(value_cols), attempt_index=idx)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from queryforge.functions.text import after_first
 from queryforge.operators.candidates import batch_reward, run_candidates
-from queryforge.sources.tables import load_tables
+from queryforge.sources.tables import load_tables, local_frame
 
 # --- fixed values: candidate completions for the top-customers task on the driver tables ---
 _BODY = ("SELECT c.c_name AS customer_name, "
@@ -29,12 +30,16 @@ VALUE_COLS = ["customer_name", "total_value"]
 TASK_TABLES = ["customer", "lineitem", "orders"]
 
 
+def _schema(id_name: str, text_name: str) -> T.StructType:
+    return T.StructType([T.StructField(id_name, T.LongType()), T.StructField(text_name, T.StringType())])
+
+
 def _register(spark, sf_dir):
     load_tables(spark, sf_dir, TASK_TABLES, register=True)
 
 
 def _expected(spark):
-    cand = spark.createDataFrame([(0, CORRECT)], "candidate_id long, sql string")
+    cand = local_frame(spark, [(0, CORRECT)], _schema("candidate_id", "sql"))
     _, rows = run_candidates(spark, cand, VALUE_COLS)
     return rows.drop("candidate_id")
 
@@ -46,7 +51,7 @@ from queryforge.plans.registry import register  # noqa: E402
 def candidate_outcomes(spark, sf_dir):
     """Each candidate text executed as a Spark job: success, row count and error text."""
     _register(spark, sf_dir)
-    comp = spark.createDataFrame(COMPLETIONS, "candidate_id long, text string")
+    comp = local_frame(spark, COMPLETIONS, _schema("candidate_id", "text"))
     cand = comp.select("candidate_id", after_first("text").alias("sql"))
     out, _ = run_candidates(spark, cand, VALUE_COLS)
     return out.drop("execution_time_ms")
@@ -56,6 +61,6 @@ def candidate_outcomes(spark, sf_dir):
 def candidate_rewards(spark, sf_dir):
     """Completions -> extracted SQL -> executed -> graded against the computed golden rows -> step reward."""
     _register(spark, sf_dir)
-    comp = spark.createDataFrame(COMPLETIONS, "completion_id long, text string")
+    comp = local_frame(spark, COMPLETIONS, _schema("completion_id", "text"))
     return batch_reward(spark, comp, _expected(spark), VALUE_COLS, TASK_TABLES, max_steps=10).orderBy(
         F.col("completion_id"))

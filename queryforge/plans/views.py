@@ -255,9 +255,13 @@ def order_attempts(spark: SparkSession, sf_dir: str, chunked: bool = True) -> Da
 
 def order_attempt_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column names reported by each attempt (per attempt number)."""
+    from pyspark.sql import types as T_
+    from queryforge.sources.tables import local_frame
     rows = [(1, ["o_orderkey", "status", "amount"]), (2, ["o_orderkey", "status", "amount"]),
             (3, ["o_orderkey", "status", "amount"]), (4, ["O_ORDERKEY", "Status ", "AMOUNT"])]
-    return spark.createDataFrame(rows, "attempt int, names array<string>")
+    schema = T_.StructType([T_.StructField("attempt", T_.IntegerType()),
+                            T_.StructField("names", T_.ArrayType(T_.StringType()))])
+    return local_frame(spark, rows, schema)
 
 
 DUCK_ORDER_ATTEMPTS = """

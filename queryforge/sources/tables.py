@@ -16,6 +16,18 @@ DRIVER_TABLES = (
 )
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small table built from driver-side literals (bounded metadata: names, schemas, outcomes).
+
+    ``inline`` over an array of literal structs is folded into a local relation,
+    so no Python worker or RDD is involved when a query reads it.
+    """
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table; the scan stays lazy so Catalyst can prune and push down."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -61,7 +73,7 @@ def schema_profile(spark: SparkSession, tables: Mapping[str, DataFrame],
         T.StructField("nullable", T.StringType(), False),
         T.StructField("primary_key", T.StringType(), False),
     ])
-    return spark.createDataFrame(rows, schema)
+    return local_frame(spark, rows, schema)
 
 
 def sample_rows(df: DataFrame | None, n: int = 3, order_by: list[str | Column] | None = None) -> DataFrame | None:
