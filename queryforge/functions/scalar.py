@@ -125,6 +125,25 @@ def fixed(x, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", _c(x).cast("double"))
 
 
+def _units_sql(v: str, digits: int) -> str:
+    """SQL text: round-half-even of |v| * 10^d on the exact binary value (see ``py_fixed``)."""
+    scale = f"{float(10 ** digits)!r}D"
+    a = f"abs(CAST({v} AS DOUBLE))"
+    p = f"({a} * {scale})"
+    c = f"({a} * 134217729.0D)"
+    hi = f"({c} - ({c} - {a}))"
+    lo = f"({a} - {hi})"
+    err = f"(({hi} * {scale} - {p}) + {lo} * {scale})"
+    half = f"(({p} - floor({p})) = 0.5D)"
+    return (f"(CASE WHEN {half} AND {err} > 0 THEN floor({p}) + 1 WHEN {half} AND {err} < 0 THEN floor({p}) "
+            f"ELSE rint({p}) END)")
+
+
+def _sql_ref(x) -> str | None:
+    """Quoted column reference when ``x`` names a column, else None."""
+    return f"`{x}`" if isinstance(x, str) else None
+
+
 def py_fixed(x, digits: int) -> Column:
     """SF17 with Python's rounding: ``f"{x:.Nf}"`` rounds the exact binary value.
 
@@ -132,9 +151,24 @@ def py_fixed(x, digits: int) -> Column:
     Python rounds the true binary value (0.2485 is 0.24849999.. -> 0.248).  The
     scaled value ``p = x * 10^N`` is formed in double; when ``p`` lands exactly
     on a half, the sign of its exact rounding error (Dekker's two-product,
-    plain double arithmetic) decides the side; true ties go to even.
+    plain double arithmetic) decides the side; true ties go to even.  Built as
+    one SQL expression (one JVM call) when ``x`` names a column.
     """
-    v = _c(x).cast("double")
+    ref = _sql_ref(x)
+    if ref is None:
+        return _py_fixed_cols(_c(x), digits)
+    units = f"CAST({_units_sql(ref, digits)} AS BIGINT)"
+    sign = f"CASE WHEN CAST({ref} AS DOUBLE) < 0 AND {units} > 0 THEN '-' ELSE '' END"
+    if digits == 0:
+        body = f"CAST({units} AS STRING)"
+    else:
+        m = 10 ** digits
+        body = f"format_string('%d.%0{digits}d', CAST({units} DIV {m} AS BIGINT), CAST({units} % {m} AS BIGINT))"
+    return F.expr(f"concat({sign}, {body})")
+
+
+def _py_fixed_cols(v: Column, digits: int) -> Column:
+    v = v.cast("double")
     a = F.abs(v)
     scale = float(10 ** digits)
     p = a * F.lit(scale)
@@ -156,6 +190,10 @@ def py_fixed(x, digits: int) -> Column:
 
 def py_round(x, digits: int) -> Column:
     """Python's ``round(x, N)`` on floats (exact binary value, ties to even), as double."""
+    ref = _sql_ref(x)
+    if ref is not None:
+        return F.expr(f"CASE WHEN {ref} IS NULL THEN CAST(NULL AS DOUBLE) ELSE signum(CAST({ref} AS DOUBLE)) * "
+                      f"({_units_sql(ref, digits)} / {float(10 ** digits)!r}D) END")
     v = _c(x).cast("double")
     a = F.abs(v)
     scale = float(10 ** digits)

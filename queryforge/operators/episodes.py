@@ -44,7 +44,6 @@ def fold_episodes(steps: DataFrame, tasks: DataFrame, keys: Sequence[str] = ("se
     t = F.broadcast(tasks.select(*TASK_COLS))
     s = steps.withColumnRenamed("success", "query_success").join(t, "task_id")
     s = first_k(s, keys, list(order), LONGEST_EPISODE, name="step").where(F.col("step") <= F.col("max_steps"))
-    s = s.withColumn("step", F.col("step").cast("long"))
 
     w = Window.partitionBy(*keys).orderBy("step")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -54,30 +53,34 @@ def fold_episodes(steps: DataFrame, tasks: DataFrame, keys: Sequence[str] = ("se
     a = F.col("action_type")
     submit = a == "submit_query"
     submit_grade = F.when(submit, F.col("grade"))
-    s = s.withColumn("prev_best", F.greatest(F.lit(S.MIN_SCORE),
-                                             F.coalesce(F.max(submit_grade).over(before), F.lit(S.MIN_SCORE))))
-    s = s.withColumn("grade_used", F.when(submit, F.col("grade")).otherwise(F.col("prev_best")))
-    s = s.withColumn("current_score", F.greatest(F.col("prev_best"), F.coalesce(submit_grade, F.lit(S.MIN_SCORE))))
-    s = with_step_reward(s, success="query_success")
+    # columns are added in dependency levels (few plan rewrites, one shared sort)
+    s = s.withColumns({
+        "step": F.col("step").cast("long"),
+        "prev_best": F.greatest(F.lit(S.MIN_SCORE), F.coalesce(F.max(submit_grade).over(before), F.lit(S.MIN_SCORE))),
+        # WN9: query carried forward (submitted text, or the broken query after a reset)
+        "current_query": F.last(F.when(submit, F.col("query")).when(a == "reset_query", F.col("broken_query")),
+                                ignorenulls=True).over(upto),
+        # WN6: error of the previous action (null when it had none)
+        "error_details": F.when(a == "inspect_error", F.when(F.col("step") == 1, F.lit(NO_QUERY_YET))
+                                .otherwise(F.lag("error_message", 1).over(w))),
+    })
+    s = s.withColumns({
+        "grade_used": F.when(submit, F.col("grade")).otherwise(F.col("prev_best")),
+        "current_score": F.greatest(F.col("prev_best"), F.coalesce(submit_grade, F.lit(S.MIN_SCORE))),
+        # EP3 hint unlock and PRJ10 remaining budget
+        "hint_shown": F.when(F.col("step") >= F.col("hint_step"), F.col("hint")),
+        "steps_remaining": F.greatest(F.lit(0), F.col("max_steps") - F.col("step")),
+    })
     reached = F.col("grade_used") >= F.lit(SUCCESS_GRADE)
     last = F.col("step") >= F.col("max_steps")
-    s = s.withColumn("is_done", reached | last)
-    s = s.withColumn("success", reached | (last & (F.col("current_score") >= F.lit(LAST_STEP_SUCCESS))))
+    s = s.withColumns({"is_done": reached | last,
+                       "success": reached | (last & (F.col("current_score") >= F.lit(LAST_STEP_SUCCESS)))})
     # WN5: actions after the first finishing step are refused
     s = s.withColumn("_first_done", F.min(F.when(F.col("is_done"), F.col("step"))).over(whole))
     s = s.where(F.col("_first_done").isNull() | (F.col("step") <= F.col("_first_done")))
-    # WN6: error of the previous action (null when it had none)
-    s = s.withColumn("error_details", F.when(a == "inspect_error", F.when(
-        F.col("step") == 1, F.lit(NO_QUERY_YET)).otherwise(F.lag("error_message", 1).over(w))))
-    # WN9: query carried forward (submitted text, or the broken query after a reset)
-    s = s.withColumn("current_query", F.last(
-        F.when(submit, F.col("query")).when(a == "reset_query", F.col("broken_query")), ignorenulls=True).over(upto))
-    # EP3: hint unlock
-    s = s.withColumn("hint_shown", F.when(F.col("step") >= F.col("hint_step"), F.col("hint")))
+    s = with_step_reward(s, success="query_success")
     # WN10: growing reward list (bounded by max_steps)
     s = s.withColumn("reward_history", F.collect_list("reward").over(upto))
-    # PRJ10: remaining budget
-    s = s.withColumn("steps_remaining", F.greatest(F.lit(0), F.col("max_steps") - F.col("step")))
     return s.drop("_first_done")
 
 

@@ -33,7 +33,7 @@ def _c(x) -> Column:
 
 def reward_columns(action="action_type", grade="grade_used", success="success", error="error_message",
                    query="query", tables="tables", step="step", max_steps="max_steps",
-                   prev_best="prev_best") -> dict[str, Column]:
+                   prev_best="prev_best", totals: bool = True) -> dict[str, Column]:
     """RW1-RW10 as named Columns.
 
     ``grade`` is the grade entering the rules: the submit's own grade, or the
@@ -58,6 +58,10 @@ def reward_columns(action="action_type", grade="grade_used", success="success",
     urgency = F.when(((_c(max_steps) - _c(step)) <= URGENCY_STEPS) & (g < F.lit(URGENCY_GRADE)),
                      F.lit(URGENCY_PENALTY)).otherwise(zero)
     penalty = base_pen + urgency
+    parts = {"correctness": correctness, "efficiency": efficiency, "syntax_progress": syntax,
+             "schema_bonus": schema, "penalty": penalty}
+    if not totals:
+        return parts
     total = S.clamp_round(correctness + efficiency + syntax + schema - penalty, digits=S.REWARD_DIGITS)
     breakdown = F.format_string(
         "correctness=%s + efficiency=%s + syntax=%s + schema=%s + penalty=%s = %s",
@@ -73,16 +77,16 @@ def with_step_reward(df: DataFrame, **cols) -> DataFrame:
     Components are projected first and the total and its text read them by
     name, so the (non-trivial) component expressions are evaluated once.
     """
-    rc = reward_columns(**cols)
-    parts = ["correctness", "efficiency", "syntax_progress", "schema_bonus", "penalty"]
-    out = df.withColumns({k: rc[k] for k in parts})
+    rc = reward_columns(**cols, totals=False)
+    parts = list(rc)
+    out = df.withColumns(rc)
     c = {k: F.col(k) for k in parts}
     total = S.clamp_round(c["correctness"] + c["efficiency"] + c["syntax_progress"] + c["schema_bonus"]
                           - c["penalty"], digits=S.REWARD_DIGITS)
     out = out.withColumn("reward", total)
     return out.withColumn("breakdown", F.format_string(
         "correctness=%s + efficiency=%s + syntax=%s + schema=%s + penalty=%s = %s",
-        *[S.py_fixed(c[k], 3) for k in parts], S.py_fixed(F.col("reward"), 4)))
+        *[S.py_fixed(k, 3) for k in parts], S.py_fixed("reward", 4)))
 
 
 def review_rejected_reward(approved) -> Column:

@@ -16,21 +16,49 @@ DRIVER_TABLES = (
 )
 
 
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(_sql_literal(x) for x in v) + ")"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """A small table built from driver-side literals (bounded metadata: names, schemas, outcomes).
 
-    ``inline`` over an array of literal structs is folded into a local relation,
-    so no Python worker or RDD is involved when a query reads it.
+    Rendered as an inline ``VALUES`` table, which the analyzer turns into a
+    local relation: no Python worker or RDD is involved when a query reads it,
+    and its size is known to the planner.
     """
+    cast = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]
     if not rows:
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
+    names = ", ".join(f"`{f.name}`" for f in schema.fields)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})").select(*cast)
+
+
+_TABLE_CACHE: dict[tuple[int, str], DataFrame] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One parquet table; the scan stays lazy so Catalyst can prune and push down."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """One parquet table; the scan stays lazy so Catalyst can prune and push down.
+
+    The DataFrame (not its data) is memoised per session and path, so the file
+    listing and footer read happen once however many queries use the table.
+    """
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark), path)
+    df = _TABLE_CACHE.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _TABLE_CACHE[key] = df
+    return df
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names: Iterable[str] | None = None,

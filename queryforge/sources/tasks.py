@@ -141,12 +141,19 @@ def task_rows() -> list[tuple]:
 def task_catalog(spark: SparkSession) -> DataFrame:
     """SRC4: the task dimension (four rows), meant to be broadcast.
 
-    Built from literals (``inline`` of an array of structs), so the optimizer
-    turns it into a local relation: no Python worker and no RDD behind it.
+    Built from literals (an inline VALUES table), so the optimizer sees a local
+    relation of known size: no Python worker and no RDD behind it.
     """
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, CATALOG_SCHEMA.fields)])
-               for row in task_rows()]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    from queryforge.sources.tables import local_frame
+    key = id(spark)
+    df = _CATALOG_CACHE.get(key)
+    if df is None:
+        df = local_frame(spark, task_rows(), CATALOG_SCHEMA)
+        _CATALOG_CACHE[key] = df
+    return df
+
+
+_CATALOG_CACHE: dict[int, DataFrame] = {}
 
 
 def tasks_for_keys(spark: SparkSession) -> DataFrame:
