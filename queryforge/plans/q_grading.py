@@ -16,8 +16,7 @@ ORDER_COLS = ["o_orderkey", "status", "amount"]
 
 # ------------------------------------------------------------- GR1-GR3 ---
 def positional_scores(spark, sf_dir):
-    exp = V.order_expected(spark, sf_dir)
-    act = V.order_attempts(spark, sf_dir)
+    exp, act = V.order_result_sets(spark, sf_dir)
     return G.grade_positional(act, exp, "task_key", ["attempt"], ORDER_COLS,
                               actual_names=V.order_attempt_names(spark, sf_dir), name_key=["attempt"])
 

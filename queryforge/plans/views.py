@@ -223,34 +223,42 @@ def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ attempts ---
-def order_expected(spark: SparkSession, sf_dir: str, chunked: bool = True) -> DataFrame:
-    """Expected rows per task (= customer): its orders by date, with positions."""
+def _orders_by_date(spark: SparkSession, sf_dir: str, chunked: bool = True) -> DataFrame:
     o = T(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("task_key"), "o_orderkey", "o_orderdate",
         F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("amount"))
-    return ordinal(o, ["task_key"], ["o_orderdate", "o_orderkey"], "pos", chunked=chunked).drop("o_orderdate")
+    return o, ordinal(o, ["task_key"], ["o_orderdate", "o_orderkey"], "pos", chunked=chunked).drop("o_orderdate")
 
 
-def order_attempts(spark: SparkSession, sf_dir: str, chunked: bool = True) -> DataFrame:
-    """Four submitted result sets per customer task, in long form with positions.
+def order_expected(spark: SparkSession, sf_dir: str, chunked: bool = True) -> DataFrame:
+    """Expected rows per task (= customer): its orders by date, with positions."""
+    return _orders_by_date(spark, sf_dir, chunked)[1]
+
+
+def order_result_sets(spark: SparkSession, sf_dir: str, chunked: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(expected, attempts): four submitted result sets per customer task, in long form.
 
     1 exact; 2 drops orders before 1996 (row-count mismatch); 3 orders by price
     instead of date (positional mismatches); 4 exact rows with padded status
     text and column names in upper case (normalisation and name penalty).
+    The date-ordered positions are computed once and shared by the expected
+    rows and attempts 1 and 4.
     """
-    o = T(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("task_key"), "o_orderkey", "o_orderdate",
-        F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("amount"))
+    o, by_date = _orders_by_date(spark, sf_dir, chunked)
     neg_price = (-F.col("amount")).alias("neg_price")
-    a1 = ordinal(o, ["task_key"], ["o_orderdate", "o_orderkey"], "pos", chunked=chunked) \
-        .drop("o_orderdate").withColumn("attempt", F.lit(1))
+    a1 = by_date.withColumn("attempt", F.lit(1))
     a2 = ordinal(o.where(F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp")), ["task_key"],
                  ["o_orderdate", "o_orderkey"], "pos", chunked=chunked).drop("o_orderdate").withColumn("attempt", F.lit(2))
-    a3 = ordinal(o.select("*", neg_price), ["task_key"], ["neg_price", "o_orderkey"], "pos", chunked=chunked) \
-        .drop("o_orderdate", "neg_price").withColumn("attempt", F.lit(3))
-    a4 = a1.withColumn("attempt", F.lit(4)).withColumn("status", F.concat(F.lit(" "), "status", F.lit(" ")))
+    a3 = ordinal(o.select("*", neg_price), ["task_key"], ["neg_price", "o_orderkey"], "pos", chunked=chunked,
+                 ).drop("o_orderdate", "neg_price").withColumn("attempt", F.lit(3))
+    a4 = by_date.withColumn("attempt", F.lit(4)).withColumn("status", F.concat(F.lit(" "), "status", F.lit(" ")))
     cols = ["task_key", "attempt", "pos", "o_orderkey", "status", "amount"]
-    return a1.select(cols).unionByName(a2.select(cols)).unionByName(a3.select(cols)).unionByName(a4.select(cols))
+    attempts = a1.select(cols).unionByName(a2.select(cols)).unionByName(a3.select(cols)).unionByName(a4.select(cols))
+    return by_date, attempts
+
+
+def order_attempts(spark: SparkSession, sf_dir: str, chunked: bool = True) -> DataFrame:
+    return order_result_sets(spark, sf_dir, chunked)[1]
 
 
 def order_attempt_names(spark: SparkSession, sf_dir: str) -> DataFrame:
