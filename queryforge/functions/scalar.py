@@ -61,7 +61,9 @@ def within_days(ts, start, days: int) -> Column:
 def year_range(d, year: int) -> Column:
     """PRJ4 in push-down form: ``year(d) = y`` as a half-open range on the raw column."""
     c = _c(d)
-    return (c >= F.lit(f"{year}-01-01").cast("timestamp")) & (c < F.lit(f"{year + 1}-01-01").cast("timestamp"))
+    # string bounds are coerced to the column's own type (timestamp, timestamp_ntz
+    # or date), so the comparison stays on the raw column and is pushed to the scan
+    return (c >= F.lit(f"{year}-01-01")) & (c < F.lit(f"{year + 1}-01-01"))
 
 
 # math / conditional ------------------------------------------------------

@@ -142,8 +142,8 @@ def cohort_activation(spark, sf_dir):
     count; the window test is exact on microseconds and bounded below (F12).
     """
     sg = V.signups(spark, sf_dir).where(
-        (F.col("signup_ts") >= F.lit(V.SIGNUP_FROM).cast("timestamp"))
-        & (F.col("signup_ts") < F.lit(V.SIGNUP_TO).cast("timestamp")))
+        (F.col("signup_ts") >= F.lit(V.SIGNUP_FROM))
+        & (F.col("signup_ts") < F.lit(V.SIGNUP_TO)))
     p = V.purchases(spark, sf_dir)
     stats = (p.join(sg, "user_id")
              .groupBy("user_id", "signup_ts")

@@ -195,8 +195,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     o = T(spark, sf_dir, "orders")
     d = F.col("o_orderdate")
-    phase = F.when(d < F.lit("1996-01-01").cast("timestamp"), F.lit("before")).when(
-        d >= F.lit("1997-01-01").cast("timestamp"), F.lit("after"))
+    phase = F.when(d < F.lit("1996-01-01"), F.lit("before")).when(
+        d >= F.lit("1997-01-01"), F.lit("after"))
     reward = F.least(F.lit(0.999).cast("decimal(4,3)"),
                      F.col("o_totalprice").cast("decimal(18,2)") * F.lit(0.000002).cast("decimal(7,6)"))
     return (o.select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderpriority").alias("task_id"),
@@ -247,7 +247,7 @@ def order_result_sets(spark: SparkSession, sf_dir: str, chunked: bool = True) ->
     o, by_date = _orders_by_date(spark, sf_dir, chunked)
     neg_price = (-F.col("amount")).alias("neg_price")
     a1 = by_date.withColumn("attempt", F.lit(1))
-    a2 = ordinal(o.where(F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp")), ["task_key"],
+    a2 = ordinal(o.where(F.col("o_orderdate") >= F.lit("1996-01-01")), ["task_key"],
                  ["o_orderdate", "o_orderkey"], "pos", chunked=chunked).drop("o_orderdate").withColumn("attempt", F.lit(2))
     a3 = ordinal(o.select("*", neg_price), ["task_key"], ["neg_price", "o_orderkey"], "pos", chunked=chunked,
                  ).drop("o_orderdate", "neg_price").withColumn("attempt", F.lit(3))
