@@ -39,30 +39,28 @@ def write_metrics(metrics: DataFrame, path: str, extra: DataFrame | None = None)
         .coalesce(1).write.mode("overwrite").text(path)
 
 
-def series_object(series: dict[str, DataFrame], step: str = "step", value: str = "value") -> DataFrame:
-    """SRC7 body: one JSON object of named arrays of [step, value] pairs, ordered by step."""
-    parts = []
+def series_rows(series: dict[str, DataFrame], step: str = "step", value: str = "value") -> DataFrame:
+    """SRC7 body: every named series as rows (series, step, value)."""
+    out = None
     for name, df in series.items():
         cols = df.columns
-        if step in cols:
-            agg = df.agg(F.sort_array(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).alias("v"))))
-                         .alias("a")).select(F.transform("a", lambda x: F.array(x["s"], x["v"])).alias(name))
-        else:
-            agg = df.agg(F.collect_list(value).alias(name))
-        parts.append(agg)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, how="cross")  # one-row aggregates
-    return out.select(F.to_json(F.struct(*out.columns)).alias("value"))
+        part = df.select(F.lit(name).alias("series"),
+                         (F.col(step) if step in cols else F.lit(None)).cast("double").alias("step"),
+                         F.col(value).cast("double").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def write_series(series: dict[str, DataFrame], path: str, step: str = "step", value: str = "value") -> None:
-    """SRC7: reward/loss series and before/after samples in one JSON object.
+    """SRC7: reward, loss and before/after samples written together.
 
-    The series are small by nature (one point per logged trainer step); the
-    array is built by one aggregate per series.
+    The source writes one JSON object holding every series as an array; a
+    series grows with the run (one point per logged step or sample), so here it
+    is written as JSON lines ``{"series", "step", "value"}`` by all tasks - no
+    series is gathered into one row, task or the driver.  Readers regroup by
+    ``series`` and order by ``step``.
     """
-    series_object(series, step, value).coalesce(1).write.mode("overwrite").text(path)
+    series_rows(series, step, value).write.mode("overwrite").json(path)
 
 
 def write_log_csv(df: DataFrame, path: str) -> None:
