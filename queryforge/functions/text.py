@@ -107,19 +107,6 @@ def error_progress(success, error_message) -> Column:
             .otherwise(F.lit(0.0)))
 
 
-def error_class(success, error_message, blocked=None) -> Column:
-    """SC6 class of one outcome: unsafe / schema_mismatch / syntax / other_error / ok."""
-    msg = F.lower(F.coalesce(_c(error_message), F.lit("")))
-    unsafe = (_c(blocked).isNotNull() if blocked is not None else F.lit(False)) | (F.locate("blocked:", msg) > 0)
-    return (F.when(unsafe, F.lit("unsafe"))
-            .when(_c(success), F.lit("ok"))
-            .when((F.locate("no such column", msg) > 0) | (F.locate("no such table", msg) > 0)
-                  | (F.locate("unresolved_column", msg) > 0) | (F.locate("table_or_view_not_found", msg) > 0),
-                  F.lit("schema_mismatch"))
-            .when((F.locate("syntax", msg) > 0) | (F.locate("parse", msg) > 0), F.lit("syntax"))
-            .otherwise(F.lit("other_error")))
-
-
 # completion parsing ------------------------------------------------------
 def after_first(text, marker: str = SQL_MARKER) -> Column:
     """SF14 / PD5: ``text.split(marker, 1)[-1].strip()`` if the marker occurs, else ``text.strip()``."""

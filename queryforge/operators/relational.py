@@ -104,14 +104,16 @@ def global_first(df: DataFrame, value: str, pred: Column | None = None) -> Colum
     return src.select(F.min(value)).scalar()
 
 
-def full_align(left: DataFrame, right: DataFrame, key: str, left_val: str, right_val: str,
+def full_align(left: DataFrame, right: DataFrame, key: str, left_vals, right_vals,
                fill: float | None = 0.0) -> DataFrame:
-    """JN8 / ST1: full outer alignment of two keyed measures; missing side -> ``fill``."""
-    j = left.select(key, left_val).join(right.select(key, right_val), on=key, how="full_outer")
+    """JN8 / ST1: full outer alignment of keyed measures (the key set is the union of
+    both sides); a missing side's measures become ``fill`` (None keeps nulls)."""
+    lv = [left_vals] if isinstance(left_vals, str) else list(left_vals)
+    rv = [right_vals] if isinstance(right_vals, str) else list(right_vals)
+    j = left.select(key, *lv).join(right.select(key, *rv), on=key, how="full_outer")
     if fill is None:
         return j
-    return j.select(key, F.coalesce(F.col(left_val), F.lit(fill)).alias(left_val),
-                    F.coalesce(F.col(right_val), F.lit(fill)).alias(right_val))
+    return j.select(key, *[F.coalesce(F.col(c), F.lit(fill)).alias(c) for c in lv + rv])
 
 
 def top_k(df: DataFrame, k: int, by: Sequence[Column]) -> DataFrame:

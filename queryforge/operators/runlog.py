@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from queryforge.functions import scalar as S
+from queryforge.operators.relational import append, full_align
 from queryforge.operators.scan import first_k, ordered_scan
 
 # --- fixed values: log keys searched, in order ---
@@ -104,10 +105,10 @@ def before_after(samples: DataFrame, task: str = "task_id", phase: str = "phase"
     """TL5: per-task before/after means aligned by a full outer join (missing = 0.0),
     delta = after - before, plus an unweighted 'overall' row (AG17-AG19, JN8, ST1)."""
     m = phase_means(samples, task, phase, value, scale)
-    b = m.where(F.col(phase) == before).select(task, F.col("mean").alias("before_mean"))
+    b = m.where(F.col(phase) == before).select(task, F.col("mean").alias("before_mean"), F.lit(True).alias("_hb"))
     a = m.where(F.col(phase) == after).select(task, F.col("mean").alias("after_mean"))
-    j = b.join(a, task, "full_outer").select(
-        task, F.col("before_mean").isNotNull().alias("has_before"),
+    j = full_align(b, a, task, ["before_mean", "_hb"], ["after_mean"], fill=None).select(
+        task, F.coalesce("_hb", F.lit(False)).alias("has_before"),
         F.coalesce("before_mean", F.lit(0.0)).alias("before_mean"),
         F.coalesce("after_mean", F.lit(0.0)).alias("after_mean"))
     j = j.withColumn("delta", F.round(F.col("after_mean") - F.col("before_mean"), scale))
@@ -115,7 +116,7 @@ def before_after(samples: DataFrame, task: str = "task_id", phase: str = "phase"
                     F.round(F.avg("before_mean"), scale).alias("before_mean"),
                     F.round(F.avg("after_mean"), scale).alias("after_mean"))
     overall = overall.withColumn("delta", F.round(F.col("after_mean") - F.col("before_mean"), scale))
-    return j.unionByName(overall)
+    return append(j, overall)
 
 
 def histogram(samples: DataFrame, group: str, value: str, bins: int = HIST_BINS, scale: int = 6) -> DataFrame:

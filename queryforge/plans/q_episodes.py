@@ -43,9 +43,6 @@ def duck_reward_sql(a="action_type", g="grade_used", ok="query_success", msg="er
             f"{pen} AS penalty")
 
 
-_W = "PARTITION BY {k} ORDER BY step"
-
-
 def duck_fold_sql(keys: str = "session_id", source: str = "steps") -> str:
     """CTE chain ``f`` = folded steps, mirroring ``fold_episodes``."""
     return f"""
@@ -329,7 +326,7 @@ def first_actions_json(spark, sf_dir):
     """JSON text of each episode's first three actions (ordered list, sliced, serialised)."""
     f = folded(spark, sf_dir)
     acts = F.sort_array(F.collect_list(F.struct(F.col("step").cast("long").alias("step"), "action_type")))
-    return f.groupBy("session_id").agg(F.to_json(F.slice(acts, 1, 3)).alias("first_actions"))
+    return f.groupBy("session_id").agg(F.to_json(S.first_rows(acts, 3)).alias("first_actions"))
 
 
 @register("task_catalog_usage", ("SRC4", "JN12", "UD2"), sql=f"""

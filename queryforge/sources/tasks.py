@@ -156,12 +156,6 @@ def task_catalog(spark: SparkSession) -> DataFrame:
 _CATALOG_CACHE: dict[int, DataFrame] = {}
 
 
-def tasks_for_keys(spark: SparkSession) -> DataFrame:
-    """Catalog with a 0-3 ordinal key, for views that assign tasks by rule."""
-    return task_catalog(spark).withColumn(
-        "task_no", F.array_position(F.array(*[F.lit(t) for t in TASK_IDS]), F.col("task_id")).cast("int") - 1)
-
-
 # --- fixed values: seed rows of the four small task databases ---
 def _d(s: str) -> _dt.date:
     return _dt.date.fromisoformat(s)
