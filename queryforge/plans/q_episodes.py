@@ -214,17 +214,21 @@ SELECT st.task_id, ROUND(pct_reward_over_0_1, 6) AS pct_reward_over_0_1, ROUND(p
        ROUND(pct_solved, 6) AS pct_solved
 FROM st JOIN se ON st.task_id = se.task_id""")
 def threshold_accuracy(spark, sf_dir):
-    """Accuracy percent per task at fixed reward thresholds and at the task's own success threshold."""
+    """Accuracy percent per task at fixed reward thresholds and at the task's own success threshold.
+
+    One pass over the fold: per-session counts first (bounded groups), then per task.
+    """
     f = folded(spark, sf_dir)
-    pct = lambda c: F.avg(F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))) * F.lit(100.0)
-    st = f.groupBy("task_id").agg(pct(F.col("reward") > 0.1).alias("a"), pct(F.col("reward") > 0.5).alias("b"))
-    ep = f.groupBy("session_id").agg(F.max_by("task_id", "step").alias("task_id"),
-                                     F.max_by("current_score", "step").alias("score"),
-                                     F.max_by("success_threshold", "step").alias("thr"))
-    se = ep.groupBy("task_id").agg(pct(F.col("score") >= F.col("thr")).alias("c"))
-    return st.join(se, "task_id").select(
-        "task_id", F.round("a", 6).alias("pct_reward_over_0_1"), F.round("b", 6).alias("pct_reward_over_0_5"),
-        F.round("c", 6).alias("pct_solved"))
+    ep = f.groupBy("session_id").agg(
+        F.max_by("task_id", "step").alias("task_id"), F.max_by("current_score", "step").alias("score"),
+        F.max_by("success_threshold", "step").alias("thr"), F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("reward") > 0.1).alias("a"), F.count_if(F.col("reward") > 0.5).alias("b"))
+    per = ep.groupBy("task_id").agg(
+        F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("e"),
+        F.count_if(F.col("score") >= F.col("thr")).alias("c"))
+    pct = lambda x, n: F.round(F.col(x).cast("double") / F.col(n).cast("double") * F.lit(100.0), 6)
+    return per.select("task_id", pct("a", "n").alias("pct_reward_over_0_1"), pct("b", "n").alias("pct_reward_over_0_5"),
+                      pct("c", "e").alias("pct_solved"))
 
 
 _FIRST_SUBMIT = """
@@ -289,32 +293,29 @@ def suite_rows(spark, sf_dir):
            array_to_string(list(CAST(ROUND(reward, 4) AS VARCHAR) ORDER BY step), ', ')) FROM f GROUP BY session_id)
 SELECT session_id, line_no, line FROM lines""")
 def run_log_lines(spark, sf_dir):
-    """Exact [START]/[STEP]/[END] log lines per episode as a text table."""
+    """Exact [START]/[STEP]/[END] log lines per episode as a text table.
+
+    One pass: the folded steps are grouped per session (an episode has at most
+    30 steps, so the group is bounded), the lines are built as an ordered array
+    and exploded back to rows.
+    """
     f = folded(spark, sf_dir)
-    start = f.groupBy("session_id").agg(F.min_by("task_id", "step").alias("t")).select(
-        "session_id", F.lit(0).cast("long").alias("line_no"),
-        F.format_string("[START] task=%s env=sql-debug-env model=replay", "t").alias("line"))
     action = S.one_line(F.coalesce("query", "action_type"), 200)
-    step = f.select("session_id", F.col("step").cast("long").alias("line_no"), F.format_string(
-        '[STEP] step=%d action="%s" reward=%.4f done=%s error=%s', "step", action, "reward",
-        S.bool_text("is_done"), F.coalesce("error_message", F.lit("null"))).alias("line"))
-    end = f.groupBy("session_id").agg(
-        F.max_by("success", "step").alias("ok"), F.max("step").alias("n"), F.max_by("current_score", "step").alias("sc"),
-        F.sort_array(F.collect_list(F.struct("step", "reward"))).alias("r")).select(
-        "session_id", F.lit(1000000).cast("long").alias("line_no"),
-        F.format_string("[END] success=%s steps=%d score=%.4f rewards=[%s]", S.bool_text("ok"), "n", "sc",
-                        F.array_join(F.transform("r", lambda x: F.round(x["reward"], 4).cast("string")), ", "))
-        .alias("line"))
-    return start.unionByName(step).unionByName(end)
-
-
-@register("stream_episode_fold", ("EP2",), sql=f"""
-{_FOLD}
-SELECT {", ".join(REWARD_COLS)} FROM f""")
-def stream_episode_fold(spark, sf_dir):
-    """EP2: the same fold as a Structured Streaming job (keyed state, availableNow); equals step_rewards."""
-    from queryforge.streaming.episodes import run_stream_fold
-    return run_stream_fold(spark, sf_dir).select(*REWARD_COLS)
+    step_line = F.format_string('[STEP] step=%d action="%s" reward=%.4f done=%s error=%s', "step", action, "reward",
+                                S.bool_text("is_done"), F.coalesce("error_message", F.lit("null")))
+    g = f.groupBy("session_id").agg(
+        F.min_by("task_id", "step").alias("t"), F.max_by("success", "step").alias("ok"), F.max("step").alias("n"),
+        F.max_by("current_score", "step").alias("sc"),
+        F.sort_array(F.collect_list(F.struct(F.col("step").alias("line_no"), step_line.alias("line"),
+                                             F.col("reward").alias("r")))).alias("steps"))
+    start = F.struct(F.lit(0).cast("long").alias("line_no"),
+                     F.format_string("[START] task=%s env=sql-debug-env model=replay", "t").alias("line"))
+    end = F.struct(F.lit(1000000).cast("long").alias("line_no"), F.format_string(
+        "[END] success=%s steps=%d score=%.4f rewards=[%s]", S.bool_text("ok"), "n", "sc",
+        F.array_join(F.transform("steps", lambda x: F.round(x["r"], 4).cast("string")), ", ")).alias("line"))
+    mid = F.transform("steps", lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line")))
+    lines = F.concat(F.array(start), mid, F.array(end))
+    return g.select("session_id", F.explode(lines).alias("l")).select("session_id", "l.line_no", "l.line")
 
 
 @register("first_actions_json", ("SF18", "SF25", "WN10"), sql=f"""
