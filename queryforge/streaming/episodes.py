@@ -154,3 +154,20 @@ def run_stream_fold(spark: SparkSession, source_dir: str, file_glob: str = "even
          .option("checkpointLocation", f"{base}/chk").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+def stream_idle_sessions(events: DataFrame, key: str, ts: str, gap: str, watermark: str | None = None) -> DataFrame:
+    """EP7 (stream): activity sessions of a streaming events frame, closed after ``gap``.
+
+    Session windows need a watermark to know when a session can no longer grow;
+    ``watermark`` (default: the gap) bounds the state and decides when a session
+    is final and emitted (append mode).  Each key keeps only its open sessions
+    in state, so state grows with live sessions, not with events.
+    """
+    if events.schema[ts].dataType.typeName() == "timestamp_ntz":
+        # watermarks need an instant type: read wall-clock values in the session time zone
+        events = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    return (events.withWatermark(ts, watermark or gap)
+            .groupBy(key, F.session_window(ts, gap).alias("sw"))
+            .agg(F.count(F.lit(1)).alias("n_events"))
+            .select(key, F.col("sw.start").alias("session_start"), F.col("sw.end").alias("session_end"), "n_events"))

@@ -26,3 +26,26 @@ def test_stream_equals_batch(spark):
     stream = run_stream_fold(spark, SF_SMALL).select(*REWARD_COLS)
     assert batch.count() == stream.count() > 0
     assert batch.exceptAll(stream).count() == 0 and stream.exceptAll(batch).count() == 0
+
+
+def test_stream_idle_sessions_emit_final_sessions(spark):
+    import uuid
+    from queryforge.operators.episodes import idle_sessions
+    from queryforge.plans.views import T
+    from queryforge.streaming.episodes import stream_idle_sessions
+    schema = spark.read.parquet(f"{SF_SMALL}/events.parquet").schema
+    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SF_SMALL)
+          .select("user_id", "ts"))
+    name = f"idle_{uuid.uuid4().hex}"
+    q = (stream_idle_sessions(ev, "user_id", "ts", "6 hours").writeStream.format("memory").queryName(name)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    as_text = lambda d: d.select("user_id", F.date_format("session_start", fmt).alias("s"),
+                                 F.date_format("session_end", fmt).alias("e"), "n_events")
+    got = as_text(spark.table(name))
+    batch = as_text(idle_sessions(T(spark, SF_SMALL, "events").select("user_id", "ts", "event_id"), "user_id",
+                                  "ts", "6 hours", tiebreak="event_id"))
+    # every emitted (closed) session is exactly one of the batch sessions
+    assert got.count() > 0
+    assert got.exceptAll(batch).count() == 0
