@@ -142,8 +142,7 @@ def series_summary(series: DataFrame, log: DataFrame) -> DataFrame:
     """AG22: rows, points, first, last and max of a (step, value) series."""
     s = series.agg(F.count(F.lit(1)).alias("reward_points"), F.min_by("value", "step").alias("reward_first"),
                    F.max_by("value", "step").alias("reward_last"), F.max("value").alias("reward_max"))
-    n = log.agg(F.count(F.lit(1)).alias("log_rows"))
-    return n.join(s, how="cross")  # two one-row aggregates
+    return s.select(log.select(F.count(F.lit(1))).scalar().alias("log_rows"), "*")  # scalar subquery
 
 
 def latency_stats(samples: DataFrame, group: str, value: str, order_tiebreak: str,
@@ -188,9 +187,8 @@ def lift_kpis(ba: DataFrame, task: str = "task_id", hard_task: str | None = None
     """AG20: absolute lift, hard-task lift, relative percent and improved-task count."""
     per = ba.where(F.col(task) != "overall")
     ov = ba.where(F.col(task) == "overall").select("before_mean", "after_mean", "delta")
-    improved = per.agg(F.count_if(F.col("delta") > 0).alias("improved_tasks"),
-                       F.max(F.when(F.col(task) == F.lit(hard_task), F.col("delta"))).alias("hard_lift"))
+    improved = per.select(F.count_if(F.col("delta") > 0)).scalar()
+    hard = per.select(F.max(F.when(F.col(task) == F.lit(hard_task), F.col("delta")))).scalar()
     rel = (F.col("after_mean") - F.col("before_mean")) / F.greatest(F.col("before_mean"), F.lit(eps)) * F.lit(100.0)
-    return ov.join(improved, how="cross").select(  # one-row frames
-        F.col("delta").alias("absolute_lift"), "hard_lift", F.round(rel, scale).alias("relative_pct"),
-        "improved_tasks")
+    return ov.select(F.col("delta").alias("absolute_lift"), hard.alias("hard_lift"),
+                     F.round(rel, scale).alias("relative_pct"), improved.alias("improved_tasks"))

@@ -142,10 +142,9 @@ def run_summary(spark, sf_dir):
     """One metrics row: log rows, reward points/first/last/max, baseline and post means and their delta."""
     log = V.run_log(spark, sf_dir)
     summ = RL.series_summary(RL.reward_series(log), log)
-    ov = RL.before_after(_samples(spark, sf_dir)).where(F.col("task_id") == "overall").select(
-        F.col("before_mean").alias("baseline_avg_reward"), F.col("after_mean").alias("post_avg_reward"),
-        F.col("delta").alias("delta_avg_reward"))
-    return summ.join(ov, how="cross")  # one row each
+    ov = RL.before_after(_samples(spark, sf_dir)).where(F.col("task_id") == "overall")
+    return summ.select("*", *[ov.select(c).scalar().alias(a) for c, a in (
+        ("before_mean", "baseline_avg_reward"), ("after_mean", "post_avg_reward"), ("delta", "delta_avg_reward"))])
 
 
 @register("latency_stats", ("AG14",), sql="""

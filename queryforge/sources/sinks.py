@@ -25,16 +25,16 @@ def metrics_frame(series: DataFrame, log_rows: DataFrame, step: str = "step",
         F.max_by(value, step).alias("reward_last"),
         F.max(value).alias("reward_max"),
     )
-    n = log_rows.agg(F.count(F.lit(1)).alias("log_rows"))
-    # both sides are one-row aggregates: the join is 1 x 1 by construction
-    return n.join(summary, how="cross").select(
+    n_rows = log_rows.select(F.count(F.lit(1))).scalar()  # scalar subquery, no join
+    return summary.select(
         F.unix_timestamp(F.current_timestamp()).cast("double").alias("generated_at_epoch_s"),
-        "log_rows", "reward_points", "reward_first", "reward_last", "reward_max")
+        n_rows.alias("log_rows"), "reward_points", "reward_first", "reward_last", "reward_max")
 
 
 def write_metrics(metrics: DataFrame, path: str, extra: DataFrame | None = None) -> None:
     """SRC6: one JSON object; ``extra`` (one row) extends it, as the before/after update does."""
-    row = metrics if extra is None else metrics.join(extra, how="cross")
+    row = metrics if extra is None else metrics.select(
+        "*", *[extra.select(c).scalar().alias(c) for c in extra.columns])  # one-row extension
     row.select(F.to_json(F.struct(*row.columns)).alias("value")) \
         .coalesce(1).write.mode("overwrite").text(path)
 
