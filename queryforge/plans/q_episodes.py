@@ -280,7 +280,7 @@ def suite_rows(spark, sf_dir):
 {_FOLD}
 , lines AS (
   SELECT session_id, 0 AS line_no,
-         printf('[START] task=%s env=sql-debug-env model=replay', arg_min(task_id, step)) AS line FROM f GROUP BY session_id
+         printf('[START] task=%s env=queryforge model=replay', arg_min(task_id, step)) AS line FROM f GROUP BY session_id
   UNION ALL
   SELECT session_id, step AS line_no,
          printf('[STEP] step=%d action="%s" reward=%.4f done=%s error=%s', step,
@@ -309,7 +309,7 @@ def run_log_lines(spark, sf_dir):
         F.sort_array(F.collect_list(F.struct(F.col("step").alias("line_no"), step_line.alias("line"),
                                              F.col("reward").alias("r")))).alias("steps"))
     start = F.struct(F.lit(0).cast("long").alias("line_no"),
-                     F.format_string("[START] task=%s env=sql-debug-env model=replay", "t").alias("line"))
+                     F.format_string("[START] task=%s env=queryforge model=replay", "t").alias("line"))
     end = F.struct(F.lit(1000000).cast("long").alias("line_no"), F.format_string(
         "[END] success=%s steps=%d score=%.4f rewards=[%s]", S.bool_text("ok"), "n", "sc",
         F.array_join(F.transform("steps", lambda x: F.round(x["r"], 4).cast("string")), ", ")).alias("line"))

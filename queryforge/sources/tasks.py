@@ -32,6 +32,7 @@ GRADER = {"easy_syntax_fix": "positional", "medium_logic_fix": "sorted_tolerant"
           "hard_multi_bug": "positional", "hard_finance_explosion": "keyed_tiers"}
 LONGEST_EPISODE = max(MAX_STEPS.values())
 
+# --- fixed values: task texts (names, descriptions, broken and repaired SQL, hints) ---
 _TEXT = {
     "easy_syntax_fix": dict(
         name="Top customers by revenue (syntax repair)",
