@@ -177,9 +177,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos",
-            chunked: bool = True) -> DataFrame:
+            chunked: bool = True, chunk: Column | None = None) -> DataFrame:
     """1-based position of each row within its key group, in ``order`` (exact, skew-safe)."""
-    return ordered_scan(df, keys, order, [(name, "count", None)], chunked=chunked)
+    return ordered_scan(df, keys, order, [(name, "count", None)], chunked=chunked, chunk=chunk)
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, name: str = "rn") -> DataFrame:
