@@ -182,3 +182,38 @@ def unknown_tasks(refs: DataFrame, tasks: DataFrame, key: str = "task_id") -> Da
 def with_task(refs: DataFrame, tasks: DataFrame, key: str = "task_id", cols: Sequence[str] = ()) -> DataFrame:
     """JN12: task-dimension lookup (the catalog is a fixed four-row table: broadcast)."""
     return refs.join(F.broadcast(tasks.select(key, *cols)), key, "inner")
+
+
+# --- task plug-ins (UD2): each task names its grader and its grading columns ---
+TASK_GRADING = {
+    "positional": {},
+    "sorted_tolerant": {"key": "department_name", "count": "headcount", "value": "avg_salary"},
+    "keyed_tiers": {"name": "name", "values": ["total_orders", "total_payments"]},
+}
+
+
+def grade_for_task(spark, task_id: str, actual: DataFrame, attempt_keys: Sequence[str] = ("attempt",),
+                   pos: str = "pos") -> DataFrame:
+    """GR6/UD2: grade attempts at one catalog task with the grader the task declares.
+
+    ``actual`` holds the attempt keys, ``pos`` and the task's output columns;
+    the expected rows are the task's computed golden rows (GR7), positioned in
+    their query order.
+    """
+    from queryforge.operators.scan import ordinal
+    from queryforge.sources.tasks import GRADER, golden_rows
+
+    kind = GRADER[task_id]
+    gold = golden_rows(spark, task_id)
+    cols = gold.columns
+    exp = ordinal(gold.withColumn("_mid", F.monotonically_increasing_id()).withColumn("task_key", F.lit(0)),
+                  ["task_key"], ["_mid"], pos).drop("_mid")
+    act = actual.withColumn("task_key", F.lit(0))
+    keys = list(attempt_keys)
+    if kind == "positional":
+        return grade_positional(act, exp, "task_key", keys, cols, pos=pos).drop("task_key")
+    spec = TASK_GRADING[kind]
+    if kind == "sorted_tolerant":
+        return grade_sorted_tolerant(act, exp, "task_key", keys, spec["key"], spec["count"], spec["value"],
+                                     pos=pos).drop("task_key")
+    return grade_keyed_tiers(act, exp, "task_key", keys, spec["name"], spec["values"]).drop("task_key")

@@ -111,3 +111,15 @@ def test_fan_trap_fixture(spark):
     lit = (t["users"].join(t["orders"], "user_id", "left").join(t["payments"], "user_id", "left")
            .groupBy("name").agg(F.sum("order_amount").alias("o"), F.sum("payment_amount").alias("p")).collect())
     assert {r["name"]: (float(r["o"]), float(r["p"])) for r in lit} == n
+
+
+def test_grade_for_task_uses_declared_grader(spark):
+    from queryforge.operators.grading import grade_for_task
+    from queryforge.operators.scan import ordinal
+    for tid, top in [("easy_syntax_fix", 0.999), ("medium_logic_fix", 0.999), ("hard_multi_bug", 0.999),
+                     ("hard_finance_explosion", 1.0)]:
+        gold = golden_rows(spark, tid).withColumn("_mid", F.monotonically_increasing_id())
+        act = ordinal(gold.withColumn("attempt", F.lit(1)), ["attempt"], ["_mid"], "pos").drop("_mid")
+        assert grade_for_task(spark, tid, act).collect()[0]["score"] == top, tid
+        # only the first row submitted: always below the top score
+        assert grade_for_task(spark, tid, act.where("pos = 1")).collect()[0]["score"] < top, tid
