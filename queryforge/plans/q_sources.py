@@ -69,7 +69,10 @@ def run_artifacts(spark, sf_dir):
     base = _scratch(spark, "artifacts")
     log = V.run_log(spark, sf_dir)
     series = RL.reward_series(log)
-    K.write_metrics(K.metrics_frame(series, log), f"{base}/metrics")
+    ov = RL.before_after(QR._samples(spark, sf_dir)).where(F.col("task_id") == "overall").select(
+        F.col("before_mean").alias("baseline_avg_reward"), F.col("after_mean").alias("post_avg_reward"),
+        F.col("delta").alias("delta_avg_reward"))
+    K.write_metrics(K.metrics_frame(series, log), f"{base}/metrics", extra=ov)  # extended like the source
     K.write_series({"reward_series": series, "loss_series": RL.numeric_series(log, "loss")}, f"{base}/series")
     K.write_log_csv(log.select("log_idx", "step", "reward", "loss"), f"{base}/log_csv")
     parts = [spark.read.text(f"{base}/{name}").select(F.lit(name).alias("artifact"), F.length("value").alias("chars"))
@@ -77,5 +80,3 @@ def run_artifacts(spark, sf_dir):
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.groupBy("artifact").agg(F.count(F.lit(1)).alias("lines"), F.sum("chars").alias("chars"))
 
-
-_ = QR  # the run-analytics module must be imported first for the shared oracle
