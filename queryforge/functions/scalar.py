@@ -43,8 +43,12 @@ def day_distance(a, b) -> Column:
 
     Computed on microseconds, so the result is exact before the final division.
     """
-    a, b = _c(a), _c(b)
-    return (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / F.lit(86_400_000_000.0)
+    return _micros_between(b, a).cast("double") / F.lit(86_400_000_000.0)
+
+
+def _micros_between(start, end) -> Column:
+    """end - start in microseconds; wall-clock difference for timestamp_ntz (no time-zone shifts)."""
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
 
 
 def whole_days(a, b) -> Column:
@@ -54,7 +58,7 @@ def whole_days(a, b) -> Column:
 
 def within_days(ts, start, days: int) -> Column:
     """PRJ6 (F12 fix): 0 <= ts - start <= days, exact on microseconds."""
-    delta = F.unix_micros(_c(ts).cast("timestamp")) - F.unix_micros(_c(start).cast("timestamp"))
+    delta = _micros_between(start, ts)
     return (delta >= 0) & (delta <= F.lit(days * 86_400_000_000))
 
 

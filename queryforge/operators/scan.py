@@ -82,7 +82,7 @@ def default_chunk(df: DataFrame, col: str, width: int = 1 << 16) -> Column:
     dt = df.schema[col].dataType
     name = dt.typeName()
     if name in ("timestamp", "timestamp_ntz"):
-        return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / F.lit(3_600_000_000))
+        return F.date_trunc("hour", F.col(col))  # same type as the column: no time-zone conversion
     if name == "date":
         return F.unix_date(F.col(col)).cast("long")
     if name == "string":
