@@ -54,15 +54,22 @@ def raw_names(names) -> Column:
 
 def match_count(actual: DataFrame, expected: DataFrame, task_key: str, attempt_keys: Sequence[str],
                 value_cols: Sequence[str], pos: str = "pos") -> DataFrame:
-    """GR2/JN9: per attempt, rows equal at the same position (null == null); extra rows ignored."""
+    """GR2/JN9: per attempt, rows equal at the same position (null == null); extra rows ignored.
+
+    One left join of the actual rows onto (task, pos) of the expected rows gives
+    both the attempt's row count and its matches, so the (costly) actual result
+    sets are read once.
+    """
     a = normalize_rows(actual, value_cols).select(*attempt_keys, task_key, pos,
                                                   *[F.col(c).alias(f"a_{c}") for c in value_cols])
-    e = normalize_rows(expected, value_cols).select(task_key, pos, *[F.col(c).alias(f"e_{c}") for c in value_cols])
-    j = a.join(e, [task_key, pos], "inner")
-    same = F.lit(True)
+    e = normalize_rows(expected, value_cols).select(task_key, pos, F.lit(True).alias("_e"),
+                                                    *[F.col(c).alias(f"e_{c}") for c in value_cols])
+    j = a.join(e, [task_key, pos], "left")
+    same = F.col("_e").isNotNull()
     for c in value_cols:
         same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"e_{c}"))
-    return j.groupBy(*attempt_keys, task_key).agg(F.count_if(same).alias("matches"))
+    return j.groupBy(*attempt_keys, task_key).agg(F.count(F.lit(1)).alias("n_actual"),
+                                                  F.count_if(same).alias("matches"))
 
 
 def grade_positional(actual: DataFrame, expected: DataFrame, task_key: str, attempt_keys: Sequence[str],
@@ -84,11 +91,10 @@ def grade_positional(actual: DataFrame, expected: DataFrame, task_key: str, atte
     attempt_keys = list(attempt_keys)
     exp_names = list(expected_names or value_cols)
     m = match_count(actual, expected, task_key, attempt_keys, value_cols, pos)
-    n_act = actual.groupBy(*attempt_keys, task_key).agg(F.count(F.lit(1)).alias("n_actual"))
     n_exp = expected.groupBy(task_key).agg(F.count(F.lit(1)).alias("n_expected"))
-    base = n_act if attempt_index is None else attempt_index.select(*attempt_keys, task_key).join(
-        n_act, [*attempt_keys, task_key], "left")
-    g = base.join(m, [*attempt_keys, task_key], "left").join(n_exp, task_key, "left")
+    base = m if attempt_index is None else attempt_index.select(*attempt_keys, task_key).join(
+        m, [*attempt_keys, task_key], "left")
+    g = base.join(n_exp, task_key, "left")
     exp_arr = F.array(*[F.lit(n) for n in exp_names])
     if actual_names is not None:
         g = g.join(actual_names, list(name_key or attempt_keys), "left")
@@ -129,14 +135,13 @@ def grade_sorted_tolerant(actual: DataFrame, expected: DataFrame, task_key: str,
                   F.col(value_col).alias("a_v"))
     ev = e.select(task_key, "_spos", F.col("_k").alias("e_k"), F.col(count_col).alias("e_n"),
                   F.col(value_col).alias("e_v"))
-    j = av.join(ev, [task_key, "_spos"], "inner")
-    ok = ((F.lower(F.col("a_k")) == F.lower(F.col("e_k")))
+    ev = ev.withColumn("_e", F.lit(True))
+    j = av.join(ev, [task_key, "_spos"], "left")  # one pass over the actual rows: count and matches
+    ok = (F.col("_e").isNotNull() & (F.lower(F.col("a_k")) == F.lower(F.col("e_k")))
           & (F.col("a_n").cast("long") == F.col("e_n").cast("long"))
           & S.tolerant_equal("a_v", "e_v", TOLERANCE))
-    m = j.groupBy(*attempt_keys, task_key).agg(F.count_if(ok).alias("matches"))
-    n_act = actual.groupBy(*attempt_keys, task_key).agg(F.count(F.lit(1)).alias("n_actual"))
-    n_exp = expected.groupBy(task_key).agg(F.count(F.lit(1)).alias("n_expected"))
-    g = n_act.join(m, [*attempt_keys, task_key], "left").join(n_exp, task_key, "left")
+    g = (j.groupBy(*attempt_keys, task_key).agg(F.count(F.lit(1)).alias("n_actual"), F.count_if(ok).alias("matches"))
+         .join(expected.groupBy(task_key).agg(F.count(F.lit(1)).alias("n_expected")), task_key, "left"))
     n_a, n_e = F.col("n_actual"), F.coalesce(F.col("n_expected"), F.lit(0))
     matches = F.coalesce(F.col("matches"), F.lit(0))
     score = F.when((n_a == 0) | (n_a != n_e), F.lit(0.0)).otherwise(matches.cast("double") / n_e.cast("double"))
