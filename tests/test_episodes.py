@@ -17,6 +17,7 @@ def test_fold_properties(spark):
     after_done = f.withColumn("pd", F.lag("is_done").over(w)).where(F.col("pd")).count()
     assert after_done == 0
     assert f.where(F.col("step") > F.col("max_steps")).count() == 0
+    f.unpersist()
 
 
 def test_stream_equals_batch(spark):
