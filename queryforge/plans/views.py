@@ -249,7 +249,9 @@ def order_result_sets(spark: SparkSession, sf_dir: str, chunked: bool = True) ->
     a1 = by_date.withColumn("attempt", F.lit(1))
     a2 = ordinal(o.where(F.col("o_orderdate") >= F.lit("1996-01-01")), ["task_key"],
                  ["o_orderdate", "o_orderkey"], "pos", chunked=chunked).drop("o_orderdate").withColumn("attempt", F.lit(2))
+    # price order: chunk by blocks of 1000 currency units (order-monotone, not one chunk per row)
     a3 = ordinal(o.select("*", neg_price), ["task_key"], ["neg_price", "o_orderkey"], "pos", chunked=chunked,
+                 chunk=F.floor(F.col("neg_price") / F.lit(1000.0))
                  ).drop("o_orderdate", "neg_price").withColumn("attempt", F.lit(3))
     a4 = by_date.withColumn("attempt", F.lit(4)).withColumn("status", F.concat(F.lit(" "), "status", F.lit(" ")))
     cols = ["task_key", "attempt", "pos", "o_orderkey", "status", "amount"]
