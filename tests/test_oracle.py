@@ -67,3 +67,10 @@ def test_every_survey_operator_is_registered():
     covered = {i for c in COVERS.values() for i in c}
     assert ids - covered == set()
     assert "stream_episode_fold" in E.queries() and "stream_episode_fold" in E.oracle_sql()
+
+
+def test_entry_flagship(spark):
+    df = E.entry(spark)
+    assert df.columns == ["customer_id", "customer_name", "total_value"]
+    rows = df.collect()
+    assert len(rows) == 5 and rows == sorted(rows, key=lambda r: (-r["total_value"], r["customer_id"]))
