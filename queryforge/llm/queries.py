@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import decontam, exact_dedup, sharding
 
 QUERIES = {}
 ORACLE = {}
@@ -24,6 +24,37 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@_query()
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes (DuckDB has no CRC-32, so no SQL)."""
+    return sharding.shard(_documents(spark, sf_dir), shards=16, law="bytes")
+
+
+_WORDS_SQL = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+
+@_query(f"""
+WITH w AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+     b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+     k AS (SELECT item_id, w, least(13, len(w)) AS k FROM b WHERE len(w) > 0),
+     win AS (SELECT DISTINCT item_id, k, w[s:s + k - 1] AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM k)),
+     ks AS (SELECT DISTINCT k FROM win),
+     dw AS (SELECT doc_id, ks.k, unnest(range(1, len(w) - ks.k + 2)) AS p, w FROM w, ks WHERE len(w) >= ks.k),
+     hit AS (SELECT dw.doc_id, dw.p, dw.k, win.item_id FROM dw JOIN win ON dw.k = win.k AND dw.w[dw.p:dw.p + dw.k - 1] = win.g),
+     n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hit) GROUP BY doc_id),
+     i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                  string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s
+           FROM hit GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.s, '')) AS items_sha256,
+       coalesce(n.n_hit, 0) > 0 AND 20 * coalesce(n.n_hit, 0) >= len(w.w) AS contaminated
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)""")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in the whole documents table."""
+    return decontam.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @_query(r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents),
