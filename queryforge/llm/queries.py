@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, sharding
+from . import decontam, exact_dedup, near_dedup, sharding
 
 QUERIES = {}
 ORACLE = {}
@@ -64,3 +64,10 @@ FROM d JOIN g USING (n)""")
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of the whole documents table: the row that stays for each."""
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@_query()
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of the whole documents table: 3-word shingles, similarity 0.85 or more."""
+    found = near_dedup.near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
