@@ -142,10 +142,11 @@ def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, c: in
 def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists that hold several components, with each member's label and the commonest label of the list."""
     named = lists.join(sized(labels.withColumnRenamed("node", "class")), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    counts = named.groupBy("value", "label").agg(F.count("*").alias("m"))
-    open_lists = counts.groupBy("value").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("members"), F.count("*").alias("labels"))
+    counts = named.groupBy("value", "label").agg(F.count("*").alias("m"), F.sum("n").alias("words"))
+    open_lists = counts.groupBy("value").agg(F.max(F.struct("m", "label", "words")).alias("top"), F.sum("m").alias("members"),
+                                             F.sum("words").alias("words"), F.count("*").alias("labels"))
     open_lists = materialize(open_lists.where("labels > 1").select(
-        "value", "members", F.col("top.label").alias("main"), (F.col("members") - F.col("top.m")).alias("others")), "open-lists")
+        "value", "members", F.col("top.label").alias("main"), "words", (F.col("words") - F.col("top.words")).alias("other_words")), "open-lists")
     return materialize(named.join(open_lists, "value"), "open")
 
 
@@ -199,9 +200,9 @@ def _block_links(percent: int):
     return run
 
 
-def _long_links(members: DataFrame, sets: DataFrame, percent: int, rows: int = 128, columns: int = 512) -> DataFrame:
-    """Compare the members outside a list's main component with all its members, ``rows`` x ``columns`` at a time."""
-    blocks = {"rbs": F.ceil(F.col("others") / rows).cast("int"), "mbs": F.ceil(F.col("members") / columns).cast("int")}
+def _long_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 2_000_000) -> DataFrame:
+    """Compare the members outside a list's main component with all its members, in blocks of about ``block`` shingles a side."""
+    blocks = {"rbs": F.ceil(F.col("other_words") / block).cast("int"), "mbs": F.ceil(F.col("words") / block).cast("int")}
     members = members.withColumns(blocks).select("value", "class", "label", "main", "rbs", "mbs")
     outside = members.where("label <> main").select(
         "value", F.pmod(F.xxhash64("class"), "rbs").cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)).alias("mb"),

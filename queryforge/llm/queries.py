@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, near_dedup, sharding
+import public_tokenizers
+
+from . import bpe, decontam, exact_dedup, licenses, near_dedup, secrets, sharding
 
 QUERIES = {}
 ORACLE = {}
@@ -71,3 +73,21 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of the whole documents table: 3-word shingles, similarity 0.85 or more."""
     found = near_dedup.near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@_query()
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded again."""
+    return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query()
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every whole text."""
+    return licenses.license_scan(_documents(spark, sf_dir)).drop("spans")
+
+
+@_query()
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text."""
+    return secrets.secret_scan(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
