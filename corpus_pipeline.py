@@ -1,22 +1,45 @@
-"""Corpus pipeline: toxicity, exact and near duplicates, benchmark passages, BPE."""
+"""Corpus pipeline: toxicity, exact and near duplicates, benchmark passages, byte-level BPE."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from queryforge.llm import exact_dedup
+from queryforge.llm import bpe, decontam, exact_dedup, near_dedup, toxicity
 from queryforge.llm.common import scratch_path
 
 #: A linear model, hashed sketches and a tokenizer are no SQL: the stages are tested against brute force.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go; the model learns from the labelled ones among ``docs``."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model, threshold=0.7)
+
+
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("exact dedup", drop_exact)]
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates (five words, 0.8) stays."""
+    return near_dedup.drop_near_duplicates(docs, shingle=5, percent=80)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go when a twentieth of their words or more stands in benchmark passages."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13, share=20)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept texts as token ids, decoded again: counts and digests."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_exact), ("near dedup", drop_near), ("decontamination", drop_benchmark),
+          ("bpe", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontam, exact_dedup, licenses, near_dedup, secrets, sharding
+from . import bpe, decontam, exact_dedup, langid, licenses, lm, near_dedup, secrets, sharding, toxicity
 
 QUERIES = {}
 ORACLE = {}
@@ -91,3 +91,32 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text."""
     return secrets.secret_scan(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _fold(mod: int):
+    """crc32(doc_id as text) mod ``mod``; a null doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % mod
+
+
+@_query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learnt from the documents of four folds."""
+    docs = _documents(spark, sf_dir)
+    found = langid.train_and_identify(docs, docs.where(_fold(5) != 0), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@_query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learnt from the labels of two folds."""
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels.where(_fold(3) != 1))
+    return toxicity.score(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+@_query()
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored by a model of nine folds."""
+    docs = _documents(spark, sf_dir)
+    found = lm.score(docs, lm.train(docs.where(_fold(10) != 0)))
+    return found.select("doc_id", (_fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
