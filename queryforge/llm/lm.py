@@ -81,11 +81,11 @@ def _merge(blocks: list[bytes], width: int) -> tuple[np.ndarray, list[np.ndarray
     parts = [_unpack(b) for b in blocks]
     if not parts:
         return np.empty(0, np.uint64), [np.empty(0, np.int64)] * width
-    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    sums = [np.zeros(len(keys), np.int64) for _ in range(width)]
-    for i, total in enumerate(sums):
-        np.add.at(total, at, np.concatenate([p[1][i] for p in parts]))
-    return keys, sums
+    keys = np.concatenate([p[0] for p in parts])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[firsts], [np.add.reduceat(np.concatenate([p[1][i] for p in parts])[order], firsts) for i in range(width)]
 
 
 def _blocks(kind: int, bits: int, keys: np.ndarray, *numbers: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -103,7 +103,7 @@ def _frame(rows) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=["kind", "bucket", "data"])
 
 
-def _counted(bits: int, most_tokens: int = 4_000_000):
+def _counted(bits: int, most_tokens: int = 1_500_000):
     def blocks(texts: list) -> pd.DataFrame:
         tokens, before, _ = _joined(texts)
         words, counts = np.unique(np.append(tokens, BEGIN), return_counts=True)
