@@ -97,6 +97,7 @@ def _blocks(kind: int, bits: int, keys: np.ndarray, *numbers: np.ndarray) -> Ite
 
 
 _BLOCK = "kind int, bucket int, data binary"
+_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
 
 
 def _frame(rows) -> pd.DataFrame:
@@ -104,19 +105,21 @@ def _frame(rows) -> pd.DataFrame:
 
 
 def _counted(bits: int, most_tokens: int = 1_500_000):
-    def blocks(texts: list) -> pd.DataFrame:
-        tokens, before, _ = _joined(texts)
+    def blocks(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        tokens, before = (np.concatenate(x) for x in zip(*parts))
         words, counts = np.unique(np.append(tokens, BEGIN), return_counts=True)
         counts[words == BEGIN] = 0  # a context, but never a token
         pairs, pair_counts = np.unique(pair_keys(before, tokens), return_counts=True)
-        return _frame([*_blocks(WORDS, bits, words, counts), *_blocks(PAIRS, bits, pairs, pair_counts)])
+        return pa.RecordBatch.from_pandas(_frame([*_blocks(WORDS, bits, words, counts), *_blocks(PAIRS, bits, pairs, pair_counts)]),
+                                          schema=_ARROW, preserve_index=False)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for frame in frames:
-            for text in frame["text"]:
-                held.append(text)
-                size += len(text or "") // 6 + 1
+        for batch in batches:
+            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
+                tokens, before, _ = _joined(part.column("text").to_pylist())
+                held.append((tokens, before))
+                size += len(tokens)
                 if size >= most_tokens:
                     yield blocks(held)
                     held, size = [], 0
@@ -277,9 +280,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Count all of ``docs`` (whole texts, null: empty) into a model in the shared folder."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    bits = max(0, texts.rdd.getNumPartitions() - 1).bit_length()  # as many buckets as input partitions, about
+    bits = texts.rdd.getNumPartitions().bit_length()  # one or two buckets for each input partition
     uri = scratch_path(spark, "lm")
-    blocks = texts.mapInPandas(_counted(bits), _BLOCK).groupBy("kind", "bucket")
+    blocks = texts.mapInArrow(_counted(bits), _BLOCK).groupBy("kind", "bucket")
     parts = materialize(blocks.applyInPandas(_merged(bits, uri), _BLOCK), "lm-parts")
     ends = parts.where(F.col("kind") != NUMBERS).groupBy("bucket").applyInPandas(_word_arrays(uri), _BLOCK)
     ends = materialize(ends, "lm-ends")

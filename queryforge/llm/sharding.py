@@ -68,8 +68,8 @@ def shard(docs: DataFrame, shards: int = 16, law: str = "bytes", ranges: int = 2
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: not the ``key`` law).
 
     ``size`` is the UTF-8 length of the text plus 1.  Law ``bytes`` puts a row into the
-    shard in which its first byte falls when all rows lie end to end in key order, so shard sizes
-    differ by less than the largest row; law ``rows`` does the same with row numbers, so counts differ
+    shard in which its first byte falls when all rows lie end to end in key order, so a shard's
+    size differs from an even share by less than the largest row; law ``rows`` does the same with row numbers, so counts differ
     by one at most.  Equal texts are neighbours: a group is split only where a shard ends inside it.
     ``slot`` counts from 0 without gaps in each shard.  A null text is empty (CRC 0, size 1), a null
     doc_id sorts first, rows that repeat a key take neighbouring slots; an empty table gives no rows.
