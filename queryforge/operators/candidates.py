@@ -22,10 +22,10 @@ from queryforge.functions import text as X
 from queryforge.operators.grading import grade_positional
 from queryforge.operators.reward import with_step_reward
 from queryforge.operators.scan import ordinal
+from queryforge.operators.screening import analyse_query
 from queryforge.session import checkpoint_dir
 from queryforge.sources.tables import local_frame
 
-MAX_CANDIDATES = 10_000
 RUN_SCHEMA = T.StructType([
     T.StructField("candidate_id", T.LongType(), False),
     T.StructField("success", T.BooleanType(), False),
@@ -54,9 +54,6 @@ def run_candidates(spark: SparkSession, candidates: DataFrame, value_cols: Seque
     set differs contributes no rows to grade (it can only score the empty case).
     """
     checkpoint_dir(spark)
-    n = candidates.count()
-    if n > MAX_CANDIDATES:
-        raise ValueError(f"{n} candidates: execute them in batches of at most {MAX_CANDIDATES}")
     texts = candidates.select(id_col, sql_col, X.write_guard(sql_col).alias("_kw")).collect()
     outcomes, frames = [], []
     want = [c.lower() for c in value_cols]
@@ -67,6 +64,7 @@ def run_candidates(spark: SparkSession, candidates: DataFrame, value_cols: Seque
             outcomes.append((cid, False, None, f"BLOCKED: Only SELECT queries are allowed. '{kw}' is not permitted.", 0.0))
             continue
         try:
+            analyse_query(spark, q)  # a query and no command, checked before it reaches the engine
             df = spark.sql(q)
             names = [c.strip().lower() for c in df.columns]
             if len(set(names)) != len(names):

@@ -1,7 +1,7 @@
 """Episode folds over step tables (WN3-WN6, WN9-WN10, EP1, EP3-EP8, PRJ10).
 
 Plan shape of ``fold_episodes``: one shuffle on the session keys.  Step
-numbers come from ``row_number() <= LONGEST_EPISODE``, which Spark plans with
+numbers come from ``row_number() <= the largest max_steps``, which Spark plans with
 a partial WindowGroupLimit *before* the shuffle: a session can never use more
 steps than the longest task allows (later actions are refused), so even a
 session with a third of all events ships at most 30 rows per map task.  All
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from queryforge.functions import scalar as S
 from queryforge.operators.reward import SUCCESS_GRADE, with_step_reward
 from queryforge.operators.scan import first_k, ordered_scan
-from queryforge.sources.tasks import LONGEST_EPISODE
 
 # --- fixed values: episode texts and thresholds ---
 NO_QUERY_YET = "No query has been submitted yet."
@@ -34,16 +33,19 @@ def fold_episodes(steps: DataFrame, tasks: DataFrame, keys: Sequence[str] = ("se
 
     Input columns: keys, order, task_id, action_type, query, table_name,
     success (of the submitted query), error_message, grade (submits).  The
-    query outcome is kept as ``query_success``; ``success`` is the episode's.  ``tasks`` is the four-row catalog
-    (broadcast by hint: fixed size).  Output: one row per accepted step with
+    query outcome is kept as ``query_success``; ``success`` is the episode's.  ``tasks`` is the task catalog
+    (its largest ``max_steps`` bounds every episode).  Output: one row per accepted step with
     step, prev_best, grade_used, current_score, reward components, is_done,
     success, error_details, current_query, hint, steps_remaining and
     reward_history.
     """
     keys = list(keys)
-    t = F.broadcast(tasks.select(*TASK_COLS))
+    longest = tasks.agg(F.max("max_steps")).first()[0]  # the bound comes from the tasks at hand
+    if longest is None:
+        raise ValueError("tasks without max_steps: the length of an episode is unknown")
+    t = tasks.select(*TASK_COLS)
     s = steps.withColumnRenamed("success", "query_success").join(t, "task_id")
-    s = first_k(s, keys, list(order), LONGEST_EPISODE, name="step").where(F.col("step") <= F.col("max_steps"))
+    s = first_k(s, keys, list(order), int(longest), name="step").where(F.col("step") <= F.col("max_steps"))
 
     w = Window.partitionBy(*keys).orderBy("step")
     before = w.rowsBetween(Window.unboundedPreceding, -1)

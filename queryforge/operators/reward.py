@@ -40,7 +40,7 @@ def reward_columns(action="action_type", grade="grade_used", success="success",
     best score so far for other actions.  ``prev_best`` is the best score before
     this step.
     """
-    a, g = _c(action), _c(grade)
+    a, g = _c(action), F.coalesce(_c(grade), F.lit(0.001))  # an ungraded step counts as the lowest grade
     submit = a == "submit_query"
     zero = F.lit(0.0)
     correctness = F.when(submit, F.least(F.lit(CORRECTNESS_WEIGHT), g * F.lit(CORRECTNESS_WEIGHT))).otherwise(zero)

@@ -49,6 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # Local runs and tests only: the cluster names its own shared folder.
         path = tempfile.mkdtemp(prefix="queryforge-ckpt-")
     if sc.getCheckpointDir() is None:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -43,32 +43,23 @@ def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) ->
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})").select(*cast)
 
 
-_TABLE_CACHE: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table; the scan stays lazy so Catalyst can prune and push down.
-
-    The DataFrame (not its data) is memoised per session and path, so the file
-    listing and footer read happen once however many queries use the table.
     """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (id(spark), path)
-    df = _TABLE_CACHE.get(key)
-    if df is None:
-        df = spark.read.parquet(path)
-        _TABLE_CACHE[key] = df
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names: Iterable[str] | None = None,
                 register: bool = True) -> dict[str, DataFrame]:
     """SRC1: load the named tables (default: all present) and register temp views."""
-    wanted = list(names) if names is not None else [
-        n for n in DRIVER_TABLES if os.path.exists(os.path.join(sf_dir, f"{n}.parquet"))]
     out = {}
-    for n in wanted:
-        df = read_table(spark, sf_dir, n)
+    for n in DRIVER_TABLES if names is None else names:
+        try:
+            df = read_table(spark, sf_dir, n)
+        except AnalysisException as e:  # any store that Spark reads, not the driver's own disk
+            if names is not None or e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
         if register:
             df.createOrReplaceTempView(n)
         out[n] = df
