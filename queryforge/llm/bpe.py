@@ -40,7 +40,7 @@ class Transducer:
     could begin).  States are numbered and their transitions kept, both up to ``most_states``.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 80_000):
         self.ranks, self.bytes_of = ranks, {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
         self.most_states = most_states
@@ -190,7 +190,7 @@ class Utf8Stream:
 class Codec:
     """Splits a text by ``pattern`` and encodes each match; pieces seen before come from a bounded table."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 200_000):
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(ranks)
         self.bytes_of, self.most_pieces = self.transducer.bytes_of, most_pieces
