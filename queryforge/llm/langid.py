@@ -26,6 +26,10 @@ _LETTERS = regex.compile(r"\p{L}+").findall
 UNKNOWN = 1e-8
 
 
+#: Words of up to this many letters are computed together; longer ones are rescaled on the way.
+SHORT = 32
+
+
 @lru_cache(maxsize=4)
 def pieces(path: str) -> tuple[dict[str, int], int]:
     """Number of each lower-case piece of letters in a sentencepiece vocabulary, and the longest piece's length.
@@ -40,6 +44,93 @@ def pieces(path: str) -> tuple[dict[str, int], int]:
     return {p: i for i, p in enumerate(kept)}, max(map(len, kept))
 
 
+class Pieces:
+    """Looks up many substrings at once: the sorted 64-bit hashes of the pieces behind a table of their upper bits."""
+
+    BITS, STEP, MIX = 20, np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, numbers: dict[str, int], longest: int):
+        self.count, self.longest = len(numbers), longest
+        hashes = np.zeros(len(numbers), np.uint64)
+        for piece, i in numbers.items():
+            h = 0
+            for c in piece:
+                h = (h * int(self.STEP) + ord(c)) & 0xFFFFFFFFFFFFFFFF
+            hashes[i] = h
+        hashes *= self.MIX
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        self.filled = np.zeros(1 << self.BITS, bool)
+        self.filled[self.hashes >> np.uint64(64 - self.BITS)] = True
+
+    def arcs(self, marked: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """(end, length) -> the rows of ``marked`` (code points by place and word) with a piece there, and its number."""
+        out, h = {}, np.zeros(marked.shape, np.uint64)
+        for k in range(1, min(self.longest, len(marked)) + 1):
+            h = h[:len(marked) - k + 1] * self.STEP + marked[k - 1:]
+            mixed = h * self.MIX
+            begin, row = np.nonzero(self.filled[mixed >> np.uint64(64 - self.BITS)])
+            asked = mixed[begin, row]
+            at = np.minimum(np.searchsorted(self.hashes, asked), self.count - 1)
+            there = self.hashes[at] == asked
+            begin, row, number = begin[there], row[there], self.order[at[there]]
+            edges = np.searchsorted(begin, np.arange(len(h) + 1))
+            for b, (i, j) in enumerate(zip(edges, edges[1:])):
+                if i < j:
+                    out[b + k, k] = row[i:j], number[i:j]
+        return out
+
+
+class Lattice:
+    """All segmentations of some words of at most ``SHORT`` letters: their pieces by end and length."""
+
+    def __init__(self, words: list[str], pieces: Pieces):
+        self.ends = np.array([len(w) + 1 for w in words])
+        longest = int(self.ends.max())
+        points = np.array(words, f"U{longest - 1}").view(np.uint32).reshape(len(words), -1).T
+        self.arcs = pieces.arcs(np.vstack([np.full(len(words), ord("▁")), points]).astype(np.uint64))
+        self.at, self.places, self.longest = np.arange(len(words)), longest + 1, pieces.longest
+
+    def forward(self, probability: np.ndarray) -> np.ndarray:
+        """Sums up to each place (places, words, columns of ``probability``)."""
+        out = np.zeros((self.places, len(self.at), probability.shape[1]))
+        out[0] = 1
+        for e in range(1, self.places):
+            out[e] = out[e - 1] * UNKNOWN
+            for k in range(1, min(e, self.longest) + 1):
+                if (e, k) in self.arcs:
+                    row, number = self.arcs[e, k]
+                    out[e, row] += out[e - k, row] * probability[number]
+        return out
+
+    def log_likelihood(self, probability: np.ndarray) -> np.ndarray:
+        return np.log(self.forward(probability)[self.ends, self.at])
+
+    def uses(self, probability: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Expected uses of every piece in ``counts`` copies of each word, for one column of probabilities."""
+        ahead = self.forward(probability[:, None])[:, :, 0]
+        behind = np.zeros_like(ahead)
+        behind[self.ends, self.at] = counts / ahead[self.ends, self.at]
+        out = np.zeros(len(probability))
+        for e in range(self.places - 1, 0, -1):
+            behind[e - 1] += behind[e] * UNKNOWN
+            for k in range(1, min(e, self.longest) + 1):
+                if (e, k) in self.arcs:
+                    row, number = self.arcs[e, k]
+                    arc = probability[number] * behind[e, row]
+                    np.add.at(out, number, arc * ahead[e - k, row])
+                    behind[e - k, row] += arc
+        return out
+
+
+def lattices(words: list[str], pieces: Pieces, most: int = 4096) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """(places in ``words``, lattice) for groups of words of like length."""
+    order = np.argsort([len(w) for w in words], kind="stable")
+    for i in range(0, len(order), most):
+        part = order[i:i + most]
+        yield part, Lattice([words[j] for j in part], pieces)
+
+
 def words_of(text: str | None) -> list[str]:
     return _LETTERS((text or "").lower())
 
@@ -68,37 +159,17 @@ def word_likelihood(word: str, numbers: dict[str, int], longest: int, probabilit
     return np.log(ahead[-1]) + shift
 
 
-def expected_pieces(word: str, numbers: dict[str, int], longest: int, probability: np.ndarray) -> dict[int, float]:
-    """Expected uses of each piece in a word of one language, over all segmentations (forward and backward sums)."""
-    marked = "▁" + word
-    n = len(marked)
-    arcs = [(b, e, i) for e in range(1, n + 1) for b in range(max(0, e - longest), e) if (i := numbers.get(marked[b:e])) is not None]
-    forward, backward = np.zeros(n + 1), np.zeros(n + 1)
-    forward[0] = backward[n] = 1.0
-    by_end: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-    for b, e, i in arcs:
-        by_end[e].append((b, i))
-    f = forward.tolist()
-    for e in range(1, n + 1):
-        f[e] = f[e - 1] * UNKNOWN + sum(f[b] * probability[i] for b, i in by_end[e])
-    g = backward.tolist()
-    for e in range(n, 0, -1):
-        g[e - 1] += g[e] * UNKNOWN
-        for b, i in by_end[e]:
-            g[b] += g[e] * probability[i]
-    out: dict[int, float] = {}
-    for b, e, i in arcs:
-        use = f[b] * probability[i] * g[e] / f[n]
-        if use > 1e-6:
-            out[i] = out.get(i, 0.0) + use
-    return out
+def expected_pieces(word: str, numbers: dict[str, int], longest: int, probability: list[float]) -> dict[int, float]:
+    """Expected uses of each piece in a word of at most ``SHORT`` letters of one language, over all segmentations."""
+    found = Lattice([word], Pieces(numbers, longest)).uses(np.asarray(probability), np.ones(1))
+    return {int(i): float(found[i]) for i in np.flatnonzero(found)}
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            counts.update((lang, w) for w in words_of(text) if len(w) <= 40)  # longer runs of letters teach nothing about pieces
+            counts.update((lang, w) for w in words_of(text) if len(w) <= SHORT)  # longer runs of letters teach nothing about pieces
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()),
                                           pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -128,16 +199,16 @@ def train(docs: DataFrame, path: str, most_docs: int = 400, rounds: int = 2, smo
         sent = spark.sparkContext.broadcast(probability)  # vocabulary x languages
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = [c.tolist() for c in sent.value.T]
-            numbers, longest = pieces(path)
-            uses: Counter = Counter()
+            table = Pieces(*pieces(path))
+            uses = np.zeros((len(langs), table.count))
             for batch in batches:
-                for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    at = column[lang]
-                    for piece, use in expected_pieces(word, numbers, longest, own[at]).items():
-                        uses[at, piece] += use * n
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in uses], pa.int32()), pa.array([k[1] for k in uses], pa.int32()),
-                                              pa.array(list(uses.values()), pa.float64())], ["lang", "piece", "uses"])
+                for lang, own in batch.to_pandas().groupby("lang"):
+                    counts, at = own["n"].to_numpy(float), column[lang]
+                    for part, lattice in lattices(own["word"].tolist(), table):
+                        uses[at] += lattice.uses(np.ascontiguousarray(sent.value[:, at]), counts[part])
+            at, piece = np.nonzero(uses)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(piece, pa.int32()), pa.array(uses[at, piece])],
+                                             ["lang", "piece", "uses"])
 
         found = (counted.mapInArrow(expect, "lang int, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses"))
                  .toPandas())  # at most vocabulary x languages rows
@@ -153,28 +224,41 @@ class Scorer:
     def __init__(self, langs: list[str], probability: np.ndarray, path: str, most_words: int = 300_000):
         self.langs, self.probability, self.most_words = langs, probability, most_words
         self.numbers, self.longest = pieces(path)
+        self.pieces = Pieces(self.numbers, self.longest)
         self.known: dict[str, int] = {}
-        self.table = np.empty((1024, len(langs)))
-
-    def _learn(self, word: str) -> int:
-        at = self.known[word] = len(self.known)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[at] = word_likelihood(word, self.numbers, self.longest, self.probability)
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.langs:
-            return "und", 0.0
+        self.table = np.empty((0, len(langs)))
+
+    def _learn(self, words: list[str]) -> None:
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words))))
+        if len(self.known) > len(self.table):
+            self.table = np.concatenate([self.table[:first], np.empty((len(self.known), len(self.langs)))])
+        new = self.table[first:first + len(words)]
+        short = np.array([i for i, w in enumerate(words) if len(w) <= SHORT], int)
+        for part, lattice in lattices([words[i] for i in short], self.pieces):
+            new[short[part]] = lattice.log_likelihood(self.probability)
+        for i, word in enumerate(words):
+            if len(word) > SHORT:
+                new[i] = word_likelihood(word, self.numbers, self.longest, self.probability)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, its share of the likelihood) of each text."""
+        listed = [words_of(t) if self.langs else [] for t in texts]
         if len(self.known) > self.most_words:
             self.known.clear()
-        get = self.known.get
-        at = [i if (i := get(w)) is not None else self._learn(w) for w in words]
-        total = self.table[at].sum(axis=0)
-        weight = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.langs[best], float(weight[best] / weight.sum())
+        new = set().union(*listed).difference(self.known)
+        if new:
+            self._learn(list(new))
+        out = []
+        for words in listed:
+            if not words:
+                out.append(("und", 0.0))
+                continue
+            total = self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            weight = np.exp(total - total.max())
+            best = int(total.argmax())
+            out.append((self.langs[best], float(weight[best] / weight.sum())))
+        return out
 
 
 def identify(docs: DataFrame, langs: list[str], probability: np.ndarray, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,9 +272,10 @@ def identify(docs: DataFrame, langs: list[str], probability: np.ndarray, path: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value, path)
         for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()),
-                                              pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
+                found = scorer.predict(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x[0] for x in found], pa.string()),
+                                                  pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double")

@@ -149,6 +149,36 @@ def test_segmentation_sums():
     assert np.isfinite(langid.word_likelihood("ab" * 5000, numbers, 2, p)).all()
 
 
+def test_grouped_segmentation_sums_equal_single_words():
+    import numpy as np
+
+    path, rnd = public_tokenizers.path("piece_bpe_32k.model"), random.Random(3)
+    numbers, longest = langid.pieces(path)
+    p = np.random.default_rng(3).dirichlet(np.ones(len(numbers)), 3).T
+    words = ["".join(rnd.choice("etaoinshrdé漢") for _ in range(rnd.choice([1, 2, 5, 9, 31, 32, 33, 70]))) for _ in range(200)]
+    scorer = langid.Scorer(["a", "b", "c"], p, path)
+    scorer.predict([" ".join(words), "x"])
+    for w in words:
+        assert np.allclose(scorer.table[scorer.known[w]], langid.word_likelihood(w, numbers, longest, p), rtol=1e-12)
+    short = [w for w in set(words) if len(w) <= langid.SHORT]
+    table, total = langid.Pieces(numbers, longest), np.zeros(len(numbers))
+    for part, lattice in langid.lattices(short, table, most=16):
+        total += lattice.uses(p[:, 0], np.ones(len(part)))
+    own = p[:, 0].tolist()
+    again = np.zeros(len(numbers))
+    for w in short:  # the expected uses are how the likelihood answers to each piece's log probability
+        marked, n = "▁" + w, len(w) + 1
+        f, g = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        arcs = [(b, e, numbers[marked[b:e]]) for b in range(n) for e in range(b + 1, min(n, b + longest) + 1) if marked[b:e] in numbers]
+        for e in range(1, n + 1):
+            f[e] = f[e - 1] * langid.UNKNOWN + sum(f[b] * own[i] for b, x, i in arcs if x == e)
+        for b in range(n - 1, -1, -1):
+            g[b] = g[b + 1] * langid.UNKNOWN + sum(g[e] * own[i] for x, e, i in arcs if x == b)
+        for b, e, i in arcs:
+            again[i] += f[b] * own[i] * g[e] / f[n]
+    assert np.allclose(total, again, rtol=1e-9)
+
+
 def test_languages_held_out(spark):
     got = queries.op4_language_id(spark, SF_CHECK).join(spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = [r["lang"] == r["lang_pred"] for r in got.where("held_out").collect()]
