@@ -40,7 +40,7 @@ class Transducer:
     could begin).  States are numbered and their transitions kept, both up to ``most_states``.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 80_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000):
         self.ranks, self.bytes_of = ranks, {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
         self.most_states = most_states
@@ -53,6 +53,10 @@ class Transducer:
         self._number = {self._states[0]: 0}
         self._steps: dict[int, tuple[int, tuple[int, ...]]] = {}
 
+    def release(self) -> None:
+        self._fit = {}
+        self._forget()
+
     def _merge(self, piece: bytes) -> list[int]:
         """Plain merging, for the joined bytes of at most two tokens."""
         parts = [piece[i:i + 1] for i in range(len(piece))]
@@ -68,7 +72,7 @@ class Transducer:
         key = (left, right)
         fit = self._fit.get(key)
         if fit is None:
-            if len(self._fit) >= 4 * self.most_states:
+            if len(self._fit) >= self.most_states:
                 self._fit.clear()
             if left == _NONE:
                 fit = self._merge(self.bytes_of[right]) == [right]
@@ -190,7 +194,7 @@ class Utf8Stream:
 class Codec:
     """Splits a text by ``pattern`` and encodes each match; pieces seen before come from a bounded table."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 100_000):
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(ranks)
         self.bytes_of, self.most_pieces = self.transducer.bytes_of, most_pieces
@@ -208,6 +212,11 @@ class Codec:
             out += known(piece) or self._piece(piece)
         return out
 
+    def release(self) -> None:
+        """Forget what was learnt from texts; the vocabulary stays."""
+        self.pieces = {}
+        self.transducer.release()
+
     def decode_stream(self, ids: Iterable[int], chunk: int = 4096) -> Iterator[str]:
         """The text of ``ids`` in parts, each made of whole characters."""
         stream, ids = Utf8Stream(), list(ids)
@@ -226,17 +235,20 @@ def _codec(path: str, pattern: str) -> Codec:
 def _tokens(path: str, pattern: str, digests: bool, rows: int = 64):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
-        for batch in batches:
-            for part in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)):
-                ids = [codec.encode(t.as_py()) for t in part.column("text")]
-                if not digests:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-                    continue
-                sha = lambda parts: (h := hashlib.sha256(), [h.update(p) for p in parts])[0].hexdigest()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([sha([" ".join(map(str, x)).encode()]) for x in ids]),
-                     pa.array([sha(t.encode() for t in codec.decode_stream(x)) for x in ids])],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                for part in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)):
+                    ids = [codec.encode(t.as_py()) for t in part.column("text")]
+                    if not digests:
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                        continue
+                    sha = lambda parts: (h := hashlib.sha256(), [h.update(p) for p in parts])[0].hexdigest()
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([sha([" ".join(map(str, x)).encode()]) for x in ids]),
+                         pa.array([sha(t.encode() for t in codec.decode_stream(x)) for x in ids])],
+                        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:  # the worker lives on: later stages need the memory
+            codec.release()
     return run
 
 
