@@ -72,7 +72,7 @@ class Transducer:
         key = (left, right)
         fit = self._fit.get(key)
         if fit is None:
-            if len(self._fit) >= self.most_states:
+            if len(self._fit) >= 4 * self.most_states:
                 self._fit.clear()
             if left == _NONE:
                 fit = self._merge(self.bytes_of[right]) == [right]
@@ -194,7 +194,7 @@ class Utf8Stream:
 class Codec:
     """Splits a text by ``pattern`` and encodes each match; pieces seen before come from a bounded table."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 400_000):
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(ranks)
         self.bytes_of, self.most_pieces = self.transducer.bytes_of, most_pieces
@@ -232,7 +232,7 @@ def _codec(path: str, pattern: str) -> Codec:
         return Codec(read_ranks(f), pattern)
 
 
-def _tokens(path: str, pattern: str, digests: bool, rows: int = 64):
+def _tokens(path: str, pattern: str, digests: bool, keep_tables: bool = True, rows: int = 64):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
         try:
@@ -247,8 +247,9 @@ def _tokens(path: str, pattern: str, digests: bool, rows: int = 64):
                         [part.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([sha([" ".join(map(str, x)).encode()]) for x in ids]),
                          pa.array([sha(t.encode() for t in codec.decode_stream(x)) for x in ids])],
                         ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        finally:  # the worker lives on: later stages need the memory
-            codec.release()
+        finally:
+            if not keep_tables:
+                codec.release()
     return run
 
 
@@ -260,13 +261,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return doc_rows(docs, id_col, text_col).mapInArrow(_tokens(path, pattern, False), "doc_id bigint, ids array<int>")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, keep_tables: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by one blank) and decoded_sha256 (the decoded bytes) of every row.
 
     A null text counts as empty; null and repeated doc_ids pass through, one row each; other columns are ignored.
+    ``keep_tables`` leaves what a task learnt to the worker's next task, for speed; without it the memory is free for
+    other stages.  The rows are the same.
     """
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return doc_rows(docs, id_col, text_col).mapInArrow(_tokens(path, pattern, True), schema)
+    return doc_rows(docs, id_col, text_col).mapInArrow(_tokens(path, pattern, True, keep_tables), schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
