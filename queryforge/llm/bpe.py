@@ -118,9 +118,9 @@ class Transducer:
             still.append(len(open_))
         cut = self._settle(path, still)
         out = self._trail(path, cut)
-        if cut:  # positions that are no longer live never count again
-            alive = set(still)
-            path = tuple(t if i + 1 in alive or self._on_trail(path, still, i + 1) else _NONE for i, t in enumerate(path))[cut:]
+        if cut:  # positions on no trail of a live one never count again
+            kept = self._on_trails(path, still, cut)
+            path = tuple(t if i in kept else _NONE for i, t in enumerate(path[cut:], cut + 1))
             open_, still = open_[cut:], [s - cut for s in still]
             settled = out[-1]
         if 0 not in still:
@@ -136,13 +136,14 @@ class Transducer:
             self._steps[number << 8 | byte] = to, tuple(out)
         return to, tuple(out)
 
-    def _on_trail(self, path: tuple[int, ...], live: list[int], position: int) -> bool:
+    def _on_trails(self, path: tuple[int, ...], live: list[int], cut: int) -> set[int]:
+        """Positions after ``cut`` on the trails of the live positions."""
+        seen: set[int] = set()
         for end in live:
-            while end > position:
+            while end > cut and end not in seen:
+                seen.add(end)
                 end -= self.length[path[end - 1]]
-            if end == position:
-                return True
-        return False
+        return seen
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one piece; a piece that is itself a token is that token."""
@@ -192,29 +193,32 @@ class Utf8Stream:
 
 
 class Codec:
-    """Splits a text by ``pattern`` and encodes each match; pieces seen before come from a bounded table."""
+    """Splits a text by ``pattern`` and encodes each match; pieces seen before come from a table of two bounded halves."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 400_000, most_states: int = 300_000):
         self.split = regex.compile(pattern).findall
-        self.transducer = Transducer(ranks)
+        self.transducer = Transducer(ranks, most_states)
         self.bytes_of, self.most_pieces = self.transducer.bytes_of, most_pieces
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        if len(self.pieces) >= self.most_pieces:
-            self.pieces.clear()
-        ids = self.pieces[piece] = tuple(self.transducer.encode(piece.encode()))
+        """Half of the bound holds the newest pieces, half those before; pieces met again move to the newer half."""
+        if 2 * len(self.pieces) >= self.most_pieces:
+            self.pieces, self.older = {}, self.pieces
+        ids = self.older.get(piece) or tuple(self.transducer.encode(piece.encode()))
+        self.pieces[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> list[int]:
-        out, known = [], self.pieces.get
+        out = []
         for piece in self.split(text or ""):
-            out += known(piece) or self._piece(piece)
+            out += self.pieces.get(piece) or self._piece(piece)
         return out
 
     def release(self) -> None:
         """Forget what was learnt from texts; the vocabulary stays."""
-        self.pieces = {}
+        self.pieces, self.older = {}, {}
         self.transducer.release()
 
     def decode_stream(self, ids: Iterable[int], chunk: int = 4096) -> Iterator[str]:
@@ -226,15 +230,15 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def _codec(path: str, pattern: str) -> Codec:
-    """One codec per Python worker and vocabulary."""
+def _codec(path: str, pattern: str, *sizes: int) -> Codec:
+    """One codec per Python worker, vocabulary and table sizes."""
     with open(path, "rb") as f:
-        return Codec(read_ranks(f), pattern)
+        return Codec(read_ranks(f), pattern, *sizes)
 
 
-def _tokens(path: str, pattern: str, digests: bool, keep_tables: bool = True, rows: int = 64):
+def _tokens(path: str, pattern: str, digests: bool, keep_tables: bool = True, sizes: tuple[int, ...] = (), rows: int = 64):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, pattern)
+        codec = _codec(path, pattern, *sizes)
         try:
             for batch in batches:
                 for part in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)):
@@ -261,15 +265,16 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return doc_rows(docs, id_col, text_col).mapInArrow(_tokens(path, pattern, False), "doc_id bigint, ids array<int>")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, keep_tables: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, keep_tables: bool = True, most_pieces: int = 400_000, most_states: int = 300_000,
+               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by one blank) and decoded_sha256 (the decoded bytes) of every row.
 
     A null text counts as empty; null and repeated doc_ids pass through, one row each; other columns are ignored.
     ``keep_tables`` leaves what a task learnt to the worker's next task, for speed; without it the memory is free for
-    other stages.  The rows are the same.
+    other stages.  ``most_pieces`` and ``most_states`` bound the tables of a worker.  The rows are the same.
     """
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return doc_rows(docs, id_col, text_col).mapInArrow(_tokens(path, pattern, True, keep_tables), schema)
+    return doc_rows(docs, id_col, text_col).mapInArrow(_tokens(path, pattern, True, keep_tables, (most_pieces, most_states)), schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
