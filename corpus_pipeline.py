@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from queryforge.llm import bpe, decontam, exact_dedup, near_dedup, toxicity
-from queryforge.llm.common import scratch_path
+from queryforge.llm.common import scratch_path, short_batches
 
 #: A linear model, hashed sketches and a tokenizer are no SQL: the stages are tested against brute force.
 ORACLE_SQL = None
@@ -14,6 +14,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more go; the model learns from the labelled ones among ``docs``."""
+    short_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model, threshold=0.7)
 
@@ -25,6 +26,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates (five words, 0.8) stays."""
+    short_batches(spark)
     return near_dedup.drop_near_duplicates(docs, shingle=5, percent=80)
 
 
@@ -35,6 +37,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept texts as token ids, decoded again: counts and digests; small tables, since the stages share their workers."""
+    short_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_tables=False,
                           most_pieces=120_000, most_states=100_000)
 

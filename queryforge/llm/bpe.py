@@ -53,10 +53,6 @@ class Transducer:
         self._number = {self._states[0]: 0}
         self._steps: dict[int, tuple[int, tuple[int, ...]]] = {}
 
-    def release(self) -> None:
-        self._fit = {}
-        self._forget()
-
     def _merge(self, piece: bytes) -> list[int]:
         """Plain merging, for the joined bytes of at most two tokens."""
         parts = [piece[i:i + 1] for i in range(len(piece))]
@@ -216,11 +212,6 @@ class Codec:
             out += self.pieces.get(piece) or self._piece(piece)
         return out
 
-    def release(self) -> None:
-        """Forget what was learnt from texts; the vocabulary stays."""
-        self.pieces, self.older = {}, {}
-        self.transducer.release()
-
     def decode_stream(self, ids: Iterable[int], chunk: int = 4096) -> Iterator[str]:
         """The text of ``ids`` in parts, each made of whole characters."""
         stream, ids = Utf8Stream(), list(ids)
@@ -252,8 +243,10 @@ def _tokens(path: str, pattern: str, digests: bool, keep_tables: bool = True, si
                          pa.array([sha(t.encode() for t in codec.decode_stream(x)) for x in ids])],
                         ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         finally:
-            if not keep_tables:
-                codec.release()
+            if not keep_tables:  # the memory goes back to the system, not to the worker's next task
+                _codec.cache_clear()
+                del codec
+                pa.default_memory_pool().release_unused()
     return run
 
 

@@ -28,6 +28,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """At most ``rows`` rows in an Arrow batch from now on in this session, so whole texts of one batch stay small.
+
+    Spark has this as a session setting only; a smaller value of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
 def sized(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     """``df`` (a materialised table of narrow rows) with a broadcast hint if it has at most ``most_rows`` rows.
 
