@@ -99,6 +99,13 @@ def test_bpe_equals_tiktoken(spark):
     assert bpe.encode(table.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_small_and_dropped_tables_change_no_rows(spark):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    args = (docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    small = bpe.round_trip(*args, keep_tables=False, most_pieces=40, most_states=50)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, bpe.round_trip(*args).collect()))
+
+
 def test_utf8_stream_holds_unfinished_characters():
     data = "aé漢🙂z".encode()
     stream = bpe.Utf8Stream()
