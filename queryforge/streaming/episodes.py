@@ -1,17 +1,24 @@
 """EP2: the episode fold as a Structured Streaming job (keyed state per session).
 
 ``readStream`` -> steps rule (stream-static broadcast join with the task
-catalog) -> ``groupBy(session).applyInPandasWithState`` -> reward columns
-(JVM expressions, after the stateful operator) -> sink.
-
-State per session is small and bounded: step count, best score, done flag,
-current query and the last action's error.  Inside a micro-batch the rows of a
-session arrive as an iterator of Arrow batches; the function keeps only the
-first ``max_steps - steps_taken`` rows in (ts, event_id) order while reading
-them (later rows would be refused anyway), so a very active session never
-materialises whole in one task.  Idle sessions are dropped after a processing
-time timeout (the declared 300 s episode limit); no watermark is used, so no
-event is discarded as late.
+catalog) -> ``groupBy(session).applyInPandasWithState`` -> fold -> reward columns.
+
+State per session is small and bounded: its first rows in (ts, event_id) order, at
+most as many as the longest task has steps.  A row that arrives late but stands
+earlier displaces a later one, so neither the files nor the micro-batches a row
+comes in change the result.  No session is forgotten when idle: that would restart
+its step budget.
+
+* ``run_stream_fold`` reads a whole table.  Its stream only fills the state; when
+  the input is at its end, the kept rows are read from the state store and folded
+  by ``fold_episodes``.
+* ``fold_stream`` runs without end.  A row is folded and emitted once the watermark
+  has passed it, since no earlier one can follow.  What arrives behind the
+  watermark is dropped by Spark, so ``delay`` must cover the lateness of the source.
+
+Inside a micro-batch the rows of a session arrive as an iterator of Arrow batches
+and are cut to the rows still needed while they are read, so a very active session
+never materialises whole in one task.
 """
 
 from __future__ import annotations
@@ -20,18 +27,30 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from queryforge.operators.episodes import LAST_STEP_SUCCESS, NO_QUERY_YET
+from queryforge.operators.episodes import LAST_STEP_SUCCESS, NO_QUERY_YET, fold_episodes
 from queryforge.operators.reward import SUCCESS_GRADE, with_step_reward
 from queryforge.session import checkpoint_dir
 from queryforge.sources.tasks import task_catalog
 
-IDLE_TIMEOUT_MS = 300_000
 MIN_SCORE = 0.001
+#: Stands for a null ts or event_id in the state: before all others, as in the batch fold's order.
+NULL_FIRST = -2 ** 63
+
+ROW_SCHEMA = T.StructType([
+    T.StructField("at", T.LongType()),  # microseconds of ts
+    T.StructField("tie", T.LongType()),  # event_id
+    T.StructField("task_id", T.StringType()),
+    T.StructField("action_type", T.StringType()),
+    T.StructField("query", T.StringType()),
+    T.StructField("success", T.BooleanType()),
+    T.StructField("error_message", T.StringType()),
+    T.StructField("grade", T.DoubleType()),
+])
 
 STATE_SCHEMA = T.StructType([
     T.StructField("steps", T.IntegerType()),
@@ -39,19 +58,18 @@ STATE_SCHEMA = T.StructType([
     T.StructField("done", T.BooleanType()),
     T.StructField("current_query", T.StringType()),
     T.StructField("last_error", T.StringType()),
+    T.StructField("waiting", T.ArrayType(ROW_SCHEMA)),
 ])
 
-OUT_SCHEMA = T.StructType([
+FOLDED_SCHEMA = T.StructType([
     T.StructField("session_id", T.LongType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("event_id", T.LongType()),
+    T.StructField("at", T.LongType()),
+    T.StructField("tie", T.LongType()),
     T.StructField("task_id", T.StringType()),
     T.StructField("action_type", T.StringType()),
     T.StructField("query", T.StringType()),
     T.StructField("query_success", T.BooleanType()),
     T.StructField("error_message", T.StringType()),
-    T.StructField("tables", T.ArrayType(T.StringType())),
-    T.StructField("max_steps", T.IntegerType()),
     T.StructField("step", T.LongType()),
     T.StructField("prev_best", T.DoubleType()),
     T.StructField("grade_used", T.DoubleType()),
@@ -60,99 +78,139 @@ OUT_SCHEMA = T.StructType([
     T.StructField("success", T.BooleanType()),
     T.StructField("error_details", T.StringType()),
     T.StructField("current_query", T.StringType()),
-    T.StructField("hint_shown", T.StringType()),
-    T.StructField("steps_remaining", T.LongType()),
 ])
 
-_IN_COLS = ["session_id", "ts", "event_id", "task_id", "action_type", "query", "success", "error_message", "grade",
-            "tables", "max_steps", "hint", "hint_step", "broken_query"]
+OUT_COLS = ["session_id", "ts", "event_id", "task_id", "action_type", "query", "query_success", "error_message", "tables",
+            "max_steps", "step", "prev_best", "grade_used", "current_score", "is_done", "success", "error_details",
+            "current_query", "hint_shown", "steps_remaining", "correctness", "efficiency", "syntax_progress", "schema_bonus",
+            "penalty", "reward", "breakdown"]
+
+
+def _rows(pdf: pd.DataFrame, most: int) -> list[tuple]:
+    """The first ``most`` rows in order, as plain Python values."""
+    first = pdf.sort_values(["at", "tie"], kind="mergesort").head(most)
+    return [(int(r.at), int(r.tie), r.task_id, r.action_type, r.query, None if pd.isna(r.success) else bool(r.success),
+             r.error_message, None if pd.isna(r.grade) else float(r.grade))
+            for r in first[ROW_SCHEMA.fieldNames()].itertuples(index=False)]
 
 
-def _fold_session(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
-                  idle_timeout_ms: int | None = IDLE_TIMEOUT_MS) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    steps, best, done, cur_q, last_err = state.get if state.exists else (0, MIN_SCORE, False, None, None)
-    kept = None
+def _fold_session(key, pdfs: Iterator[pd.DataFrame], state: GroupState, tasks: dict[str, tuple[int, str]],
+                  emit: bool) -> Iterator[pd.DataFrame]:
+    """Keep the first rows of a session; with ``emit``, fold those that the watermark has passed."""
+    steps, best, done, cur_q, last_err, waiting = state.get if state.exists else (0, MIN_SCORE, False, None, None, [])
+    waiting = [tuple(r) for r in waiting]
+    room = max(m for m, _ in tasks.values()) - steps
     for pdf in pdfs:  # always drained, also when the episode is already over
-        if done or not len(pdf):
-            continue
-        room = int(pdf["max_steps"].iloc[0]) - steps
-        part = pdf[_IN_COLS] if kept is None else pd.concat([kept, pdf[_IN_COLS]], ignore_index=True)
-        kept = part.sort_values(["ts", "event_id"], kind="mergesort").head(max(room, 0))
+        if not done and len(pdf):
+            waiting = sorted(waiting + _rows(pdf, room), key=lambda r: r[:2])[:room]
     out = []
-    if kept is not None:
-        for r in kept.itertuples(index=False):
-            if done:
-                break
+    if emit:
+        watermark = state.getCurrentWatermarkMs()  # 0: none yet
+        while waiting and watermark and waiting[0][0] < watermark * 1000 and not done:
+            at, tie, task_id, action, query, ok, error, grade = waiting.pop(0)
+            max_steps, broken_query = tasks[task_id]
             steps += 1
-            submit = r.action_type == "submit_query"
+            if steps > max_steps:
+                continue
+            submit = action == "submit_query"
             prev_best = best
             if submit:
-                grade_used = float(r.grade)
-                cur_q = r.query
-                if grade_used > best:
-                    best = grade_used
+                grade_used, cur_q, best = grade, query, max(best, MIN_SCORE if grade is None else grade)
             else:
                 grade_used = best
-                if r.action_type == "reset_query":
-                    cur_q = r.broken_query
-            err_details = None
-            if r.action_type == "inspect_error":
-                err_details = NO_QUERY_YET if steps == 1 else last_err
-            reached = grade_used >= SUCCESS_GRADE
-            last = steps >= int(r.max_steps)
+                if action == "reset_query":
+                    cur_q = broken_query
+            details = (NO_QUERY_YET if steps == 1 else last_err) if action == "inspect_error" else None
+            reached = grade_used is not None and grade_used >= SUCCESS_GRADE
+            last = steps >= max_steps
             done = reached or last
-            success = reached or (last and best >= LAST_STEP_SUCCESS)
-            last_err = r.error_message if submit else None
-            out.append((r.session_id, r.ts, r.event_id, r.task_id, r.action_type, r.query,
-                        None if pd.isna(r.success) else bool(r.success), r.error_message, list(r.tables),
-                        int(r.max_steps), steps, prev_best, grade_used, best, done, success, err_details, cur_q,
-                        r.hint if steps >= int(r.hint_step) else None, max(0, int(r.max_steps) - steps)))
-    state.update((steps, best, done, cur_q, last_err))
-    if idle_timeout_ms is not None:
-        state.setTimeoutDuration(idle_timeout_ms)
+            last_err = error
+            out.append((*key, at, tie, task_id, action, query, ok, error, steps, prev_best, grade_used, best, done,
+                        reached or (last and best >= LAST_STEP_SUCCESS), details, cur_q))
+        if done:
+            waiting = []
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, watermark) + 1)
+    state.update((steps, best, done, cur_q, last_err, waiting))
     if out:
-        yield pd.DataFrame(out, columns=OUT_SCHEMA.fieldNames())
+        yield pd.DataFrame(out, columns=FOLDED_SCHEMA.fieldNames())
 
 
-def fold_stream(spark: SparkSession, steps: DataFrame, idle_timeout_ms: int | None = IDLE_TIMEOUT_MS) -> DataFrame:
-    """Keyed-state fold of a streaming steps frame; reward columns added after the state.
-
-    ``idle_timeout_ms`` drops a session's state after that much processing time
-    without events (for continuously running queries); ``None`` keeps state
-    without a timeout, which an ``availableNow`` run needs (a processing-time
-    timeout would keep scheduling empty batches and never finish).
-    """
-    t = F.broadcast(task_catalog(spark).select("task_id", "max_steps", "hint", "hint_step", "broken_query", "tables"))
-    s = steps.join(t, "task_id").select(*_IN_COLS)
+def _kept(spark: SparkSession, steps: DataFrame, emit: bool) -> DataFrame:
+    tasks = {r["task_id"]: (r["max_steps"], r["broken_query"])
+             for r in task_catalog(spark).select("task_id", "max_steps", "broken_query").collect()}
+    s = steps.where(F.col("task_id").isin(*tasks)).select(
+        "session_id", *(["ts"] if emit else []), F.coalesce(_micros(steps), F.lit(NULL_FIRST)).alias("at"),
+        F.coalesce("event_id", F.lit(NULL_FIRST)).alias("tie"), *ROW_SCHEMA.fieldNames()[2:])
 
     def fn(key, pdfs, state):
-        return _fold_session(key, pdfs, state, idle_timeout_ms)
+        return _fold_session(key, pdfs, state, tasks, emit)
 
-    timeout = GroupStateTimeout.NoTimeout if idle_timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    folded = s.groupBy("session_id").applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
-    return with_step_reward(folded, success="query_success")
+    timeout = GroupStateTimeout.EventTimeTimeout if emit else GroupStateTimeout.NoTimeout
+    return s.groupBy("session_id").applyInPandasWithState(fn, FOLDED_SCHEMA, STATE_SCHEMA, "append", timeout)
+
+
+def _wall_clock(steps: DataFrame) -> bool:
+    return steps.schema["ts"].dataType.typeName() == "timestamp_ntz"
+
+
+def _micros(steps: DataFrame) -> Column:
+    """``ts`` as microseconds; wall-clock values field by field, as no time zone may move them."""
+    if not _wall_clock(steps):
+        return F.unix_micros("ts")
+    return F.expr("unix_date(to_date(ts)) * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L"
+                  " + cast(extract(SECOND FROM ts) * 1000000 AS bigint)")
+
+
+def _timed(rows: DataFrame, wall_clock: bool) -> DataFrame:
+    """``at`` and ``tie`` as ts and event_id again."""
+    null = F.lit(NULL_FIRST)
+    ts = F.expr("timestampadd(MICROSECOND, at, timestamp_ntz'1970-01-01 00:00:00')") if wall_clock else F.timestamp_micros("at")
+    return rows.withColumns({"ts": F.when(F.col("at") != null, ts),
+                             "event_id": F.when(F.col("tie") != null, F.col("tie"))}).drop("at", "tie")
+
+
+def fold_stream(spark: SparkSession, steps: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Keyed-state fold of a streaming steps frame; reward columns added after the state.
+
+    ``delay``: how late a row may arrive behind the newest ``ts``.  A row is emitted once the watermark
+    has passed it, and then it is final.
+    """
+    if _wall_clock(steps):
+        # watermarks need an instant type: read wall-clock values in the session time zone
+        steps = steps.withColumn("ts", F.col("ts").cast("timestamp"))
+    folded = _timed(_kept(spark, steps.withWatermark("ts", delay), emit=True), wall_clock=False)
+    t = F.broadcast(task_catalog(spark).select("task_id", "max_steps", "hint", "hint_step", "tables"))
+    folded = folded.join(t, "task_id").withColumns({
+        "hint_shown": F.when(F.col("step") >= F.col("hint_step"), F.col("hint")),
+        "steps_remaining": F.greatest(F.lit(0), F.col("max_steps") - F.col("step"))})
+    return with_step_reward(folded, success="query_success").select(*OUT_COLS)
 
 
 def run_stream_fold(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet",
                     max_files_per_trigger: int = 1) -> DataFrame:
     """Run the streaming fold to completion (availableNow) and return the written result.
 
-    Output and checkpoint go under the session's checkpoint folder (shared on a
-    cluster), in a fresh sub-folder per run.
+    ``file_glob`` is a file or a folder of part files.  Output and checkpoint go under the session's
+    checkpoint folder (shared on a cluster), in a fresh sub-folder per run.
     """
     from queryforge.plans.views import steps_from_events
 
-    schema = spark.read.parquet(f"{source_dir}/{file_glob}").schema
-    events = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-              .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
-    out = fold_stream(spark, steps_from_events(spark, events), idle_timeout_ms=None)
+    path = f"{source_dir}/{file_glob}"
+    events = (spark.readStream.schema(spark.read.parquet(path).schema)
+              .option("maxFilesPerTrigger", max_files_per_trigger)
+              .parquet(f"{source_dir}/{{{file_glob}}}"))  # a stream takes a single file by a pattern only
+    steps = steps_from_events(spark, events)
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-fold-{uuid.uuid4().hex}"
-    q = (out.writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/chk").outputMode("append").trigger(availableNow=True).start())
+    q = (_kept(spark, steps, emit=False).writeStream.format("noop").option("checkpointLocation", f"{base}/chk")
+         .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
+    # the input is at its end: no row can displace another any more
+    kept = (spark.read.format("statestore").load(f"{base}/chk")
+            .select(F.col("key.session_id").alias("session_id"), F.explode("value.groupState.waiting").alias("r"))
+            .select("session_id", "r.*"))
+    folded = fold_episodes(_timed(kept, _wall_clock(steps)), task_catalog(spark))
+    folded.select(*OUT_COLS).write.parquet(f"{base}/out")
     return spark.read.parquet(f"{base}/out")
 
 
