@@ -8,8 +8,10 @@
 4. Intersect the lists: a posting at ``pos`` of item word ``q`` puts the item's start
    at ``pos - q``; a place survives when at least two of the item's rare terms agree on
    it (one, for an item of a single word).
-5. Compare the surviving places word by word, which gives the exact windows; the
-   same comparison yields proximity matches (``near_matches``).
+5. Compare the surviving places word by word, which gives the exact windows.
+
+Proximity matches (``near_matches``) use the same index and comparison, but their own
+terms: so many of an item's rarest that every place with enough agreement holds some.
 """
 
 from __future__ import annotations
@@ -52,19 +54,46 @@ def _postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return docs.select(*_KEY, F.posexplode("words").alias("pos", "term")).join(sized(terms), "term")
 
 
-def _places(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, item_key, at): places at which the item's rarest terms agree."""
+def _counts(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(term, count): the corpus postings of every benchmark term that has any."""
     vocabulary = materialize(items.select(F.explode("item_words").alias("term")).distinct(), "terms")
     tokens = docs.select(F.explode("words").alias("term"))
-    counts = materialize(tokens.join(sized(vocabulary), "term").groupBy("term").count(), "term-counts")
-    rare = materialize(_rare_terms(items, counts), "rare-terms")
+    return materialize(tokens.join(sized(vocabulary), "term").groupBy("term").count(), "term-counts")
+
+
+def _starts(docs: DataFrame, rare: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, item_key, at, q): the item's start that each posting of a rare term (term, item_key, q) asks for."""
     index = materialize(_postings(docs, materialize(rare.select("term").distinct(), "index-terms")), "postings")
-    agreed = (index.join(sized(rare), "term").groupBy(*_KEY, "item_key", (F.col("pos") - F.col("q")).alias("at"))
-              .agg(F.count_distinct("q").alias("agree")))
+    return index.join(sized(rare), "term").select(*_KEY, "item_key", (F.col("pos") - F.col("q")).alias("at"), "q")
+
+
+def _places(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, item_key, at): places at which the item's rarest terms agree."""
+    rare = materialize(_rare_terms(items, _counts(docs, items)), "rare-terms")
+    agreed = _starts(docs, rare).groupBy(*_KEY, "item_key", "at").agg(F.count_distinct("q").alias("agree"))
     need = items.select("item_key", F.least(F.lit(2), F.col("k")).alias("need"))
     return materialize(agreed.join(need, "item_key").where("agree >= need").select(*_KEY, "item_key", "at"), "places")
 
 
+def _near_places(docs: DataFrame, items: DataFrame, least_share: float, most_asked: int = 3) -> DataFrame:
+    """(doc_id, text_hash, item_key, at): all places at which ``least_share`` of the item's words can agree.
+
+    Such a place misses at most ``missed`` = n - ceil(least_share * n) of the n words, so of any ``missed + asked``
+    of them, here the rarest, it holds ``asked`` or more.  Words that the corpus lacks come first and have
+    no postings.  ``most_asked`` only weighs postings against places to compare.
+    """
+    needed = F.greatest(F.lit(1), F.ceil(F.lit(least_share) * F.size("item_words") - F.lit(1e-9)))
+    bounds = items.select("item_key", "item_words", F.least(F.lit(most_asked), needed).alias("asked"),
+                          (F.size("item_words") - needed).alias("missed"))
+    terms = bounds.select("item_key", "asked", "missed", F.posexplode("item_words").alias("q", "term"))
+    counted = terms.join(_counts(docs, items), "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("item_key").orderBy("count", "q"))
+    rare = materialize(counted.withColumn("rank", rank).where("rank <= missed + asked and count > 0")
+                       .select("term", "item_key", "q"), "near-terms")
+    agreed = _starts(docs, rare).groupBy(*_KEY, "item_key", "at").agg(F.count_distinct("q").alias("agree"))
+    return materialize(agreed.join(bounds, "item_key").where("agree >= asked").select(*_KEY, "item_key", "at"), "near-places")
+
+
 def _same(at: str = "at") -> Column:
     """For each item word: does the document hold it at its place (beyond either end: no)."""
     return F.expr("transform(sequence(0, size(item_words) - 1), j -> "
@@ -97,12 +126,15 @@ def near_matches(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.8
                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, item, at, share): places where at least ``least_share`` of an item's words stand in their order and distance.
 
-    Such a place is found when two of the rare terms of the item's windows are among the words that agree.
+    ``at`` is the document word at which the item would start; negative where its first words are cut off.
+    Whole items are compared, so ``window`` changes nothing.
     """
+    if not 0 < least_share <= 1:
+        raise ValueError(f"least_share must be above 0 and at most 1, not {least_share}")
     keyed = _keyed(docs, id_col, text_col)
     items = materialize(_items(benchmark, window, item_col, item_text_col), "items")
     share = F.size(F.filter("same", lambda x: x)) / F.size("same")
-    return (_compared(keyed, items, _places(keyed, items)).select(*_KEY, "item", "at", share.alias("share"))
+    return (_compared(keyed, items, _near_places(keyed, items, least_share)).select(*_KEY, "item", "at", share.alias("share"))
             .where(F.col("share") >= least_share).distinct())
 
 

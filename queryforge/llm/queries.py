@@ -57,6 +57,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_query()
+def op5_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the whole documents table where four fifths of a benchmark item's words or more stand in order and distance."""
+    return decontam.near_matches(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
+
+
 @_query(r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents),

@@ -1,6 +1,7 @@
 """Exact duplicates, shards and benchmark windows against plain Python on small tables with awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -82,3 +83,26 @@ def test_windows_against_python(spark):
     near = decontam.near_matches(docs(spark, [(1, " ".join("zz" if i == 20 else f"w{i}" for i in range(30)), None, None, None)]),
                                  spark.createDataFrame(items[:1], "item_id bigint, text string")).collect()
     assert [(r["item"], r["at"]) for r in near] == [("1", 0)] and 0.9 < near[0]["share"] < 1
+
+
+def test_near_matches_against_brute_force(spark):
+    random.seed(3)
+    words = "a b c d e f g h i j k l m n".split()
+    items = [[random.choice(words) for _ in range(n)] for n in (1, 2, 3, 4, 5, 5, 8, 10, 13, 13, 25)]
+    items += [["lacking", *items[8][1:]], [*items[10][:12], "lacking", *items[10][13:]], ["lacking"] * 4]
+    texts = [[random.choice(words) for _ in range(random.randint(0, 60))] for _ in range(30)]
+    for item in items * 3:  # one word changed, or the first one cut off
+        at = random.randrange(len(item))
+        texts += [["a", *item[:at], "other", *item[at + 1:], "b"], item[1:]]
+    table = docs(spark, [(i, " ".join(w), None, None, None) for i, w in enumerate(texts)])
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    for share in (0.8, 0.5, 1.0):
+        want = set()
+        for i, w in enumerate(texts):
+            for j, v in enumerate(items):
+                for at in range(1 - len(v), len(w)):
+                    same = sum(0 <= at + q < len(w) and w[at + q] == x for q, x in enumerate(v))
+                    if same / len(v) >= share:
+                        want.add((i, str(j), at, same / len(v)))
+        got = decontam.near_matches(table, benchmark, least_share=share).drop("text_hash").collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
