@@ -69,15 +69,16 @@ def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              one_of_repeats: bool = True) -> DataFrame:
     """The rows of ``docs`` that ``decided`` (doc_id, text_hash = xxhash64 of the text, kept) keeps, with all their columns.
 
     Dropped keys leave by an anti join.  Where rows repeat both doc_id and text,
-    one of them stays when any was kept.
+    one of them stays when any was kept; without ``one_of_repeats`` (filters) all of them.
     """
     names = docs.columns
     keys = materialize(decided.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("any_kept"), F.count("*").alias("n"))
-                       .where("not any_kept or n > 1"), "decided")
+                       .where("not any_kept or n > 1" if one_of_repeats else "not any_kept"), "decided")
     keys = keys.select(F.col("doc_id").alias("__qf_id"), F.col("text_hash").alias("__qf_hash"), "any_kept")
     rows = docs.withColumns({"__qf_id": F.col(id_col).cast("bigint"), "__qf_hash": F.xxhash64(F.col(text_col).cast("string"))})
 
@@ -86,6 +87,6 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
 
     repeated = keys.where("any_kept")
     out = rows.join(sized(keys), same(keys), "left_anti")
-    if not repeated.isEmpty():
+    if one_of_repeats and not repeated.isEmpty():
         out = out.unionByName(rows.join(sized(repeated), same(repeated), "left_semi").dropDuplicates(["__qf_id", "__qf_hash"]))
     return out.select(*[F.col(f"`{n}`") for n in names])

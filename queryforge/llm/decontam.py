@@ -171,4 +171,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
     """``docs`` without the contaminated documents; all columns stay."""
     names = {"id_col": "doc_id", "text_col": "text", "item_col": "item_id", "item_text_col": "text"} | columns
     decided = _decided(docs, benchmark, window, share, **names)
-    return keep_rows(docs, decided.select(*_KEY, (~F.col("contaminated")).alias("kept")), names["id_col"], names["text_col"])
+    kept = decided.select(*_KEY, (~F.col("contaminated")).alias("kept"))
+    return keep_rows(docs, kept, names["id_col"], names["text_col"], one_of_repeats=False)

@@ -138,4 +138,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents predicted toxic; all columns stay."""
     scored = materialize(score(docs, model, threshold, id_col, text_col), "scores")
-    return keep_rows(docs, scored.select("doc_id", "text_hash", (F.col("predicted") == 0).alias("kept")), id_col, text_col)
+    kept = scored.select("doc_id", "text_hash", (F.col("predicted") == 0).alias("kept"))
+    return keep_rows(docs, kept, id_col, text_col, one_of_repeats=False)

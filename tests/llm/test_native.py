@@ -5,7 +5,9 @@ import random
 import re
 import zlib
 
-from queryforge.llm import decontam, exact_dedup, sharding
+import numpy as np
+
+from queryforge.llm import decontam, exact_dedup, sharding, toxicity
 
 SCHEMA = "doc_id bigint, text string, shard string, kept string, size string"
 ROWS = [(1, "a b", "x", None, None), (2, "ab", "x", None, "9"), (3, None, None, None, None), (4, "", "y", "k", None), (5, "a  b", "x", None, None),
@@ -106,3 +108,19 @@ def test_near_matches_against_brute_force(spark):
                         want.add((i, str(j), at, same / len(v)))
         got = decontam.near_matches(table, benchmark, least_share=share).drop("text_hash").collect()
         assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_filter_stages_keep_repeated_clean_rows(spark):
+    clean, bad = "clean words only", "w1 w2 w3"
+    rows = [(1, clean, "en", "s1", None), (1, clean, "de", "s2", None), (None, clean, "en", "s3", None), (None, clean, "fr", "s4", None),
+            (2, bad, "en", "s5", None), (2, bad, "de", "s6", None), (None, bad, "en", "s7", None), (3, None, "en", "s8", None),
+            (3, None, "de", "s9", None)]
+    table, left = docs(spark, rows), sorted(r[3] for r in rows if r[1] != bad)
+    benchmark = spark.createDataFrame([(1, bad)], "item_id bigint, text string")
+    kept = decontam.drop_contaminated(table, benchmark)
+    assert kept.columns == table.columns and sorted(r[3] for r in kept.collect()) == left
+
+    weights = np.zeros(1 << toxicity.BITS)
+    weights[toxicity.ngrams(bad, (3,))] = 10.0
+    kept = toxicity.drop_toxic(table, toxicity.Model(weights, -5.0, (3,)))
+    assert kept.columns == table.columns and sorted(r[3] for r in kept.collect()) == left
