@@ -4,12 +4,13 @@ All templates and phrases form one automaton whose symbols are words.  A text is
 streamed through it once; at each word the automaton holds the longest match that
 ends there (the matching statistics).  Right-maximal matches of ``least_match`` words
 or more are looked up in the templates and chained in order, which gives the
-covered template span; a template is found when its best chain covers ``least_cover``
-of its words.  Phrases are read off the same states.
+covered template spans; a template is found wherever a chain covers ``least_cover`` of its
+words, as often as chains that do not overlap do.  Phrases are read off the same states.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,15 +139,18 @@ class Automaton:
                 found.append((end, size, state))
         return phrases, found
 
-    def chains(self, found: list[tuple[int, int, int]], gap: int) -> dict[str, tuple[float, int, int]]:
-        """Per template the best chain of matches in order: (share of its words covered, first word, one past the last word)."""
+    def pieces(self, found: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int, int]]]:
+        """Per template its matches as (end in the text, end in the template, words), in order."""
         by_name: dict[str, list[tuple[int, int, int]]] = {}
         for end, size, state in found:
             for name, at in self.ends[state]:
                 by_name.setdefault(name, []).append((end, at, size))
+        return {name: sorted(pieces) for name, pieces in by_name.items()}
+
+    def chains(self, found: list[tuple[int, int, int]], gap: int) -> dict[str, tuple[float, int, int]]:
+        """Per template the best chain of matches in order: (share of its words covered, first word, one past the last word)."""
         out = {}
-        for name, pieces in by_name.items():
-            pieces.sort()
+        for name, pieces in self.pieces(found).items():
             chain: list[tuple[int, int, int, int]] = []  # covered words, first word, end in the text, end in the template
             best = (0, 0, 0)
             for end, at, size in pieces:
@@ -162,6 +166,42 @@ class Automaton:
             out[name] = (best[0] / self.templates[name], -best[1], best[2])
         return out
 
+    def spans(self, name: str, pieces: list[tuple[int, int, int]], gap: int, least_cover: float) -> list[tuple[float, int, int]]:
+        """The chains of a template as in ``chains``, all that reach ``least_cover``: those that do not overlap and cover most in sum."""
+        words = self.templates[name]
+        chains: list[list[tuple[int, int]]] = []  # per piece (first word, covered words) of the chains that end with it, none better in both
+        ends = [end for end, _, _ in pieces]
+        total, chosen = [0], [None]  # best sum over the first pieces; the chain that it ends with
+        for i, (end, at, size) in enumerate(pieces):
+            best = {end - size: min(size, at)}
+            for j in range(i - 1, -1, -1):
+                text_end, template_end, _ = pieces[j]
+                if end - size - text_end > gap:
+                    break
+                new = at - max(template_end, at - size)
+                if text_end < end and template_end < at and new > 0:
+                    for first, before in chains[j]:
+                        best[first] = max(best.get(first, 0), before + new)
+            kept, most = [], 0
+            for first in sorted(best, reverse=True):
+                if best[first] > most:
+                    most = best[first]
+                    kept.append((first, most))
+            chains.append(kept)
+            total.append(total[-1])
+            chosen.append(None)
+            for first, covered in kept:
+                if covered / words >= least_cover and covered + total[before := bisect_right(ends, first, 0, i)] > total[-1]:
+                    total[-1], chosen[-1] = covered + total[before], (covered / words, first, end, before)
+        out, i = [], len(pieces)
+        while i:
+            if chosen[i]:
+                out.append(chosen[i][:3])
+                i = chosen[i][3]
+            else:
+                i -= 1
+        return out[::-1]
+
 
 def _scan(automaton: Automaton, least_match: int, least_cover: float, gap: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()),
@@ -173,7 +213,9 @@ def _scan(automaton: Automaton, least_match: int, least_cover: float, gap: int):
         phrases, found = automaton.matches(words, least_match)
         chains = automaton.chains(found, gap)
         starts, base = [p[0] for p in phrases], {p[2] for p in phrases}
-        spans = [{"template": n, "first": f, "end": e, "cover": c} for n, (c, f, e) in sorted(chains.items()) if c >= least_cover]
+        pieces = automaton.pieces(found)
+        spans = [{"template": n, "first": f, "end": e, "cover": c} for n in sorted(chains) if chains[n][0] >= least_cover
+                 for c, f, e in automaton.spans(n, pieces[n], gap, least_cover)]
         cover = max([c for c, _, _ in chains.values()] + [1.0] * bool(base), default=0.0)
         labels = base | {s["template"] for s in spans}
         return (doc_id, len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
@@ -192,8 +234,8 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = BASE_PHRASES, templa
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     ``n_base``: places where a phrase's words stand consecutively; first/last_word: their least and greatest start
-    (null without any).  ``spans``: templates whose best chain of matches covers ``least_cover`` of their
-    words (at most ``gap`` foreign words between matches); ``labels``: theirs and the phrases'.  ``score``: the
+    (null without any).  ``spans``: every place of a template whose chain of matches covers ``least_cover`` of
+    its words (at most ``gap`` foreign words between matches); ``labels``: theirs and the phrases'.  ``score``: the
     greatest cover of any template, 1 when a phrase stands in the text.  A null or empty text has no words and
     score 0; a null doc_id and repeated rows pass through, one row each; other columns are ignored.
     """

@@ -203,3 +203,18 @@ def test_toxicity_held_out(spark):
     assert sum(r["predicted"] for r in clean) <= 0.02 * len(clean) and len(caught) >= 0.4 * sum(r["toxic"] for r in got)
     none = toxicity.train(docs(spark)[0], spark.createDataFrame([(1, None)], "doc_id bigint, toxic int"))
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs(spark)[0], none).collect())
+
+
+def test_repeated_notices_are_all_spans(spark):
+    apache, mit = [w.decode() for w in licenses.text_words(licenses.NOTICES["apache-2.0"])], licenses.NOTICES["mit"]
+    half = len(apache) // 2
+    hurt_end = apache[:half] + ["zzz"] + apache[half + 1:-2]  # the best single chain takes the good halves of both
+    hurt_start = ["yyy", "yyy"] + apache[2:half] + ["zzz"] + apache[half + 1:]
+    texts = [" ".join([mit] * 1000), f"{mit}. {'other ' * 50} {mit}", " ".join(apache + apache), " ".join(hurt_end + hurt_start), mit, "none"]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    of = lambda i, name: [(s["first"], s["end"]) for s in got[i]["spans"] if s["template"] == name]
+    n = len(licenses.text_words(mit))
+    assert of(0, "mit") == [(n * i, n * i + n) for i in range(1000)] and got[0]["score"] == 1
+    assert of(1, "mit") == [(0, n), (n + 50, 2 * n + 50)] and of(4, "mit") == [(0, n)] and got[5]["spans"] == []
+    m = len(apache)
+    assert of(2, "apache-2.0") == [(0, m), (m, 2 * m)] and len(of(3, "apache-2.0")) == 2
