@@ -69,12 +69,15 @@ def run_artifacts(spark, sf_dir):
     base = _scratch(spark, "artifacts")
     log = V.run_log(spark, sf_dir)
     series = RL.reward_series(log)
-    ov = RL.before_after(QR._samples(spark, sf_dir)).where(F.col("task_id") == "overall").select(
+    samples = QR._samples(spark, sf_dir)
+    ov = RL.before_after(samples).where(F.col("task_id") == "overall").select(
         F.col("before_mean").alias("baseline_avg_reward"), F.col("after_mean").alias("post_avg_reward"),
         F.col("delta").alias("delta_avg_reward"))
     K.write_metrics(K.metrics_frame(series, log), f"{base}/metrics", extra=ov)  # extended like the source
-    K.write_series({"reward_series": series, "loss_series": RL.numeric_series(log, "loss")}, f"{base}/series")
-    K.write_log_csv(log.select("log_idx", "step", "reward", "loss"), f"{base}/log_csv")
+    before_after = {f"{p}_samples": samples.where(F.col("phase") == p) for p in ("before", "after")}
+    K.write_series({"reward_series": series, "loss_series": RL.numeric_series(log, "loss"),
+                    **{name: rows.select(F.col("reward").alias("value")) for name, rows in before_after.items()}}, f"{base}/series")
+    K.write_log_csv(log, f"{base}/log_csv")
     parts = [spark.read.text(f"{base}/{name}").select(F.lit(name).alias("artifact"), F.length("value").alias("chars"))
              for name in ("metrics", "series", "log_csv")]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])

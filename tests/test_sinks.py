@@ -33,3 +33,15 @@ def test_metrics_series_csv(spark):
     ser = spark.read.json(os.path.join(d, "s"))
     assert ser.where("series = 'reward_series'").count() == s.count()
     assert spark.read.option("header", True).csv(os.path.join(d, "c")).count() == log.count()
+
+
+def test_run_artifacts_hold_all_columns_and_series(spark, monkeypatch):
+    from queryforge.plans import q_sources as Q
+    csv, series = [], []
+    monkeypatch.setattr(Q.K, "write_log_csv", lambda df, path, f=Q.K.write_log_csv: (csv.append(df.columns), f(df, path)))
+    monkeypatch.setattr(Q.K, "write_series", lambda s, path, f=Q.K.write_series: (series.append({k: d.count() for k, d in s.items()}), f(s, path)))
+    rows = {r["artifact"]: r["lines"] for r in Q.run_artifacts(spark, SF_SMALL).collect()}
+    assert csv == [V.run_log(spark, SF_SMALL).columns] and len(csv[0]) == 8
+    phases = {r["phase"]: r["count"] for r in V.samples(spark, SF_SMALL).groupBy("phase").count().collect()}
+    assert {k: series[0][f"{k}_samples"] for k in phases} == phases and set(phases) == {"before", "after"}
+    assert len(series[0]) == 4 and rows["series"] == sum(series[0].values())
