@@ -100,7 +100,7 @@ def find_spans(text: str | None, words: dict[str, int], least_cost: float) -> li
         out += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text)]
     if "=" in text or ":" in text:
         out += [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-    if "=" in text or ":" in text or " is " in text:
+    if "=" in text or ":" in text or " is " in text.lower():
         out += [(m.start(1), "guess", m.end(1)) for m in CONTEXT.finditer(text) if len(m[1]) >= 6 and guess_cost(m[1], words) >= least_cost]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 

@@ -218,3 +218,9 @@ def test_repeated_notices_are_all_spans(spark):
     assert of(1, "mit") == [(0, n), (n + 50, 2 * n + 50)] and of(4, "mit") == [(0, n)] and got[5]["spans"] == []
     m = len(apache)
     assert of(2, "apache-2.0") == [(0, m), (m, 2 * m)] and len(of(3, "apache-2.0")) == 2
+
+
+def test_credential_words_in_any_case():
+    text = "The Password IS Xq7vT9zLm2Rk"
+    assert [s[1] for s in secrets.find_spans(text, {}, 8.0)] == ["guess"]
+    assert [s[1:] for s in secrets.find_spans(text + " :", {}, 8.0)] == [s[1:] for s in secrets.find_spans(text, {}, 8.0)]
