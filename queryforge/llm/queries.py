@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontam, exact_dedup, langid, licenses, lm, near_dedup, secrets, sharding, toxicity
+from . import bpe, decontam, exact_dedup, langid, licenses, lm, near_dedup, secrets, sharding, toxicity, warc, whitening
 
 QUERIES = {}
 ORACLE = {}
@@ -126,3 +126,15 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = lm.score(docs, lm.train(docs.where(_fold(10) != 0)))
     return found.select("doc_id", (_fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+@_query()
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through ARC archives into WARC archives and back (DuckDB has no SHA-1 of bytes in base32, so no SQL)."""
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0)
+
+
+@_query()
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened along the four leading components (eigenvectors are no SQL)."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=4)
