@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontam, exact_dedup, langid, licenses, lm, near_dedup, secrets, sharding, toxicity, warc, whitening
+from . import bpe, decontam, exact_dedup, langid, licenses, lm, near_dedup, periodic, secrets, sharding, toxicity, warc, whitening
 
 QUERIES = {}
 ORACLE = {}
@@ -138,3 +141,20 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings whitened along the four leading components (eigenvectors are no SQL)."""
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=4)
+
+
+def _op12_order(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The word order that the contract gives every tenth document: repeated from word a on with period p."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate([np.arange(a), a + np.arange(n - a) % p])
+
+
+@_query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every whole text (a maximal run is no SQL on texts of this length)."""
+    return periodic.collapse_runs(_documents(spark, sf_dir), least_length=6, least_exponent=4, order=_op12_order)
