@@ -2,10 +2,11 @@
 
 ``run_candidates`` is the one place where a driver loop is the right tool:
 each candidate is a *query text* that Spark must parse and plan, so the loop
-runs over a bounded list of texts (checked, never truncated) while every
-query body runs as a distributed Spark job over the full tables.  Results
-come back as DataFrames in long form with explicit positions, ready for the
-grading operators - no result row is collected on the driver.
+runs over the texts - all of them, held on the driver, with no bound - while
+every query body runs as a distributed Spark job over the full tables.  It is
+meant for the presets of a task or one batch of a trainer.  Results come back
+as DataFrames in long form with explicit positions, ready for the grading
+operators - no result row is collected on the driver.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ RUN_SCHEMA = T.StructType([
 def _error_text(e: Exception) -> str:
     cond = getattr(e, "getCondition", None)
     name = cond() if callable(cond) else None
-    first = str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__
-    return f"[{name}] {first}" if name and name not in first else first
+    message = str(e).strip() or type(e).__name__
+    return f"[{name}] {message}" if name and name not in message else message
 
 
 def run_candidates(spark: SparkSession, candidates: DataFrame, value_cols: Sequence[str],
@@ -54,14 +55,14 @@ def run_candidates(spark: SparkSession, candidates: DataFrame, value_cols: Seque
     set differs contributes no rows to grade (it can only score the empty case).
     """
     checkpoint_dir(spark)
-    texts = candidates.select(id_col, sql_col, X.write_guard(sql_col).alias("_kw")).collect()
+    texts = candidates.select(id_col, sql_col, X.guard_message(X.write_guard(sql_col)).alias("_kw")).collect()
     outcomes, frames = [], []
     want = [c.lower() for c in value_cols]
     for r in texts:
         cid, q, kw = r[0], r[1], r[2]
         t0 = time.perf_counter()
         if kw is not None:
-            outcomes.append((cid, False, None, f"BLOCKED: Only SELECT queries are allowed. '{kw}' is not permitted.", 0.0))
+            outcomes.append((cid, False, None, kw, 0.0))
             continue
         try:
             analyse_query(spark, q)  # a query and no command, checked before it reaches the engine

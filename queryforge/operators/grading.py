@@ -92,9 +92,7 @@ def grade_positional(actual: DataFrame, expected: DataFrame, task_key: str, atte
     exp_names = list(expected_names or value_cols)
     m = match_count(actual, expected, task_key, attempt_keys, value_cols, pos)
     n_exp = expected.groupBy(task_key).agg(F.count(F.lit(1)).alias("n_expected"))
-    base = m if attempt_index is None else attempt_index.select(*attempt_keys, task_key).join(
-        m, [*attempt_keys, task_key], "left")
-    g = base.join(n_exp, task_key, "left")
+    g = _with_empty(m, attempt_index, [*attempt_keys, task_key]).join(n_exp, task_key, "left")
     exp_arr = F.array(*[F.lit(n) for n in exp_names])
     if actual_names is not None:
         g = g.join(actual_names, list(name_key or attempt_keys), "left")
@@ -116,15 +114,25 @@ def grade_positional(actual: DataFrame, expected: DataFrame, task_key: str, atte
                     S.py_clamp_round(score).alias("score"))
 
 
+def _with_empty(counts: DataFrame, attempt_index: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Per-attempt counts with a row of null counts for every attempt of the index that has no row; null keys match."""
+    if attempt_index is None:
+        return counts
+    index = attempt_index.select(F.struct(*keys).alias("_attempt")).distinct()
+    found = counts.select(F.struct(*keys).alias("_attempt"), *[c for c in counts.columns if c not in keys])
+    return index.join(found, "_attempt", "left").select("_attempt.*", *[c for c in found.columns if c != "_attempt"])
+
+
 def grade_sorted_tolerant(actual: DataFrame, expected: DataFrame, task_key: str, attempt_keys: Sequence[str],
                           key_col: str, count_col: str, value_col: str, pos: str = "pos",
-                          chunk: Column | None = None) -> DataFrame:
+                          chunk: Column | None = None, attempt_index: DataFrame | None = None) -> DataFrame:
     """GR4/JN10: needs the exact count; both sides sorted by the key text and paired.
 
     A pair matches when the keys agree case-blind, the counts are equal and the
     value is within 1.0 (a null expected accepts null or 0).  Score =
     matches / n, clamped and rounded.  Sorting is a skew-safe ordinal (stable:
-    ties keep the submitted position).
+    ties keep the submitted position).  An attempt of ``attempt_index`` without
+    rows scores 0.001, also where no row is expected.
     """
     attempt_keys = list(attempt_keys)
     a = actual.withColumn("_k", F.coalesce(F.col(key_col).cast("string"), F.lit("")))
@@ -140,9 +148,10 @@ def grade_sorted_tolerant(actual: DataFrame, expected: DataFrame, task_key: str,
     ok = (F.col("_e").isNotNull() & (F.lower(F.col("a_k")) == F.lower(F.col("e_k")))
           & (F.col("a_n").cast("long") == F.col("e_n").cast("long"))
           & S.tolerant_equal("a_v", "e_v", TOLERANCE))
-    g = (j.groupBy(*attempt_keys, task_key).agg(F.count(F.lit(1)).alias("n_actual"), F.count_if(ok).alias("matches"))
+    per = j.groupBy(*attempt_keys, task_key).agg(F.count(F.lit(1)).alias("n_actual"), F.count_if(ok).alias("matches"))
+    g = (_with_empty(per, attempt_index, [*attempt_keys, task_key])
          .join(expected.groupBy(task_key).agg(F.count(F.lit(1)).alias("n_expected")), task_key, "left"))
-    n_a, n_e = F.col("n_actual"), F.coalesce(F.col("n_expected"), F.lit(0))
+    n_a, n_e = F.coalesce(F.col("n_actual"), F.lit(0)), F.coalesce(F.col("n_expected"), F.lit(0))
     matches = F.coalesce(F.col("matches"), F.lit(0))
     score = F.when((n_a == 0) | (n_a != n_e), F.lit(0.0)).otherwise(matches.cast("double") / n_e.cast("double"))
     return g.select(*attempt_keys, task_key, n_a.alias("n_actual"), n_e.alias("n_expected"),
@@ -150,12 +159,13 @@ def grade_sorted_tolerant(actual: DataFrame, expected: DataFrame, task_key: str,
 
 
 def grade_keyed_tiers(actual: DataFrame, expected: DataFrame, task_key: str, attempt_keys: Sequence[str],
-                      name_col: str, value_cols: Sequence[str]) -> DataFrame:
+                      name_col: str, value_cols: Sequence[str], attempt_index: DataFrame | None = None) -> DataFrame:
     """GR5/JN11: keyed lookup with tiers (unclamped, F4).
 
-    Empty 0.0; wrong row count 0.1; every expected key right 1.0; exactly one
-    right 0.7; otherwise 0.5.  A row is right when its name is expected and all
-    values equal ``float(v or 0)``; unknown names are skipped.
+    Empty (an attempt of ``attempt_index`` without rows) 0.0; wrong row count
+    0.1; every expected key right 1.0; exactly one right 0.7; otherwise 0.5.  A
+    row is right when its name is expected and all values equal
+    ``float(v or 0)``; unknown names are skipped.
     """
     attempt_keys = list(attempt_keys)
     a = actual.select(*attempt_keys, task_key, name_col, *[S.zero_default(c).alias(f"a_{c}") for c in value_cols])
@@ -171,8 +181,8 @@ def grade_keyed_tiers(actual: DataFrame, expected: DataFrame, task_key: str, att
         F.count(F.lit(1)).alias("n_actual"),
         F.count_if(known & right).alias("correct"))
     n_exp = expected.groupBy(task_key).agg(F.count(F.lit(1)).alias("n_expected"))
-    g = per.join(n_exp, task_key, "left")
-    n_a, n_e, c = F.col("n_actual"), F.coalesce(F.col("n_expected"), F.lit(0)), F.col("correct")
+    g = _with_empty(per, attempt_index, [*attempt_keys, task_key]).join(n_exp, task_key, "left")
+    n_a, n_e, c = (F.coalesce(F.col(x), F.lit(0)) for x in ("n_actual", "n_expected", "correct"))
     score = (F.when(n_a == 0, F.lit(0.0)).when(n_a != n_e, F.lit(KEYED_WRONG_COUNT))
              .when(c == n_e, F.lit(KEYED_ALL)).when(c == 1, F.lit(KEYED_ONE)).otherwise(F.lit(KEYED_NONE)))
     return g.select(*attempt_keys, task_key, n_a.alias("n_actual"), n_e.alias("n_expected"),

@@ -31,14 +31,14 @@ def _numeric_cols(df: DataFrame) -> list[str]:
 
 
 def _dedup_first(df: DataFrame, order_col: str) -> DataFrame:
-    """WN7: first row per step in log order (partial aggregation, no window)."""
-    return (df.groupBy("step").agg(F.min_by("value", order_col).alias("value"))
-            .select("step", "value"))
+    """WN7: first row per step in log order (partial aggregation, no window); ``order_col`` is that row's."""
+    return (df.groupBy("step").agg(F.min_by("value", order_col).alias("value"), F.min(order_col).alias(order_col))
+            .select("step", "value", order_col))
 
 
 def reward_series(log: DataFrame, order_col: str = "log_idx") -> DataFrame:
     """TL1: (step, value) from ragged log rows: first present step key (SF22), first present
-    reward-like key (SF21), de-duplicated by step keeping the first row."""
+    reward-like key (SF21), de-duplicated by step keeping the first row; ``order_col`` gives the log order."""
     cols = _numeric_cols(log)
     step = S.first_step(log.columns, STEP_KEYS)
     value = S.first_present(cols, REWARD_KEYS, contains="reward")
@@ -89,8 +89,14 @@ def moving_average(series: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 def diagnostics(rewards: DataFrame, losses: DataFrame) -> DataFrame:
     """TL4: reward and loss series aligned on step (full outer)."""
-    return rewards.withColumnRenamed("value", "reward").join(
-        losses.withColumnRenamed("value", "loss"), "step", "full_outer")
+    return rewards.select("step", F.col("value").alias("reward")).join(
+        losses.select("step", F.col("value").alias("loss")), "step", "full_outer")
+
+
+def task_means(ba: DataFrame, column: str, task: str = "task_id", scale: int = 6) -> Column:
+    """TL7: the per-task means of ``before_after`` as one text ``task=mean,..`` in order of the tasks (a scalar subquery)."""
+    text = F.concat_ws("=", task, F.when(F.col("has_before") | F.lit(column != "before_mean"), S.py_fixed(column, scale)).otherwise("null"))
+    return ba.where(F.col(task) != "overall").select(F.array_join(F.sort_array(F.collect_list(text)), ",")).scalar()
 
 
 def phase_means(samples: DataFrame, task: str = "task_id", phase: str = "phase", value: str = "reward",
@@ -103,7 +109,8 @@ def phase_means(samples: DataFrame, task: str = "task_id", phase: str = "phase",
 def before_after(samples: DataFrame, task: str = "task_id", phase: str = "phase", value: str = "reward",
                  before: str = "before", after: str = "after", scale: int = 6) -> DataFrame:
     """TL5: per-task before/after means aligned by a full outer join (missing = 0.0),
-    delta = after - before, plus an unweighted 'overall' row (AG17-AG19, JN8, ST1)."""
+    delta = after - before (null for a task without baseline), plus an unweighted
+    'overall' row (AG17-AG19, JN8, ST1), whose delta is null when no task has one."""
     m = phase_means(samples, task, phase, value, scale)
     b = m.where(F.col(phase) == before).select(task, F.col("mean").alias("before_mean"), F.lit(True).alias("_hb"))
     a = m.where(F.col(phase) == after).select(task, F.col("mean").alias("after_mean"))
@@ -111,12 +118,11 @@ def before_after(samples: DataFrame, task: str = "task_id", phase: str = "phase"
         task, F.coalesce("_hb", F.lit(False)).alias("has_before"),
         F.coalesce("before_mean", F.lit(0.0)).alias("before_mean"),
         F.coalesce("after_mean", F.lit(0.0)).alias("after_mean"))
-    j = j.withColumn("delta", F.round(F.col("after_mean") - F.col("before_mean"), scale))
-    overall = j.agg(F.lit("overall").alias(task), F.lit(True).alias("has_before"),
+    overall = j.agg(F.lit("overall").alias(task), F.coalesce(F.bool_or("has_before"), F.lit(False)).alias("has_before"),
                     F.round(F.avg("before_mean"), scale).alias("before_mean"),
                     F.round(F.avg("after_mean"), scale).alias("after_mean"))
-    overall = overall.withColumn("delta", F.round(F.col("after_mean") - F.col("before_mean"), scale))
-    return append(j, overall)
+    return append(j, overall).withColumn(
+        "delta", F.when(F.col("has_before"), F.round(F.col("after_mean") - F.col("before_mean"), scale)))
 
 
 def histogram(samples: DataFrame, group: str, value: str, bins: int = HIST_BINS, scale: int = 6) -> DataFrame:
@@ -138,10 +144,10 @@ def histogram(samples: DataFrame, group: str, value: str, bins: int = HIST_BINS,
         F.coalesce(F.col("count"), F.lit(0)).alias("count"))
 
 
-def series_summary(series: DataFrame, log: DataFrame) -> DataFrame:
-    """AG22: rows, points, first, last and max of a (step, value) series."""
-    s = series.agg(F.count(F.lit(1)).alias("reward_points"), F.min_by("value", "step").alias("reward_first"),
-                   F.max_by("value", "step").alias("reward_last"), F.max("value").alias("reward_max"))
+def series_summary(series: DataFrame, log: DataFrame, order_col: str = "log_idx") -> DataFrame:
+    """AG22: rows, points, first and last in log order, and max of a series."""
+    s = series.agg(F.count(F.lit(1)).alias("reward_points"), F.min_by("value", order_col).alias("reward_first"),
+                   F.max_by("value", order_col).alias("reward_last"), F.max("value").alias("reward_max"))
     return s.select(log.select(F.count(F.lit(1))).scalar().alias("log_rows"), "*")  # scalar subquery
 
 
@@ -174,6 +180,21 @@ def latency_stats(samples: DataFrame, group: str, value: str, order_tiebreak: st
                                            F.round("_p", 3).alias("p95_ms"), "n")
 
 
+def run_summary(series: DataFrame, log: DataFrame, ba: DataFrame, hard_task: str, task: str = "task_id") -> DataFrame:
+    """TL7: ``series_summary`` and, of a ``before_after``, the overall and hard-task figures and the means of all tasks.
+
+    A baseline that is missing, and a delta to it, is null.
+    """
+    overall, hard = ba.where(F.col(task) == "overall"), ba.where(F.col(task) == hard_task)
+    base = F.when(F.col("has_before"), F.col("before_mean"))
+    one = lambda rows, value: rows.select(F.max(value)).scalar()
+    return series_summary(series, log).select(
+        "*", one(overall, F.col("before_mean")).alias("baseline_avg_reward"), one(overall, F.col("after_mean")).alias("post_avg_reward"),
+        one(overall, F.col("delta")).alias("delta_avg_reward"), one(hard, base).alias("base_hard_reward"),
+        one(hard, F.col("after_mean")).alias("trained_hard_reward"), one(hard, F.col("delta")).alias("delta_hard_reward"),
+        task_means(ba, "before_mean", task).alias("per_task_baseline_reward"), task_means(ba, "after_mean", task).alias("per_task_post_reward"))
+
+
 def capped_mean(samples: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, k: int,
                 scale: int = 6) -> DataFrame:
     """AG16/SL4: mean of the first ``k`` samples per dataset (WindowGroupLimit keeps k per map task)."""

@@ -23,8 +23,9 @@ a lost executor; no sampling-based range partitioning is involved.
 
 Supported kinds: ``count`` (ordinal), ``sum``, ``max``, ``min``, ``last``
 (last non-null so far) and ``lag`` (previous row's value).  Frames are
-"unbounded preceding .. current row" (``lag``: previous row).  Keys must be
-non-null; the order must be total (add a unique tiebreak column).
+"unbounded preceding .. current row" (``lag``: previous row).  A null key is a
+key like any other, and rows whose order column is null come first; the order
+must be total (add a unique tiebreak column).
 
 ``chunked=False`` gives the plain single-window plan, for bounded groups.
 """
@@ -103,10 +104,12 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs
     if not chunked:
         return _plain(df, keys, order, specs)
 
-    d = df.withColumn("_chunk", chunk if chunk is not None else default_chunk(df, order[0]))
+    # key and chunk as one struct: structs with nulls in the same places are equal, so null keys
+    # and chunks group and join like others, on the partitioning that the window has
+    d = df.withColumn("_chunk", F.struct(*keys, (chunk if chunk is not None else default_chunk(df, order[0])).alias("_chunk")))
 
     # Local running values: one shuffle on (key, chunk) and one ordered window pass.
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    w = Window.partitionBy("_chunk").orderBy(*order)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols = {"_lrn": F.row_number().over(w)}
     aggs = []
@@ -137,8 +140,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs
     # Chunk totals: a partial (map-side) aggregate per (key, chunk), so only one
     # small row per chunk and map task is shuffled; then an exclusive prefix over
     # the chunks of each key (at most keys + chunks rows).
-    summary = d.groupBy(*keys, "_chunk").agg(*aggs)
-    pw = Window.partitionBy(*keys).orderBy("_chunk")
+    summary = d.groupBy("_chunk").agg(*aggs)
+    pw = Window.partitionBy(*[f"_chunk.{k}" for k in keys]).orderBy("_chunk._chunk")
     pwr = pw.rowsBetween(Window.unboundedPreceding, -1)
     pcols = {}
     for name, kind in kinds:
@@ -153,9 +156,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs
             pcols[f"_p_{name}"] = F.last(t, ignorenulls=True).over(pwr)
         else:  # lag: last row of the nearest earlier chunk holding this key
             pcols[f"_p_{name}"] = F.lag(t, 1).over(pw)
-    prefix = summary.withColumns(pcols).select(*keys, "_chunk", *pcols)
+    prefix = summary.withColumns(pcols).select("_chunk", *pcols)
 
-    joined = local.join(prefix, on=[*keys, "_chunk"], how="left")
+    joined = local.join(prefix, on="_chunk", how="left")
     out = {}
     for name, kind in kinds:
         lc, pc = F.col(f"_l_{name}"), F.col(f"_p_{name}")

@@ -78,6 +78,12 @@ def nation_result_sets(spark, sf_dir):
     return expected, a1.unionByName(a2).unionByName(a3).unionByName(a4)
 
 
+def attempts_of(spark, sf_dir, table, key, n):
+    """Attempts 1..n+1 of every task: the last one returned no row."""
+    return V.T(spark, sf_dir, table).select(F.col(key).cast("long").alias("task_key"), F.explode(
+        F.array(*[F.lit(i) for i in range(1, n + 2)])).alias("attempt"))
+
+
 _DUCK_NATION_SETS = """
 st AS (SELECT c.c_nationkey, c.c_custkey, c.c_name,
          COUNT_IF(o.o_orderdate >= TIMESTAMP '1997-01-01' AND o.o_orderdate < TIMESTAMP '1998-01-01') AS n97,
@@ -101,7 +107,9 @@ nm AS (SELECT ea.task_key, ea.attempt, COUNT_IF(lower(ea.customer_name) = lower(
           AND CASE WHEN ee.avg_price IS NULL THEN (ea.avg_price IS NULL OR ea.avg_price = 0)
                    ELSE COALESCE(abs(ea.avg_price - ee.avg_price) < 1e0, false) END) AS matches
        FROM ea JOIN ee ON ea.task_key = ee.task_key AND ea.spos = ee.spos GROUP BY ea.task_key, ea.attempt),
-nna AS (SELECT task_key, attempt, COUNT(*) AS n_actual FROM nat_act GROUP BY task_key, attempt),
+nna AS (SELECT i.task_key, i.attempt, COUNT(a.task_key) AS n_actual
+        FROM (SELECT CAST(n_nationkey AS BIGINT) AS task_key, CAST(unnest(range(1, 6)) AS INTEGER) AS attempt FROM nation) i
+        LEFT JOIN nat_act a ON a.task_key = i.task_key AND a.attempt = i.attempt GROUP BY i.task_key, i.attempt),
 nne AS (SELECT task_key, COUNT(*) AS n_expected FROM nat_exp GROUP BY task_key),
 sorted_scores AS (
   SELECT nna.task_key, nna.attempt, nna.n_actual, COALESCE(nne.n_expected, 0) AS n_expected,
@@ -117,14 +125,14 @@ def sorted_scores(spark, sf_dir):
     exp, act = nation_result_sets(spark, sf_dir)
     # names all share the 'Customer#' prefix: chunk the sort on the longer, still order-monotone prefix
     return G.grade_sorted_tolerant(act, exp, "task_key", ["attempt"], "customer_name", "headcount", "avg_price",
-                                   chunk=F.substring(F.col("_k"), 1, 14))
+                                   chunk=F.substring(F.col("_k"), 1, 14), attempt_index=attempts_of(spark, sf_dir, "nation", "n_nationkey", 4))
 
 
 @register("grade_nations_sorted", ("GR4", "JN10", "SF24"), sql=f"""
 WITH {_DUCK_NATION_SETS}
 SELECT * FROM sorted_scores""")
 def grade_nations_sorted(spark, sf_dir):
-    """Sorted-pair tolerant grading of per-nation customer reports (exact count required)."""
+    """Sorted-pair tolerant grading of per-nation customer reports (exact count required); attempt 5 returned no row."""
     return sorted_scores(spark, sf_dir)
 
 
@@ -177,9 +185,10 @@ reg_act AS (SELECT task_key, 1 AS attempt, n_name, total_customer_bal, total_sup
 rj AS (SELECT a.task_key, a.attempt, COALESCE(a.total_customer_bal, 0e0) AS a1, COALESCE(a.total_supplier_bal, 0e0) AS a2,
               e.total_customer_bal AS e1, e.total_supplier_bal AS e2
        FROM reg_act a LEFT JOIN reg_exp e ON a.task_key = e.task_key AND a.n_name = e.n_name),
-rper AS (SELECT task_key, attempt, COUNT(*) AS n_actual,
+rper AS (SELECT i.task_key, i.attempt, COUNT(rj.task_key) AS n_actual,
            COUNT_IF((e1 IS NOT NULL OR e2 IS NOT NULL) AND a1 = COALESCE(e1, 0e0) AND a2 = COALESCE(e2, 0e0)) AS correct
-         FROM rj GROUP BY task_key, attempt),
+         FROM (SELECT CAST(r_regionkey AS BIGINT) AS task_key, CAST(unnest(range(1, 6)) AS INTEGER) AS attempt FROM region) i
+         LEFT JOIN rj ON rj.task_key = i.task_key AND rj.attempt = i.attempt GROUP BY i.task_key, i.attempt),
 rne AS (SELECT task_key, COUNT(*) AS n_expected FROM reg_exp GROUP BY task_key),
 keyed_scores AS (
   SELECT rper.task_key, rper.attempt, rper.n_actual, COALESCE(rne.n_expected, 0) AS n_expected, rper.correct,
@@ -191,14 +200,15 @@ keyed_scores AS (
 def keyed_scores(spark, sf_dir):
     exp, act = region_result_sets(spark, sf_dir)
     return G.grade_keyed_tiers(act, exp, "task_key", ["attempt"], "n_name",
-                               ["total_customer_bal", "total_supplier_bal"])
+                               ["total_customer_bal", "total_supplier_bal"],
+                               attempt_index=attempts_of(spark, sf_dir, "region", "r_regionkey", 4))
 
 
 @register("grade_regions_keyed", ("GR5", "JN11", "SF8"), sql=f"""
 WITH {_DUCK_REGION_SETS}
 SELECT * FROM keyed_scores""")
 def grade_regions_keyed(spark, sf_dir):
-    """Keyed tier grading of per-region fan-trap reports: correct, naive, filtered and renamed attempts."""
+    """Keyed tier grading of per-region fan-trap reports: correct, naive, filtered, renamed and empty attempts."""
     return keyed_scores(spark, sf_dir)
 
 

@@ -15,7 +15,8 @@ _DUCK_SERIES = f"""
 {V.DUCK_RUN_LOG},
 rr AS (SELECT COALESCE(NULLIF(CAST(step AS DOUBLE), 0e0), NULLIF(CAST(global_step AS DOUBLE), 0e0), epoch) AS step,
               COALESCE(reward, "rewards/mean") AS value, loss, log_idx FROM run_log),
-rs AS (SELECT step, arg_min(value, log_idx) AS value FROM rr WHERE step IS NOT NULL AND value IS NOT NULL GROUP BY step),
+rs AS (SELECT step, arg_min(value, log_idx) AS value, MIN(log_idx) AS log_idx
+       FROM rr WHERE step IS NOT NULL AND value IS NOT NULL GROUP BY step),
 ls AS (SELECT step, arg_min(loss, log_idx) AS value FROM rr WHERE step IS NOT NULL AND loss IS NOT NULL GROUP BY step)"""
 
 
@@ -28,14 +29,14 @@ WITH {_DUCK_SERIES}
 SELECT step, value FROM rs""")
 def reward_series(spark, sf_dir):
     """Reward-like value per logged step (first present key, first row per step)."""
-    return rewards(spark, sf_dir)
+    return rewards(spark, sf_dir).select("step", "value")
 
 
 @register("loss_series", ("TL2",), sql=f"""
 WITH {_DUCK_SERIES}
 SELECT step, value FROM ls""")
 def loss_series(spark, sf_dir):
-    return RL.numeric_series(V.run_log(spark, sf_dir), "loss")
+    return RL.numeric_series(V.run_log(spark, sf_dir), "loss").select("step", "value")
 
 
 @register("smoothed_rewards", ("TL3", "WN8"), sql=f"""
@@ -79,17 +80,17 @@ a AS (SELECT task_id, mean AS after_mean FROM m WHERE phase = 'after'),
 j AS (SELECT COALESCE(b.task_id, a.task_id) AS task_id, b.before_mean IS NOT NULL AS has_before,
              COALESCE(b.before_mean, 0e0) AS before_mean, COALESCE(a.after_mean, 0e0) AS after_mean
       FROM b FULL OUTER JOIN a ON a.task_id = b.task_id),
-j2 AS (SELECT *, ROUND(after_mean - before_mean, 6) AS delta FROM j),
-ov AS (SELECT 'overall' AS task_id, true AS has_before, ROUND(AVG(before_mean), 6) AS before_mean,
-              ROUND(AVG(after_mean), 6) AS after_mean FROM j2),
-ba AS (SELECT * FROM j2 UNION ALL SELECT *, ROUND(after_mean - before_mean, 6) AS delta FROM ov)"""
+ov AS (SELECT 'overall' AS task_id, COALESCE(bool_or(has_before), false) AS has_before, ROUND(AVG(before_mean), 6) AS before_mean,
+              ROUND(AVG(after_mean), 6) AS after_mean FROM j),
+ba AS (SELECT *, CASE WHEN has_before THEN ROUND(after_mean - before_mean, 6) END AS delta
+       FROM (SELECT * FROM j UNION ALL SELECT * FROM ov))"""
 
 
 @register("before_after", ("TL5", "AG17", "AG18", "AG19", "JN8", "ST1", "ST2"), sql=f"""
 WITH {_DUCK_BA}
 SELECT * FROM ba""")
 def before_after(spark, sf_dir):
-    """Per-task mean reward before/after (missing baseline = 0.0), delta, and the unweighted overall row."""
+    """Per-task mean reward before/after (missing baseline = 0.0, its delta null), and the unweighted overall row."""
     return RL.before_after(_samples(spark, sf_dir))
 
 
@@ -124,27 +125,21 @@ def distribution_shift(spark, sf_dir):
 
 
 @register("run_summary", ("TL7", "AG22", "SRC6"), sql=f"""
-WITH {_DUCK_SERIES}, {V.DUCK_SAMPLES.strip()},
-m AS (SELECT task_id, phase,
-        CAST(ROUND(CAST(AVG(CAST(reward_dec AS DECIMAL(28,8))) AS DECIMAL(38,10)), 6) AS DOUBLE) AS mean
-      FROM samples GROUP BY task_id, phase),
-b AS (SELECT task_id, mean AS before_mean FROM m WHERE phase = 'before'),
-a AS (SELECT task_id, mean AS after_mean FROM m WHERE phase = 'after'),
-j AS (SELECT COALESCE(b.before_mean, 0e0) AS before_mean, COALESCE(a.after_mean, 0e0) AS after_mean
-      FROM b FULL OUTER JOIN a ON a.task_id = b.task_id),
-ov AS (SELECT ROUND(AVG(before_mean), 6) AS baseline_avg_reward, ROUND(AVG(after_mean), 6) AS post_avg_reward FROM j),
-ss AS (SELECT COUNT(*) AS reward_points, arg_min(value, step) AS reward_first, arg_max(value, step) AS reward_last,
+WITH {_DUCK_SERIES}, {_DUCK_BA.strip()},
+o AS (SELECT before_mean AS baseline_avg_reward, after_mean AS post_avg_reward, delta AS delta_avg_reward FROM ba WHERE task_id = 'overall'),
+h AS (SELECT MAX(CASE WHEN has_before THEN before_mean END) AS base_hard_reward, MAX(after_mean) AS trained_hard_reward,
+             MAX(delta) AS delta_hard_reward FROM ba WHERE task_id = '{HARD_TASK}'),
+t AS (SELECT string_agg(task_id || '=' || CASE WHEN has_before THEN printf('%.6f', before_mean) ELSE 'null' END, ',' ORDER BY task_id)
+               AS per_task_baseline_reward,
+             string_agg(task_id || '=' || printf('%.6f', after_mean), ',' ORDER BY task_id) AS per_task_post_reward
+      FROM ba WHERE task_id <> 'overall'),
+ss AS (SELECT COUNT(*) AS reward_points, arg_min(value, log_idx) AS reward_first, arg_max(value, log_idx) AS reward_last,
               MAX(value) AS reward_max FROM rs)
-SELECT (SELECT COUNT(*) FROM run_log) AS log_rows, ss.*, ov.baseline_avg_reward, ov.post_avg_reward,
-       ROUND(ov.post_avg_reward - ov.baseline_avg_reward, 6) AS delta_avg_reward
-FROM ss CROSS JOIN ov""")
+SELECT (SELECT COUNT(*) FROM run_log) AS log_rows, ss.*, o.*, h.*, t.* FROM ss CROSS JOIN o CROSS JOIN h CROSS JOIN t""")
 def run_summary(spark, sf_dir):
-    """One metrics row: log rows, reward points/first/last/max, baseline and post means and their delta."""
+    """One metrics row: log rows, reward points/first/last/max, and the before/after figures: overall, of the hard task, per task."""
     log = V.run_log(spark, sf_dir)
-    summ = RL.series_summary(RL.reward_series(log), log)
-    ov = RL.before_after(_samples(spark, sf_dir)).where(F.col("task_id") == "overall")
-    return summ.select("*", *[ov.select(c).scalar().alias(a) for c, a in (
-        ("before_mean", "baseline_avg_reward"), ("after_mean", "post_avg_reward"), ("delta", "delta_avg_reward"))])
+    return RL.run_summary(RL.reward_series(log), log, RL.before_after(_samples(spark, sf_dir)), HARD_TASK)
 
 
 @register("latency_stats", ("AG14",), sql="""

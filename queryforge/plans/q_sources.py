@@ -56,16 +56,29 @@ def log_history_roundtrip(spark, sf_dir):
     inferred schema, and the reward series extracted again: equals ``reward_series``."""
     path = _scratch(spark, "log-history")
     K.write_jsonl(V.run_log(spark, sf_dir), path)
-    return RL.reward_series(read_log_history(spark, path))
+    return RL.reward_series(read_log_history(spark, path)).select("step", "value")
 
 
 ORACLE["log_history_roundtrip"] = ORACLE["reward_series"]
 
 
-@register("run_artifacts", ("SRC6", "SRC7", "SRC8"))
+_SUM8 = "CAST(COALESCE(SUM(CAST(%s AS DECIMAL(28,8))), 0) AS DOUBLE)"
+
+
+@register("run_artifacts", ("SRC6", "SRC7", "SRC8"), sql=f"""
+WITH {QR._DUCK_SERIES}, {QR._DUCK_BA.strip()},
+m1 AS (SELECT reward_first + reward_last + reward_max + before_mean + after_mean + delta + (SELECT COUNT(*) FROM run_log) AS total
+       FROM (SELECT arg_min(value, log_idx) AS reward_first, arg_max(value, log_idx) AS reward_last, MAX(value) AS reward_max FROM rs)
+       CROSS JOIN (SELECT * FROM ba WHERE task_id = 'overall')),
+sr AS (SELECT 'reward_series' AS series, value FROM rs UNION ALL SELECT 'loss_series', value FROM ls
+       UNION ALL SELECT phase || '_samples', CAST(reward_dec AS DOUBLE) FROM samples)
+SELECT 'metrics' AS artifact, CAST(1 AS BIGINT) AS lines, ROUND(total, 6) AS total FROM m1
+UNION ALL SELECT COALESCE('series/' || series, 'series'), COUNT(*), {_SUM8 % "value"} FROM sr GROUP BY ROLLUP (series)
+UNION ALL SELECT 'log_csv', COUNT(*), {_SUM8 % 'COALESCE(reward, 0) + COALESCE("rewards/mean", 0) + COALESCE(loss, 0) + COALESCE(grad_norm, 0) + step'}
+FROM run_log""")
 def run_artifacts(spark, sf_dir):
-    """Metrics object, series bundle and CSV log written as files; returns what was written
-    (artifact, line count) read back from storage."""
+    """Metrics object, series bundle and CSV log written as files and read back: per artifact, and per series, its
+    records and the sum of its values."""
     base = _scratch(spark, "artifacts")
     log = V.run_log(spark, sf_dir)
     series = RL.reward_series(log)
@@ -78,8 +91,16 @@ def run_artifacts(spark, sf_dir):
     K.write_series({"reward_series": series, "loss_series": RL.numeric_series(log, "loss"),
                     **{name: rows.select(F.col("reward").alias("value")) for name, rows in before_after.items()}}, f"{base}/series")
     K.write_log_csv(log, f"{base}/log_csv")
-    parts = [spark.read.text(f"{base}/{name}").select(F.lit(name).alias("artifact"), F.length("value").alias("chars"))
-             for name in ("metrics", "series", "log_csv")]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.groupBy("artifact").agg(F.count(F.lit(1)).alias("lines"), F.sum("chars").alias("chars"))
+    shown = ("reward_last", "reward_max", "baseline_avg_reward", "post_avg_reward", "delta_avg_reward", "log_rows")
+    metrics = spark.read.json(f"{base}/metrics").agg(
+        F.lit("metrics").alias("artifact"), F.count(F.lit(1)).alias("lines"),
+        F.round(F.sum(sum((F.col(c) for c in shown), F.col("reward_first"))), 6).alias("total"))
+    total = lambda c: F.coalesce(F.sum(c.cast("decimal(28,8)")), F.lit(0)).cast("double").alias("total")
+    bundle = (spark.read.schema("series string, step double, value double").json(f"{base}/series")
+              .rollup("series").agg(F.count(F.lit(1)).alias("lines"), total(F.col("value")))
+              .withColumn("artifact", F.coalesce(F.concat(F.lit("series/"), "series"), F.lit("series"))).drop("series"))
+    rows = spark.read.option("header", True).schema(log.schema).csv(f"{base}/log_csv")
+    value = sum((F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in ("reward", "rewards/mean", "loss", "grad_norm")), F.col("step"))
+    csv = rows.agg(F.lit("log_csv").alias("artifact"), F.count(F.lit(1)).alias("lines"), total(value))
+    return metrics.unionByName(bundle).unionByName(csv)
 

@@ -190,30 +190,27 @@ run_log AS (
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Before/after reward samples from ``orders``: task = priority, phase by order date.
 
-    'before' = orders before 1996 (the 5-LOW priority is left out of it, so one
-    task has no baseline); 'after' = orders from 1997 on.
+    'before' = orders before 1997 (the 5-LOW priority is left out of it, so one
+    task has no baseline); 'after' = all others.
     """
     o = T(spark, sf_dir, "orders")
     d = F.col("o_orderdate")
-    phase = F.when(d < F.lit("1996-01-01"), F.lit("before")).when(
-        d >= F.lit("1997-01-01"), F.lit("after"))
+    phase = F.when(d < F.lit("1997-01-01"), F.lit("before")).otherwise(F.lit("after"))
     reward = F.least(F.lit(0.999).cast("decimal(4,3)"),
                      F.col("o_totalprice").cast("decimal(18,2)") * F.lit(0.000002).cast("decimal(7,6)"))
     return (o.select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderpriority").alias("task_id"),
                      phase.alias("phase"), reward.alias("reward_dec"))
-            .where(F.col("phase").isNotNull()
-                   & ~((F.col("phase") == "before") & (F.col("task_id") == "5-LOW"))))
+            .where(~((F.col("phase") == "before") & F.col("task_id").eqNullSafe("5-LOW"))))
 
 
 DUCK_SAMPLES = """
 samples AS (
   SELECT * FROM (
     SELECT o_orderkey AS sample_id, o_orderpriority AS task_id,
-      CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'before'
-           WHEN o_orderdate >= TIMESTAMP '1997-01-01' THEN 'after' END AS phase,
+      CASE WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN 'before' ELSE 'after' END AS phase,
       LEAST(CAST(0.999 AS DECIMAL(4,3)), CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.000002 AS DECIMAL(7,6))) AS reward_dec
     FROM orders) s
-  WHERE phase IS NOT NULL AND NOT (phase = 'before' AND task_id = '5-LOW'))"""
+  WHERE NOT (phase = 'before' AND task_id IS NOT DISTINCT FROM '5-LOW'))"""
 
 
 # ------------------------------------------------------------- latency ---

@@ -16,13 +16,13 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def metrics_frame(series: DataFrame, log_rows: DataFrame, step: str = "step",
+def metrics_frame(series: DataFrame, log_rows: DataFrame, order_col: str = "log_idx",
                   value: str = "value") -> DataFrame:
-    """One-row metrics object: log_rows, reward_points, reward_first/last/max."""
+    """One-row metrics object: log_rows, reward_points, reward_first/last (in log order)/max."""
     summary = series.agg(
         F.count(F.lit(1)).alias("reward_points"),
-        F.min_by(value, step).alias("reward_first"),
-        F.max_by(value, step).alias("reward_last"),
+        F.min_by(value, order_col).alias("reward_first"),
+        F.max_by(value, order_col).alias("reward_last"),
         F.max(value).alias("reward_max"),
     )
     n_rows = log_rows.select(F.count(F.lit(1))).scalar()  # scalar subquery, no join

@@ -123,3 +123,19 @@ def test_grade_for_task_uses_declared_grader(spark):
         assert grade_for_task(spark, tid, act).collect()[0]["score"] == top, tid
         # only the first row submitted: always below the top score
         assert grade_for_task(spark, tid, act.where("pos = 1")).collect()[0]["score"] < top, tid
+
+
+def test_attempts_without_rows_are_graded(spark):
+    expected = spark.createDataFrame([(1, 1, "a", 2, 5.0), (1, 2, "b", 0, None)], "task_key long, pos long, name string, n long, v double")
+    actual = spark.createDataFrame([(1, 1, 1, "a", 2, 5.0), (1, 1, 2, "b", 0, None)], "task_key long, attempt int, pos long, name string, n long, v double")
+    index = spark.createDataFrame([(1, 1), (1, 2), (7, 1), (None, 3)], "task_key long, attempt int")
+
+    def scores(df):
+        return {(r["task_key"], r["attempt"]): (r["n_actual"], r["score"]) for r in df.collect()}
+
+    assert scores(G.grade_sorted_tolerant(actual, expected, "task_key", ["attempt"], "name", "n", "v", attempt_index=index)) == {
+        (1, 1): (2, 0.999), (1, 2): (0, 0.001), (7, 1): (0, 0.001), (None, 3): (0, 0.001)}
+    keyed = scores(G.grade_keyed_tiers(actual.where("pos = 1"), expected, "task_key", ["attempt"], "name", ["v"], attempt_index=index))
+    assert keyed == {(1, 1): (1, 0.1), (1, 2): (0, 0.0), (7, 1): (0, 0.0), (None, 3): (0, 0.0)}
+    positional = scores(G.grade_positional(actual, expected, "task_key", ["attempt"], ["name", "n", "v"], attempt_index=index))
+    assert positional[1, 2] == (0, 0.001) and positional[7, 1] == (0, 0.999) and positional[1, 1] == (2, 0.999)

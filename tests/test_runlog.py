@@ -46,7 +46,7 @@ def test_reward_series_rules(spark):
     rows = [(0, 0.0, None, 0.5, None), (1, 1.0, 0.2, None, None), (2, 1.0, 0.9, None, None),
             (3, 2.0, None, None, 0.7), (4, None, 0.3, None, None)]
     df = spark.createDataFrame(rows, "log_idx long, step double, reward double, epoch double, `rewards/mean` double")
-    got = sorted(tuple(r) for r in RL.reward_series(df).collect())
+    got = sorted((r["step"], r["value"]) for r in RL.reward_series(df).collect())
     # idx0: step 0 -> epoch 0.5, no reward -> dropped; idx1 first for step 1; idx2 duplicate dropped;
     # idx3 rewards/mean for step 2; idx4 no step -> dropped
     assert got == [(1.0, 0.2), (2.0, 0.7)]
@@ -70,5 +70,5 @@ def test_before_after_alignment(spark):
     df = spark.createDataFrame(rows, "task_id string, phase string, reward double")
     got = {r["task_id"]: r for r in RL.before_after(df).collect()}
     assert got["t2"]["before_mean"] == 0.0 and got["t2"]["has_before"] is False
-    assert got["t1"]["delta"] == 0.2 and got["t2"]["delta"] == 0.6
+    assert got["t1"]["delta"] == 0.2 and got["t2"]["delta"] is None
     assert got["overall"]["before_mean"] == 0.1 and got["overall"]["after_mean"] == 0.5

@@ -56,3 +56,14 @@ def test_hot_key_is_spread_over_tasks(spark):
         assert got == list(range(1, len(got) + 1))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_null_keys_and_null_order_are_scanned_like_others(spark):
+    rows = [(k, i, t, v) for i, (k, t, v) in enumerate([(None, float(t), 1) for t in range(0, 5000, 1000)] + [(None, None, 2), (1, None, 3), (1, 4.0, 4),
+                                                                                                          (None, 1000.0, None)])]
+    df = spark.createDataFrame(rows, "k long, id long, t double, v long")
+    specs = [("n", "count", None), ("s", "sum", "v"), ("lst", "last", "v"), ("prev", "lag", "v"), ("mx", "max", "v")]
+    got = ordered_scan(df, ["k"], ["t", "id"], specs, chunk=F.floor(F.col("t") / 1000))
+    plain = ordered_scan(df, ["k"], ["t", "id"], specs, chunked=False)
+    assert got.columns == plain.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert sorted(r["n"] for r in got.where("k is null").collect()) == list(range(1, 8))
