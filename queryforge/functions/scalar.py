@@ -256,3 +256,11 @@ def first_step(columns: Sequence[str], keys: Sequence[str] = ("step", "global_st
     parts = [F.col(f"`{k}`").cast("double") if k == keys[-1]
              else F.nullif(F.col(f"`{k}`").cast("double"), F.lit(0.0)) for k in present]
     return F.coalesce(*parts)
+
+
+def wall_micros(df, ts: str) -> Column:
+    """Microseconds of a time column; wall-clock values (no time zone) field by field, so that no time zone moves them."""
+    if df.schema[ts].dataType.typeName() != "timestamp_ntz":
+        return F.unix_micros(ts)
+    return F.expr(f"unix_date(to_date(`{ts}`)) * 86400000000L + hour(`{ts}`) * 3600000000L + minute(`{ts}`) * 60000000L"
+                  f" + cast(extract(SECOND FROM `{ts}`) * 1000000 AS bigint)")

@@ -107,30 +107,47 @@ def episodes_by_marker(steps: DataFrame, session: str, order: Sequence[str], mar
 
 
 def idle_sessions(events: DataFrame, key: str, ts: str, gap: str, tiebreak: str | None = None,
-                  method: str = "scan") -> DataFrame:
+                  method: str = "segments", buckets: int = 1024) -> DataFrame:
     """EP7 (batch): activity sessions closed by ``gap`` of inactivity (a new session starts
     when the time since the previous event is >= gap); session_end = last event + gap.
 
-    ``method="scan"`` (default) is gaps-and-islands on the skew-safe ordered
-    scan: previous timestamp (lag), then a running count of session starts, then
-    one grouped aggregate - a user with a third of all events is still spread
-    over many tasks.  ``method="session_window"`` uses Spark's built-in session
-    window, whose merge step sees every event of a key in one task.
+    ``method="segments"`` (default) merges segments (first time, last time, events), in three steps:
+    events of one key in one bucket of ``gap`` length are never parted, so a partial aggregate makes a
+    segment of them before anything is shuffled; the segments of ``buckets`` buckets in a row merge
+    in a window of at most that many rows; of the result only the first and the last segment of such
+    a stretch can go on beyond it, and only these meet in a window over the key, one row or two for
+    each stretch of ``gap * buckets``.  The order of equal times does not matter (``tiebreak`` is of no use any more).
+    ``method="session_window"`` uses Spark's built-in session window, whose merge step sees every
+    event of a key in one task.
+
+    Events without a time are in no session; a null key is a key like any other.
     """
     if method == "session_window":
         return (events.groupBy(key, F.session_window(ts, gap).alias("sw"))
                 .agg(F.count(F.lit(1)).alias("n_events"))
                 .select(key, F.col("sw.start").alias("session_start"), F.col("sw.end").alias("session_end"),
                         "n_events"))
-    gap_us = F.expr(f"INTERVAL {gap}")
-    order = [ts] + ([tiebreak] if tiebreak else [])
-    e = ordered_scan(events, [key], order, [("_prev", "lag", ts)])
-    new = F.col("_prev").isNull() | (F.col(ts) >= F.col("_prev") + gap_us)
-    e = ordered_scan(e.withColumn("_new", F.when(new, F.lit(1)).otherwise(F.lit(0))), [key], order,
-                     [("_sno", "sum", "_new")])
-    return (e.groupBy(key, "_sno").agg(F.min(ts).alias("session_start"), F.max(ts).alias("_last"),
-                                       F.count(F.lit(1)).alias("n_events"))
-            .select(key, "session_start", (F.col("_last") + gap_us).alias("session_end"), "n_events"))
+    gap_time = F.expr(f"INTERVAL {gap}")
+    bucket = F.floor(S.wall_micros(events, ts) / F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00Z' + INTERVAL {gap})"))
+    segments = (events.where(F.col(ts).isNotNull()).groupBy(key, bucket.alias("_bucket"))
+                .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n"))
+                .withColumn("_stretch", F.floor(F.col("_bucket") / buckets)))
+
+    def merged(rows: DataFrame, parts: list[str]) -> DataFrame:
+        """Segments of each part, merged where less than ``gap`` lies between them, numbered by ``_no``."""
+        w = Window.partitionBy(*parts).orderBy("_first")
+        last = F.lag("_last").over(w)
+        fresh = F.when(last.isNull() | (F.col("_first") >= last + gap_time), F.lit(1)).otherwise(F.lit(0))
+        rows = rows.withColumn("_fresh", fresh).withColumn("_no", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        return rows.groupBy(*parts, "_no").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("_n").alias("_n"))
+
+    local = merged(segments, [key, "_stretch"])
+    of = Window.partitionBy(key, "_stretch")
+    edge = (F.col("_no") == 1) | (F.col("_no") == F.max("_no").over(of))
+    # a segment with others on both sides is a session; it gets a part of its own
+    local = local.withColumn("_inner", F.when(~edge, F.struct("_stretch", "_no"))).drop("_stretch", "_no")
+    return merged(local, [key, "_inner"]).select(key, F.col("_first").alias("session_start"), (F.col("_last") + gap_time).alias("session_end"),
+                                                 F.col("_n").alias("n_events"))
 
 
 def active_sessions(events: DataFrame, key: str, ts: str, every: str = "1 hour") -> DataFrame:

@@ -3,8 +3,8 @@
 
 Series extraction is column logic plus one aggregate per step (``min_by`` on
 the log index keeps the first row of a step: WN7 without a window).  Moving
-averages and exact percentiles use the skew-safe ordered scan, so a single
-run or endpoint - one key by nature - is still spread over many tasks.
+averages use the skew-safe ordered scan, so a single run - one key by nature -
+is still spread over many tasks; exact percentiles refine histograms.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from queryforge.functions import scalar as S
+from queryforge.operators.ranks import select_ranks
 from queryforge.operators.relational import append, full_align
 from queryforge.operators.scan import first_k, ordered_scan
+from queryforge.sources.tables import stored
 
 # --- fixed values: log keys searched, in order ---
 REWARD_KEYS = ("reward", "rewards/mean", "rewards", "train/reward", "train/rewards",
@@ -151,33 +153,30 @@ def series_summary(series: DataFrame, log: DataFrame, order_col: str = "log_idx"
     return s.select(log.select(F.count(F.lit(1))).scalar().alias("log_rows"), "*")  # scalar subquery
 
 
-def latency_stats(samples: DataFrame, group: str, value: str, order_tiebreak: str,
+def latency_stats(samples: DataFrame, group: str, value: str, order_tiebreak: str | None = None,
                   chunk: Column | None = None) -> DataFrame:
     """AG14: mean, median and p95 (``sorted[max(0, int(n * 0.95) - 1)]``, no interpolation), n.
 
-    Ranks come from the skew-safe ordered scan (an endpoint is one key holding
-    a large share of all samples); the three wanted ranks are picked by an
-    equi-join with per-group rank targets.
+    Ranks come from ``select_ranks``: no shuffle or sort of the rows, although an endpoint is one key
+    with a large share of all samples.  Null and non-finite values are left out; a group without
+    others has no row.  ``order_tiebreak`` and ``chunk`` are of no use any more: equal values need no order.
     """
-    ranked = ordered_scan(samples, [group], [value, order_tiebreak], [("_r", "count", None)], chunk=chunk)
-    agg = samples.groupBy(group).agg(F.count(F.lit(1)).alias("n"),
-                                     F.round(F.avg(F.col(value).cast("decimal(28,6)")), 3).cast("double").alias("avg_ms"))
+    v = F.col(value).cast("double")
+    finite = samples.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))).select(group, value)
+    agg = stored(finite.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col(value).cast("decimal(28,6)")), 3).cast("double").alias("avg_ms"),
+        F.min(v).alias("lo"), F.max(v).alias("hi")), "latency-groups")
     n = F.col("n")
-    targets = agg.select(group, "n", "avg_ms",
-                         F.floor((n + 1) / 2).cast("long").alias("_m1"),
-                         F.floor(n / 2 + 1).cast("long").alias("_m2"),
-                         F.greatest(F.lit(1), F.floor(n.cast("double") * F.lit(0.95))).cast("long").alias("_p95"))
-    want = (targets.select(group, F.col("_m1").alias("_r"), F.lit("m1").alias("_which"))
-            .unionByName(targets.select(group, F.col("_m2").alias("_r"), F.lit("m2").alias("_which")))
-            .unionByName(targets.select(group, F.col("_p95").alias("_r"), F.lit("p95").alias("_which"))))
-    picked = ranked.select(group, "_r", F.col(value).cast("double").alias("_v")).join(want, [group, "_r"])
-    piv = picked.groupBy(group).agg(
-        F.max(F.when(F.col("_which") == "m1", F.col("_v"))).alias("_a"),
-        F.max(F.when(F.col("_which") == "m2", F.col("_v"))).alias("_b"),
-        F.max(F.when(F.col("_which") == "p95", F.col("_v"))).alias("_p"))
-    med = F.when(F.col("n") % 2 == 1, F.col("_a")).otherwise((F.col("_a") + F.col("_b")) / F.lit(2.0))
-    return targets.join(piv, group).select(group, "avg_ms", F.round(med, 3).alias("p50_ms"),
-                                           F.round("_p", 3).alias("p95_ms"), "n")
+    ranks = {"m1": F.floor((n + 1) / 2), "m2": F.floor(n / 2 + 1), "p95": F.greatest(F.lit(1), F.floor(n.cast("double") * F.lit(0.95)))}
+    wanted = agg.select(group, "lo", "hi", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("which"), r.cast("long").alias("target")) for k, r in ranks.items()])).alias("w")).select(group, "lo", "hi", "w.*")
+    wanted = wanted.where(F.col("target") >= 1)
+    picked = select_ranks(finite, group, value, wanted)
+    piv = picked.groupBy(F.struct(group).alias("_k")).agg(
+        *[F.max(F.when(F.col("which") == k, F.col("v"))).alias(k) for k in ranks])
+    med = F.when(n % 2 == 1, F.col("m1")).otherwise((F.col("m1") + F.col("m2")) / F.lit(2.0))
+    return agg.withColumn("_k", F.struct(group)).join(piv, "_k").select(
+        group, "avg_ms", F.round(med, 3).alias("p50_ms"), F.round("p95", 3).alias("p95_ms"), "n")
 
 
 def run_summary(series: DataFrame, log: DataFrame, ba: DataFrame, hard_task: str, task: str = "task_id") -> DataFrame:

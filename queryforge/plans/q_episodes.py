@@ -159,9 +159,9 @@ SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
        COUNT(*) AS n_events
 FROM g GROUP BY user_id, sno""")
 def idle_sessions(spark, sf_dir):
-    """Activity sessions closed after 6 hours without events (skew-safe gaps-and-islands)."""
-    ev = V.T(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    out = EPI.idle_sessions(ev, "user_id", "ts", f"{IDLE_GAP_HOURS} hours", tiebreak="event_id")
+    """Activity sessions closed after 6 hours without events (merged segments)."""
+    ev = V.T(spark, sf_dir, "events").select("user_id", "ts")
+    out = EPI.idle_sessions(ev, "user_id", "ts", f"{IDLE_GAP_HOURS} hours")
     fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return out.select("user_id", F.date_format("session_start", fmt).alias("session_start"),
                       F.date_format("session_end", fmt).alias("session_end"), "n_events")

@@ -156,7 +156,7 @@ FROM a JOIN r ON r.endpoint = a.endpoint GROUP BY a.endpoint, a.avg_ms, a.n""")
 def latency_stats(spark, sf_dir):
     """Mean, median and un-interpolated p95 latency per endpoint."""
     lat = V.latency(spark, sf_dir)
-    return RL.latency_stats(lat, "endpoint", "ms", "event_id", chunk=F.floor("ms"))
+    return RL.latency_stats(lat, "endpoint", "ms")
 
 
 @register("capped_eval_mean", ("AG16", "SL4"), sql=f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from queryforge.session import checkpoint_dir
+
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -112,3 +115,10 @@ def sample_rows(df: DataFrame | None, n: int = 3, order_by: list[str | Column] |
 def read_log_history(spark: SparkSession, path: str) -> DataFrame:
     """SRC10: trainer log rows with ragged keys; schema merged by inference."""
     return spark.read.option("primitivesAsString", "false").json(path)
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once below the shared checkpoint folder and read back: cuts the lineage, survives lost executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -27,11 +27,12 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from queryforge.functions import scalar as S
 from queryforge.operators.episodes import LAST_STEP_SUCCESS, NO_QUERY_YET, fold_episodes
 from queryforge.operators.reward import SUCCESS_GRADE, with_step_reward
 from queryforge.session import checkpoint_dir
@@ -140,7 +141,7 @@ def _kept(spark: SparkSession, steps: DataFrame, emit: bool) -> DataFrame:
     tasks = {r["task_id"]: (r["max_steps"], r["broken_query"])
              for r in task_catalog(spark).select("task_id", "max_steps", "broken_query").collect()}
     s = steps.where(F.col("task_id").isin(*tasks)).select(
-        "session_id", *(["ts"] if emit else []), F.coalesce(_micros(steps), F.lit(NULL_FIRST)).alias("at"),
+        "session_id", *(["ts"] if emit else []), F.coalesce(S.wall_micros(steps, "ts"), F.lit(NULL_FIRST)).alias("at"),
         F.coalesce("event_id", F.lit(NULL_FIRST)).alias("tie"), *ROW_SCHEMA.fieldNames()[2:])
 
     def fn(key, pdfs, state):
@@ -154,14 +155,6 @@ def _wall_clock(steps: DataFrame) -> bool:
     return steps.schema["ts"].dataType.typeName() == "timestamp_ntz"
 
 
-def _micros(steps: DataFrame) -> Column:
-    """``ts`` as microseconds; wall-clock values field by field, as no time zone may move them."""
-    if not _wall_clock(steps):
-        return F.unix_micros("ts")
-    return F.expr("unix_date(to_date(ts)) * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L"
-                  " + cast(extract(SECOND FROM ts) * 1000000 AS bigint)")
-
-
 def _timed(rows: DataFrame, wall_clock: bool) -> DataFrame:
     """``at`` and ``tie`` as ts and event_id again."""
     null = F.lit(NULL_FIRST)

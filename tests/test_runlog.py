@@ -72,3 +72,28 @@ def test_before_after_alignment(spark):
     assert got["t2"]["before_mean"] == 0.0 and got["t2"]["has_before"] is False
     assert got["t1"]["delta"] == 0.2 and got["t2"]["delta"] is None
     assert got["overall"]["before_mean"] == 0.1 and got["overall"]["after_mean"] == 0.5
+
+
+def test_exact_ranks_by_histograms(spark):
+    from queryforge.operators.ranks import select_ranks
+
+    rnd = random.Random(4)
+    values = {"hot": [float(rnd.choice([3, 3, 3, 4, 5])) for _ in range(3000)], None: [rnd.lognormvariate(0, 9) for _ in range(700)],
+              "wide": [-1.7e308, 1.7e308, 5e-324, 0.0, 1e-323], "one": [2.5] * 9, "ties": [1.0] * 400 + [rnd.random() for _ in range(400)]}
+    rows = [(g, v) for g, vs in values.items() for v in vs]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    targets = {g: sorted({1, 2, len(v) // 3 + 1, len(v) // 2, len(v) - 1, len(v)}) for g, v in values.items()}
+    wanted = spark.createDataFrame([(g, f"r{t}", t, min(values[g]), max(values[g])) for g, ts in targets.items() for t in ts],
+                                   "g string, which string, target long, lo double, hi double")
+    expected = sorted(((g, f"r{t}", sorted(values[g])[t - 1]) for g, ts in targets.items() for t in ts), key=repr)
+    for few in (0, 50, 100_000):  # by passes alone, mixed, by one ordered remainder
+        got = select_ranks(df, "g", "v", wanted, bins=16, few=few)
+        assert sorted(map(tuple, got.collect()), key=repr) == expected
+
+
+def test_latency_of_null_groups_and_values(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None), ("b", float("nan")), ("b", 7.0), ("b", float("inf"))], "g string, ms double")
+    got = sorted(map(tuple, RL.latency_stats(df, "g", "ms").collect()), key=repr)
+    assert got == sorted([(None, 2.0, 2.0, 1.0, 2), ("b", 7.0, 7.0, 7.0, 1)], key=repr)
+    assert RL.latency_stats(df.limit(0), "g", "ms").collect() == []
