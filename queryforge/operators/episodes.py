@@ -17,18 +17,80 @@ from pyspark.sql import functions as F
 
 from queryforge.functions import scalar as S
 from queryforge.operators.reward import SUCCESS_GRADE, with_step_reward
-from queryforge.operators.scan import first_k, ordered_scan
+from queryforge.operators.scan import default_chunk, first_k, ordered_scan
+from queryforge.sources.tables import stored
 
 # --- fixed values: episode texts and thresholds ---
 NO_QUERY_YET = "No query has been submitted yet."
 LAST_STEP_SUCCESS = 0.5
+REJECTED = "REVIEWER REJECTION: "
 
 TASK_COLS = ["task_id", "difficulty", "max_steps", "hint", "hint_step", "broken_query", "tables",
              "success_threshold", "description", "expected_output_description"]
 
 
+def _longest(tasks: DataFrame) -> int:
+    """The largest step budget; the catalog is a literal, so this runs no job."""
+    budgets = [r[0] for r in tasks.select("max_steps").collect() if r[0] is not None]
+    if not budgets:
+        raise ValueError("tasks without max_steps: the length of an episode is unknown")
+    return int(max(budgets))
+
+
+def number_steps(steps: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, admitted: Column | None = None,
+                 restart: str | None = None, on_change: str | None = None, chunk: Column | None = None) -> DataFrame:
+    """EP6: ``episode_no`` and ``step`` of every row in one ordered pass; rows beyond ``limit`` steps of their episode go.
+
+    ``step`` counts the ``admitted`` rows (default: all) of the episode up to this one; others are kept and count for nothing.
+    ``restart``: a boolean column, true where an episode begins (numbers start at 0 before the first of them).
+    ``on_change``: an episode begins where this column differs from the row before (numbers start at 1).
+
+    A key is cut into chunks as in ``ordered_scan``.  Chunks are numbered by themselves and cut to ``limit`` rows of each
+    episode; that is written once, and the input is not read again.  Then chunks merge: a summary of each (episodes begun,
+    steps of the last one, first and last value) gets a segmented prefix over the chunks of its key.
+    """
+    keys, order = list(keys), list(order)
+    d = steps.withColumns({"_admitted": F.lit(1) if admitted is None else F.when(admitted, F.lit(1)).otherwise(F.lit(0)),
+                           "_chunk": chunk if chunk is not None else default_chunk(steps, order[0])})
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mark = F.lit(0)
+    if restart:
+        mark = F.when(F.col(restart), F.lit(1)).otherwise(F.lit(0))
+    elif on_change:
+        d = d.withColumn("_value", F.struct(on_change))
+        d = d.withColumns({"_before": F.lag("_value").over(w), "_from": F.first("_value").over(whole), "_to": F.last("_value").over(whole)})
+        mark = F.when(F.col("_before").isNotNull() & (F.col("_before") != F.col("_value")), F.lit(1)).otherwise(F.lit(0))
+    d = d.withColumn("_mark", mark).withColumn("_part", F.sum("_mark").over(upto))
+    in_part = Window.partitionBy(*keys, "_chunk", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_at", F.sum("_admitted").over(in_part)).where((F.col("_at") <= limit) | (F.col("_admitted") == 0))
+    d = stored(d.withColumn("_id", F.struct(*keys, "_chunk")).drop("_mark", "_value", "_before", "_chunk"), "numbered-steps")
+
+    values = [F.first("_from").alias("_from"), F.first("_to").alias("_to")] if on_change and not restart else []
+    s = d.groupBy("_id").agg(F.max(F.struct("_part", F.least(F.col("_at"), F.lit(limit)).alias("n"))).alias("_end"), *values)
+    of = [F.col(f"_id.{k}") for k in keys]
+    by_chunk = Window.partitionBy(*of).orderBy("_id._chunk")
+    first = F.lit(0)
+    if values:
+        before = F.lag("_to").over(by_chunk)
+        first = F.when(before.isNotNull() & (before != F.col("_from")), F.lit(1)).otherwise(F.lit(0))
+    s = s.withColumn("_first", first)
+    s = s.withColumn("_last", F.sum(F.col("_end._part") + F.col("_first")).over(by_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    in_last = Window.partitionBy(*of, "_last").orderBy("_id._chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = s.withColumn("_running", F.sum("_end.n").over(in_last)).withColumn(
+        "_carried", F.when(F.col("_first") == 0, F.coalesce(F.lag("_running").over(by_chunk), F.lit(0))).otherwise(F.lit(0)))
+    s = s.select("_id", (F.col("_last") - F.col("_end._part")).alias("_begins"), "_carried")
+    out = d.join(s, "_id").withColumns({
+        "episode_no": (F.col("_begins") + F.col("_part") + F.lit(1 if values else 0)).cast("long"),
+        "step": (F.col("_at") + F.when(F.col("_part") == 0, F.col("_carried")).otherwise(F.lit(0))).cast("long")})
+    out = out.where((F.col("step") <= limit) | (F.col("_admitted") == 0))
+    return out.drop("_id", "_admitted", "_part", "_at", "_from", "_to", "_begins", "_carried")
+
+
 def fold_episodes(steps: DataFrame, tasks: DataFrame, keys: Sequence[str] = ("session_id",),
-                  order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+                  order: Sequence[str] = ("ts", "event_id"), approved: str | None = None, reason: str | None = None,
+                  restart: str | None = None, on_change: str | None = None) -> DataFrame:
     """EP1: the environment's step function applied to whole step tables.
 
     Input columns: keys, order, task_id, action_type, query, table_name,
@@ -38,14 +100,52 @@ def fold_episodes(steps: DataFrame, tasks: DataFrame, keys: Sequence[str] = ("se
     step, prev_best, grade_used, current_score, reward components, is_done,
     success, error_details, current_query, hint, steps_remaining and
     reward_history.
+
+    RW11: with ``approved`` (boolean column), a submit that review rejected (false; null is not reviewed) is admitted
+    to no step.  It gives a row with ``review_rejected``, the reward 0.001, the ``reason`` as its error and the state as
+    the steps before it left it, also when the episode is over, and changes nothing.
+
+    EP6: with ``restart`` or ``on_change`` (see ``number_steps``) a session holds several episodes, ``episode_no``, each with
+    its own steps, best score and budget.
     """
-    keys = list(keys)
-    longest = tasks.agg(F.max("max_steps")).first()[0]  # the bound comes from the tasks at hand
-    if longest is None:
-        raise ValueError("tasks without max_steps: the length of an episode is unknown")
+    keys, longest = list(keys), _longest(tasks)
     t = tasks.select(*TASK_COLS)
     s = steps.withColumnRenamed("success", "query_success").join(t, "task_id")
-    s = first_k(s, keys, list(order), int(longest), name="step").where(F.col("step") <= F.col("max_steps"))
+    if approved is None and restart is None and on_change is None:
+        return _fold_numbered(first_k(s, keys, list(order), longest, name="step"), keys)
+    rejected = F.lit(False) if approved is None else (F.col("action_type") == "submit_query") & ~F.coalesce(F.col(approved), F.lit(True))
+    s = number_steps(s.withColumn("review_rejected", rejected), keys, order, longest, ~F.col("review_rejected"), restart, on_change)
+    if restart or on_change:
+        keys = [*keys, "episode_no"]
+    folded = _fold_numbered(s.where(~F.col("review_rejected")), keys)
+    if approved is None:
+        return folded.drop("review_rejected")
+    return folded.unionByName(_rejected_rows(s.where("review_rejected"), folded, keys, reason), allowMissingColumns=True)
+
+
+def _rejected_rows(rejected: DataFrame, folded: DataFrame, keys: list[str], reason: str | None) -> DataFrame:
+    """Rejected submits with the state that the accepted steps before them left (an episode has at most its budget of them)."""
+    state = folded.groupBy(F.struct(*keys).alias("_k")).agg(F.sort_array(F.collect_list(
+        F.struct("step", "current_score", "current_query", "reward"))).alias("_states"))
+    r = rejected.withColumn("_k", F.struct(*keys)).join(state, "_k", "left")
+    r = r.withColumn("step", F.least(F.col("step"), F.coalesce(F.size("_states"), F.lit(0)).cast("long")))
+    r = r.withColumn("step", F.greatest(F.col("step"), F.lit(0).cast("long")))
+    r = r.withColumn("_now", F.when(F.col("step") > 0, F.element_at("_states", F.col("step").cast("int"))))
+    score = F.coalesce(F.col("_now.current_score"), F.lit(S.MIN_SCORE))
+    seen = F.transform(F.slice("_states", F.lit(1), F.col("step").cast("int")), lambda x: x["reward"])
+    return r.withColumns({
+        "prev_best": score, "current_score": score, "current_query": F.col("_now.current_query"), "reward": F.lit(S.MIN_SCORE),
+        "error_details": F.concat(F.lit(REJECTED), F.col(reason) if reason else F.lit("")),
+        "hint_shown": F.when(F.col("step") >= F.col("hint_step"), F.col("hint")),
+        "steps_remaining": F.greatest(F.lit(0), F.col("max_steps") - F.col("step")),
+        "is_done": F.lit(False), "success": F.lit(False),
+        "reward_history": F.coalesce(seen, F.array().cast("array<double>")),
+    }).drop("_k", "_states", "_now")
+
+
+def _fold_numbered(s: DataFrame, keys: list[str]) -> DataFrame:
+    """The fold of rows that carry their ``step`` (1, 2, .. in each episode) and the columns of their task."""
+    s = s.where(F.col("step") <= F.col("max_steps"))
 
     w = Window.partitionBy(*keys).orderBy("step")
     before = w.rowsBetween(Window.unboundedPreceding, -1)

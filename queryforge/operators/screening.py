@@ -37,15 +37,21 @@ def screen(df: DataFrame, sql: str, tables: Sequence[str], strict: bool = False)
     })
 
 
-def review_columns(sql, tables: Sequence[str]) -> tuple[Column, Column]:
-    """SC4 (first two checks): read-only, then at least one known table; first failure is the reason."""
+def review_columns(sql, tables: Sequence[str] | Column) -> tuple[Column, Column]:
+    """SC4 (first two checks): read-only, then at least one known table; first failure is the reason.
+
+    ``tables``: the names for all rows, or an array column with each row's own.
+    """
     ro = X.read_only(sql)
-    refs = X.table_ref_count(sql, list(tables))
-    approved = ro & ((refs > 0) | F.lit(len(tables) == 0))
-    reason = (F.when(~ro, F.lit(REASON_READ_ONLY))
-              .when((refs == 0) & F.lit(len(tables) > 0), F.lit(REASON_NO_TABLE.format(tables=py_list_text(tables))))
+    if isinstance(tables, Column):
+        refs, some = X.table_ref_count(sql, tables), F.size(tables) > 0
+        names = F.concat(F.lit("['"), F.array_join(tables, "', '"), F.lit("']"))
+    else:
+        refs, some, names = X.table_ref_count(sql, list(tables)), F.lit(len(tables) > 0), F.lit(py_list_text(tables))
+    before, after = (F.lit(x) for x in REASON_NO_TABLE.split("{tables}"))
+    reason = (F.when(~ro, F.lit(REASON_READ_ONLY)).when((refs == 0) & some, F.concat(before, names, after))
               .otherwise(F.lit(REASON_OK)))
-    return approved, reason
+    return ro & ((refs > 0) | ~some), reason
 
 
 def review(df: DataFrame, sql: str, tables: Sequence[str]) -> DataFrame:

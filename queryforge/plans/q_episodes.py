@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from queryforge.functions import scalar as S
 from queryforge.operators import episodes as EPI
-from queryforge.operators.scan import ordinal, ordered_scan
+from queryforge.operators import screening as SC
+from queryforge.operators.scan import ordinal
 from queryforge.plans import views as V
-from queryforge.plans.registry import register
+from queryforge.plans.registry import ORACLE, register
 from queryforge.sources.tasks import task_catalog
 
 
@@ -115,14 +116,6 @@ def session_snapshot(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- EP6 ---
-def restart_steps(spark, sf_dir):
-    """Steps with an episode number: a user's first event of each day restarts the episode."""
-    st = V.steps(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    st = ordered_scan(st, ["session_id"], ["ts", "event_id"], [("prev_day", "lag", "day")])
-    marker = F.col("prev_day").isNull() | (F.col("prev_day") != F.col("day"))
-    return EPI.episodes_by_marker(st, "session_id", ["ts", "event_id"], marker).drop("prev_day", "day")
-
-
 @register("episode_restarts", ("EP6",), sql=f"""
 WITH {V.DUCK_STEPS},
 m AS (SELECT *, CASE WHEN LAG(CAST(ts AS DATE)) OVER (PARTITION BY session_id ORDER BY ts, event_id) IS NULL
@@ -135,14 +128,55 @@ SELECT session_id, CAST(episode_no AS BIGINT) AS episode_no, MAX(step) AS steps,
        MAX(current_score) AS best_score, bool_or(ep_success) AS success
 FROM f GROUP BY session_id, episode_no""")
 def episode_restarts(spark, sf_dir):
-    """Each (session, episode) folded separately; one summary row per episode."""
-    f = EPI.fold_episodes(restart_steps(spark, sf_dir), task_catalog(spark), keys=("session_id", "episode_no"))
+    """A user's first event of each day restarts the episode: segmented fold in one pass, one summary row per episode."""
+    f = EPI.fold_episodes(V.steps(spark, sf_dir).withColumn("day", F.to_date("ts")), task_catalog(spark), on_change="day")
     return f.groupBy("session_id", "episode_no").agg(
         F.max("step").alias("steps"), F.max_by("reward", "step").alias("last_reward"),
         F.max("current_score").alias("best_score"), F.bool_or("success").alias("success")
     ).withColumn("episode_no", F.col("episode_no").cast("long"))
 
 
+# --------------------------------------------------------------- RW11 ---
+_REVIEWED = """
+rv AS (SELECT s.* REPLACE (CASE WHEN s.action_type = 'submit_query' AND s.event_id % 7 = 0 THEN 'DELETE FROM ' || t.tables[1] || ';'
+                                WHEN s.action_type = 'submit_query' AND s.event_id % 7 = 1 THEN 'SELECT 1' ELSE s.query END AS query),
+              s.action_type = 'submit_query' AND s.event_id % 7 <= 1 AS rejected,
+              CASE WHEN s.event_id % 7 = 0 THEN 'Only SELECT queries or CTEs (WITH) are allowed.'
+                   ELSE 'Query does not reference any valid tables. Available: [''' || array_to_string(t.tables, ''', ''') || ''']' END AS reason
+       FROM steps s JOIN tasks t ON t.task_id = s.task_id),
+ok AS (SELECT * EXCLUDE (rejected, reason) FROM rv WHERE NOT rejected)"""
+
+
+def reviewed_steps(spark, sf_dir):
+    """``steps`` in which every seventh event that submits deletes, and the next selects from no table, with the review's verdict."""
+    st = V.steps(spark, sf_dir).join(F.broadcast(task_catalog(spark).select("task_id", F.col("tables").alias("known"))), "task_id")
+    part = F.when(F.col("action_type") == "submit_query", F.col("event_id") % 7)
+    st = st.withColumn("query", F.when(part == 0, F.concat(F.lit("DELETE FROM "), F.element_at("known", 1), F.lit(";")))
+                       .when(part == 1, F.lit("SELECT 1")).otherwise(F.col("query")))
+    approved, reason = SC.review_columns("query", F.col("known"))
+    return st.withColumns({"approved": approved, "reason": reason}).drop("known")
+
+
+@register("reviewed_episode_fold", ("EP1", "RW11", "SC4"), sql=f"""
+WITH {V.DUCK_STEPS}, {_REVIEWED.strip()}, {duck_fold_sql(source="ok").strip()},
+r AS (SELECT rv.session_id, rv.event_id, rv.query, rv.reason, t.max_steps, t.hint, t.hint_step, COUNT(f.step) AS step,
+             COALESCE(arg_max(f.current_score, f.step), 1e-3) AS current_score, arg_max(f.current_query, f.step) AS current_query,
+             COALESCE(string_agg(printf('%.4f', f.reward), ',' ORDER BY f.step), '') AS reward_history
+      FROM rv JOIN tasks t ON t.task_id = rv.task_id
+      LEFT JOIN f ON f.session_id = rv.session_id AND (f.ts < rv.ts OR (f.ts = rv.ts AND f.event_id < rv.event_id))
+      WHERE rv.rejected GROUP BY ALL)
+SELECT session_id, event_id, step, false AS review_rejected, reward, current_score, is_done, ep_success AS success, error_details, current_query,
+       hint_shown, steps_remaining, reward_history FROM f
+UNION ALL
+SELECT session_id, event_id, step, true, 1e-3, current_score, false, false, 'REVIEWER REJECTION: ' || reason, current_query,
+       CASE WHEN step >= hint_step THEN hint END, GREATEST(0, max_steps - step), reward_history FROM r""")
+def reviewed_episode_fold(spark, sf_dir):
+    """Episode state after each action when submits are reviewed first: rejected ones earn 0.001 and use no step."""
+    f = EPI.fold_episodes(reviewed_steps(spark, sf_dir), task_catalog(spark), approved="approved", reason="reason")
+    return f.select("session_id", "event_id", "step", "review_rejected", "reward", "current_score", "is_done", "success", "error_details",
+                    "current_query", "hint_shown", "steps_remaining", _hist_text(F.col("reward_history")).alias("reward_history"))
+
+
 # --------------------------------------------------------------- EP7/8 ---
 IDLE_GAP_HOURS = 6
 
@@ -351,3 +385,28 @@ def stream_episode_fold(spark, sf_dir):
     """EP2: the same fold as a Structured Streaming job (keyed state, availableNow); equals step_rewards."""
     from queryforge.streaming.episodes import run_stream_fold
     return run_stream_fold(spark, sf_dir).select(*REWARD_COLS)
+
+
+REPLAY_COLS = ["session_id", "event_id", "step", "review_rejected", "reward", "current_score", "is_done", "success", "error_details",
+               "current_query", "hint_shown", "steps_remaining"]
+
+
+@register("replayed_episode_fold", ("EP2", "RW11"), sql=ORACLE["reviewed_episode_fold"].replace(", reward_history FROM f", " FROM f")
+          .replace(", reward_history FROM r", " FROM r"))
+def replayed_episode_fold(spark, sf_dir):
+    """EP2: the reviewed steps replayed as a stream in three slices of time, every tenth event a slice too late; equals the batch fold."""
+    from queryforge.streaming.episodes import fold_stream, replay
+
+    steps = reviewed_steps(spark, sf_dir)
+    days = V.T(spark, sf_dir, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(
+        "a", "b", F.expr("a + (b - a) / 3").alias("x"), F.expr("a + (b - a) / 3 * 2").alias("y")).first()
+    own = F.when(F.col("ts") < F.lit(days["x"]), 0).when(F.col("ts") < F.lit(days["y"]), 1).otherwise(2)
+    arrives = F.least(F.lit(2), own + F.when(F.col("event_id") % 10 == 3, 1).otherwise(0))
+    parts = [steps.where(arrives == i) for i in range(3)]
+    # a row a year on, of a session of its own, moves the watermark past all others
+    end = steps.where(F.col("ts") == F.lit(days["b"])).limit(1).withColumns({
+        "session_id": F.lit(-1).cast("long"), "ts": F.col("ts") + F.expr("INTERVAL 365 days")})
+    parts[2] = parts[2].unionByName(end)
+    span = int((days["b"] - days["a"]).total_seconds()) + 1  # no row is later than this
+    out = replay(spark, parts, lambda rows: fold_stream(spark, rows, delay=f"{span} seconds"), "replayed-fold")
+    return out.where("session_id <> -1").select(*REPLAY_COLS)

@@ -1,44 +1,48 @@
 """EP2: the episode fold as a Structured Streaming job (keyed state per session).
 
 ``readStream`` -> steps rule (stream-static broadcast join with the task
-catalog) -> ``groupBy(session).applyInPandasWithState`` -> fold -> reward columns.
-
-State per session is small and bounded: its first rows in (ts, event_id) order, at
-most as many as the longest task has steps.  A row that arrives late but stands
-earlier displaces a later one, so neither the files nor the micro-batches a row
-comes in change the result.  No session is forgotten when idle: that would restart
-its step budget.
-
-* ``run_stream_fold`` reads a whole table.  Its stream only fills the state; when
-  the input is at its end, the kept rows are read from the state store and folded
-  by ``fold_episodes``.
-* ``fold_stream`` runs without end.  A row is folded and emitted once the watermark
-  has passed it, since no earlier one can follow.  What arrives behind the
-  watermark is dropped by Spark, so ``delay`` must cover the lateness of the source.
-
-Inside a micro-batch the rows of a session arrive as an iterator of Arrow batches
-and are cut to the rows still needed while they are read, so a very active session
-never materialises whole in one task.
+catalog) -> keyed state -> fold -> reward columns.
+
+* ``fold_stream`` runs without end, on ``transformWithState`` with the RocksDB state store.
+  A session's state is one value (steps taken, best score, ..) and a map from short spans of time
+  to the rows that wait in them.  A new row touches the entry of its span only and sets an
+  event-time timer at the span's end; when the watermark passes it, no row of the span can follow
+  any more, and its rows are folded and leave the state.  So a micro-batch costs what its new rows
+  and its expired spans cost, however much else waits.  What arrives behind the watermark is
+  dropped by Spark, so ``delay`` must cover the lateness of the source.
+* ``run_stream_fold`` reads a whole table in any order of files.  Its stream only fills the state, a session's
+  first rows in (ts, event_id) order, at most as many as the longest task has steps; a row that
+  arrives late but stands earlier displaces a later one, so neither the files nor the
+  micro-batches a row comes in change the result.  When the input is at its end, the kept rows are
+  read from the state store and folded by ``fold_episodes``.
+
+No session is forgotten when idle: that would restart its step budget.  Inside a micro-batch the
+rows of a session arrive as an iterator of Arrow batches, so a very active session never
+materialises whole in one task.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from queryforge.functions import scalar as S
-from queryforge.operators.episodes import LAST_STEP_SUCCESS, NO_QUERY_YET, fold_episodes
+from queryforge.operators.episodes import LAST_STEP_SUCCESS, NO_QUERY_YET, REJECTED, fold_episodes
 from queryforge.operators.reward import SUCCESS_GRADE, with_step_reward
 from queryforge.session import checkpoint_dir
 from queryforge.sources.tasks import task_catalog
 
 MIN_SCORE = 0.001
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Stands for a null ts or event_id in the state: before all others, as in the batch fold's order.
 NULL_FIRST = -2 ** 63
 
@@ -53,15 +57,20 @@ ROW_SCHEMA = T.StructType([
     T.StructField("grade", T.DoubleType()),
 ])
 
-STATE_SCHEMA = T.StructType([
+STATE_SCHEMA = T.StructType([T.StructField("waiting", T.ArrayType(ROW_SCHEMA))])
+
+#: What ``fold_stream`` keeps of a session besides the rows that wait.
+EPISODE_SCHEMA = T.StructType([
     T.StructField("steps", T.IntegerType()),
     T.StructField("best", T.DoubleType()),
     T.StructField("done", T.BooleanType()),
     T.StructField("current_query", T.StringType()),
     T.StructField("last_error", T.StringType()),
-    T.StructField("waiting", T.ArrayType(ROW_SCHEMA)),
 ])
 
+#: A row that waits: with the verdict of the review, null where there was none.
+WAITING_SCHEMA = T.StructType([*ROW_SCHEMA.fields, T.StructField("approved", T.BooleanType()), T.StructField("reason", T.StringType())])
+
 FOLDED_SCHEMA = T.StructType([
     T.StructField("session_id", T.LongType()),
     T.StructField("at", T.LongType()),
@@ -79,6 +88,7 @@ FOLDED_SCHEMA = T.StructType([
     T.StructField("success", T.BooleanType()),
     T.StructField("error_details", T.StringType()),
     T.StructField("current_query", T.StringType()),
+    T.StructField("review_rejected", T.BooleanType()),
 ])
 
 OUT_COLS = ["session_id", "ts", "event_id", "task_id", "action_type", "query", "query_success", "error_message", "tables",
@@ -87,68 +97,100 @@ OUT_COLS = ["session_id", "ts", "event_id", "task_id", "action_type", "query", "
             "penalty", "reward", "breakdown"]
 
 
-def _rows(pdf: pd.DataFrame, most: int) -> list[tuple]:
-    """The first ``most`` rows in order, as plain Python values."""
-    first = pdf.sort_values(["at", "tie"], kind="mergesort").head(most)
-    return [(int(r.at), int(r.tie), r.task_id, r.action_type, r.query, None if pd.isna(r.success) else bool(r.success),
-             r.error_message, None if pd.isna(r.grade) else float(r.grade))
-            for r in first[ROW_SCHEMA.fieldNames()].itertuples(index=False)]
-
-
-def _fold_session(key, pdfs: Iterator[pd.DataFrame], state: GroupState, tasks: dict[str, tuple[int, str]],
-                  emit: bool) -> Iterator[pd.DataFrame]:
-    """Keep the first rows of a session; with ``emit``, fold those that the watermark has passed."""
-    steps, best, done, cur_q, last_err, waiting = state.get if state.exists else (0, MIN_SCORE, False, None, None, [])
-    waiting = [tuple(r) for r in waiting]
-    room = max(m for m, _ in tasks.values()) - steps
-    for pdf in pdfs:  # always drained, also when the episode is already over
-        if not done and len(pdf):
-            waiting = sorted(waiting + _rows(pdf, room), key=lambda r: r[:2])[:room]
-    out = []
-    if emit:
-        watermark = state.getCurrentWatermarkMs()  # 0: none yet
-        while waiting and watermark and waiting[0][0] < watermark * 1000 and not done:
-            at, tie, task_id, action, query, ok, error, grade = waiting.pop(0)
-            max_steps, broken_query = tasks[task_id]
-            steps += 1
-            if steps > max_steps:
+def _plain(row, schema: T.StructType) -> tuple:
+    """A pandas row as plain Python values, missing ones as None."""
+    return tuple(None if pd.isna(v) else kind(v) for v, kind in zip(row, _KINDS[len(schema.fields)]))
+
+
+_KINDS = {len(schema.fields): [{"long": int, "string": str, "boolean": bool, "double": float}[f.dataType.typeName()] for f in schema.fields]
+          for schema in (ROW_SCHEMA, WAITING_SCHEMA)}
+
+
+def _keep_first(key, pdfs: Iterator[pd.DataFrame], state: GroupState, most: int) -> Iterator[pd.DataFrame]:
+    """Keep the first ``most`` rows of a session; nothing comes out."""
+    waiting = [tuple(r) for r in state.get[0]] if state.exists else []
+    for pdf in pdfs:
+        if len(pdf):
+            first = pdf.sort_values(["at", "tie"], kind="mergesort").head(most)[ROW_SCHEMA.fieldNames()]
+            rows = [_plain(r, ROW_SCHEMA) for r in first.itertuples(index=False)]
+            waiting = sorted(waiting + rows, key=lambda r: r[:2])[:most]
+    state.update((waiting,))
+    yield from ()
+
+
+class EpisodeProcessor(StatefulProcessor):
+    """The environment's step function over rows that the watermark has passed."""
+
+    def __init__(self, tasks: dict[str, tuple[int, str]], span_ms: int):
+        self.tasks, self.span_ms = tasks, span_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.episode = handle.getValueState("episode", EPISODE_SCHEMA)
+        self.waiting = handle.getMapState("waiting", "span long", T.StructType([T.StructField("rows", T.ArrayType(WAITING_SCHEMA))]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        done = self.episode.exists() and self.episode.get()[2]
+        for pdf in rows:
+            spans: dict[int, list[tuple]] = {}
+            for r in pdf[WAITING_SCHEMA.fieldNames()].itertuples(index=False):
+                row = _plain(r, WAITING_SCHEMA)
+                if not done or row[8] is False:  # an episode that is over takes no step; rejections still answer
+                    spans.setdefault(row[0] // 1000 // self.span_ms, []).append(row)
+            for span, new in spans.items():
+                old = [tuple(x) for x in self.waiting.getValue((span,))[0]] if self.waiting.containsKey((span,)) else []
+                self.waiting.updateValue((span,), (old + new,))
+                if not old:
+                    self.handle.registerTimer((span + 1) * self.span_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        span = expiredTimerInfo.getExpiryTimeInMs() // self.span_ms - 1
+        if not self.waiting.containsKey((span,)):
+            return
+        rows = sorted((tuple(x) for x in self.waiting.getValue((span,))[0]), key=lambda r: r[:2])
+        self.waiting.removeKey((span,))
+        steps, best, done, query_now, last_error = self.episode.get() if self.episode.exists() else (0, MIN_SCORE, False, None, None)
+        out = []
+        for at, tie, task_id, action, query, ok, error, grade, approved, reason in rows:
+            max_steps, broken_query = self.tasks[task_id]
+            if action == "submit_query" and approved is False:
+                out.append((*key, at, tie, task_id, action, query, ok, error, steps, best, None, best, False, False,
+                            REJECTED + (reason or ""), query_now, True))
+                continue
+            if done or steps >= max_steps:
                 continue
-            submit = action == "submit_query"
-            prev_best = best
+            steps += 1
+            submit, prev_best = action == "submit_query", best
             if submit:
-                grade_used, cur_q, best = grade, query, max(best, MIN_SCORE if grade is None else grade)
+                grade_used, query_now, best = grade, query, max(best, MIN_SCORE if grade is None else grade)
             else:
                 grade_used = best
                 if action == "reset_query":
-                    cur_q = broken_query
-            details = (NO_QUERY_YET if steps == 1 else last_err) if action == "inspect_error" else None
+                    query_now = broken_query
+            details = (NO_QUERY_YET if steps == 1 else last_error) if action == "inspect_error" else None
             reached = grade_used is not None and grade_used >= SUCCESS_GRADE
             last = steps >= max_steps
-            done = reached or last
-            last_err = error
+            done, last_error = reached or last, error
             out.append((*key, at, tie, task_id, action, query, ok, error, steps, prev_best, grade_used, best, done,
-                        reached or (last and best >= LAST_STEP_SUCCESS), details, cur_q))
-        if done:
-            waiting = []
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, watermark) + 1)
-    state.update((steps, best, done, cur_q, last_err, waiting))
-    if out:
-        yield pd.DataFrame(out, columns=FOLDED_SCHEMA.fieldNames())
+                        reached or (last and best >= LAST_STEP_SUCCESS), details, query_now, False))
+        self.episode.update((steps, best, done, query_now, last_error))
+        if out:
+            yield pd.DataFrame(out, columns=FOLDED_SCHEMA.fieldNames())
+
+    def close(self) -> None:
+        pass
 
 
-def _kept(spark: SparkSession, steps: DataFrame, emit: bool) -> DataFrame:
-    tasks = {r["task_id"]: (r["max_steps"], r["broken_query"])
-             for r in task_catalog(spark).select("task_id", "max_steps", "broken_query").collect()}
-    s = steps.where(F.col("task_id").isin(*tasks)).select(
-        "session_id", *(["ts"] if emit else []), F.coalesce(S.wall_micros(steps, "ts"), F.lit(NULL_FIRST)).alias("at"),
-        F.coalesce("event_id", F.lit(NULL_FIRST)).alias("tie"), *ROW_SCHEMA.fieldNames()[2:])
+def _tasks(spark: SparkSession) -> dict[str, tuple[int, str]]:
+    return {r["task_id"]: (r["max_steps"], r["broken_query"])
+            for r in task_catalog(spark).select("task_id", "max_steps", "broken_query").collect()}
 
-    def fn(key, pdfs, state):
-        return _fold_session(key, pdfs, state, tasks, emit)
 
-    timeout = GroupStateTimeout.EventTimeTimeout if emit else GroupStateTimeout.NoTimeout
-    return s.groupBy("session_id").applyInPandasWithState(fn, FOLDED_SCHEMA, STATE_SCHEMA, "append", timeout)
+def _state_rows(steps: DataFrame, tasks: dict, fields: list[str]) -> DataFrame:
+    return steps.where(F.col("task_id").isin(*tasks)).select(
+        "session_id", "ts", F.coalesce(S.wall_micros(steps, "ts"), F.lit(NULL_FIRST)).alias("at"),
+        F.coalesce("event_id", F.lit(NULL_FIRST)).alias("tie"), *fields[2:])
 
 
 def _wall_clock(steps: DataFrame) -> bool:
@@ -163,21 +205,61 @@ def _timed(rows: DataFrame, wall_clock: bool) -> DataFrame:
                              "event_id": F.when(F.col("tie") != null, F.col("tie"))}).drop("at", "tie")
 
 
-def fold_stream(spark: SparkSession, steps: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def fold_stream(spark: SparkSession, steps: DataFrame, delay: str = "10 minutes", span_ms: int = 60_000) -> DataFrame:
     """Keyed-state fold of a streaming steps frame; reward columns added after the state.
 
-    ``delay``: how late a row may arrive behind the newest ``ts``.  A row is emitted once the watermark
-    has passed it, and then it is final.
+    ``delay``: how late a row may arrive behind the newest ``ts``.  A row is emitted once the watermark has passed the end of
+    its span of ``span_ms``, and then it is final.  Rows without ``ts`` are dropped.  With columns ``approved`` and ``reason`` a
+    rejected submit gives a row with ``review_rejected`` and takes no step (RW11, as in ``fold_episodes``).
+
+    The state needs RocksDB, and a query takes its store from the session when it starts, so this sets the session's
+    ``STATE_STORE`` to it; ``kept_setting`` puts the former one back.
     """
+    spark.conf.set(STATE_STORE, ROCKSDB)
     if _wall_clock(steps):
         # watermarks need an instant type: read wall-clock values in the session time zone
         steps = steps.withColumn("ts", F.col("ts").cast("timestamp"))
-    folded = _timed(_kept(spark, steps.withWatermark("ts", delay), emit=True), wall_clock=False)
+    if "approved" not in steps.columns:
+        steps = steps.withColumns({"approved": F.lit(None).cast("boolean"), "reason": F.lit(None).cast("string")})
+    tasks = _tasks(spark)
+    rows = _state_rows(steps.withWatermark("ts", delay), tasks, WAITING_SCHEMA.fieldNames())
+    folded = rows.groupBy("session_id").transformWithStateInPandas(EpisodeProcessor(tasks, span_ms), FOLDED_SCHEMA, "append", "EventTime")
     t = F.broadcast(task_catalog(spark).select("task_id", "max_steps", "hint", "hint_step", "tables"))
-    folded = folded.join(t, "task_id").withColumns({
+    folded = _timed(folded, wall_clock=False).join(t, "task_id").withColumns({
         "hint_shown": F.when(F.col("step") >= F.col("hint_step"), F.col("hint")),
         "steps_remaining": F.greatest(F.lit(0), F.col("max_steps") - F.col("step"))})
-    return with_step_reward(folded, success="query_success").select(*OUT_COLS)
+    folded = with_step_reward(folded, success="query_success")
+    rejected = F.col("review_rejected")
+    scores = ("correctness", "efficiency", "syntax_progress", "schema_bonus", "penalty", "breakdown")
+    return folded.withColumns({"reward": F.when(rejected, F.lit(MIN_SCORE)).otherwise(F.col("reward")),
+                               **{c: F.when(~rejected, F.col(c)) for c in scores}}).select(*OUT_COLS, "review_rejected")
+
+
+@contextmanager
+def kept_setting(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is set inside does not last."""
+    before = spark.conf.get(name, None)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def replay(spark: SparkSession, slices: list[DataFrame], stream: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+    """What ``stream`` emits when the ``slices`` of a table arrive one after the other.
+
+    Each slice is appended to a folder below the session's checkpoint folder and read by one run of the query, which goes on from
+    its checkpoint; what is behind the watermark by then is late.
+    """
+    base = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    for part in slices:
+        part.write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(part.schema).parquet(f"{base}/in")
+        with kept_setting(spark, STATE_STORE):
+            q = (stream(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/chk")
+                 .outputMode("append").trigger(availableNow=True).start())
+            q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
 
 
 def run_stream_fold(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet",
@@ -195,7 +277,12 @@ def run_stream_fold(spark: SparkSession, source_dir: str, file_glob: str = "even
               .parquet(f"{source_dir}/{{{file_glob}}}"))  # a stream takes a single file by a pattern only
     steps = steps_from_events(spark, events)
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-fold-{uuid.uuid4().hex}"
-    q = (_kept(spark, steps, emit=False).writeStream.format("noop").option("checkpointLocation", f"{base}/chk")
+    tasks = _tasks(spark)
+    most = max(m for m, _ in tasks.values())
+    kept = (_state_rows(steps, tasks, ROW_SCHEMA.fieldNames()).drop("ts").groupBy("session_id")
+            .applyInPandasWithState(lambda key, pdfs, state: _keep_first(key, pdfs, state, most), FOLDED_SCHEMA, STATE_SCHEMA, "append",
+                                    GroupStateTimeout.NoTimeout))
+    q = (kept.writeStream.format("noop").option("checkpointLocation", f"{base}/chk")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     # the input is at its end: no row can displace another any more

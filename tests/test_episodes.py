@@ -90,3 +90,91 @@ def test_endless_stream_emits_what_the_watermark_passed(spark):
     q.awaitTermination()
     got, batch = spark.read.parquet(f"{base}/out").select(*REWARD_COLS), step_rewards(spark, SF_SMALL).select(*REWARD_COLS)
     assert got.count() >= 0.9 * batch.count() and got.exceptAll(batch).count() == 0
+
+
+def _number_brute(rows, limit, change):
+    """episode_no and step per event id, row after row."""
+    out, by = {}, {}
+    for r in rows:
+        by.setdefault(r[1], []).append(r)
+    for mine in by.values():
+        episode, step, before = (1 if change else 0), 0, None
+        for i, (eid, _, ts, day, restart, ok) in enumerate(sorted(mine, key=lambda r: (r[2], r[0]))):
+            if (i and day != before) if change else restart:
+                episode, step = episode + 1, 0
+            before, step = day, step + ok
+            if not ok or step <= limit:
+                out[eid] = (episode, min(step, limit) if not ok else step)
+    return out
+
+
+def test_steps_are_numbered_over_chunks(spark):
+    import datetime as dt
+    import random
+
+    from queryforge.operators.episodes import number_steps
+
+    rnd, t0 = random.Random(6), dt.datetime(2024, 1, 1)
+    rows = [(i, rnd.choice([1, 1, 1, 2, None]), t0 + dt.timedelta(minutes=rnd.randint(0, 3000)), rnd.choice([None, "a"]) if i % 4 == 0 else "b",
+             rnd.random() < 0.08, rnd.random() < 0.8) for i in range(700)]
+    df = spark.createDataFrame(rows, "event_id long, session_id long, ts timestamp, day string, restart boolean, ok boolean").repartition(4)
+    for change in (True, False):
+        kind = {"on_change": "day"} if change else {"restart": "restart"}
+        for limit in (3, 1000):
+            got = number_steps(df, ["session_id"], ["ts", "event_id"], limit, F.col("ok"), **kind)
+            assert set(got.columns) == {*df.columns, "episode_no", "step"}
+            # a row that takes no step counts those before it, of which only ``limit`` matter
+            found = {r["event_id"]: (r["episode_no"], min(r["step"], limit)) for r in got.collect()}
+            assert found == _number_brute(rows, limit, change), (change, limit)
+
+
+def test_rejected_submits_use_no_step(spark):
+    from queryforge.operators.episodes import fold_episodes
+    from queryforge.operators.screening import review_columns
+    from queryforge.sources.tasks import task_catalog
+
+    schema = ("session_id long, event_id long, ts long, task_id string, action_type string, query string, table_name string, success boolean, "
+              "error_message string, grade double")
+    submit = lambda i, q, g: (1, i, i, "easy_syntax_fix", "submit_query", q, None, True, None, g)
+    rows = [submit(1, "DELETE FROM customers;", None), (1, 2, 2, "easy_syntax_fix", "inspect_schema", None, None, None, None, None),
+            submit(3, "SELECT 1", None), submit(4, "SELECT * FROM customers", 0.999), submit(5, "DELETE FROM customers;", None),
+            submit(6, "SELECT * FROM customers", 0.5)]
+    approved, reason = review_columns("query", ["customers", "orders"])
+    df = spark.createDataFrame(rows, schema).withColumns({"approved": approved, "reason": reason})
+    got = {r["event_id"]: r for r in fold_episodes(df, task_catalog(spark), approved="approved", reason="reason").collect()}
+    assert set(got) == {1, 2, 3, 4, 5}  # the episode is over after 4: no step, but a rejection still answers
+    assert [(got[i]["step"], got[i]["review_rejected"], got[i]["is_done"]) for i in (1, 2, 3, 4, 5)] == [
+        (0, True, False), (1, False, False), (1, True, False), (2, False, True), (2, True, False)]
+    assert {got[i]["reward"] for i in (1, 3, 5)} == {0.001} and got[5]["current_score"] == 0.999 and got[1]["current_score"] == 0.001
+    assert got[1]["error_details"] == "REVIEWER REJECTION: Only SELECT queries or CTEs (WITH) are allowed."
+    assert got[3]["error_details"].endswith("Available: ['customers', 'orders']") and len(got[5]["reward_history"]) == 2
+
+
+def test_episodes_of_one_session_have_their_own_budget(spark):
+    from queryforge.operators.episodes import fold_episodes
+    from queryforge.sources.tasks import task_catalog
+
+    rows = [(1, i, i, "easy_syntax_fix", "submit_query", "SELECT 1", None, True, None, 0.3 if i < 25 else 0.1, i in (0, 25)) for i in range(40)]
+    df = spark.createDataFrame(rows, "session_id long, event_id long, ts long, task_id string, action_type string, query string, table_name string, "
+                                     "success boolean, error_message string, grade double, restart boolean")
+    got = fold_episodes(df, task_catalog(spark), restart="restart").collect()
+    assert sorted((r["episode_no"], r["step"]) for r in got) == [(e, s) for e in (1, 2) for s in range(1, 11)]
+    assert {r["current_score"] for r in got if r["episode_no"] == 2} == {0.1} and {r["prev_best"] for r in got if r["step"] == 1} == {0.001}
+
+
+def test_replayed_stream_drops_only_what_is_behind_the_watermark(spark):
+    from queryforge.plans.q_episodes import reviewed_steps
+    from queryforge.streaming.episodes import STATE_STORE, fold_stream, replay
+
+    before = spark.conf.get(STATE_STORE)
+    one = reviewed_steps(spark, SF_SMALL).where("task_id = 'easy_syntax_fix'").orderBy("event_id").limit(1).withColumn("session_id", F.lit(5).cast("long"))
+
+    def at(i, day, session=5):
+        return one.withColumns({"event_id": F.lit(i).cast("long"), "session_id": F.lit(session).cast("long"), "action_type": F.lit("inspect_schema"),
+                                "ts": F.lit(f"2024-01-{day:02d} 00:00:00").cast("timestamp_ntz"), "approved": F.lit(None).cast("boolean")})
+
+    slices = [at(1, 2).unionByName(at(3, 8)), at(2, 5).unionByName(at(4, 1)), at(9, 28, session=6)]
+    out = replay(spark, slices, lambda s: fold_stream(spark, s, delay="5 days"), "late-rows")
+    # after the first slice the watermark is the 3rd: the 5th is late but counts, in its order; the 1st is lost
+    assert sorted((r["step"], r["event_id"]) for r in out.where("session_id = 5").collect()) == [(1, 1), (2, 2), (3, 3)]
+    assert spark.conf.get(STATE_STORE) == before
