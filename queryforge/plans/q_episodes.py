@@ -397,16 +397,31 @@ def replayed_episode_fold(spark, sf_dir):
     """EP2: the reviewed steps replayed as a stream in three slices of time, every tenth event a slice too late; equals the batch fold."""
     from queryforge.streaming.episodes import fold_stream, replay
 
-    steps = reviewed_steps(spark, sf_dir)
-    days = V.T(spark, sf_dir, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(
+    parts, delay = _slices(reviewed_steps(spark, sf_dir), "session_id")
+    out = replay(spark, parts, lambda rows: fold_stream(spark, rows, delay=delay), "replayed-fold")
+    return out.where("session_id <> -1").select(*REPLAY_COLS)
+
+
+def _slices(rows, key):
+    """Three slices of time in which rows arrive, every tenth one slice too late, and how late they are at most.
+
+    A row a year on, of a session -1, comes with the last slice and moves the watermark past all others.
+    """
+    days = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(
         "a", "b", F.expr("a + (b - a) / 3").alias("x"), F.expr("a + (b - a) / 3 * 2").alias("y")).first()
     own = F.when(F.col("ts") < F.lit(days["x"]), 0).when(F.col("ts") < F.lit(days["y"]), 1).otherwise(2)
     arrives = F.least(F.lit(2), own + F.when(F.col("event_id") % 10 == 3, 1).otherwise(0))
-    parts = [steps.where(arrives == i) for i in range(3)]
-    # a row a year on, of a session of its own, moves the watermark past all others
-    end = steps.where(F.col("ts") == F.lit(days["b"])).limit(1).withColumns({
-        "session_id": F.lit(-1).cast("long"), "ts": F.col("ts") + F.expr("INTERVAL 365 days")})
-    parts[2] = parts[2].unionByName(end)
-    span = int((days["b"] - days["a"]).total_seconds()) + 1  # no row is later than this
-    out = replay(spark, parts, lambda rows: fold_stream(spark, rows, delay=f"{span} seconds"), "replayed-fold")
-    return out.where("session_id <> -1").select(*REPLAY_COLS)
+    parts = [rows.where(arrives == i) for i in range(3)]
+    end = rows.where(F.col("ts") == F.lit(days["b"])).limit(1).withColumns({
+        key: F.lit(-1).cast("long"), "ts": F.col("ts") + F.expr("INTERVAL 365 days")})
+    return [*parts[:2], parts[2].unionByName(end)], f"{int((days['b'] - days['a']).total_seconds()) + 1} seconds"
+
+
+@register("replayed_active_sessions", ("EP8",), sql=ORACLE["active_sessions"])
+def replayed_active_sessions(spark, sf_dir):
+    """EP8: distinct sessions per hour of the replayed events stream, late ones included; equals the batch counts."""
+    from queryforge.streaming.episodes import replay, stream_active_sessions
+
+    parts, delay = _slices(V.T(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id")
+    out = replay(spark, parts, lambda rows: stream_active_sessions(rows, "user_id", "ts", "1 hour", delay), "replayed-active")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "active_sessions")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queryforge.functions import scalar as S
+from queryforge.operators import failures as FL
 from queryforge.operators import grading as G
 from queryforge.operators import relational as R
 from queryforge.plans import views as V
@@ -242,3 +243,53 @@ def task_lookup_misses(spark, sf_dir):
     refs = V.T(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"),
                                                (F.col("user_id") % 5).alias("task_no")).distinct()
     return G.unknown_tasks(refs, V.tasks_keyed(spark), key="task_no")
+
+
+# ------------------------------------------------------------------ SC6 ---
+def failing_attempts(spark, sf_dir):
+    """(expected, actual, attempts): the order attempts and four more of each customer: 5 repeats the finished orders, 6 doubles
+    all amounts, 7 adds 1 to them, 8 and 9 return nothing: one wanted to delete, the other named an unknown column."""
+    exp, act = V.order_result_sets(spark, sf_dir)
+    rows = exp.select("task_key", "o_orderkey", "status", "amount")
+    more = [rows.unionByName(rows.where(F.col("status") == "F")).withColumn("attempt", F.lit(5)),
+            rows.withColumns({"attempt": F.lit(6), "amount": F.col("amount") * 2}),
+            rows.withColumns({"attempt": F.lit(7), "amount": F.col("amount") + 1})]
+    cols = ["task_key", "attempt", *ORDER_COLS]
+    act = act.select(cols)
+    for part in more:
+        act = act.unionByName(part.select(cols))
+    attempts = exp.select("task_key").distinct().select("task_key", F.explode(F.array(*[F.lit(i) for i in range(1, 10)])).alias("attempt"))
+    attempts = attempts.withColumns({
+        "sql": F.when(F.col("attempt") == 8, F.lit("DELETE FROM orders")).otherwise(F.lit("SELECT o_orderkey, status, amount FROM orders")),
+        "error": F.when(F.col("attempt") == 9, F.lit("no such column: total"))})
+    return rows, act, attempts
+
+
+@register("result_failure_classes", ("SC6",), sql=f"""
+WITH {V.DUCK_ORDER_ATTEMPTS},
+ex AS (SELECT task_key, o_orderkey, trim(status) AS status, CAST(printf('%.2f', amount) AS DOUBLE) AS amount FROM expected),
+ac AS (SELECT task_key, attempt, o_orderkey, trim(status) AS status, CAST(printf('%.2f', amount) AS DOUBLE) AS amount FROM actual
+       UNION ALL SELECT task_key, 5, o_orderkey, status, amount FROM ex
+       UNION ALL SELECT task_key, 5, o_orderkey, status, amount FROM ex WHERE status = 'F'
+       UNION ALL SELECT task_key, 6, o_orderkey, status, CAST(printf('%.2f', amount * 2) AS DOUBLE) FROM ex
+       UNION ALL SELECT task_key, 7, o_orderkey, status, CAST(printf('%.2f', amount + 1) AS DOUBLE) FROM ex),
+i AS (SELECT DISTINCT task_key, CAST(unnest(range(1, 10)) AS INTEGER) AS attempt FROM ex),
+m AS (SELECT ac.task_key, ac.attempt, ac.o_orderkey, COUNT(*) AS n, any_value(ac.amount) AS amount, any_value(ex.amount) AS wanted,
+             bool_and(ac.status IS NOT DISTINCT FROM ex.status AND ac.amount IS NOT DISTINCT FROM ex.amount) AS same
+      FROM ac JOIN ex USING (task_key, o_orderkey) GROUP BY ac.task_key, ac.attempt, ac.o_orderkey),
+c AS (SELECT i.task_key, i.attempt, (SELECT COUNT(*) FROM ex WHERE ex.task_key = i.task_key) AS n_expected,
+             COUNT(m.o_orderkey) AS found, COALESCE(SUM(m.n), 0) AS n_actual, COUNT(CASE WHEN NOT m.same THEN 1 END) AS n_wrong,
+             COUNT(CASE WHEN NOT m.same AND m.n = 1 AND round(m.amount / m.wanted) >= 2
+                      AND abs(m.amount - round(m.amount / m.wanted) * m.wanted) <= 5e-3 * round(m.amount / m.wanted) THEN 1 END) AS n_multiplied
+      FROM i LEFT JOIN m ON m.task_key = i.task_key AND m.attempt = i.attempt GROUP BY i.task_key, i.attempt),
+k AS (SELECT *, CASE WHEN attempt = 8 THEN 'unsafe' WHEN attempt = 9 THEN 'schema_mismatch'
+                     WHEN found < n_expected OR n_actual > found OR (n_wrong > 0 AND n_multiplied = n_wrong) THEN 'join_logic'
+                     WHEN n_wrong > 0 THEN 'aggregation' ELSE 'ok' END AS failure_class FROM c)
+SELECT attempt, failure_class, COUNT(*) AS n, CAST(SUM(n_expected - found) AS BIGINT) AS n_missing, CAST(SUM(n_actual - found) AS BIGINT) AS n_extra,
+       CAST(SUM(n_wrong) AS BIGINT) AS n_wrong FROM k GROUP BY attempt, failure_class""")
+def result_failure_classes(spark, sf_dir):
+    """Failure classes of nine attempts per customer, by a multiset difference of their rows against the expected ones."""
+    exp, act, attempts = failing_attempts(spark, sf_dir)
+    diff = FL.result_diff(act, exp, "task_key", ["attempt"], ["o_orderkey"], ["status", "amount"], attempts)
+    k = FL.failure_classes(diff, attempts, ["attempt", "task_key"], "sql", "error")
+    return k.groupBy("attempt", "failure_class").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("n_missing", "n_extra", "n_wrong")])

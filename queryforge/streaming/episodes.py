@@ -309,3 +309,21 @@ def stream_idle_sessions(events: DataFrame, key: str, ts: str, gap: str, waterma
             .groupBy(key, F.session_window(ts, gap).alias("sw"))
             .agg(F.count(F.lit(1)).alias("n_events"))
             .select(key, F.col("sw.start").alias("session_start"), F.col("sw.end").alias("session_end"), "n_events"))
+
+
+def stream_active_sessions(events: DataFrame, key: str, ts: str, every: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """EP8 (stream): number of distinct live sessions per tumbling window, exact, each window once it is final.
+
+    The first event of a session in a window passes, its others are dropped by ``dropDuplicatesWithinWatermark``, and what passes
+    is counted; the state holds a session per open window, not its events.  Duplicates are told for as long as the watermark's
+    delay, so that is at least ``every``: two events of one window are never further apart.  Events later than the delay
+    are dropped by Spark; events without a session or a time are not counted.
+    """
+    if events.schema[ts].dataType.typeName() == "timestamp_ntz":
+        events = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    delay = max(delay, every, key=pd.Timedelta)
+    slot = F.window(ts, every)
+    first = (events.where(F.col(key).isNotNull()).withWatermark(ts, delay).select(key, ts, slot["start"].alias("window_start"))
+             .dropDuplicatesWithinWatermark([key, "window_start"]))
+    return first.groupBy(slot.alias("w")).agg(F.count(F.lit(1)).alias("active_sessions")).select(
+        F.col("w.start").alias("window_start"), "active_sessions")

@@ -178,3 +178,18 @@ def test_replayed_stream_drops_only_what_is_behind_the_watermark(spark):
     # after the first slice the watermark is the 3rd: the 5th is late but counts, in its order; the 1st is lost
     assert sorted((r["step"], r["event_id"]) for r in out.where("session_id = 5").collect()) == [(1, 1), (2, 2), (3, 3)]
     assert spark.conf.get(STATE_STORE) == before
+
+
+def test_stream_active_sessions_counts_late_rows_once(spark):
+    import datetime as dt
+
+    from queryforge.streaming.episodes import replay, stream_active_sessions
+
+    def rows(*items):
+        return spark.createDataFrame([(u, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)) for u, m in items], "user_id long, ts timestamp")
+
+    slices = [rows((1, 5), (1, 59), (2, 61), (2, 90), (None, 7)),
+              rows((1, 30), (3, 40), (2, 119), (4, 400)),  # 1 again and late, 3 late: within the delay of two hours
+              rows((9, 10), (9, 9000))]  # ten minutes past is behind the watermark by now
+    out = replay(spark, slices, lambda s: stream_active_sessions(s, "user_id", "ts", "1 hour", "2 hours"), "late-active")
+    assert sorted((r["window_start"].hour, r["active_sessions"]) for r in out.collect()) == [(0, 2), (1, 1), (6, 1)]
