@@ -199,36 +199,38 @@ def with_task(refs: DataFrame, tasks: DataFrame, key: str = "task_id", cols: Seq
     return refs.join(F.broadcast(tasks.select(key, *cols)), key, "inner")
 
 
-# --- task plug-ins (UD2): each task names its grader and its grading columns ---
-TASK_GRADING = {
-    "positional": {},
-    "sorted_tolerant": {"key": "department_name", "count": "headcount", "value": "avg_salary"},
-    "keyed_tiers": {"name": "name", "values": ["total_orders", "total_payments"]},
-}
+# --- task plug-ins (UD2): graders by name; a task may bring a function of its own with the same arguments ---
+def _positional(actual, expected, keys, cols, grading, index):
+    return grade_positional(actual, expected, "task_key", keys, cols, attempt_index=index)
+
+
+def _sorted_tolerant(actual, expected, keys, cols, grading, index):
+    return grade_sorted_tolerant(actual, expected, "task_key", keys, grading["key"], grading["count"], grading["value"], attempt_index=index)
+
+
+def _keyed_tiers(actual, expected, keys, cols, grading, index):
+    return grade_keyed_tiers(actual, expected, "task_key", keys, grading["name"], grading["values"], attempt_index=index)
+
+
+GRADERS = {"positional": _positional, "sorted_tolerant": _sorted_tolerant, "keyed_tiers": _keyed_tiers}
 
 
 def grade_for_task(spark, task_id: str, actual: DataFrame, attempt_keys: Sequence[str] = ("attempt",),
-                   pos: str = "pos") -> DataFrame:
-    """GR6/UD2: grade attempts at one catalog task with the grader the task declares.
+                   pos: str = "pos", attempt_index: DataFrame | None = None) -> DataFrame:
+    """GR6/UD2: grade attempts at one registered task with the grader the task declares.
 
     ``actual`` holds the attempt keys, ``pos`` and the task's output columns;
-    the expected rows are the task's computed golden rows (GR7), positioned in
-    their query order.
+    the expected rows are the task's golden rows (GR7), positioned in
+    their query order.  ``attempt_index`` (attempt keys) adds attempts without rows.
     """
     from queryforge.operators.scan import ordinal
-    from queryforge.sources.tasks import GRADER, golden_rows
+    from queryforge.sources.tasks import TASKS, golden_rows
 
-    kind = GRADER[task_id]
+    task, keys = TASKS[task_id], list(attempt_keys)
     gold = golden_rows(spark, task_id)
-    cols = gold.columns
     exp = ordinal(gold.withColumn("_mid", F.monotonically_increasing_id()).withColumn("task_key", F.lit(0)),
-                  ["task_key"], ["_mid"], pos).drop("_mid")
-    act = actual.withColumn("task_key", F.lit(0))
-    keys = list(attempt_keys)
-    if kind == "positional":
-        return grade_positional(act, exp, "task_key", keys, cols, pos=pos).drop("task_key")
-    spec = TASK_GRADING[kind]
-    if kind == "sorted_tolerant":
-        return grade_sorted_tolerant(act, exp, "task_key", keys, spec["key"], spec["count"], spec["value"],
-                                     pos=pos).drop("task_key")
-    return grade_keyed_tiers(act, exp, "task_key", keys, spec["name"], spec["values"]).drop("task_key")
+                  ["task_key"], ["_mid"], "pos").drop("_mid")
+    act = actual.withColumnRenamed(pos, "pos").withColumn("task_key", F.lit(0))
+    index = None if attempt_index is None else attempt_index.select(*keys).withColumn("task_key", F.lit(0))
+    grader = task.grader if callable(task.grader) else GRADERS[task.grader]
+    return grader(act, exp, keys, gold.columns, dict(task.grading), index).drop("task_key")

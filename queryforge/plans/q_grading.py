@@ -10,7 +10,8 @@ from queryforge.operators import grading as G
 from queryforge.operators import relational as R
 from queryforge.plans import views as V
 from queryforge.plans.registry import register
-from queryforge.sources.tasks import task_catalog
+from queryforge.operators.scan import ordinal
+from queryforge.sources.tasks import Task, register_task, task_catalog, unregister_task
 
 ORDER_COLS = ["o_orderkey", "status", "amount"]
 
@@ -293,3 +294,50 @@ def result_failure_classes(spark, sf_dir):
     diff = FL.result_diff(act, exp, "task_key", ["attempt"], ["o_orderkey"], ["status", "amount"], attempts)
     k = FL.failure_classes(diff, attempts, ["attempt", "task_key"], "sql", "error")
     return k.groupBy("attempt", "failure_class").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("n_missing", "n_extra", "n_wrong")])
+
+
+# ------------------------------------------------------------ GR7 / UD2 ---
+def _balance_task(spark, sf_dir):
+    """A task over the driver tables: total balances per nation, whose naive form falls into the fan trap."""
+    def golden(_):
+        n, c, s = V.nation_children(spark, sf_dir)
+        return R.preaggregate_then_join(n.select("n_nationkey", "n_name"), "n_nationkey", [
+            (c, "c_nationkey", {"customers": F.sum(S.money("c_acctbal"))}), (s, "s_nationkey", {"suppliers": F.sum(S.money("s_acctbal"))})
+        ]).select("n_name", F.col("customers").cast("double"), F.col("suppliers").cast("double")).orderBy("n_name")
+
+    return Task("nation_balances", "Balances per nation", "medium", "Total customer and supplier balance of every nation.",
+                "n_name, customers, suppliers; ordered by name.", "SELECT 1", "SELECT 1", "Aggregate before you join.",
+                ("nation", "customer", "supplier"), max_steps=15, golden=golden)
+
+
+@register("plugin_task_grades", ("UD2", "GR6", "GR7"), sql="""
+WITH c AS (SELECT c_nationkey AS k, SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS total, COUNT(*) AS n FROM customer GROUP BY c_nationkey),
+s AS (SELECT s_nationkey AS k, SUM(CAST(s_acctbal AS DECIMAL(18,2))) AS total, COUNT(*) AS n FROM supplier GROUP BY s_nationkey),
+g AS (SELECT n_name, row_number() OVER (ORDER BY n_name) AS pos, CAST(c.total AS DOUBLE) AS customers, CAST(s.total AS DOUBLE) AS suppliers,
+             CAST(c.total * GREATEST(COALESCE(s.n, 0), 1) AS DOUBLE) AS fan_c, CAST(s.total * GREATEST(COALESCE(c.n, 0), 1) AS DOUBLE) AS fan_s
+      FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey),
+m AS (SELECT COUNT(*) AS n, COUNT(CASE WHEN customers IS NOT DISTINCT FROM fan_c AND suppliers IS NOT DISTINCT FROM fan_s THEN 1 END) AS fan,
+             COUNT(CASE WHEN pos <= 20 THEN 1 END) AS first20 FROM g),
+r AS (SELECT 1 AS attempt, n AS n_actual, n AS n_expected, n AS matches, 1e0 AS score FROM m
+      UNION ALL SELECT 2, n, n, fan, CAST(fan AS DOUBLE) / n FROM m
+      UNION ALL SELECT 3, first20, n, first20, CASE WHEN first20 = n THEN 1e0 ELSE LEAST(5e-1, CAST(first20 AS DOUBLE) / n * 5e-1) END FROM m
+      UNION ALL SELECT 4, 0, n, 0, 0e0 FROM m)
+SELECT CAST(attempt AS INTEGER) AS attempt, CAST(n_actual AS BIGINT) AS n_actual, n_expected, CAST(matches AS BIGINT) AS matches,
+       CAST(printf('%.3f', LEAST(9.99e-1, GREATEST(1e-3, score))) AS DOUBLE) AS score FROM r""")
+def plugin_task_grades(spark, sf_dir):
+    """A task registered with golden rows of its own, and four attempts at it: right, fan trap, first 20 rows, none."""
+    task = _balance_task(spark, sf_dir)
+    register_task(task)
+    try:
+        gold = ordinal(task.golden(spark).withColumns({"k": F.lit(0)}), ["k"], ["n_name"], "pos").drop("k")
+        n, c, s = V.nation_children(spark, sf_dir)
+        fan = R.naive_fan_totals(n.select("n_nationkey", "n_name"), "n_nationkey", (c, "c_nationkey", "c_acctbal", "customers"),
+                                 (s, "s_nationkey", "s_acctbal", "suppliers")).select("n_name", "customers", "suppliers")
+        fan = ordinal(fan.withColumn("k", F.lit(0)), ["k"], ["n_name"], "pos").drop("k")
+        cols = ["n_name", F.col("customers").cast("double").alias("customers"), F.col("suppliers").cast("double").alias("suppliers"), "pos"]
+        act = (gold.select(*cols, F.lit(1).alias("attempt")).unionByName(fan.select(*cols, F.lit(2).alias("attempt")))
+               .unionByName(gold.where("pos <= 20").select(*cols, F.lit(3).alias("attempt"))))
+        index = spark.range(1, 5).select(F.col("id").cast("int").alias("attempt"))
+        return G.grade_for_task(spark, task.task_id, act, attempt_index=index).select("attempt", "n_actual", "n_expected", "matches", "score")
+    finally:
+        unregister_task(task.task_id)

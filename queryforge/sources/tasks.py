@@ -1,13 +1,19 @@
 """Task catalog and the four small task databases (SRC4, UD2, GR7 fixtures).
 
-The catalog is a fixed, four-row dimension created in code, so broadcasting it
-is safe by construction.  Queries are written in Spark SQL (they run on Spark);
-the "broken" forms keep the kind of bug each task is about.
+The catalog is a small dimension created in code, one row for each registered task,
+so broadcasting it is safe by construction.  Queries are written in Spark SQL (they run
+on Spark); the "broken" forms keep the kind of bug each task is about.
+
+UD2: a task is a ``Task``.  ``register_task`` adds one; the catalog, the episode folds
+(budget, hint rule, broken query) and ``grade_for_task`` (golden rows, grader) then
+know it like the four built-in ones.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -129,24 +135,81 @@ CATALOG_SCHEMA = T.StructType([
 ])
 
 
+def _default_hint_step(difficulty: str) -> int:
+    return 3 if difficulty == "easy" else 5
+
+
+@dataclass(frozen=True)
+class Task:
+    """UD2: all that a task brings along.
+
+    ``golden(spark)`` gives the expected rows in their order (default: ``fixed_query`` run on the tables at hand).  ``grader`` is a
+    name in ``operators.grading.GRADERS`` or a function ``(actual, expected, attempt_keys, value_cols, grading, attempt_index) ->
+    DataFrame`` with ``attempt_keys`` and ``score``; ``grading`` are the columns that it wants to know.  ``hint_step``: the first step
+    that shows the hint (default: 3 for an easy task, 5 for others).
+    """
+
+    task_id: str
+    name: str
+    difficulty: str
+    description: str
+    expected_output_description: str
+    broken_query: str
+    fixed_query: str
+    hint: str
+    tables: tuple[str, ...]
+    max_steps: int = 20
+    hint_step: int | None = None
+    success_threshold: float = 0.5
+    grader: str | Callable[..., DataFrame] = "positional"
+    grading: dict = field(default_factory=dict)
+    golden: Callable[[SparkSession], DataFrame] | None = None
+
+    def row(self) -> tuple:
+        """The task's row of the catalog."""
+        return (self.task_id, self.name, self.difficulty, self.description, self.expected_output_description, self.broken_query,
+                self.fixed_query, self.max_steps, self.hint, _default_hint_step(self.difficulty) if self.hint_step is None else self.hint_step,
+                self.success_threshold, list(self.tables), self.grader if isinstance(self.grader, str) else self.grader.__name__)
+
+
+_GRADING = {"sorted_tolerant": {"key": "department_name", "count": "headcount", "value": "avg_salary"},
+            "keyed_tiers": {"name": "name", "values": ["total_orders", "total_payments"]}}
+
+TASKS: dict[str, Task] = {
+    tid: Task(tid, _TEXT[tid]["name"], DIFFICULTY[tid], _TEXT[tid]["description"], _TEXT[tid]["expected"], _TEXT[tid]["broken"],
+              _TEXT[tid]["fixed"], _TEXT[tid]["hint"], tuple(TASK_TABLES[tid]), MAX_STEPS[tid], None, SUCCESS_THRESHOLD[tid], GRADER[tid],
+              _GRADING.get(GRADER[tid], {}))
+    for tid in TASK_IDS}
+
+
+def register_task(task: Task) -> None:
+    """Add a task; its id must be new and its budget at least one step."""
+    if task.task_id in TASKS:
+        raise ValueError(f"task {task.task_id} is registered already")
+    if task.max_steps < 1:
+        raise ValueError(f"task {task.task_id} allows no step")
+    TASKS[task.task_id] = task
+
+
+def unregister_task(task_id: str) -> None:
+    """Remove a task that was added; the built-in ones stay."""
+    if task_id in TASK_IDS:
+        raise ValueError(f"{task_id} is built in")
+    del TASKS[task_id]
+
+
 def task_rows() -> list[tuple]:
-    rows = []
-    for tid in TASK_IDS:
-        t = _TEXT[tid]
-        rows.append((tid, t["name"], DIFFICULTY[tid], t["description"], t["expected"], t["broken"],
-                     t["fixed"], MAX_STEPS[tid], t["hint"], 3 if DIFFICULTY[tid] == "easy" else 5,
-                     SUCCESS_THRESHOLD[tid], TASK_TABLES[tid], GRADER[tid]))
-    return rows
+    return [task.row() for task in TASKS.values()]
 
 
 def task_catalog(spark: SparkSession) -> DataFrame:
-    """SRC4: the task dimension (four rows), meant to be broadcast.
+    """SRC4: the task dimension (a row for each registered task), meant to be broadcast.
 
     Built from literals (an inline VALUES table), so the optimizer sees a local
     relation of known size: no Python worker and no RDD behind it.
     """
     from queryforge.sources.tables import local_frame
-    key = id(spark)
+    key = (id(spark), tuple(repr(r) for r in task_rows()))
     df = _CATALOG_CACHE.get(key)
     if df is None:
         df = local_frame(spark, task_rows(), CATALOG_SCHEMA)
@@ -154,7 +217,7 @@ def task_catalog(spark: SparkSession) -> DataFrame:
     return df
 
 
-_CATALOG_CACHE: dict[int, DataFrame] = {}
+_CATALOG_CACHE: dict[tuple, DataFrame] = {}
 
 
 # --- fixed values: seed rows of the four small task databases ---
@@ -239,8 +302,11 @@ LITERAL_EASY_GOLDEN = [("Alice Chen", 1947.50), ("Carol White", 740.00), ("Frank
 
 
 def golden_rows(spark: SparkSession, task_id: str) -> DataFrame:
-    """GR7: expected rows of a task, computed by running its fixed query on the fixture."""
-    for name, df in fixture_tables(spark, task_id).items():
-        df.createOrReplaceTempView(name)
-    fixed = _TEXT[task_id]["fixed"]
-    return spark.sql(fixed)
+    """GR7: expected rows of a task: its own ``golden``, or its fixed query, for the built-in tasks on their fixture."""
+    task = TASKS[task_id]
+    if task.golden is not None:
+        return task.golden(spark)
+    if task_id in TASK_IDS:
+        for name, df in fixture_tables(spark, task_id).items():
+            df.createOrReplaceTempView(name)
+    return spark.sql(task.fixed_query)

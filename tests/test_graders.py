@@ -139,3 +139,28 @@ def test_attempts_without_rows_are_graded(spark):
     assert keyed == {(1, 1): (1, 0.1), (1, 2): (0, 0.0), (7, 1): (0, 0.0), (None, 3): (0, 0.0)}
     positional = scores(G.grade_positional(actual, expected, "task_key", ["attempt"], ["name", "n", "v"], attempt_index=index))
     assert positional[1, 2] == (0, 0.001) and positional[7, 1] == (0, 0.999) and positional[1, 1] == (2, 0.999)
+
+
+def test_a_registered_task_is_graded_and_folded(spark):
+    from queryforge.operators.episodes import fold_episodes
+    from queryforge.sources.tasks import TASKS, Task, register_task, task_catalog, unregister_task
+
+    def first_letter(actual, expected, keys, cols, grading, index):
+        ok = actual.join(expected.select("pos", F.col(grading["of"]).alias("want")), "pos").where(F.col(grading["of"]).startswith(F.substring("want", 1, 1)))
+        return ok.groupBy(*keys).agg(F.round(F.count(F.lit(1)) / 2, 3).alias("score")).withColumn("task_key", F.lit(0))
+
+    task = Task("two_names", "Two names", "easy", "d", "e", "SELCT 1", "SELECT 1", "h", ("t",), max_steps=2, hint_step=2, grader=first_letter,
+                grading={"of": "name"}, golden=lambda s: s.createDataFrame([("Ann",), ("Bob",)], "name string").coalesce(1))
+    register_task(task)
+    try:
+        actual = spark.createDataFrame([(1, 1, "Al"), (1, 2, "Bo"), (2, 1, "Al"), (2, 2, "Cy")], "attempt int, pos long, name string")
+        assert {r["attempt"]: r["score"] for r in G.grade_for_task(spark, "two_names", actual).collect()} == {1: 1.0, 2: 0.5}
+        assert {r["task_id"]: r["grader"] for r in task_catalog(spark).collect()}["two_names"] == "first_letter"
+        steps = spark.createDataFrame([(1, i, i, "two_names", "reset_query", None, None, None, None, None) for i in range(5)],
+                                      "session_id long, event_id long, ts long, task_id string, action_type string, query string, table_name string, "
+                                      "success boolean, error_message string, grade double")
+        got = [(r["step"], r["hint_shown"], r["is_done"], r["current_query"]) for r in fold_episodes(steps, task_catalog(spark)).orderBy("step").collect()]
+        assert got == [(1, None, False, "SELCT 1"), (2, "h", True, "SELCT 1")]
+    finally:
+        unregister_task("two_names")
+    assert "two_names" not in TASKS and task_catalog(spark).count() == 4
