@@ -12,6 +12,16 @@ from queryforge.functions import text as X
 TRAIN_HEAD = "Fix the following SQL query and provide only the fixed SQL."
 STEP_TAIL = "What is your next action? (respond with ONLY valid JSON)"
 TASK_CUT = 500
+RESULT_ROWS = "LAST QUERY RESULT: %d rows returned"
+RESULT_SAMPLE = "Sample (first 3): "
+SCHEMA_TITLE = "DATABASE SCHEMA:"
+SAMPLE_ROWS = "SAMPLE ROWS: "
+PROMPT_TITLE = "=== SQL Debugging Task (Step %d) ==="
+BROKEN_TITLE = "ORIGINAL BROKEN QUERY:"
+SUBMITTED_TITLE = "YOUR LAST SUBMITTED QUERY:"
+ERROR_TITLE = "LAST QUERY ERROR: "
+DETAILS_TITLE = "ERROR DETAILS: "
+HINT_TITLE = "HINT: "
 
 
 def _c(x) -> Column:
@@ -43,29 +53,37 @@ def _section(cond: Column, *lines: Column | str) -> Column:
 
 def step_prompt(obs_step, description, broken_query, current_query=None, query_success=None,
                 error_message=None, error_details=None, hint=None, current_score="current_score",
-                steps_remaining="steps_remaining", expected="expected_output_description") -> Column:
+                steps_remaining="steps_remaining", expected="expected_output_description",
+                result_rows=None, result_sample=None, schema_info=None, sample_rows=None) -> Column:
     """PD3: the multi-section step prompt; absent sections drop out (``concat_ws`` skips nulls).
 
-    The result-row sample line needs the returned rows, which step tables do
-    not carry; the error section is kept.
+    ``result_rows``, ``result_sample`` (of the last query, when it ran), ``schema_info`` and ``sample_rows`` come from
+    ``observations.observation``.
     """
     cq = _c(current_query) if current_query is not None else F.lit(None).cast("string")
     parts = [
-        F.format_string("=== SQL Debugging Task (Step %d) ===", _c(obs_step)),
+        F.format_string(PROMPT_TITLE, _c(obs_step)),
         F.concat(F.lit("Task: "), F.substring(F.coalesce(_c(description), F.lit("")), 1, TASK_CUT)),
-        F.lit(""), F.lit("ORIGINAL BROKEN QUERY:"), F.lit("```sql"), F.coalesce(_c(broken_query), F.lit("")),
+        F.lit(""), F.lit(BROKEN_TITLE), F.lit("```sql"), F.coalesce(_c(broken_query), F.lit("")),
         F.lit("```"),
-        _section(cq.isNotNull() & (F.length(cq) > 0), "YOUR LAST SUBMITTED QUERY:", "```sql", cq, "```"),
+        _section(cq.isNotNull() & (F.length(cq) > 0), SUBMITTED_TITLE, "```sql", cq, "```"),
     ]
+    if result_rows is not None:
+        parts.append(_section(_c(result_rows).isNotNull(), F.format_string(RESULT_ROWS, _c(result_rows).cast("long")),
+                              F.concat(F.lit(RESULT_SAMPLE), _c(result_sample))))
     if query_success is not None:
         parts.append(_section(_c(query_success) == F.lit(False), F.concat(
-            F.lit("LAST QUERY ERROR: "), F.coalesce(_c(error_message), F.lit("Unknown error")))))
+            F.lit(ERROR_TITLE), F.coalesce(_c(error_message), F.lit("Unknown error")))))
+    if schema_info is not None:
+        parts.append(_section(_c(schema_info).isNotNull(), SCHEMA_TITLE, F.when(F.length(_c(schema_info)) > 0, _c(schema_info))))
     if error_details is not None:
         ed = _c(error_details)
-        parts.append(_section(ed.isNotNull() & (F.length(ed) > 0), F.concat(F.lit("ERROR DETAILS: "), ed)))
+        parts.append(_section(ed.isNotNull() & (F.length(ed) > 0), F.concat(F.lit(DETAILS_TITLE), ed)))
+    if sample_rows is not None:
+        parts.append(_section(_c(sample_rows).isNotNull(), F.concat(F.lit(SAMPLE_ROWS), _c(sample_rows))))
     if hint is not None:
         h = _c(hint)
-        parts.append(_section(h.isNotNull() & (F.length(h) > 0), F.concat(F.lit("HINT: "), h)))
+        parts.append(_section(h.isNotNull() & (F.length(h) > 0), F.concat(F.lit(HINT_TITLE), h)))
     parts += [
         F.lit(""),
         F.concat(F.lit("Current score: "), S.py_fixed(F.coalesce(_c(current_score), F.lit(0.0)), 3)),

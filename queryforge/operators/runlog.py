@@ -59,6 +59,48 @@ def numeric_series(log: DataFrame, needle: str, order_col: str = "log_idx") -> D
     return _dedup_first(s, order_col)
 
 
+def _number(v: Column) -> Column:
+    """A variant as double when it is a number or a boolean; text that looks like one is none."""
+    return F.when(F.schema_of_variant(v).rlike("^(BOOLEAN|TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+
+
+def _variant_key(key: str, v: str = "v") -> Column:
+    return F.try_variant_get(v, f"$['{key}']", "variant")
+
+
+def _first_like(needle: str, v: str = "v", skip: Sequence[str] = ()) -> Column:
+    """The first number among a row's keys that hold ``needle`` (case-blind), in order of the key names."""
+    entries = F.map_entries(F.expr(f"try_cast(`{v}` AS map<string, variant>)"))
+    fit = F.filter(entries, lambda e: F.contains(F.lower(e["key"]), F.lit(needle.lower())) & ~e["key"].isin(*skip) & _number(e["value"]).isNotNull())
+    return _number(F.get(fit, F.lit(0))["value"])
+
+
+def _variant_series(log: DataFrame, value: Column, order_col: str) -> DataFrame:
+    step = F.coalesce(*[F.nullif(_number(_variant_key(k)), F.lit(0.0)) for k in STEP_KEYS])
+    s = log.select(step.alias("step"), value.alias("value"), F.col(order_col))
+    return _dedup_first(s.where(F.col("step").isNotNull() & F.col("value").isNotNull()), order_col)
+
+
+def reward_series_variant(log: DataFrame, order_col: str = "log_idx") -> DataFrame:
+    """TL1 over ``read_log_variant``: per row the first reward key that holds a number, else the first key with ``reward`` in its name.
+
+    A key decides by the row's own value, so a null, a text or an absent key in one row hides nothing in another.
+    """
+    return _variant_series(log, F.coalesce(*[_number(_variant_key(k)) for k in REWARD_KEYS], _first_like("reward")), order_col)
+
+
+def numeric_series_variant(log: DataFrame, needle: str, order_col: str = "log_idx") -> DataFrame:
+    """TL2 over ``read_log_variant``: per row the first number under a key that holds ``needle``."""
+    return _variant_series(log, _first_like(needle, skip=STEP_KEYS), order_col)
+
+
+def log_keys(log: DataFrame, v: str = "v") -> DataFrame:
+    """SF21: the keys of ragged log rows, found by one aggregate: key, rows that have it, rows in which it is a number."""
+    entry = F.explode(F.map_entries(F.expr(f"try_cast(`{v}` AS map<string, variant>)")))
+    return log.select(entry.alias("e")).groupBy(F.col("e.key").alias("key")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(_number(F.col("e.value"))).alias("n_numbers"))
+
+
 def smoothing_window(n: Column) -> Column:
     """w = max(5, n // 20 or 5)."""
     q = F.floor(n / F.lit(20))

@@ -13,7 +13,7 @@ from queryforge.plans import views as V
 from queryforge.plans.registry import ORACLE, register
 from queryforge.session import checkpoint_dir
 from queryforge.sources import sinks as K
-from queryforge.sources.tables import DRIVER_TABLES, load_tables, read_log_history, schema_profile
+from queryforge.sources.tables import DRIVER_TABLES, load_tables, read_log_history, read_log_variant, schema_profile
 
 _NAMES = ", ".join(f"'{t}'" for t in DRIVER_TABLES)
 _DUCK_PROFILE = f"""
@@ -62,6 +62,28 @@ def log_history_roundtrip(spark, sf_dir):
 ORACLE["log_history_roundtrip"] = ORACLE["reward_series"]
 
 
+@register("variant_reward_series", ("SRC10", "SF21", "SF22", "TL1"), sql=ORACLE["reward_series"])
+def variant_reward_series(spark, sf_dir):
+    """The log written as JSON lines and read back as variants, without a schema: the reward series once more."""
+    path = _scratch(spark, "log-variant")
+    K.write_jsonl(V.run_log(spark, sf_dir), path)
+    log = read_log_variant(spark, path).withColumn("log_idx", F.try_variant_get("v", "$.log_idx", "bigint"))
+    return RL.reward_series_variant(log).select("step", "value")
+
+
+_KEYS = ("log_idx", "step", "global_step", "epoch", "reward", "rewards/mean", "loss", "grad_norm")
+
+
+@register("log_key_counts", ("SRC10", "SF21"), sql=f"""
+WITH {V.DUCK_RUN_LOG}, k AS ({" UNION ALL ".join(f"SELECT '{k}' AS key, COUNT({chr(34)}{k}{chr(34)}) AS n_rows FROM run_log" for k in _KEYS)})
+SELECT key, n_rows, n_rows AS n_numbers FROM k WHERE n_rows > 0""")
+def log_key_counts(spark, sf_dir):
+    """Keys of the written log, with the rows that have them, found in the variants by one aggregate."""
+    path = _scratch(spark, "log-keys")
+    K.write_jsonl(V.run_log(spark, sf_dir), path)
+    return RL.log_keys(read_log_variant(spark, path))
+
+
 _SUM8 = "CAST(COALESCE(SUM(CAST(%s AS DECIMAL(28,8))), 0) AS DOUBLE)"
 
 

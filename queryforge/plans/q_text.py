@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from queryforge.functions import text as X
+from queryforge.operators import observations as O
 from queryforge.operators import prompts as P
 from queryforge.operators import screening as SC
 from queryforge.operators.reward import keyword_hit, keyword_reward
 from queryforge.plans import q_episodes as QE
+from queryforge.plans import q_sources as QS
 from queryforge.plans import views as V
 from queryforge.plans.registry import register
+from queryforge.sources.tables import load_tables, sample_rows, schema_profile
 
 TABLES = V.SQL_TABLES
 
@@ -197,3 +201,107 @@ def jittered_rewards(spark, sf_dir):
     t = V.sql_text(spark, sf_dir)
     return t.select("text_id", keyword_reward("text", jitter_seed=42).alias("reward"),
                     S.session_uuid().alias("session_id"))
+
+
+# ---------------------------------------------------------- PRJ10, PD3 ---
+SHOWN_TABLES = ("customer", "orders")
+#: The driver table behind each table that ``inspect_sample`` names, its columns and its key.
+SAMPLED = {"customers": ("customer", ["c_custkey", "c_name", "c_acctbal"]), "departments": ("nation", ["n_nationkey", "n_name"]),
+           "purchases": ("orders", ["o_orderkey", "o_custkey", "o_orderstatus"]), "orders": ("orders", ["o_orderkey", "o_custkey", "o_orderstatus"])}
+_JSON_SQL = {"c_custkey": "%d", "c_name": '"%s"', "c_acctbal": "%s", "n_nationkey": "%d", "n_name": '"%s"', "o_orderkey": "%d", "o_custkey": "%d",
+             "o_orderstatus": '"%s"', "status": '"%s"', "amount": "%s"}
+
+
+def _duck_json(cols) -> str:
+    args = ", ".join(f"CAST({c} AS VARCHAR)" if _JSON_SQL[c] == "%s" else c for c in cols)
+    return "printf('{" + ", ".join(f'"{c}": {_JSON_SQL[c]}' for c in cols) + "}', " + args + ")"
+
+
+_DUCK_OBSERVATIONS = f"""
+{QE._FOLD}, {QS._DUCK_PROFILE.strip()},
+res AS (SELECT task_key, COUNT(*) AS row_count,
+               '[' || string_agg(CASE WHEN pos <= 3 THEN {_duck_json(["o_orderkey", "status", "amount"])} END, ', ' ORDER BY pos) || ']' AS first_rows
+        FROM (SELECT o_custkey AS task_key, o_orderkey, o_orderstatus AS status, o_totalprice AS amount,
+                     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos FROM orders) GROUP BY task_key),
+sch AS (SELECT string_agg(line, chr(10) ORDER BY line) AS text FROM (
+          SELECT '  ' || "table" || ': ' || string_agg("column" || ' (' || type || ')', ', ' ORDER BY ordinal) AS line
+          FROM prof WHERE "table" IN {SHOWN_TABLES} GROUP BY "table")),
+sam AS ({" UNION ALL ".join(f"SELECT '{name}' AS table_name, (SELECT '[' || string_agg({_duck_json(cols)}, ', ' ORDER BY {cols[0]}) || ']' FROM (SELECT * FROM {t} ORDER BY {cols[0]} LIMIT 3)) AS sample_rows"
+                            for name, (t, cols) in SAMPLED.items())}),
+obs AS (SELECT f.*, f.query_success AS result_success, CASE WHEN f.query_success THEN COALESCE(res.row_count, 0) END AS result_rows,
+               CASE WHEN f.query_success THEN COALESCE(res.first_rows, '[]') END AS result_sample,
+               CASE WHEN NOT f.query_success THEN COALESCE(f.error_message, 'Unknown error') END AS result_error,
+               CASE WHEN f.action_type = 'inspect_schema' THEN sch.text END AS schema_info,
+               CASE WHEN f.action_type = 'inspect_sample' THEN sam.sample_rows END AS sample_rows
+        FROM f CROSS JOIN sch LEFT JOIN res ON res.task_key = f.session_id LEFT JOIN sam ON sam.table_name = f.table_name)"""
+
+
+def observations_of(spark, sf_dir, carry=False):
+    """Folded steps with what they show: a submit that ran returns the orders of the customer with the session's number."""
+    rows = V.order_expected(spark, sf_dir).withColumnRenamed("task_key", "session_id")
+    results = O.first_rows_json(rows, ["session_id"], "pos", ["o_orderkey", "status", "amount"])
+    lines = P.schema_text(schema_profile(spark, load_tables(spark, sf_dir, SHOWN_TABLES, register=False)))
+    schema = lines.select(F.array_join(F.sort_array(F.collect_list("line")), "\n")).scalar()
+    samples = None
+    for name, (table, cols) in SAMPLED.items():
+        three = sample_rows(V.T(spark, sf_dir, table).select(*cols), 3, [cols[0]])
+        three = three.withColumns({"table_name": F.lit(name), "pos": F.row_number().over(Window.orderBy(cols[0]))})  # three rows
+        part = O.first_rows_json(three, ["table_name"], "pos", cols).select("table_name", F.col("first_rows").alias("sample_rows"))
+        samples = part if samples is None else samples.unionByName(part)
+    return O.observation(QE.folded(spark, sf_dir), results, ["session_id"], schema, samples, carry=carry)
+
+
+OBSERVED = ["session_id", "step", "last_action_type", "result_success", "result_rows", "result_sample", "result_error", "schema_info", "sample_rows",
+            "steps_remaining", "current_score", "is_done", "success"]
+
+
+@register("observations", ("PRJ10",), sql=f"""
+{_DUCK_OBSERVATIONS}
+SELECT {", ".join("action_type AS last_action_type" if c == "last_action_type" else "ep_success AS success" if c == "success" else c for c in OBSERVED)} FROM obs""")
+def observations(spark, sf_dir):
+    """One row per accepted step: state, last result with its first rows, schema and sample rows as the action shows them."""
+    return observations_of(spark, sf_dir).select(*OBSERVED)
+
+
+@register("newest_results", ("PRJ10",), sql=f"""
+{_DUCK_OBSERVATIONS}
+SELECT session_id, step,
+       LAST(CASE WHEN query_success IS NOT NULL THEN step END IGNORE NULLS) OVER w AS result_step,
+       LAST(CASE WHEN query_success IS NOT NULL THEN COALESCE(result_rows, -1) END IGNORE NULLS) OVER w AS result_rows
+FROM obs WINDOW w AS (PARTITION BY session_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def newest_results(spark, sf_dir):
+    """As-of form: each step with the rows of the newest result so far (-1: it failed) and the step that gave it."""
+    w = Window.partitionBy("session_id").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    o = observations_of(spark, sf_dir, carry=True)
+    return o.select("session_id", "step", F.last(F.when(F.col("query_success").isNotNull(), F.col("step")), ignorenulls=True).over(w).alias("result_step"),
+                    F.when(F.col("result_success").isNotNull(), F.coalesce("result_rows", F.lit(-1))).alias("result_rows"))
+
+
+@register("observation_prompts", ("PD3", "PRJ10"), sql=f"""
+{_DUCK_OBSERVATIONS}
+SELECT session_id, step,
+  concat_ws(chr(10),
+    printf('=== SQL Debugging Task (Step %d) ===', step + 1),
+    'Task: ' || substr(COALESCE(t2.description, ''), 1, 500),
+    '', 'ORIGINAL BROKEN QUERY:', '```sql', COALESCE(obs.broken_query, ''), '```',
+    CASE WHEN current_query IS NOT NULL AND length(current_query) > 0 THEN
+      concat_ws(chr(10), '', 'YOUR LAST SUBMITTED QUERY:', '```sql', current_query, '```') END,
+    CASE WHEN result_rows IS NOT NULL THEN
+      concat_ws(chr(10), '', printf('LAST QUERY RESULT: %d rows returned', result_rows), 'Sample (first 3): ' || result_sample) END,
+    CASE WHEN query_success = false THEN concat_ws(chr(10), '', 'LAST QUERY ERROR: ' || COALESCE(error_message, 'Unknown error')) END,
+    CASE WHEN schema_info IS NOT NULL THEN concat_ws(chr(10), '', 'DATABASE SCHEMA:', schema_info) END,
+    CASE WHEN error_details IS NOT NULL AND length(error_details) > 0 THEN concat_ws(chr(10), '', 'ERROR DETAILS: ' || error_details) END,
+    CASE WHEN sample_rows IS NOT NULL THEN concat_ws(chr(10), '', 'SAMPLE ROWS: ' || sample_rows) END,
+    CASE WHEN hint_shown IS NOT NULL AND length(hint_shown) > 0 THEN concat_ws(chr(10), '', 'HINT: ' || hint_shown) END,
+    '', 'Current score: ' || {_duck_fixed3('COALESCE(current_score, 0e0)')},
+    'Steps remaining: ' || CAST(COALESCE(steps_remaining, 0) AS VARCHAR),
+    'Expected output: ' || COALESCE(t2.expected_output_description, ''),
+    '', 'What is your next action? (respond with ONLY valid JSON)') AS prompt
+FROM obs JOIN tasks t2 ON t2.task_id = obs.task_id""")
+def observation_prompts(spark, sf_dir):
+    """The prompt after each accepted step with all sections: result rows, schema and samples too."""
+    o = observations_of(spark, sf_dir)
+    return o.select("session_id", "step", P.step_prompt(
+        F.col("step") + 1, "description", "broken_query", "current_query", "query_success", "error_message",
+        "error_details", "hint_shown", "current_score", "steps_remaining", "expected_output_description",
+        "result_rows", "result_sample", "schema_info", "sample_rows").alias("prompt"))

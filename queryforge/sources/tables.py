@@ -122,3 +122,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_log_variant(spark: SparkSession, path: str) -> DataFrame:
+    """SRC10: trainer log rows as one variant column ``v`` and their order ``log_idx`` (file, place in it); one read, no schema inference.
+
+    Keys that only some rows or later files have are there as well, and a value keeps the type of its row.
+    """
+    log = spark.read.format("json").option("singleVariantColumn", "v").load(path)
+    return log.select("v", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                    F.monotonically_increasing_id().alias("row")).alias("log_idx"))

@@ -97,3 +97,38 @@ def test_latency_of_null_groups_and_values(spark):
     got = sorted(map(tuple, RL.latency_stats(df, "g", "ms").collect()), key=repr)
     assert got == sorted([(None, 2.0, 2.0, 1.0, 2), ("b", 7.0, 7.0, 7.0, 1)], key=repr)
     assert RL.latency_stats(df.limit(0), "g", "ms").collect() == []
+
+
+def test_ragged_logs_as_variants(spark, tmp_path):
+    import json
+
+    from queryforge.sources.tables import read_log_variant
+
+    files = [[{"step": 1, "reward": None, "rewards/mean": "0.9", "rewards": 0.1}, {"step": 1, "reward": 5}, {"step": 0, "epoch": 0.5, "reward": "x"},
+              {"step": 2, "loss": "nan", "eval_loss": 0.25}, "no object", {"global_step": 3, "my_Reward": True}],
+             [{"step": 7, "objective/mean_reward": 0.7, "Loss": 2}, {"reward": 1.0}, {"step": 8, "zz_reward": "1", "a_reward_b": 3.5}]]
+    for i, rows in enumerate(files):
+        (tmp_path / f"part-{i}.json").write_text("\n".join(map(json.dumps, rows)))
+    log = read_log_variant(spark, str(tmp_path))
+    assert sorted((r["step"], r["value"]) for r in RL.reward_series_variant(log).collect()) == [(1.0, 0.1), (3.0, 1.0), (7.0, 0.7), (8.0, 3.5)]
+    assert sorted((r["step"], r["value"]) for r in RL.numeric_series_variant(log, "loss").collect()) == [(2.0, 0.25), (7.0, 2.0)]
+    keys = {r["key"]: (r["n_rows"], r["n_numbers"]) for r in RL.log_keys(log).collect()}
+    assert keys["reward"] == (4, 2) and keys["step"] == (6, 6) and keys["objective/mean_reward"] == (1, 1) and keys["loss"] == (1, 0)
+
+
+def test_observation_of_results(spark):
+    from queryforge.operators.observations import first_rows_json, observation
+
+    rows = spark.createDataFrame([(1, p, f'a"{p}', None if p == 2 else p / 2) for p in (3, 1, 2, 4)], "event_id long, pos long, name string, v double")
+    results = first_rows_json(rows, ["event_id"], "pos", ["name", "v"])
+    assert results.first().asDict() == {"event_id": 1, "row_count": 4, "first_rows":
+                                        '[{"name": "a\\"1", "v": 0.5}, {"name": "a\\"2", "v": null}, {"name": "a\\"3", "v": 1.5}]'}
+    steps = spark.createDataFrame([(5, 1, 1, "submit_query", True, None, None), (5, 2, 2, "inspect_sample", None, None, "t"), (5, 3, 3, "submit_query", True, None, None),
+                                   (5, 4, 4, "submit_query", False, "bad", None), (5, 5, 5, "inspect_schema", None, None, None)],
+                                  "session_id long, event_id long, step long, action_type string, query_success boolean, error_message string, table_name string")
+    samples = spark.createDataFrame([("t", "[1]")], "table_name string, sample_rows string")
+    for carry in (False, True):
+        got = {r["step"]: (r["result_rows"], r["result_error"], r["schema_info"], r["sample_rows"])
+               for r in observation(steps, results, schema=F.lit("s"), samples=samples, carry=carry).collect()}
+        assert got == {1: (4, None, None, None), 2: (4 if carry else None, None, None, "[1]"), 3: (0, None, None, None), 4: (None, "bad", None, None),
+                       5: (None, "bad" if carry else None, "s", None)}
