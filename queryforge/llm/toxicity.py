@@ -1,6 +1,6 @@
 """Toxicity: a character n-gram linear classifier on features scaled by naive Bayes log-count ratios.
 
-Features are the distinct hashed byte n-grams of the lower-cased text.  From a
+Features are the distinct hashed n-grams of code points of the lower-cased text.  From a
 bounded sample of labelled documents come the log-count ratio of every feature and, on the
 features with the strongest evidence, a logistic regression over the scaled features.
 Scoring reads every text whole and needs only the table of weights.
@@ -21,13 +21,14 @@ from .common import doc_rows, keep_rows, materialize
 BITS = 18
 _STEP = np.uint32(0x01000193)
 _SPREAD = np.uint32(0x9E3779B1)
-#: Every byte that is no letter or digit counts as a blank; A-Z count as a-z.
-_BYTES = np.array([b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)], np.uint32)
+#: An ASCII character that is no letter or digit counts as a blank; A-Z count as a-z; all other characters stay.
+_ASCII = np.array([b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(128)], np.uint32)
 
 
 def ngrams(text: str | None, sizes: tuple[int, ...]) -> np.ndarray:
-    """Hashed byte n-grams of the text between two blanks, one per place."""
-    data = _BYTES[np.frombuffer(f" {text or ''} ".encode(), np.uint8)]
+    """Hashed character n-grams of the text between two blanks, one per place."""
+    data = np.frombuffer(f" {text or ''} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    data = np.where(data < 128, _ASCII[np.minimum(data, 127)], data)
     out, h = [], np.zeros(len(data), np.uint32)
     for n in range(1, max(sizes) + 1):
         if n > len(data):
@@ -76,8 +77,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_featu
           smoothing: float = 0.5, ridge: float = 0.003, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``most_rows`` labelled documents, those with the smallest hash of their doc_id.
 
-    A doc_id labelled twice counts as toxic if any label says so; null labels are ignored.  With fewer
-    than two classes the model is its smoothed prior alone.
+    A doc_id labelled twice counts as toxic if any label says so; null labels and those other than 0 and 1 are ignored;
+    a document that occurs several times counts as often.  Labels of one class, or none, tell nothing of the other: the
+    model then scores every text 0.5, below the threshold, and rejects none.  Features of equal evidence are taken by number.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -94,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_featu
         counts[r["toxic"]] += np.frombuffer(r["counts"], np.int64)
     weights = np.zeros(1 << BITS)
     if not n.all():
-        return Model(weights, float(np.log((n[1] + smoothing) / (n[0] + smoothing))), sizes)
+        return Model(weights, 0.0, sizes)
     share = (counts + smoothing) / (n[:, None] + 2 * smoothing)
     ratio = np.log(share[1] / share[0])
     evidence = np.abs(ratio) * np.sqrt(counts.sum(axis=0))
@@ -118,9 +120,10 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_featu
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, score (0 to 1) and predicted (1 from ``threshold`` on) of every row; a null text scores as an empty one.
+    """doc_id, text_hash, score (0 to 1) and predicted (1 from ``threshold`` on, itself included) of every row.
 
-    Null and repeated doc_ids pass through, one row each; other columns are ignored.
+    A null text scores as an empty one; null and repeated doc_ids pass through, one row each; other columns are ignored; an
+    empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2**18 weights
 
