@@ -26,9 +26,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # 18 characters and more of the maxim
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Credential words before a value, beyond those of ASSIGN.
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key)"""
+#: Credential words before a value, beyond those of ASSIGN; no letter stands before them, but for the hump of a camelCase name.
+CONTEXT = re.compile(r"""(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))"""
+                     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key)"""
                      r"""["']?[\x20\t]*(?:[:=]|\x20is\x20)[\x20\t]*["']?([^\s"'<>,;]+)""", re.A | re.I)
+#: Values that name where a secret comes from and are none: calls, subscripts, variables and templates.
+REFERENCE = re.compile(r"""[A-Za-z_][\w.]*[(\[].*|\$[\w({].*|\{\{.*|%[({].*|<.*""", re.A | re.S)
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d(?P<s>[-/.]?)(?:0\d|1[0-2])(?P=s)(?:[0-2]\d|3[01])|(?:[0-2]\d|3[01])(?P<t>[-/.]?)(?:0\d|1[0-2])(?P=t)(?:19|20)\d\d|(?:19|20)\d\d")
 # Cost, in powers of ten, of one brute-force character, a date, a repeat's character, a walk's start, and a cut.
@@ -79,10 +82,11 @@ def guess_cost(value: str, words: dict[str, int], longest: int = 24) -> float:
         best = cost[end - 1] + CHARACTER
         for begin in dates.get(end, ()):
             best = min(best, cost[begin] + DAY + CUT)
-        if same > 2:
-            best = min(best, cost[end - same] + REPEAT + math.log10(same) + CUT)
-        if walk > 2:
-            best = min(best, cost[end - walk] + WALK + 0.3 * walk + CUT)
+        # a word or date may reach into a run from before; none does by more than its length
+        for begin in range(end - same, min(end - same + longest, end - 3) + 1):
+            best = min(best, cost[begin] + REPEAT + math.log10(end - begin) + CUT)
+        for begin in range(end - walk, min(end - walk + longest, end - 3) + 1):
+            best = min(best, cost[begin] + WALK + 0.3 * (end - begin) + CUT)
         for begin in range(max(0, end - longest), end - 2):
             rank = words.get(low[begin:end])
             if rank:
@@ -92,6 +96,14 @@ def guess_cost(value: str, words: dict[str, int], longest: int = 24) -> float:
     return cost[n]
 
 
+def context_values(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values after credential words; a value that is a credential word itself is followed on."""
+    at = 0
+    while m := CONTEXT.search(text, at):
+        yield m.span(1)
+        at = m.start(1)
+
+
 def find_spans(text: str | None, words: dict[str, int], least_cost: float) -> list[tuple[int, str, int]]:
     """(start, kind, end) of all spans, by start and then kind; code points, end exclusive."""
     text = text or ""
@@ -101,7 +113,8 @@ def find_spans(text: str | None, words: dict[str, int], least_cost: float) -> li
     if "=" in text or ":" in text:
         out += [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "=" in text or ":" in text or " is " in text.lower():
-        out += [(m.start(1), "guess", m.end(1)) for m in CONTEXT.finditer(text) if len(m[1]) >= 6 and guess_cost(m[1], words) >= least_cost]
+        out += [(a, "guess", b) for a, b in context_values(text) if b - a >= 6 and not REFERENCE.fullmatch(text, a, b)
+                and guess_cost(text[a:b], words) >= least_cost]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
@@ -124,8 +137,8 @@ def secret_scan(docs: DataFrame, vocabulary: str | None = None, least_cost: floa
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans.
 
     ``spans`` lists kind:start:end, by start and kind; ``guess`` spans are values after a credential word
-    whose cheapest segmentation takes ``10 ** least_cost`` guesses or more.  ``base_sha256`` covers the
-    other kinds.  ``vocabulary``: a public tokenizer file (JSON) whose whole words serve as the dictionary.
+    whose cheapest segmentation takes ``10 ** least_cost`` guesses or more; calls, variables and templates are no
+    values, and a credential word inside a longer word is none.  ``base_sha256`` covers the other kinds.  ``vocabulary``: a public tokenizer file (JSON) whose whole words serve as the dictionary.
     A null text is empty and has no spans; null and repeated doc_ids pass through; other columns are ignored.
     """
     schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base_sha256 string, spans string"
