@@ -18,29 +18,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import doc_rows, text_words
+from .license_texts import NOTICES, TAG, templates  # noqa: F401
+
+TEMPLATES = templates()
 
 # Phrases and their labels (given by the contract).
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Notices of public licences, as their texts ask for them.
-NOTICES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
-                  "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-           "following conditions are met",
-    "cc-by-nc": "Licensed under CC BY-NC 4.0",
-    "cc-by-sa": "Licensed under CC BY-SA 4.0",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-                  "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-           "provided that the above copyright notice and this permission notice appear in all copies",
-    "mit": "Released under the MIT License",
-    "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-                  "documentation files (the \"Software\"), to deal in the Software without restriction",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "unlicense": "This is free and unencumbered software released into the public domain",
-}
+# Words that tell licences apart wherever they stand; those that do before "general"; those that do after BY or NC.
+ALWAYS = frozenset(b"noncommercial sharealike noderivatives noderivs neither".split())
+BEFORE_GENERAL = frozenset(b"lesser affero library".split())
+AFTER_BY = frozenset(b"nc sa nd".split())
+#: A number after one of these is a version; so is a second number, unless it is 0.
+BEFORE_VERSION = frozenset(b"version v by nc sa nd attribution noncommercial sharealike noderivatives noderivs license licence cc0 bsd".split())
+
+
+def telling(words: list[bytes]) -> list[int]:
+    """How many of the words before each place tell licences apart (one entry more than words)."""
+    out, before, before2, n = [0], b"", b"", 0
+    for i, w in enumerate(words):
+        if w in ALWAYS or w in AFTER_BY and before in (b"by", b"nc"):
+            n += 1
+        elif w in BEFORE_GENERAL and words[i + 1:i + 2] == [b"general"]:
+            n += 1
+        elif w.isdigit() and (before in BEFORE_VERSION or before.isdigit() and before2 in BEFORE_VERSION and w != b"0"):
+            n += 1
+        out.append(n)
+        before2, before = before, w
+    return out
 
 
 class Automaton:
@@ -51,6 +56,8 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.templates = {name: len(text_words(t)) for name, t in templates.items()}
+        self.telling = {name: telling(text_words(t)) for name, t in templates.items()}
+        self.shortest = min((len(text_words(t)) for t in [*phrases, *templates.values()]), default=0)
         own_ends: dict[int, set[tuple[str, int]]] = {}
         for name, text in templates.items():
             state = 0
@@ -119,7 +126,7 @@ class Automaton:
         phrases, found = [], []
         next_, link, length, outputs = self.next, self.link, self.length, self.outputs
         for begin, end in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()):
-            if end - begin < 2:
+            if end - begin < min(2, self.shortest):
                 continue
             state = size = 0
             for i, symbol in enumerate(ids[begin:end].tolist(), begin):
@@ -147,7 +154,7 @@ class Automaton:
                 by_name.setdefault(name, []).append((end, at, size))
         return {name: sorted(pieces) for name, pieces in by_name.items()}
 
-    def chains(self, found: list[tuple[int, int, int]], gap: int) -> dict[str, tuple[float, int, int]]:
+    def chains(self, found: list[tuple[int, int, int]], gap: int, told: list[int] | None = None) -> dict[str, tuple[float, int, int]]:
         """Per template the best chain of matches in order: (share of its words covered, first word, one past the last word)."""
         out = {}
         for name, pieces in self.pieces(found).items():
@@ -158,28 +165,41 @@ class Automaton:
                 for before, start, text_end, template_end in reversed(chain):
                     if end - size - text_end > gap:
                         break
-                    new = at - max(template_end, at - size)
-                    if text_end < end and template_end < at and new > 0 and before + new > covered:
+                    new = min(at - max(template_end, at - size), end - max(text_end, end - size))  # no word counts twice
+                    if text_end < end and template_end < at and new > 0 and before + new > covered and self._same(name, told, text_end, end - size, template_end, at - size):
                         covered, first = before + new, start
                 chain.append((covered, first, end, at))
                 best = max(best, (covered, -first, end))
             out[name] = (best[0] / self.templates[name], -best[1], best[2])
         return out
 
-    def spans(self, name: str, pieces: list[tuple[int, int, int]], gap: int, least_cover: float) -> list[tuple[float, int, int]]:
-        """The chains of a template as in ``chains``, all that reach ``least_cover``: those that do not overlap and cover most in sum."""
-        words = self.templates[name]
+    def _same(self, name: str, told: list[int] | None, text_end: int, text_next: int, template_end: int, template_next: int) -> bool:
+        """No word that tells licences apart is left out of the text or the template between two matches."""
+        if told is None:
+            return True
+        own = self.telling[name]
+        return told[max(text_next, text_end)] == told[text_end] and own[max(template_next, template_end)] == own[template_end]
+
+    def spans(self, name: str, pieces: list[tuple[int, int, int]], gap: int, least_cover: float, told: list[int] | None = None) -> list[tuple[float, int, int]]:
+        """The chains of a template as in ``chains``, all that reach ``least_cover``: those that do not overlap and cover most in sum.
+
+        With ``told`` (``telling`` of the text) a chain holds all words of the template that tell it apart, and the text has no other
+        such word inside the chain or right at its ends.
+        """
+        words, own = self.templates[name], self.telling[name]
         chains: list[list[tuple[int, int]]] = []  # per piece (first word, covered words) of the chains that end with it, none better in both
         ends = [end for end, _, _ in pieces]
         total, chosen = [0], [None]  # best sum over the first pieces; the chain that it ends with
         for i, (end, at, size) in enumerate(pieces):
-            best = {end - size: min(size, at)}
+            first = end - size
+            begins = told is None or not own[max(at - size, 0)] and told[first] == told[max(first - 1, 0)]
+            best = {first: min(size, at)} if begins else {}
             for j in range(i - 1, -1, -1):
                 text_end, template_end, _ = pieces[j]
                 if end - size - text_end > gap:
                     break
-                new = at - max(template_end, at - size)
-                if text_end < end and template_end < at and new > 0:
+                new = min(at - max(template_end, at - size), end - max(text_end, end - size))  # no word counts twice
+                if text_end < end and template_end < at and new > 0 and self._same(name, told, text_end, end - size, template_end, at - size):
                     for first, before in chains[j]:
                         best[first] = max(best.get(first, 0), before + new)
             kept, most = [], 0
@@ -190,7 +210,8 @@ class Automaton:
             chains.append(kept)
             total.append(total[-1])
             chosen.append(None)
-            for first, covered in kept:
+            whole = told is None or own[at] == own[-1] and told[min(end + 1, len(told) - 1)] == told[end]
+            for first, covered in kept if whole else ():
                 if covered / words >= least_cover and covered + total[before := bisect_right(ends, first, 0, i)] > total[-1]:
                     total[-1], chosen[-1] = covered + total[before], (covered / words, first, end, before)
         out, i = [], len(pieces)
@@ -203,6 +224,21 @@ class Automaton:
         return out[::-1]
 
 
+def _longest(spans: list[tuple[str, float, int, int]], lengths: dict[str, int]) -> list[dict]:
+    """Of spans that share more than half of the words of the lesser one, the one that covers most words; by label and place."""
+    out: list[tuple[str, float, int, int]] = []
+    for name, cover, first, end in sorted(spans, key=lambda s: (-round(s[1] * lengths[s[0]]), s[0], s[2])):
+        if all(2 * (min(end, e) - max(first, f)) <= min(end - first, e - f) for _, _, f, e in out):
+            out.append((name, cover, first, end))
+    rows = sorted({(name.split("#")[0], first, end): cover for name, cover, first, end in out}.items())
+    return [{"template": label, "first": first, "end": end, "cover": cover} for (label, first, end), cover in rows]
+
+
+def _least(name: str, least_cover: float) -> float:
+    """A tag holds its whole id; other templates need ``least_cover``."""
+    return 1.0 if name.rpartition("#")[2].startswith(TAG) else least_cover
+
+
 def _scan(automaton: Automaton, least_match: int, least_cover: float, gap: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()),
                         ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()),
@@ -211,12 +247,14 @@ def _scan(automaton: Automaton, least_match: int, least_cover: float, gap: int):
     def one(doc_id, text) -> tuple:
         words = text_words(text)
         phrases, found = automaton.matches(words, least_match)
-        chains = automaton.chains(found, gap)
+        told = telling(words) if found else [0]
+        chains = automaton.chains(found, gap, told)
         starts, base = [p[0] for p in phrases], {p[2] for p in phrases}
         pieces = automaton.pieces(found)
-        spans = [{"template": n, "first": f, "end": e, "cover": c} for n in sorted(chains) if chains[n][0] >= least_cover
-                 for c, f, e in automaton.spans(n, pieces[n], gap, least_cover)]
-        cover = max([c for c, _, _ in chains.values()] + [1.0] * bool(base), default=0.0)
+        spans = [(n, *s) for n in chains if chains[n][0] >= _least(n, least_cover) for s in automaton.spans(n, pieces[n], gap, _least(n, least_cover), told)]
+        covers = [c for n, (c, _, _) in chains.items() if c < _least(n, least_cover) and not n.rpartition("#")[2].startswith(TAG)]
+        cover = max(covers + [s[1] for s in spans] + [1.0] * bool(base), default=0.0)
+        spans = _longest(spans, automaton.templates)
         labels = base | {s["template"] for s in spans}
         return (doc_id, len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
                 ",".join(sorted(labels)), cover, spans)
@@ -229,14 +267,16 @@ def _scan(automaton: Automaton, least_match: int, least_cover: float, gap: int):
     return run
 
 
-def license_scan(docs: DataFrame, phrases: dict[str, str] = BASE_PHRASES, templates: dict[str, str] = NOTICES, least_match: int = 3,
+def license_scan(docs: DataFrame, phrases: dict[str, str] = BASE_PHRASES, templates: dict[str, str] = TEMPLATES, least_match: int = 3,
                  least_cover: float = 0.8, gap: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     ``n_base``: places where a phrase's words stand consecutively; first/last_word: their least and greatest start
     (null without any).  ``spans``: every place of a template whose chain of matches covers ``least_cover`` of
-    its words (at most ``gap`` foreign words between matches); ``labels``: theirs and the phrases'.  ``score``: the
-    greatest cover of any template, 1 when a phrase stands in the text.  A null or empty text has no words and
+    its words (at most ``gap`` foreign words between matches) and agrees with it in all words that tell licences apart
+    (``telling``: versions, Affero, Lesser, NC, SA, ND, ..); of spans over the same words the one that covers most; an SPDX tag
+    stands with its whole id.  A template's label is its name up to ``#``.  ``labels``: those of the spans and the phrases.
+    ``score``: the greatest cover of any template, one that reaches ``least_cover`` only as a span; 1 when a phrase stands in the text.  A null or empty text has no words and
     score 0; a null doc_id and repeated rows pass through, one row each; other columns are ignored.
     """
     schema = ("doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, "
