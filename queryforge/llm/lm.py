@@ -1,22 +1,20 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted hash arrays.
-
-1. Tasks count words and word pairs of their training texts; a word is its 64-bit hash,
-   a pair the upper 32 bits of both, mixed by an odd factor so that pairs of one
-   frequent word spread over all buckets.  Only (bucket, sorted keys, counts) blocks are
-   shuffled, one per task and bucket.
-2. Each bucket merges its blocks.  Pair buckets write their sorted keys and counts as raw
-   arrays to the shared folder and pass on, per word, what follows and precedes it;
-   word buckets merge these into continuation counts and context totals.
-3. Workers map the arrays into memory and look up the sorted queries of a block of
-   texts at a time.  Pages are read when needed; no worker loads the model.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark, stored as sorted hash arrays.
+
+An n-gram is a pair of 64-bit hashes: its context (all words but the last) and its last word.
+
+1. Tasks count the words and n-grams of blocks of training texts.  Only (kind, bucket, arrays) rows are shuffled, at most one for each
+   block and bucket; the number of buckets follows the bytes of the texts.  A bucket holds some contexts and some last words,
+   so the successors of one frequent word spread over many buckets.
+2. Each bucket merges its blocks and writes its sorted arrays to the shared folder.  It passes on the totals of its contexts, and
+   what the order below counts: in how many different contexts each shorter n-gram stands.  Orders go down one by one to words.
+3. Workers map the arrays into memory and look up the sorted queries of a block of texts at a time, in the buckets
+   that hold them.  Pages are read when needed; no worker loads the model.  The maps stay with the worker.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_rows, materialize, scratch_path
+from .files import local_path, store_of, written
 
-_ODD = 0x9E3779B97F4A7C15
-_BACK = np.uint64(pow(_ODD, -1, 1 << 64))
-_MIX, _HALF, _LOW = np.uint64(_ODD), np.uint64(32), np.uint64(0xFFFFFFFF)
+_ODD, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_HALF = np.uint64(32)
 #: Marks around a text; no word contains a blank.
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" begin", b" end"))
-WORDS, PAIRS, CONTEXTS, NUMBERS = 1, 2, 3, 4
+#: Kinds of rows besides the n-grams of order 2 and more, whose kind is their order: words, totals of contexts, numbers.
+WORDS, CONTEXTS, NUMBERS = 1, 100, -1
 
 
 def token_hashes(text: str | None) -> np.ndarray:
@@ -47,53 +46,108 @@ def token_hashes(text: str | None) -> np.ndarray:
     return out
 
 
-def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, the token before each, where each text begins) of some texts."""
+def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, where each text begins) of some texts."""
     parts = [token_hashes(t) for t in texts]
-    starts = np.cumsum([0, *map(len, parts)])[:-1]
-    tokens = np.concatenate(parts)
-    before = np.concatenate(([BEGIN], tokens[:-1]))
-    before[starts] = BEGIN
-    return tokens, before, starts
-
-
-def pair_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return ((before >> _HALF << _HALF) | (tokens >> _HALF)) * _MIX
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1]
+
+
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    """Mixed once more, so that bits taken of it say nothing of those of the hash."""
+    x = hashes * _ODD
+    return (x ^ (x >> _HALF)) * _FOLD
+
+
+def contexts(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
+    """Per length 1, 2, .. order - 1: the hash of that many tokens before each token; before a text stand begin marks."""
+    n = len(tokens)
+    first = np.zeros(n, bool)
+    first[starts] = True
+    since = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    out: list[np.ndarray] = []
+    for length in range(1, order):
+        before = np.concatenate([np.full(length, BEGIN), tokens])[:n]
+        before[since < length] = BEGIN
+        # a longer context is the shorter one and the word before it
+        out.append(before if length == 1 else _spread(out[-1] ^ _spread(before + np.uint64(length))))
+    return out
 
 
-def _pack(keys: np.ndarray, *numbers: np.ndarray) -> bytes:
-    """Sorted keys and their numbers as byte planes of the key steps, which the shuffle's codec compresses well."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    planes = [steps.view(np.uint8).reshape(-1, 8).T.tobytes()]
-    planes += [n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for n in numbers]
-    return np.array([len(keys), len(numbers)], np.int64).tobytes() + b"".join(planes)
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as byte planes, which the shuffle's codec compresses well: sorted ones (the first) by their steps."""
+    parts = [np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize))], np.int64).tobytes()]
+    for i, a in enumerate(arrays):
+        a = np.diff(a, prepend=a.dtype.type(0)) if i == 0 else a
+        parts.append(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() if len(a) else b"")
+    return b"".join(parts)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    count = int(np.frombuffer(data, np.int64, 1)[0])
+    shape = np.frombuffer(data, np.int64, 2 * count, 8).tolist()
+    at, out = 8 + 16 * count, []
+    for n, width in zip(shape[::2], shape[1::2]):
+        plane = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+        out.append(np.ascontiguousarray(plane).view({4: np.uint32, 8: np.uint64}[width]).ravel())
+        at += n * width
+    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
+    return out
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-    n, m = np.frombuffer(data, np.int64, 2)
-    keys = np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, 16).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
-    take = lambda i: np.frombuffer(data, np.uint8, 4 * n, 16 + 8 * n + 4 * n * i).reshape(4, -1).T
-    return keys, [np.ascontiguousarray(take(i)).view(np.uint32).ravel().astype(np.int64) for i in range(m)]
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before them."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]))
 
 
-def _merge(blocks: list[bytes], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sum the numbers of equal keys over some blocks."""
-    parts = [_unpack(b) for b in blocks]
-    if not parts:
-        return np.empty(0, np.uint64), [np.empty(0, np.int64)] * width
-    keys = np.concatenate([p[0] for p in parts])
+def _summed(keys: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys, sorted, and the sums of their numbers."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[firsts], [np.add.reduceat(np.concatenate([p[1][i] for p in parts])[order], firsts) for i in range(width)]
+    at = _firsts(keys)
+    return keys[at], [np.add.reduceat(n[order], at) if len(at) else np.empty(0, np.int64) for n in numbers]
+
+
+def _grams(tails: list[np.ndarray], context: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple:
+    """Distinct n-grams by context and word: (contexts, their tails, how many words each has, words, counts)."""
+    order = np.lexsort((words, context))
+    context, words = context[order], words[order]
+    at = _firsts(context, words)
+    counts = np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+    context, words = context[at], words[at]
+    own = _firsts(context)
+    return context[own], [t[order][at][own] for t in tails], np.diff(own, append=len(context)), words, counts
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Buckets of n-grams: ``rows`` bits of the context by ``columns`` bits of the word; words and contexts by all bits."""
+
+    bits: int
 
+    @property
+    def columns(self) -> int:
+        return self.bits // 2
 
-def _blocks(kind: int, bits: int, keys: np.ndarray, *numbers: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(kind, bucket, block) for each bucket, the upper ``bits`` of the keys."""
-    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.empty(0, np.int64)
-    for bucket, (a, b) in enumerate(zip([0, *edges], [*edges, len(keys)])):
-        if a < b:
-            yield kind, bucket, _pack(keys[a:b], *(n[a:b] for n in numbers))
+    def of_grams(self, context: np.ndarray, words: np.ndarray) -> np.ndarray:
+        rows = self.bits - self.columns
+        return (self._top(context, rows) << self.columns) | self._top(words, self.columns)
+
+    def of_keys(self, keys: np.ndarray) -> np.ndarray:
+        return self._top(keys, self.bits)
+
+    @staticmethod
+    def _top(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (_spread(keys) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def _parts(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket and the places of its rows, in their order."""
+    order = np.argsort(buckets, kind="stable")
+    at = _firsts(buckets[order])
+    for a, b in zip(at, [*at[1:], len(order)]):
+        yield int(buckets[order[a]]), order[a:b]
 
 
 _BLOCK = "kind int, bucket int, data binary"
@@ -104,87 +158,98 @@ def _frame(rows) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=["kind", "bucket", "data"])
 
 
-def _counted(bits: int, most_tokens: int = 1_500_000):
-    def blocks(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        tokens, before = (np.concatenate(x) for x in zip(*parts))
-        words, counts = np.unique(np.append(tokens, BEGIN), return_counts=True)
-        counts[words == BEGIN] = 0  # a context, but never a token
-        pairs, pair_counts = np.unique(pair_keys(before, tokens), return_counts=True)
-        return pa.RecordBatch.from_pandas(_frame([*_blocks(WORDS, bits, words, counts), *_blocks(PAIRS, bits, pairs, pair_counts)]),
-                                          schema=_ARROW, preserve_index=False)
+def _gram_rows(kind: int, grid: Grid, tails: list[np.ndarray], context: np.ndarray, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+    for bucket, at in _parts(grid.of_grams(context, words)):
+        own, own_tails, many, last, sums = _grams([t[at] for t in tails], context[at], words[at], counts[at])
+        yield kind, bucket, _pack(own, many.astype(np.uint32), last, sums.astype(np.uint32), *own_tails)
+
+
+def _key_rows(kind: int, grid: Grid, keys: np.ndarray, *numbers: np.ndarray) -> Iterator[tuple]:
+    keys, numbers = _summed(keys, *numbers)
+    for bucket, at in _parts(grid.of_keys(keys)):
+        yield kind, bucket, _pack(keys[at], *(n[at].astype(np.uint64) for n in numbers))
+
+
+def _counted(order: int, grid: Grid, most_tokens: int):
+    def block(texts: list) -> pa.RecordBatch:
+        tokens = np.concatenate([t for t, _ in texts])
+        before = [np.concatenate([c[i] for _, c in texts]) for i in range(order - 1)]
+        one, none = np.ones(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
+        rows = [*_key_rows(WORDS, grid, tokens, one, none)]
+        if order > 1:
+            rows += _gram_rows(order, grid, before[:-1][::-1], before[-1], tokens, one)
+        return pa.RecordBatch.from_pandas(_frame(rows), schema=_ARROW, preserve_index=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                tokens, before, _ = _joined(part.column("text").to_pylist())
-                held.append((tokens, before))
+                tokens, starts = _joined(part.column("text").to_pylist())
+                held.append((tokens, contexts(tokens, starts, order)))
                 size += len(tokens)
                 if size >= most_tokens:
-                    yield blocks(held)
+                    yield block(held)
                     held, size = [], 0
         if held:
-            yield blocks(held)
+            yield block(held)
     return run
 
 
-def _local(uri: str) -> str | None:
-    """The path of a folder that every worker has mounted; None for other stores."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return uri if "://" not in uri and not re.match(r"\w+:", uri) else None
+def _write(uri: str, name: str, array: np.ndarray) -> None:
+    with written(uri, name) as out:
+        out.write(np.ascontiguousarray(array).view(np.uint8).ravel().tobytes() if len(array) else b"")
 
 
-def _write(uri: str, name: str, array: np.ndarray) -> None:
-    """Write under a name of its own, then rename: a retried task leaves the same file."""
-    path = _local(uri)
-    store, root = (fs.LocalFileSystem(), path) if path else fs.FileSystem.from_uri(uri)
-    store.create_dir(root)
-    part = f"{root}/.{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as out:
-        out.write(np.ascontiguousarray(array).view(np.uint8).ravel().tobytes())
-    store.move(part, f"{root}/{name}")
-
-
-def _merged(bits: int, uri: str):
-    """Merge the blocks of one bucket; pair buckets write their arrays and pass word statistics on."""
+def _merged(order: int, grid: Grid, uri: str):
+    """Merge one bucket: n-grams of ``order`` are written, their contexts' totals and what they say of the order below passed on."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         kind, bucket = int(key[0]), int(key[1])
-        keys, (counts,) = _merge(list(rows["data"]), 1)
-        if kind == WORDS:
-            return _frame([(WORDS, bucket, _pack(keys, counts))])
-        _write(uri, f"pairs-{bucket}.keys", keys)
-        _write(uri, f"pairs-{bucket}.counts", np.minimum(counts, 255).astype(np.uint8))
-        many = np.flatnonzero(counts >= 255)
-        _write(uri, f"pairs-{bucket}.many", np.concatenate([many, counts[many]]).astype(np.int64))
-        both = keys * _BACK
-        stats = []
-        words, at = np.unique(both >> _HALF, return_inverse=True)
-        sums = [np.bincount(at, weights=w, minlength=len(words)) for w in (counts, counts == 1, counts == 2, counts > 2)]
-        zero = np.zeros(len(words))
-        stats += _blocks(CONTEXTS, bits, words << _HALF, *sums, zero)
-        words, after = np.unique(both & _LOW, return_counts=True)
-        zero = np.zeros(len(words))
-        stats += _blocks(CONTEXTS, bits, words << _HALF, zero, zero, zero, zero, after)
-        numbers = np.array([np.sum(counts == i) for i in (1, 2, 3, 4)], np.int64)
-        return _frame([*stats, (NUMBERS, -1, numbers.tobytes())])
+        blocks = [_unpack(b) for b in rows.pop("data")]
+        if kind == CONTEXTS or kind == WORDS:
+            own, numbers = _summed(*(np.concatenate([b[i] for b in blocks]) for i in range(len(blocks[0]))))
+            return _frame([(kind, bucket, _pack(own, *numbers))])
+        many = [b[1] for b in blocks]
+        context = np.concatenate([np.repeat(b[0], m) for b, m in zip(blocks, many)])
+        tails = [np.concatenate([np.repeat(b[i], m) for b, m in zip(blocks, many)]) for i in range(4, 4 + order - 2)]
+        words, counts = (np.concatenate([b[i] for b in blocks]) for i in (2, 3))
+        del blocks
+        own, tails, many, words, counts = _grams(tails, context, words, counts.astype(np.int64))
+        del context
+        name = f"{order}-{bucket}"
+        begins = np.cumsum(many) - many
+        _write(uri, f"{name}.contexts", own)
+        _write(uri, f"{name}.begins", np.append(begins, len(words)).astype(np.int64))
+        _write(uri, f"{name}.words", words)
+        _write(uri, f"{name}.counts", np.minimum(counts, 255).astype(np.uint8))
+        high = np.flatnonzero(counts >= 255)
+        _write(uri, f"{name}.many", np.concatenate([high, counts[high]]).astype(np.int64))
+        total = lambda x: np.add.reduceat(x.astype(np.int64), begins)
+        out = [*_key_rows(CONTEXTS, grid, own, total(counts), total(counts == 1), total(counts == 2), total(counts > 2))]
+        one, none = np.ones(len(words), np.int64), np.zeros(len(words), np.int64)
+        if order == 2:
+            out += _key_rows(WORDS, grid, words, none, one)
+        else:
+            below = [np.repeat(t, many) for t in tails]
+            out += _gram_rows(order - 1, grid, below[1:], below[0], words, one)
+        return _frame([*out, (NUMBERS, -1, _NUMBER.join([np.sum(counts == i) for i in (1, 2, 3, 4)]))])
     return run
 
 
-def _word_arrays(uri: str):
-    """Write a word bucket: keys, and per word count, context total, kinds of successors and number of predecessors."""
+def _key_arrays(uri: str):
+    """Write a bucket of words (count, contexts before it) or of contexts (total, kinds of successors)."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(key[0])
-        keys, (counts,) = _merge(list(rows.loc[rows["kind"] == WORDS, "data"]), 1)
-        about, stats = _merge(list(rows.loc[rows["kind"] == CONTEXTS, "data"]), 5)
-        at = np.searchsorted(about, keys >> _HALF << _HALF)
-        found = (at < len(about)) & (about[np.minimum(at, len(about) - 1)] == keys >> _HALF << _HALF) if len(about) else np.zeros(len(keys), bool)
-        own = [np.where(found, s[np.minimum(at, len(s) - 1)] if len(s) else 0, 0) for s in stats]
-        _write(uri, f"words-{bucket}.keys", keys)
-        _write(uri, f"words-{bucket}.stats", np.array([counts, *own], np.int64).T)
-        ahead = own[4]
-        numbers = [counts.sum(), (counts > 0).sum(), ahead.sum(), *((ahead == i).sum() for i in (1, 2, 3, 4)), (ahead > 2).sum()]
-        return _frame([(NUMBERS, -1, np.array(numbers, np.int64).tobytes())])
+        kind, bucket = int(key[0]), int(key[1])
+        blocks = [_unpack(b) for b in rows["data"]]
+        own, numbers = _summed(*(np.concatenate([b[i] for b in blocks]) for i in range(len(blocks[0]))))
+        numbers = [n.astype(np.int64) for n in numbers]
+        name = f"words-{bucket}" if kind == WORDS else f"contexts-{kind - CONTEXTS}-{bucket}"
+        _write(uri, f"{name}.keys", own)
+        _write(uri, f"{name}.stats", np.array(numbers, np.int64).T)
+        if kind != WORDS:
+            return _frame([])
+        counts, ahead = numbers
+        sums = [counts.sum(), (counts > 0).sum(), ahead.sum(), *((ahead == i).sum() for i in (1, 2, 3, 4)), (ahead > 2).sum()]
+        return _frame([(NUMBERS, -1, _NUMBER.join(sums))])
     return run
 
 
@@ -196,117 +261,172 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0, [0, 1, 2, 3])
 
 
+class _Maps:
+    """Mapped arrays of one model, kept by the worker; a model in a store that is no folder is fetched file by file.
+
+    A fetched file has no name any more once it is mapped, so nothing of it outlives the map.
+    """
+
+    def __init__(self, uri: str):
+        self.uri, self.root, self.arrays = uri, local_path(uri), {}
+
+    def get(self, name: str, kind) -> np.ndarray:
+        if name not in self.arrays:
+            path = f"{self.root}/{name}" if self.root else self._fetched(name)
+            empty = not path or not os.path.exists(path) or not os.path.getsize(path)
+            self.arrays[name] = np.empty(0, kind) if empty else np.memmap(path, kind, "r")
+            if path and not self.root:
+                os.unlink(path)
+        return self.arrays[name]
+
+    def _fetched(self, name: str) -> str | None:
+        store, base = store_of(self.uri)
+        if store.get_file_info(f"{base}/{name}").type != fs.FileType.File:
+            return None
+        handle, path = tempfile.mkstemp(prefix="lm-")
+        os.close(handle)
+        fs.copy_files(f"{base}/{name}", path, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
+        return path
+
+
+_OPEN: dict[str, _Maps] = {}
+
+
+def _maps(uri: str) -> _Maps:
+    """The maps of a model; a worker keeps those of one model at a time."""
+    if uri not in _OPEN:
+        _OPEN.clear()
+        _OPEN[uri] = _Maps(uri)
+    return _OPEN[uri]
+
+
 @dataclass
 class Model:
-    """Where the arrays are, and the few numbers that all tokens share."""
+    """Where the arrays are, and the few numbers that all tokens share; ``gram_discounts``: of orders 2, 3, .."""
 
     uri: str
-    bits: int
+    order: int
+    grid: Grid
     tokens: int
     vocabulary: int
-    pairs: int
+    kinds: int
     word_discounts: np.ndarray
     word_rest: float
-    pair_discounts: np.ndarray
-    _maps: dict = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"_maps": {}}
-
-    def _map(self, name: str, kind) -> np.ndarray:
-        """An array of the model, mapped; from a store that is no folder its file is first fetched to the worker."""
-        if name not in self._maps:
-            root = _local(self.uri)
-            path = f"{root}/{name}"
-            if root is None:
-                store, base = fs.FileSystem.from_uri(self.uri)
-                path = os.path.join(self._maps.setdefault("", tempfile.mkdtemp()), name)
-                if store.get_file_info(f"{base}/{name}").type == fs.FileType.File:
-                    fs.copy_files(f"{base}/{name}", path, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
-            empty = not os.path.exists(path) or not os.path.getsize(path)
-            self._maps[name] = np.empty(0, kind) if empty else np.memmap(path, kind, "r")
-        return self._maps[name]
-
-    def _find(self, kind: str, asked: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
-        """For sorted ``asked``: (bucket, its slice of ``asked``, places in the bucket's keys, which of them are there)."""
-        edges = np.searchsorted(asked, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)) if self.bits else []
-        for bucket, (a, b) in enumerate(zip([0, *edges], [*edges, len(asked)])):
-            keys = self._map(f"{kind}-{bucket}.keys", np.uint64) if a < b else ()
-            if len(keys):
-                at = np.searchsorted(keys, asked[a:b])
-                at[at == len(keys)] = 0
-                yield bucket, slice(a, b), at, keys[at] == asked[a:b]
-
-    def word_stats(self, asked: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(asked), 6), np.int64)
-        for bucket, part, at, there in self._find("words", asked):
-            out[part][there] = self._map(f"words-{bucket}.stats", np.int64).reshape(-1, 6)[at[there]]
-        return out
-
-    def pair_counts(self, asked: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(asked), np.int64)
-        for bucket, part, at, there in self._find("pairs", asked):
-            found = self._map(f"pairs-{bucket}.counts", np.uint8)[at].astype(np.int64)
-            high = np.flatnonzero(there & (found == 255))
-            if len(high):
-                many, exact = self._map(f"pairs-{bucket}.many", np.int64).reshape(2, -1)
-                found[high] = exact[np.searchsorted(many, at[high])]
-            out[part] = np.where(there, found, 0)
+    gram_discounts: list[np.ndarray] = field(default_factory=list)
+
+    def _key_stats(self, name: str, asked: np.ndarray, width: int) -> np.ndarray:
+        """Numbers of some keys; zeros for those the model does not have."""
+        keys, back = np.unique(asked, return_inverse=True)
+        out = np.zeros((len(keys), width), np.int64)
+        maps = _maps(self.uri)
+        for bucket, at in _parts(self.grid.of_keys(keys)):
+            own = maps.get(f"{name}-{bucket}.keys", np.uint64)
+            if len(own):
+                place = np.searchsorted(own, keys[at])
+                place[place == len(own)] = 0
+                there = own[place] == keys[at]
+                out[at[there]] = maps.get(f"{name}-{bucket}.stats", np.int64).reshape(-1, width)[place[there]]
+        return out[back]
+
+    def _gram_counts(self, order: int, context: np.ndarray, words: np.ndarray) -> np.ndarray:
+        maps, out = _maps(self.uri), np.zeros(len(words), np.int64)
+        for bucket, at in _parts(self.grid.of_grams(context, words)):
+            name = f"{order}-{bucket}"
+            own = maps.get(f"{name}.contexts", np.uint64)
+            if not len(own):
+                continue
+            place = np.searchsorted(own, context[at])
+            place[place == len(own)] = 0
+            at, place = at[own[place] == context[at]], place[own[place] == context[at]]
+            begins, last = maps.get(f"{name}.begins", np.int64), maps.get(f"{name}.words", np.uint64)
+            low, end = begins[place], begins[place + 1]
+            high, asked = end.copy(), words[at]
+            while (wide := low < high).any():  # binary search, all queries at once
+                middle = (low + high) // 2
+                less = np.zeros(len(low), bool)
+                less[wide] = last[middle[wide]] < asked[wide]
+                low, high = np.where(wide & less, middle + 1, low), np.where(wide & ~less, middle, high)
+            there = low < end
+            there[there] = last[low[there]] == asked[there]
+            found = maps.get(f"{name}.counts", np.uint8)[low[there]].astype(np.int64)
+            if (found == 255).any():
+                many, exact = maps.get(f"{name}.many", np.int64).reshape(2, -1)
+                found[found == 255] = exact[np.searchsorted(many, low[there][found == 255])]
+            out[at[there]] = found
         return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens, known tokens, base score, and log10 probability under the model."""
-        tokens, before, starts = _joined(texts)
-        asked, at = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-        stats = self.word_stats(asked)
-        own, context = stats[at[:len(tokens)]], stats[at[len(tokens):]]
-        ahead = own[:, 5]
-        single = np.full(len(tokens), self.word_rest / (self.vocabulary + 1))
-        if self.pairs:
-            single += np.maximum(ahead - self.word_discounts[np.minimum(ahead, 3)], 0) / self.pairs
-        asked, at = np.unique(pair_keys(before, tokens), return_inverse=True)
-        count = self.pair_counts(asked)[at]
-        total, kinds = context[:, 1], context[:, 2:5]
-        seen = total > 0
-        share = np.maximum(count - self.pair_discounts[np.minimum(count, 3)], 0)
-        both = np.where(seen, (share + (kinds @ self.pair_discounts[1:]) * single) / np.maximum(total, 1), single)
-        base = np.log10((own[:, 0] + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
+        tokens, starts = _joined(texts)
+        own = self._key_stats("words", tokens, 2)
+        counts, ahead = own.T
+        share = np.maximum(ahead - self.word_discounts[np.minimum(ahead, 3)], 0)
+        chance = self.word_rest / (self.vocabulary + 1) + (share / self.kinds if self.kinds else 0.0)
+        for order, before in enumerate(contexts(tokens, starts, self.order), 2):
+            discount = self.gram_discounts[order - 2]
+            about = self._key_stats(f"contexts-{order}", before, 4)
+            count = self._gram_counts(order, before, tokens)
+            total, rest = about[:, 0], about[:, 1:] @ discount[1:]
+            share = np.maximum(count - discount[np.minimum(count, 3)], 0)
+            chance = np.where(total > 0, (share + rest * chance) / np.maximum(total, 1), chance)
+        base = np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
         ends = np.append(starts[1:], len(tokens))
-        return (ends - starts, np.add.reduceat((own[:, 0] > 0).astype(np.int64), starts), np.add.reduceat(base, starts),
-                np.add.reduceat(np.log10(both), starts))
+        return (ends - starts, np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(base, starts),
+                np.add.reduceat(np.log10(chance), starts))
+
+
+class _NUMBER:
+    """Integers of a bucket as text, which Spark adds up: a row for each place comes back, however many buckets there are."""
+
+    @staticmethod
+    def join(numbers) -> bytes:
+        return ",".join(str(int(n)) for n in numbers).encode()
 
+    @staticmethod
+    def sums(rows: DataFrame, width: int) -> list[int]:
+        at = rows.where(F.col("kind") == NUMBERS).select(F.posexplode(F.split(F.col("data").cast("string"), ",")).alias("i", "v"))
+        found = {r["i"]: int(r["s"]) for r in at.groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("s")).collect()}
+        return [found.get(i, 0) for i in range(width)]
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Count all of ``docs`` (whole texts, null: empty) into a model in the shared folder."""
+
+def train(docs: DataFrame, order: int = 2, text_col: str = "text", bucket_bytes: int = 32_000_000, most_tokens: int = 1_500_000) -> Model:
+    """Count all of ``docs`` (whole texts, null: empty) into a model of n-grams up to ``order`` in the shared folder.
+
+    A bucket takes ``bucket_bytes`` of text on average, whatever the number of texts or partitions.  An empty table gives a model
+    that knows no token.
+    """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    bits = texts.rdd.getNumPartitions().bit_length()  # one or two buckets for each input partition
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    grid = Grid(max(0, int(size // bucket_bytes)).bit_length())
     uri = scratch_path(spark, "lm")
-    blocks = texts.mapInArrow(_counted(bits), _BLOCK).groupBy("kind", "bucket")
-    parts = materialize(blocks.applyInPandas(_merged(bits, uri), _BLOCK), "lm-parts")
-    ends = parts.where(F.col("kind") != NUMBERS).groupBy("bucket").applyInPandas(_word_arrays(uri), _BLOCK)
-    ends = materialize(ends, "lm-ends")
-
-    def numbers(of: DataFrame, width: int) -> np.ndarray:  # a few integers from each bucket
-        rows = of.where(F.col("kind") == NUMBERS).select("data").collect()
-        return sum((np.frombuffer(r["data"], np.int64) for r in rows), np.zeros(width, np.int64))
-
-    pair = numbers(parts, 4)
-    tokens, vocabulary, pairs, n1, n2, n3, n4, more = numbers(ends, 8).tolist()
+    rows = texts.mapInArrow(_counted(order, grid, most_tokens), _BLOCK)
+    grams, keys = [], []
+    for k in range(order, 1, -1):
+        rows = materialize(rows.groupBy("kind", "bucket").applyInPandas(_merged(k, grid, uri), _BLOCK), f"lm-{k}")
+        grams.insert(0, discounts(*_NUMBER.sums(rows, 4)))
+        keys.append(rows.where(F.col("kind") == CONTEXTS).withColumn("kind", F.lit(CONTEXTS + k)))
+        rows = rows.where(F.col("kind").between(WORDS, CONTEXTS - 1))
+    for part in keys:
+        rows = rows.unionByName(part)
+    ends = materialize(rows.groupBy("kind", "bucket").applyInPandas(_key_arrays(uri), _BLOCK), "lm-ends")
+    tokens, vocabulary, kinds, n1, n2, n3, n4, more = _NUMBER.sums(ends, 8)
     word = discounts(n1, n2, n3, n4)
-    rest = float(word[1:] @ [n1, n2, more]) / pairs if pairs else 1.0
-    return Model(uri, bits, tokens, vocabulary, pairs, word, rest, discounts(*pair.tolist()))
+    rest = float(word[1:] @ [n1, n2, more]) / kinds if kinds else 1.0
+    return Model(uri, order, grid, tokens, vocabulary, kinds, word, rest, grams)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", most_texts: int = 1024) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of ``docs``.
 
     A null or empty text is the end mark alone; an untrained model gives every token probability 1 over its empty vocabulary.
-    Null and repeated doc_ids pass through, one row each; other columns are ignored.
+    Null and repeated doc_ids pass through, one row each; other columns are ignored; an empty table gives no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in (batch.slice(i, most_texts) for i in range(0, batch.num_rows, most_texts)):
                 n, known, base, own = model.score(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), model.tokens), pa.int64()),
