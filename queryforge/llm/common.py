@@ -39,13 +39,30 @@ def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(name, rows)
 
 
-def sized(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
-    """``df`` (a materialised table of narrow rows) with a broadcast hint if it has at most ``most_rows`` rows.
-
-    Beyond that bound the join is an ordinary shuffle join, so nothing that
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values, by their lengths."""
+    total = F.lit(0).cast("bigint")
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            total += F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif kind == "array" and f.dataType.elementType.typeName() in ("string", "binary"):
+            total += F.coalesce(F.aggregate(c, F.lit(8).cast("bigint"), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 8), F.lit(8).cast("bigint"))
+        elif kind == "array":
+            total += F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)) * 8 + 8
+        else:
+            total += 16
+    return total
+
+
+def sized(df: DataFrame, most_rows: int = 500_000, most_bytes: int = 40_000_000) -> DataFrame:
+    """``df`` (a materialised table) with a broadcast hint if it has at most ``most_rows`` rows and ``most_bytes`` bytes, by their lengths.
+
+    Beyond these bounds the join is an ordinary shuffle join, so nothing that
     grows with the corpus is ever sent to every executor.
     """
-    return F.broadcast(df) if df.count() <= most_rows else df
+    rows, size = df.agg(F.count("*"), F.sum(_row_bytes(df))).first()
+    return F.broadcast(df) if rows <= most_rows and (size or 0) <= most_bytes else df
 
 
 def lower_ascii(c: Column) -> Column:

@@ -157,13 +157,14 @@ def _decided(docs, benchmark, window, share, id_col, text_col, item_col, item_te
     covered = matches.select(*_KEY, F.explode(F.sequence("first", F.col("first") + F.col("k") - 1)).alias("pos")).distinct()
     hits = covered.groupBy(*_KEY).agg(F.count("*").alias("n_hit"))
     found = matches.select(*_KEY, "item").distinct().groupBy(*_KEY).agg(F.sort_array(F.collect_list("item")).alias("items"))
-    result = materialize(hits.join(found, _same_key(hits, found)).select(hits["doc_id"], hits["text_hash"], "n_hit", "items"), "hits")
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    result = hits.join(found, _same_key(hits, found)).select(hits["doc_id"], hits["text_hash"], "n_hit", F.size("items").cast("long").alias("n_items"), items)
+    result = materialize(result, "hits")
     sizes = keyed.select(*_KEY, F.size("words").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0))
     return sizes.join(sized(result), _same_key(sizes, result), "left").select(
         sizes["doc_id"], sizes["text_hash"], "n_words", n_hit.alias("n_hit"),
-        F.coalesce(F.size("items").cast("long"), F.lit(0)).alias("n_items"),
-        F.sha2(F.array_join(F.coalesce("items", F.array().cast("array<string>")), ","), 256).alias("items_sha256"),
+        F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
 
 

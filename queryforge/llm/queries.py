@@ -61,7 +61,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query()
-def op5_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decontam_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places in the whole documents table where four fifths of a benchmark item's words or more stand in order and distance."""
     return decontam.near_matches(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
 
@@ -81,7 +81,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of the whole documents table: 3-word shingles, similarity 0.85 or more."""
     found = near_dedup.near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85)
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 @_query()
