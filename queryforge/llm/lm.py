@@ -389,7 +389,7 @@ class _NUMBER:
         return [found.get(i, 0) for i in range(width)]
 
 
-def train(docs: DataFrame, order: int = 2, text_col: str = "text", bucket_bytes: int = 32_000_000, most_tokens: int = 1_500_000) -> Model:
+def train(docs: DataFrame, order: int = 2, text_col: str = "text", bucket_bytes: int = 8_000_000, most_tokens: int = 1_200_000) -> Model:
     """Count all of ``docs`` (whole texts, null: empty) into a model of n-grams up to ``order`` in the shared folder.
 
     A bucket takes ``bucket_bytes`` of text on average, whatever the number of texts or partitions.  An empty table gives a model
@@ -418,7 +418,7 @@ def train(docs: DataFrame, order: int = 2, text_col: str = "text", bucket_bytes:
     return Model(uri, order, grid, tokens, vocabulary, kinds, word, rest, grams)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", most_texts: int = 1024) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", most_texts: int = 512) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of ``docs``.
 
     A null or empty text is the end mark alone; an untrained model gives every token probability 1 over its empty vocabulary.
