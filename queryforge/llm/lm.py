@@ -3,8 +3,8 @@
 An n-gram is a pair of 64-bit hashes: its context (all words but the last) and its last word.
 
 1. Tasks count the words and n-grams of blocks of training texts.  Only (kind, bucket, arrays) rows are shuffled, at most one for each
-   block and bucket; the number of buckets follows the bytes of the texts.  A bucket holds some contexts and some last words,
-   so the successors of one frequent word spread over many buckets.
+   block and bucket; the number of buckets follows the bytes of the texts.  Context and word together choose the bucket,
+   so the successors of one frequent word spread over all of them.
 2. Each bucket merges its blocks and writes its sorted arrays to the shared folder.  It passes on the totals of its contexts, and
    what the order below counts: in how many different contexts each shorter n-gram stands.  Orders go down one by one to words.
 3. Workers map the arrays into memory and look up the sorted queries of a block of texts at a time, in the buckets
@@ -122,17 +122,12 @@ def _grams(tails: list[np.ndarray], context: np.ndarray, words: np.ndarray, coun
 
 @dataclass(frozen=True)
 class Grid:
-    """Buckets of n-grams: ``rows`` bits of the context by ``columns`` bits of the word; words and contexts by all bits."""
+    """2 ** ``bits`` buckets of n-grams, by context and word together, and as many of words and of contexts."""
 
     bits: int
 
-    @property
-    def columns(self) -> int:
-        return self.bits // 2
-
     def of_grams(self, context: np.ndarray, words: np.ndarray) -> np.ndarray:
-        rows = self.bits - self.columns
-        return (self._top(context, rows) << self.columns) | self._top(words, self.columns)
+        return self._top(_spread(context) ^ words, self.bits)
 
     def of_keys(self, keys: np.ndarray) -> np.ndarray:
         return self._top(keys, self.bits)
@@ -200,6 +195,11 @@ def _write(uri: str, name: str, array: np.ndarray) -> None:
         out.write(np.ascontiguousarray(array).view(np.uint8).ravel().tobytes() if len(array) else b"")
 
 
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """In half the bytes where all of them fit."""
+    return numbers.astype(np.uint32 if numbers.max(initial=0) < 2 ** 32 else np.int64)
+
+
 def _merged(order: int, grid: Grid, uri: str):
     """Merge one bucket: n-grams of ``order`` are written, their contexts' totals and what they say of the order below passed on."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -218,7 +218,7 @@ def _merged(order: int, grid: Grid, uri: str):
         name = f"{order}-{bucket}"
         begins = np.cumsum(many) - many
         _write(uri, f"{name}.contexts", own)
-        _write(uri, f"{name}.begins", np.append(begins, len(words)).astype(np.int64))
+        _write(uri, f"{name}.begins", _narrow(np.append(begins, len(words))))
         _write(uri, f"{name}.words", words)
         _write(uri, f"{name}.counts", np.minimum(counts, 255).astype(np.uint8))
         high = np.flatnonzero(counts >= 255)
@@ -244,7 +244,7 @@ def _key_arrays(uri: str):
         numbers = [n.astype(np.int64) for n in numbers]
         name = f"words-{bucket}" if kind == WORDS else f"contexts-{kind - CONTEXTS}-{bucket}"
         _write(uri, f"{name}.keys", own)
-        _write(uri, f"{name}.stats", np.array(numbers, np.int64).T)
+        _write(uri, f"{name}.stats", _narrow(np.array(numbers, np.int64).T))
         if kind != WORDS:
             return _frame([])
         counts, ahead = numbers
@@ -279,6 +279,11 @@ class _Maps:
                 os.unlink(path)
         return self.arrays[name]
 
+    def numbers(self, name: str, count: int) -> np.ndarray:
+        """``count`` integers that ``_narrow`` wrote."""
+        raw = self.get(name, np.uint8)
+        return raw.view(np.uint32 if len(raw) == 4 * count else np.int64)
+
     def _fetched(self, name: str) -> str | None:
         store, base = store_of(self.uri)
         if store.get_file_info(f"{base}/{name}").type != fs.FileType.File:
@@ -325,7 +330,7 @@ class Model:
                 place = np.searchsorted(own, keys[at])
                 place[place == len(own)] = 0
                 there = own[place] == keys[at]
-                out[at[there]] = maps.get(f"{name}-{bucket}.stats", np.int64).reshape(-1, width)[place[there]]
+                out[at[there]] = maps.numbers(f"{name}-{bucket}.stats", len(own) * width).reshape(-1, width)[place[there]]
         return out[back]
 
     def _gram_counts(self, order: int, context: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -338,8 +343,8 @@ class Model:
             place = np.searchsorted(own, context[at])
             place[place == len(own)] = 0
             at, place = at[own[place] == context[at]], place[own[place] == context[at]]
-            begins, last = maps.get(f"{name}.begins", np.int64), maps.get(f"{name}.words", np.uint64)
-            low, end = begins[place], begins[place + 1]
+            begins, last = maps.numbers(f"{name}.begins", len(own) + 1), maps.get(f"{name}.words", np.uint64)
+            low, end = begins[place].astype(np.int64), begins[place + 1].astype(np.int64)
             high, asked = end.copy(), words[at]
             while (wide := low < high).any():  # binary search, all queries at once
                 middle = (low + high) // 2
