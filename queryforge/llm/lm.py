@@ -3,8 +3,8 @@
 An n-gram is a pair of 64-bit hashes: its context (all words but the last) and its last word.
 
 1. Tasks count the words and n-grams of blocks of training texts.  Only (kind, bucket, arrays) rows are shuffled, at most one for each
-   block and bucket; the number of buckets follows the bytes of the texts.  Context and word together choose the bucket,
-   so the successors of one frequent word spread over all of them.
+   block and bucket; the number of buckets follows the bytes of the texts.  A bucket holds some contexts and some last words,
+   so the successors of one frequent word spread over a whole row of buckets.
 2. Each bucket merges its blocks and writes its sorted arrays to the shared folder.  It passes on the totals of its contexts, and
    what the order below counts: in how many different contexts each shorter n-gram stands.  Orders go down one by one to words.
 3. Workers map the arrays into memory and look up the sorted queries of a block of texts at a time, in the buckets
@@ -122,12 +122,17 @@ def _grams(tails: list[np.ndarray], context: np.ndarray, words: np.ndarray, coun
 
 @dataclass(frozen=True)
 class Grid:
-    """2 ** ``bits`` buckets of n-grams, by context and word together, and as many of words and of contexts."""
+    """Buckets of n-grams: ``rows`` bits of the context by ``columns`` bits of the word; words and contexts by all bits."""
 
     bits: int
 
+    @property
+    def columns(self) -> int:
+        return self.bits // 2
+
     def of_grams(self, context: np.ndarray, words: np.ndarray) -> np.ndarray:
-        return self._top(_spread(context) ^ words, self.bits)
+        rows = self.bits - self.columns
+        return (self._top(context, rows) << self.columns) | self._top(words, self.columns)
 
     def of_keys(self, keys: np.ndarray) -> np.ndarray:
         return self._top(keys, self.bits)
