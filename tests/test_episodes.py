@@ -193,3 +193,51 @@ def test_stream_active_sessions_counts_late_rows_once(spark):
               rows((9, 10), (9, 9000))]  # ten minutes past is behind the watermark by now
     out = replay(spark, slices, lambda s: stream_active_sessions(s, "user_id", "ts", "1 hour", "2 hours"), "late-active")
     assert sorted((r["window_start"].hour, r["active_sessions"]) for r in out.collect()) == [(0, 2), (1, 1), (6, 1)]
+
+
+def test_stream_state_is_touched_once_per_session_and_batch():
+    import random
+
+    import pandas as pd
+
+    from queryforge.streaming.episodes import WAITING_SCHEMA, EpisodeProcessor
+
+    class Value:
+        def __init__(self):
+            self.now, self.calls = None, 0
+
+        def exists(self):
+            self.calls += 1
+            return self.now is not None
+
+        def get(self):
+            self.calls += 1
+            return self.now
+
+        def update(self, new):
+            self.calls, self.now = self.calls + 1, new
+
+    class Handle:
+        def getValueState(self, *_):
+            self.value = Value()
+            return self.value
+
+    rnd = random.Random(4)
+    action = lambda i: rnd.choice(["submit_query", "inspect_schema", "inspect_error", "reset_query"])
+    rows = [(60_000_000 * i, i, rnd.choice(["a", "b"]), action(i), f"q{i}", True, None, 0.3, rnd.choice([True, True, False, None]), "no") for i in range(3000)]
+    tasks = {"a": (5, "broken"), "b": (9, "other")}
+
+    def run(batches, **kind):
+        handle, processor, out = Handle(), EpisodeProcessor(tasks, **kind), []
+        processor.init(handle)
+        for batch in batches:
+            mixed = rnd.sample(batch, len(batch))
+            parts = [pd.DataFrame(mixed[i:i + 100], columns=WAITING_SCHEMA.fieldNames()) for i in range(0, len(mixed), 100)]
+            out += [tuple(r) for pdf in processor.handleInputRows((1,), iter(parts), None) for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False)]
+        assert handle.value.calls <= 3 * len(batches)  # whatever the number of rows and spans
+        return sorted(out, key=lambda r: r[1:3])
+
+    whole = run([rows])
+    assert whole == run([rows], most_held=50) == run([rows[:7], rows[7:1000], rows[1000:]])
+    rejected = [r[1] for r in rows if r[3] == "submit_query" and r[8] is False]
+    assert [r[2] for r in whole if r[16]] == rejected and 5 <= max(r[8] for r in whole) <= 9
