@@ -5,7 +5,9 @@ numbers come from ``row_number() <= the largest max_steps``, which Spark plans w
 a partial WindowGroupLimit *before* the shuffle: a session can never use more
 steps than the longest task allows (later actions are refused), so even a
 session with a third of all events ships at most 30 rows per map task.  All
-later windows run over at most 30 rows per episode and share one sort.
+later windows run over at most 30 rows per episode and share one sort.  Texts
+of the tasks, the same in a quarter of all rows, are joined (broadcast) after
+the sorts: a shuffle packs them small and a sort unpacks them into memory.
 """
 
 from __future__ import annotations
@@ -55,15 +57,19 @@ def number_steps(steps: DataFrame, keys: Sequence[str], order: Sequence[str], li
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    mark = F.lit(0)
+    mark = None
     if restart:
         mark = F.when(F.col(restart), F.lit(1)).otherwise(F.lit(0))
     elif on_change:
         d = d.withColumn("_value", F.struct(on_change))
         d = d.withColumns({"_before": F.lag("_value").over(w), "_from": F.first("_value").over(whole), "_to": F.last("_value").over(whole)})
         mark = F.when(F.col("_before").isNotNull() & (F.col("_before") != F.col("_value")), F.lit(1)).otherwise(F.lit(0))
-    d = d.withColumn("_mark", mark).withColumn("_part", F.sum("_mark").over(upto))
-    in_part = Window.partitionBy(*keys, "_chunk", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_part = upto
+    if mark is None:  # one episode: no other order than the chunk's
+        d = d.withColumn("_part", F.lit(0).cast("long"))
+    else:
+        d = d.withColumn("_mark", mark).withColumn("_part", F.sum("_mark").over(upto))
+        in_part = Window.partitionBy(*keys, "_chunk", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_at", F.sum("_admitted").over(in_part)).where((F.col("_at") <= limit) | (F.col("_admitted") == 0))
     d = stored(d.withColumn("_id", F.struct(*keys, "_chunk")).drop("_mark", "_value", "_before", "_chunk"), "numbered-steps")
 
@@ -110,20 +116,20 @@ def fold_episodes(steps: DataFrame, tasks: DataFrame, keys: Sequence[str] = ("se
     """
     keys, longest = list(keys), _longest(tasks)
     t = tasks.select(*TASK_COLS)
-    s = steps.withColumnRenamed("success", "query_success").join(t, "task_id")
+    s = steps.withColumnRenamed("success", "query_success").join(t.select("task_id"), "task_id")
     if approved is None and restart is None and on_change is None:
-        return _fold_numbered(first_k(s, keys, list(order), longest, name="step"), keys)
+        return _fold_numbered(first_k(s, keys, list(order), longest, name="step"), t, keys)
     rejected = F.lit(False) if approved is None else (F.col("action_type") == "submit_query") & ~F.coalesce(F.col(approved), F.lit(True))
     s = number_steps(s.withColumn("review_rejected", rejected), keys, order, longest, ~F.col("review_rejected"), restart, on_change)
     if restart or on_change:
         keys = [*keys, "episode_no"]
-    folded = _fold_numbered(s.where(~F.col("review_rejected")), keys)
+    folded = _fold_numbered(s.where(~F.col("review_rejected")), t, keys)
     if approved is None:
         return folded.drop("review_rejected")
-    return folded.unionByName(_rejected_rows(s.where("review_rejected"), folded, keys, reason), allowMissingColumns=True)
+    return folded.unionByName(_rejected_rows(s.where("review_rejected"), folded, t, keys, reason), allowMissingColumns=True)
 
 
-def _rejected_rows(rejected: DataFrame, folded: DataFrame, keys: list[str], reason: str | None) -> DataFrame:
+def _rejected_rows(rejected: DataFrame, folded: DataFrame, tasks: DataFrame, keys: list[str], reason: str | None) -> DataFrame:
     """Rejected submits with the state that the accepted steps before them left (an episode has at most its budget of them)."""
     state = folded.groupBy(F.struct(*keys).alias("_k")).agg(F.sort_array(F.collect_list(
         F.struct("step", "current_score", "current_query", "reward"))).alias("_states"))
@@ -133,7 +139,7 @@ def _rejected_rows(rejected: DataFrame, folded: DataFrame, keys: list[str], reas
     r = r.withColumn("_now", F.when(F.col("step") > 0, F.element_at("_states", F.col("step").cast("int"))))
     score = F.coalesce(F.col("_now.current_score"), F.lit(S.MIN_SCORE))
     seen = F.transform(F.slice("_states", F.lit(1), F.col("step").cast("int")), lambda x: x["reward"])
-    return r.withColumns({
+    return r.join(tasks, "task_id").withColumns({
         "prev_best": score, "current_score": score, "current_query": F.col("_now.current_query"), "reward": F.lit(S.MIN_SCORE),
         "error_details": F.concat(F.lit(REJECTED), F.col(reason) if reason else F.lit("")),
         "hint_shown": F.when(F.col("step") >= F.col("hint_step"), F.col("hint")),
@@ -143,29 +149,30 @@ def _rejected_rows(rejected: DataFrame, folded: DataFrame, keys: list[str], reas
     }).drop("_k", "_states", "_now")
 
 
-def _fold_numbered(s: DataFrame, keys: list[str]) -> DataFrame:
-    """The fold of rows that carry their ``step`` (1, 2, .. in each episode) and the columns of their task."""
-    s = s.where(F.col("step") <= F.col("max_steps"))
+def _fold_numbered(s: DataFrame, tasks: DataFrame, keys: list[str]) -> DataFrame:
+    """The fold of rows that carry their ``step`` (1, 2, .. in each episode); the columns of their task are added."""
+    s = s.join(tasks.select("task_id", "max_steps", "broken_query"), "task_id").where(F.col("step") <= F.col("max_steps"))
+    a = F.col("action_type")
+    submit = a == "submit_query"
+    s = s.withColumn("_text", F.when(submit, F.col("query")).when(a == "reset_query", F.col("broken_query"))).drop("broken_query")
 
     w = Window.partitionBy(*keys).orderBy("step")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys)
 
-    a = F.col("action_type")
-    submit = a == "submit_query"
     submit_grade = F.when(submit, F.col("grade"))
     # columns are added in dependency levels (few plan rewrites, one shared sort)
     s = s.withColumns({
         "step": F.col("step").cast("long"),
         "prev_best": F.greatest(F.lit(S.MIN_SCORE), F.coalesce(F.max(submit_grade).over(before), F.lit(S.MIN_SCORE))),
         # WN9: query carried forward (submitted text, or the broken query after a reset)
-        "current_query": F.last(F.when(submit, F.col("query")).when(a == "reset_query", F.col("broken_query")),
-                                ignorenulls=True).over(upto),
+        "current_query": F.last("_text", ignorenulls=True).over(upto),
         # WN6: error of the previous action (null when it had none)
         "error_details": F.when(a == "inspect_error", F.when(F.col("step") == 1, F.lit(NO_QUERY_YET))
                                 .otherwise(F.lag("error_message", 1).over(w))),
     })
+    s = s.drop("_text").join(tasks.drop("max_steps"), "task_id")  # after the sort, whose order a broadcast join keeps
     s = s.withColumns({
         "grade_used": F.when(submit, F.col("grade")).otherwise(F.col("prev_best")),
         "current_score": F.greatest(F.col("prev_best"), F.coalesce(submit_grade, F.lit(S.MIN_SCORE))),

@@ -241,3 +241,18 @@ def test_stream_state_is_touched_once_per_session_and_batch():
     assert whole == run([rows], most_held=50) == run([rows[:7], rows[7:1000], rows[1000:]])
     rejected = [r[1] for r in rows if r[3] == "submit_query" and r[8] is False]
     assert [r[2] for r in whole if r[16]] == rejected and 5 <= max(r[8] for r in whole) <= 9
+
+
+def test_texts_of_tasks_are_joined_after_the_sorts(spark, monkeypatch):
+    from queryforge.operators import episodes
+    from queryforge.plans.q_episodes import reviewed_steps
+    from queryforge.sources.tasks import task_catalog
+
+    seen = []
+    monkeypatch.setattr(episodes, "stored", lambda df, tag: seen.append(df) or df)
+    folded = episodes.fold_episodes(reviewed_steps(spark, SF_SMALL), task_catalog(spark), approved="approved", reason="reason")
+    texts = {"description", "expected_output_description", "broken_query", "hint", "tables"}
+    assert len(seen) == 1 and not texts & set(seen[0].columns)  # what the ordered pass sorts
+    assert texts <= set(folded.columns) and folded.where("tables IS NULL OR hint IS NULL").count() == 0
+    sorts = [line for line in folded._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert sorts and not any("broken_query" in line or "description" in line for line in sorts)
