@@ -1,8 +1,10 @@
 """SC6: failure classes of result sets, by a multiset difference against the expected rows.
 
 Every attempt gets the number of rows that are missing, that are too many, and whose values are wrong, and of the
-latter how many are multiples of the expected ones.  Rows are counted by key and value before any join, so a row
-repeated a million times costs one, and both sides meet on the task and the row's identity, never per task.
+latter how many are multiples of the expected ones.  Expected rows are counted by identity first and written, so an
+attempt's row meets one row at most, on the task and the row's identity, never per task; after that join all that goes
+on are counts by attempt and identity, summed before they move.  Where an identity has several expected values, its rows
+meet them a second time, by value.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from queryforge.functions import text as X
 from queryforge.operators.grading import normalize_rows
+from queryforge.sources.tables import stored
 
 #: The classes, in the order in which the first that holds is taken.
 CLASSES = ("unsafe", "schema_mismatch", "error", "join_logic", "aggregation", "ok")
@@ -39,32 +42,37 @@ def result_diff(actual: DataFrame, expected: DataFrame, task_key: str, attempt_k
     numeric = [f.name for f in expected.schema.fields if f.name in value_cols and f.dataType.typeName() not in ("string", "boolean")]
     other = [c for c in value_cols if c not in numeric]
 
-    def counted(df: DataFrame, keys: list[str], n: str) -> DataFrame:
-        of = [F.struct(*keys).alias("_of"), F.struct(*id_cols).alias("_id"), F.struct(*value_cols).alias("_value")]
-        return normalize_rows(df, [*id_cols, *value_cols]).select(*of).groupBy("_of", "_id", "_value").agg(F.count(F.lit(1)).alias(n))
-
-    a = counted(actual, names, "n_a").withColumn("_task", F.struct(F.col(f"_of.{task_key}").alias(task_key)))
-    e = counted(expected, [task_key], "n_e").withColumnRenamed("_of", "_task")
-    same = a.join(e, ["_task", "_id", "_value"], "left").groupBy("_of").agg(
-        F.sum("n_a").alias("n_actual"), F.sum(F.least("n_a", F.coalesce("n_e", F.lit(0)))).alias("same"))
-    by_id = a.groupBy("_of", "_task", "_id").agg(F.sum("n_a").alias("n_a"), F.first("_value").alias("v"))
-    of_id = e.groupBy("_task", "_id").agg(F.sum("n_e").alias("n_e"), F.first("_value").alias("w"))
-    differs = [~F.col(f"v.{c}").eqNullSafe(F.col(f"w.{c}")) for c in value_cols]
+    def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+        return normalize_rows(df, [*id_cols, *value_cols]).select(
+            F.struct(*keys).alias("_of"), F.struct(task_key).alias("_task"), F.struct(*id_cols).alias("_id"), F.struct(*value_cols).alias("_value"))
+
+    a = keyed(actual, names)
+    e = keyed(expected, [task_key]).groupBy("_task", "_id", "_value").agg(F.count(F.lit(1)).alias("n_e"))
+    of_id = stored(e.groupBy("_task", "_id").agg(F.sum("n_e").alias("n_e"), F.first("_value").alias("w"), F.count(F.lit(1)).alias("values")), "expected-rows")
+    alike = F.lit(True)
+    for c in value_cols:
+        alike = alike & F.col(f"_value.{c}").eqNullSafe(F.col(f"w.{c}"))
     number = lambda side, c: F.col(f"{side}.{c}").cast("double")
-    multiplied = (F.col("n_a") == 1) & (F.col("n_e") == 1)
+    multiplied = F.lit(True)
     for c in numeric:
-        multiplied = multiplied & (F.col(f"v.{c}").eqNullSafe(F.col(f"w.{c}")) | _multiple(number("v", c), number("w", c)))
+        multiplied = multiplied & (F.col(f"_value.{c}").eqNullSafe(F.col(f"w.{c}")) | _multiple(number("_value", c), number("w", c)))
     for c in other:
-        multiplied = multiplied & F.col(f"v.{c}").eqNullSafe(F.col(f"w.{c}"))
-    some = F.lit(False)
-    for d in differs:
-        some = some | d
-    found = by_id.join(of_id, ["_task", "_id"], "left").groupBy("_of").agg(
-        F.sum(F.least("n_a", F.coalesce("n_e", F.lit(0)))).alias("found"), F.count_if(F.coalesce(multiplied & some, F.lit(False))).alias("n_multiplied"))
-    per = same.join(found, "_of")
+        multiplied = multiplied & F.col(f"_value.{c}").eqNullSafe(F.col(f"w.{c}"))
+    by_id = a.join(of_id, ["_task", "_id"], "left").select(
+        "_of", "_id", "n_e", F.when(F.col("values") == 1, alike).alias("alike"), (~alike & multiplied).alias("multiplied")).groupBy("_of", "_id").agg(
+        F.count(F.lit(1)).alias("n_a"), F.max("n_e").alias("n_e"), F.count_if("alike").alias("n_same"), F.count_if("multiplied").alias("n_multiplied"))
+    per = by_id.groupBy("_of").agg(
+        F.sum("n_a").alias("n_actual"), F.sum(F.least("n_a", F.coalesce("n_e", F.lit(0)))).alias("found"),
+        F.sum(F.least("n_same", F.coalesce("n_e", F.lit(0)))).alias("same"),
+        F.count_if((F.col("n_a") == 1) & (F.col("n_e") == 1) & (F.col("n_multiplied") == 1)).alias("n_multiplied"))
+    several = of_id.where(F.col("values") > 1).select("_task", "_id")
+    if not several.isEmpty():
+        again = a.join(several, ["_task", "_id"], "left_semi").groupBy("_of", "_task", "_id", "_value").agg(F.count(F.lit(1)).alias("n_a"))
+        more = again.join(e, ["_task", "_id", "_value"]).groupBy("_of").agg(F.sum(F.least("n_a", "n_e")).alias("more"))
+        per = per.join(more, "_of", "left").withColumn("same", F.col("same") + F.coalesce("more", F.lit(0))).drop("more")
     if attempts is not None:
         per = attempts.select(F.struct(*names).alias("_of")).distinct().join(per, "_of", "left")
-    total = expected.groupBy(F.struct(task_key).alias("_task")).agg(F.count(F.lit(1)).alias("n_expected"))
+    total = of_id.groupBy("_task").agg(F.sum("n_e").alias("n_expected"))
     per = per.withColumn("_task", F.struct(F.col(f"_of.{task_key}").alias(task_key))).join(total, "_task", "left")
     n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_actual", "n_expected", "same", "found", "n_multiplied")}
     return per.select("_of.*", n["n_actual"].alias("n_actual"), n["n_expected"].alias("n_expected"), (n["n_expected"] - n["found"]).alias("n_missing"),
