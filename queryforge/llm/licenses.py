@@ -48,6 +48,13 @@ def telling(words: list[bytes]) -> list[int]:
     return out
 
 
+def told_before(words: list[bytes]) -> list[bool]:
+    """Whether the words from each place on that tell licences apart all stand before it already (one entry more than words)."""
+    own = telling(words)
+    told = [w if own[i + 1] > own[i] else None for i, w in enumerate(words)]
+    return [{*told[i:]} - {None} <= {*told[:i]} for i in range(len(words) + 1)]
+
+
 class Automaton:
     """Generalised suffix automaton of word sequences; ``outputs`` and ``ends`` say what a state matches."""
 
@@ -57,6 +64,7 @@ class Automaton:
         self.link, self.length = [-1], [0]
         self.templates = {name: len(text_words(t)) for name, t in templates.items()}
         self.telling = {name: telling(text_words(t)) for name, t in templates.items()}
+        self.told_before = {name: told_before(text_words(t)) for name, t in templates.items()}
         self.shortest = min((len(text_words(t)) for t in [*phrases, *templates.values()]), default=0)
         own_ends: dict[int, set[tuple[str, int]]] = {}
         for name, text in templates.items():
@@ -183,7 +191,8 @@ class Automaton:
     def spans(self, name: str, pieces: list[tuple[int, int, int]], gap: int, least_cover: float, told: list[int] | None = None) -> list[tuple[float, int, int]]:
         """The chains of a template as in ``chains``, all that reach ``least_cover``: those that do not overlap and cover most in sum.
 
-        With ``told`` (``telling`` of the text) a chain holds all words of the template that tell it apart, and the text has no other
+        With ``told`` (``telling`` of the text) a chain holds all words of the template that tell it apart, save that at its end
+        it may miss some that it holds earlier, and the text has no other
         such word inside the chain or right at its ends.
         """
         words, own = self.templates[name], self.telling[name]
@@ -210,7 +219,7 @@ class Automaton:
             chains.append(kept)
             total.append(total[-1])
             chosen.append(None)
-            whole = told is None or own[at] == own[-1] and told[min(end + 1, len(told) - 1)] == told[end]
+            whole = told is None or self.told_before[name][at] and told[min(end + 1, len(told) - 1)] == told[end]
             for first, covered in kept if whole else ():
                 if covered / words >= least_cover and covered + total[before := bisect_right(ends, first, 0, i)] > total[-1]:
                     total[-1], chosen[-1] = covered + total[before], (covered / words, first, end, before)

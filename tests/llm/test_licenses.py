@@ -80,3 +80,8 @@ def test_chains_cover_what_brute_force_finds():
         _, found = own.matches([w.encode() for w in words], 2)
         got = own.chains(found, 3).get("t", (0.0,))[0]
         assert abs(got - _covers(words, template, 3)) < 1e-9, words
+
+
+def test_a_cut_end_may_miss_a_version_named_before():
+    assert licenses.told_before([b"version", b"2", b"or", b"version", b"2"]) == [False, False, True, True, True, True]
+    assert licenses.told_before([b"version", b"2", b"or", b"version", b"3"])[:5] == [False] * 5
