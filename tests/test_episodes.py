@@ -256,3 +256,18 @@ def test_texts_of_tasks_are_joined_after_the_sorts(spark, monkeypatch):
     assert texts <= set(folded.columns) and folded.where("tables IS NULL OR hint IS NULL").count() == 0
     sorts = [line for line in folded._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
     assert sorts and not any("broken_query" in line or "description" in line for line in sorts)
+
+
+def test_stream_rows_without_time_are_folded_first(spark):
+    from queryforge.plans.q_episodes import reviewed_steps
+    from queryforge.streaming.episodes import fold_stream, replay
+
+    one = reviewed_steps(spark, SF_SMALL).where("task_id = 'easy_syntax_fix'").orderBy("event_id").limit(1).withColumn("session_id", F.lit(5).cast("long"))
+
+    def at(i, ts, session=5):
+        return one.withColumns({"event_id": F.lit(i).cast("long"), "session_id": F.lit(session).cast("long"), "action_type": F.lit("inspect_schema"),
+                                "ts": F.lit(ts).cast("timestamp_ntz"), "approved": F.lit(None).cast("boolean")})
+
+    slices = [at(1, "2024-01-02 00:00:00").unionByName(at(2, None)), at(9, "2024-02-28 00:00:00", session=6)]
+    out = replay(spark, slices, lambda s: fold_stream(spark, s, delay="5 days"), "no-time")
+    assert sorted((r["step"], r["event_id"]) for r in out.where("session_id = 5").collect()) == [(1, 2), (2, 1)]
