@@ -74,23 +74,34 @@ def contexts(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndar
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as byte planes, which the shuffle's codec compresses well: sorted ones (the first) by their steps."""
-    parts = [np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize))], np.int64).tobytes()]
+    """Arrays as compressed byte planes: sorted ones (the first) by their steps, hashes that recur as places in a list of them."""
+    parts, shape = [], []
     for i, a in enumerate(arrays):
-        a = np.diff(a, prepend=a.dtype.type(0)) if i == 0 else a
-        parts.append(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() if len(a) else b"")
-    return b"".join(parts)
+        stored = [np.diff(a, prepend=a.dtype.type(0))] if i == 0 else [a]
+        if i and a.dtype.itemsize == 8 and len(a) > 1:
+            own, places = np.unique(a, return_inverse=True)
+            if 8 * len(own) + 4 * len(a) < 8 * len(a):
+                stored = [np.diff(own, prepend=own.dtype.type(0)), places.astype(np.uint32)]
+        shape += [len(stored), *(x for b in stored for x in (len(b), b.dtype.itemsize))]
+        parts += [np.ascontiguousarray(b).view(np.uint8).reshape(-1, b.dtype.itemsize).T.tobytes() if len(b) else b"" for b in stored]
+    plain = np.array([len(arrays), len(shape), *shape], np.int64).tobytes() + b"".join(parts)
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, "zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    count = int(np.frombuffer(data, np.int64, 1)[0])
-    shape = np.frombuffer(data, np.int64, 2 * count, 8).tolist()
-    at, out = 8 + 16 * count, []
-    for n, width in zip(shape[::2], shape[1::2]):
-        plane = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
-        out.append(np.ascontiguousarray(plane).view({4: np.uint32, 8: np.uint64}[width]).ravel())
-        at += n * width
-    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
+    plain = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    count, width = np.frombuffer(plain, np.int64, 2).tolist()
+    shape, at, out = iter(np.frombuffer(plain, np.int64, width, 16).tolist()), 16 + 8 * width, []
+    for i in range(count):
+        stored = []
+        for _ in range(next(shape)):
+            n, size = next(shape), next(shape)
+            plane = np.frombuffer(plain, np.uint8, n * size, at).reshape(size, n).T
+            stored.append(np.ascontiguousarray(plane).view({4: np.uint32, 8: np.uint64}[size]).ravel())
+            at += n * size
+        if i == 0 or len(stored) == 2:
+            stored[0] = np.cumsum(stored[0], dtype=stored[0].dtype)
+        out.append(stored[0][stored[1]] if len(stored) == 2 else stored[0])
     return out
 
 

@@ -80,3 +80,18 @@ def test_exact_on_whole_documents(spark):
     score, _, _ = exact(list(texts.values()), 2)
     got = {r["doc_id"]: r["score"] for r in lm.score(table, lm.train(table, bucket_bytes=100_000)).collect()}
     assert all(math.isclose(got[i], score(t), rel_tol=1e-9) for i, t in texts.items()) and len(got) == len(texts)
+
+
+def test_packed_blocks_come_back_and_recurring_hashes_take_few_bytes():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, kinds in ((0, 1), (1, 1), (7, 3), (20_000, 500), (300, 10 ** 6)):
+        hashes = lambda k: rng.integers(0, 2 ** 64, k, np.uint64)
+        first, words, counts = np.sort(hashes(n)), rng.choice(hashes(kinds), n), rng.integers(1, 4, n).astype(np.uint32)
+        arrays = [first, counts, words, counts.astype(np.uint64), words]
+        packed = lm._pack(*arrays)
+        back = lm._unpack(packed)
+        assert [a.dtype for a in back] == [a.dtype for a in arrays] and all(np.array_equal(a, b) for a, b in zip(back, arrays))
+    packed = lm._pack(np.sort(hashes(20_000)), rng.choice(hashes(500), 20_000))
+    assert len(packed) < 20_000 * (8 + 3)  # the steps, and a place in a list of 500
